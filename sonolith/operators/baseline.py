@@ -132,3 +132,77 @@ def hourly_profile(df: DataFrame, metric: str, opts: Options, keys: Sequence[str
         _quantile(F.col(metric), 0.90, opts).alias("q90"),
         F.count(metric).alias("count"),
     )
+
+
+def _with_scope(profile: DataFrame, chosen: DataFrame, keys: list[str], use_col: str) -> DataFrame:
+    from sonolith.operators.explore import weekday_label
+
+    scope = F.when(
+        F.col(use_col), F.concat(F.lit(f"{GRANULARITY_WEEKDAY_HOUR} ("), weekday_label(F.col("active_weekday")), F.lit(")"))
+    ).otherwise(F.lit(f"{GRANULARITY_HOUR} (Fallback)"))
+    return profile.join(chosen.select(*keys, scope.alias("scope")), keys, "left")
+
+
+def generic_profile(
+    df: DataFrame,
+    metric: str,
+    opts: Options,
+    granularity: str = GRANULARITY_HOUR,
+    selected_weekday: str = "Auto",
+    end_timestamp=None,
+    keys: Sequence[str] = ("asset_id",),
+    min_points: int = 10,
+) -> DataFrame:
+    """Hour profile of any metric, optionally for one weekday (A5).
+
+    With weekday granularity the profile uses only rows of the active weekday
+    (W11) unless that weekday has fewer than ``min_points`` rows, in which case it
+    falls back to all rows.
+    """
+    from sonolith.operators.explore import active_weekday
+
+    keys = list(keys)
+    src = df.where(F.col(metric).isNotNull() & F.col("hour_of_day").isNotNull())
+    if granularity != GRANULARITY_WEEKDAY_HOUR:
+        return hourly_profile(src, metric, opts, keys).withColumn("scope", F.lit(GRANULARITY_HOUR))
+    chosen = active_weekday(src, keys, selected_weekday, end_timestamp).withColumn(
+        "_use", F.col("active_weekday_rows") >= F.lit(min_points)
+    )
+    chosen = broadcast_if_small(chosen, opts.scale.broadcast_max_rows)
+    rows = src.join(chosen, keys, "inner").where(~F.col("_use") | (F.col("weekday") == F.col("active_weekday")))
+    return _with_scope(hourly_profile(rows, metric, opts, keys), chosen, keys, "_use")
+
+
+def stage1_profile(
+    df: DataFrame,
+    opts: Options,
+    selected_weekday: str = "Auto",
+    end_timestamp=None,
+    keys: Sequence[str] = ("asset_id",),
+    weekday_hourly: DataFrame | None = None,
+    hourly: DataFrame | None = None,
+) -> DataFrame:
+    """Baseline profile of the active weekday; falls back to the hour baseline when
+    the weekday's largest slot has fewer than ``weekday_hour_min_count`` rows (A6).
+
+    ``df`` is whichever rows the baseline should come from: whole history or the
+    current timeframe (A8).
+    """
+    from sonolith.operators.explore import active_weekday
+
+    keys = list(keys)
+    wb = weekday_hourly if weekday_hourly is not None else baseline_table(df, opts, GRANULARITY_WEEKDAY_HOUR, keys)
+    hb = hourly if hourly is not None else baseline_table(df, opts, GRANULARITY_HOUR, keys)
+    act = active_weekday(df, keys, selected_weekday, end_timestamp)
+    day = wb.join(act.select(*keys, "active_weekday"), keys, "inner").where(F.col("weekday") == F.col("active_weekday"))
+    best = day.groupBy(*keys).agg(F.max("baseline_count").alias("_max_slot"))
+    chosen = act.join(best, keys, "left").withColumn(
+        "_use", F.coalesce(F.col("_max_slot") >= F.lit(opts.baseline.weekday_hour_min_count), F.lit(False))
+    )
+    chosen = broadcast_if_small(chosen, opts.scale.broadcast_max_rows)
+    picked_day = day.drop("active_weekday").join(chosen.where(F.col("_use")).select(*keys), keys, "left_semi")
+    picked_hour = hb.join(chosen.where(~F.col("_use")).select(*keys), keys, "left_semi").withColumn(
+        "weekday", F.lit(None).cast("int")
+    )
+    profile = picked_day.unionByName(picked_hour)
+    return _with_scope(profile, chosen, keys, "_use")

@@ -202,3 +202,219 @@ def _profile_out(df: DataFrame) -> DataFrame:
 @register("hour_profile", "A4", SER() + _profile_sql("avg_decibel", "series"))
 def q_hour_profile(spark, sf_dir):
     return _profile_out(B.hourly_profile(series(spark, sf_dir), "avg_decibel", OPTS))
+
+
+def _active_weekday_sql(src: str) -> str:
+    """Per asset: weekday of the last row (canonical order) and the number of rows on it."""
+    return f"""
+aw_days AS (SELECT asset_id, weekday, count(*) AS n, max(seq_pos) AS last_pos FROM {src}
+            WHERE timestamp IS NOT NULL AND weekday IS NOT NULL GROUP BY 1, 2),
+aw AS (SELECT asset_id, arg_max(weekday, last_pos) AS active_weekday FROM aw_days GROUP BY 1),
+aw2 AS (SELECT a.asset_id, a.active_weekday, coalesce(d.n, 0) AS active_weekday_rows
+        FROM aw a LEFT JOIN aw_days d ON a.asset_id = d.asset_id AND a.active_weekday = d.weekday)"""
+
+
+_WD_LABEL = "CASE active_weekday " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(("Mo", "Di", "Mi", "Do", "Fr", "Sa", "So"))) + " END"
+
+
+@register(
+    "weekday_profile",
+    "A5 W11",
+    SER(
+        "prof_src AS (SELECT * FROM series WHERE peak_minus_min IS NOT NULL AND hour_of_day IS NOT NULL)",
+        _active_weekday_sql("prof_src"),
+        f"""chosen AS (SELECT *, active_weekday_rows >= 10 AS use_wd,
+                   CASE WHEN active_weekday_rows >= 10 THEN 'Stunde + Wochentag (' || {_WD_LABEL} || ')'
+                        ELSE 'Stunde (Fallback)' END AS scope FROM aw2)""",
+        "prof_rows AS (SELECT p.*, c.scope FROM prof_src p JOIN chosen c USING (asset_id) WHERE NOT c.use_wd OR p.weekday = c.active_weekday)",
+    )
+    + _profile_sql("peak_minus_min", "prof_rows").replace("count(peak_minus_min) AS count", "count(peak_minus_min) AS count, any_value(scope) AS scope"),
+)
+def q_weekday_profile(spark, sf_dir):
+    p = B.generic_profile(series(spark, sf_dir), "peak_minus_min", OPTS, GRANULARITY_WEEKDAY_HOUR)
+    return _profile_out(p).join(p.select("asset_id", "hour_of_day", "scope"), ["asset_id", "hour_of_day"])
+
+
+def _stage1_profile_sql(src_cte: str, src: str) -> str:
+    mn = OPTS.baseline.weekday_hour_min_count
+    cols = ", ".join(f"{O.r6(c)} AS {c}" for c in _baseline_cols([])[2:])
+    return SER(
+        src_cte,
+        O.baseline_ctes("bh", ["hour_of_day"]).replace("FROM series", f"FROM {src}"),
+        O.baseline_ctes("bw", ["weekday", "hour_of_day"]).replace("FROM series", f"FROM {src}"),
+        _active_weekday_sql(src),
+        "day AS (SELECT b.* FROM bw b JOIN aw2 a ON a.asset_id = b.asset_id AND b.weekday = a.active_weekday)",
+        f"""chosen AS (SELECT a.asset_id, a.active_weekday, coalesce(max(d.baseline_count) >= {mn}, false) AS use_wd
+                   FROM aw2 a LEFT JOIN day d USING (asset_id) GROUP BY 1, 2)""",
+        f"""prof AS (SELECT d.* FROM day d JOIN chosen c USING (asset_id) WHERE c.use_wd
+                 UNION ALL BY NAME
+                 SELECT h.*, CAST(NULL AS INTEGER) AS weekday FROM bh h JOIN chosen c USING (asset_id) WHERE NOT c.use_wd)""",
+    ) + f""" SELECT p.asset_id, p.weekday, p.hour_of_day, p.baseline_count, {cols},
+       CASE WHEN c.use_wd THEN 'Stunde + Wochentag (' || {_WD_LABEL.replace('active_weekday', 'c.active_weekday')} || ')' ELSE 'Stunde (Fallback)' END AS scope
+FROM prof p JOIN chosen c USING (asset_id)"""
+
+
+def _stage1_profile_out(p: DataFrame) -> DataFrame:
+    return p.select(
+        "asset_id", "weekday", "hour_of_day", "baseline_count",
+        *[r6(c).alias(c) for c in _baseline_cols([])[2:]], "scope",
+    )
+
+
+@register("stage1_profile", "A6 A2 A1", _stage1_profile_sql("s1p_src AS (SELECT * FROM series)", "s1p_src"))
+def q_stage1_profile(spark, sf_dir):
+    s1 = stage1(spark, sf_dir)
+    p = B.stage1_profile(series(spark, sf_dir), OPTS, weekday_hourly=s1.baseline_weekday_hourly, hourly=s1.baseline_hourly)
+    return _stage1_profile_out(p)
+
+
+@register(
+    "stage1_profile_timeframe",
+    "A8 P10 A6",
+    _stage1_profile_sql(
+        """tf_bounds AS (SELECT asset_id, max(timestamp) - INTERVAL 7 DAY AS ws FROM series WHERE timestamp IS NOT NULL GROUP BY 1),
+tf_rows AS (SELECT s.* FROM series s JOIN tf_bounds b USING (asset_id) WHERE s.timestamp >= b.ws)""",
+        "tf_rows",
+    ),
+)
+def q_stage1_profile_timeframe(spark, sf_dir):
+    from sonolith.operators.explore import timeframe_slice
+
+    rows = timeframe_slice(series(spark, sf_dir), "Letzte 7 Tage")
+    return _stage1_profile_out(B.stage1_profile(rows, OPTS))
+
+
+@register(
+    "baseline_band",
+    "A7",
+    SER(O.baseline_ctes("bh", ["hour_of_day"]))
+    + f""" SELECT asset_id, hour_of_day,
+       {O.r6('avg_decibel_baseline_median - 1.4826 * coalesce(avg_decibel_baseline_mad, 0)')} AS band_low,
+       {O.r6('avg_decibel_baseline_median + 1.4826 * coalesce(avg_decibel_baseline_mad, 0)')} AS band_high
+FROM bh""",
+)
+def q_baseline_band(spark, sf_dir):
+    b = B.baseline_band(stage1(spark, sf_dir).baseline_hourly, "avg_decibel")
+    return b.select("asset_id", "hour_of_day", r6("band_low").alias("band_low"), r6("band_high").alias("band_high"))
+
+
+# ---------------------------------------------------------------- step 4: Stage 1
+def S1(*tail: str) -> str:
+    return SER(O.zrow_ctes(OPTS, weekday_mode=False), O.stage1_ctes(OPTS), *tail)
+
+
+_RULE_COLS = ["warn_avg", "warn_range", "warn_spike", "warning_now", "persistent_warning", "stage1_severity", "stage1_message"]
+
+
+@register("stage1_rules", "R2 R3 R4 W6", S1() + " SELECT asset_id, row_id, " + ", ".join(_RULE_COLS) + " FROM s1")
+def q_stage1_rules(spark, sf_dir):
+    return stage1(spark, sf_dir).rows.select("asset_id", "row_id", *_RULE_COLS)
+
+
+_ALERT_NUM = ["avg_decibel", "peak_decibel", "min_decibel", "peak_minus_min"]
+
+
+@register(
+    "stage1_alerts",
+    "P14",
+    S1()
+    + " SELECT asset_id, timestamp, 'Stage 1' AS stage, stage1_severity AS severity, stage1_message AS message, "
+    + ", ".join(f"{O.r6(c)} AS {c}" for c in _ALERT_NUM)
+    + ", quality_flag, near_gap_flag FROM s1 WHERE stage1_severity IN ('WARNING', 'ANOMALY')",
+)
+def q_stage1_alerts(spark, sf_dir):
+    a = E.extract_alerts(stage1(spark, sf_dir).rows, "stage1", [*_ALERT_NUM, "quality_flag", "near_gap_flag"])
+    return a.select(*[r6(c).alias(c) if c in _ALERT_NUM else F.col(c) for c in a.columns])
+
+
+_EVENT_BASE = [
+    "asset_id", "event_id", "start_timestamp", "end_timestamp", "duration_minutes", "stage", "severity", "message",
+    "row_count", "reduced_quality_rows", "near_gap_rows", "has_reduced_quality", "has_near_gap",
+]
+_S1_Z_MAX = [f"{z}_max" for z in E.Z_COLUMNS]
+
+_S1_EVENTS_SQL = S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS)) + (
+    " SELECT " + ", ".join(c if c != "stage" else "'Stage 1' AS stage" for c in _EVENT_BASE)
+    + ", " + ", ".join(f"{O.r6(c)} AS {c}" for c in _S1_Z_MAX)
+    + """, CASE WHEN greatest(n_avg, n_spike, n_range) <= 0 THEN 'Unklar'
+            WHEN n_avg = greatest(n_avg, n_spike, n_range) THEN 'Pegel'
+            WHEN n_spike = greatest(n_avg, n_spike, n_range) THEN 'Spike' ELSE 'Spannweite' END AS dominant_rule,
+       CASE WHEN has_reduced_quality THEN 'reduced_quality' ELSE 'normal' END AS quality_label
+FROM ev1"""
+)
+
+
+@register("stage1_events", "W9 A13 A14 A15 A16 A17 J7", _S1_EVENTS_SQL)
+def q_stage1_events(spark, sf_dir):
+    ev = stage1(spark, sf_dir).events
+    return ev.select(*_EVENT_BASE, *[r6(c).alias(c) for c in _S1_Z_MAX], "dominant_rule", "quality_label")
+
+
+@register(
+    "rule_summary",
+    "A18",
+    S1(
+        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+        """dom AS (SELECT asset_id, CASE WHEN greatest(n_avg, n_spike, n_range) <= 0 THEN 'Unklar'
+            WHEN n_avg = greatest(n_avg, n_spike, n_range) THEN 'Pegel'
+            WHEN n_spike = greatest(n_avg, n_spike, n_range) THEN 'Spike' ELSE 'Spannweite' END AS dominant_rule FROM ev1)""",
+        """domc AS (SELECT asset_id, dominant_rule, count(*) AS n,
+            CASE dominant_rule WHEN 'Pegel' THEN 0 WHEN 'Spike' THEN 1 WHEN 'Spannweite' THEN 2 ELSE 3 END AS o
+            FROM dom GROUP BY 1, 2)""",
+        """top AS (SELECT asset_id, arg_max(dominant_rule, n * 10 - o) AS dominant_rule, max(n) AS dominant_rule_events
+            FROM domc GROUP BY 1)""",
+    )
+    + """ SELECT c.asset_id, c.warn_avg_rows, c.warn_range_rows, c.warn_spike_rows, t.dominant_rule, t.dominant_rule_events
+FROM (SELECT asset_id, count(*) FILTER (WHERE warn_avg) AS warn_avg_rows, count(*) FILTER (WHERE warn_range) AS warn_range_rows,
+             count(*) FILTER (WHERE warn_spike) AS warn_spike_rows FROM s1 GROUP BY 1) c LEFT JOIN top t USING (asset_id)""",
+)
+def q_rule_summary(spark, sf_dir):
+    return stage1_rule_summary(stage1(spark, sf_dir))
+
+
+_CTX_COLS = [
+    "row_alerts_total", "row_alerts_reduced_quality", "row_alerts_near_gap", "row_alerts_both",
+    "events_total", "events_reduced_quality", "events_near_gap", "events_both",
+]
+
+
+def _context_sql(src: str, ev: str) -> str:
+    pct = []
+    for c, tot in [("row_alerts_reduced_quality", "row_alerts_total"), ("row_alerts_near_gap", "row_alerts_total"),
+                   ("events_reduced_quality", "events_total"), ("events_near_gap", "events_total")]:
+        pct.append(f"{O.r6(f'CASE WHEN {tot} = 0 THEN 0.0 ELSE 100.0 * {c} / {tot} END')} AS {c}_pct")
+    return f""" SELECT r.asset_id, r.row_alerts_total, r.row_alerts_reduced_quality, r.row_alerts_near_gap, r.row_alerts_both,
+       coalesce(e.events_total, 0) AS events_total, coalesce(e.events_reduced_quality, 0) AS events_reduced_quality,
+       coalesce(e.events_near_gap, 0) AS events_near_gap, coalesce(e.events_both, 0) AS events_both
+FROM (SELECT asset_id,
+        count(*) FILTER (WHERE {src}_severity IN ('WARNING','ANOMALY')) AS row_alerts_total,
+        count(*) FILTER (WHERE {src}_severity IN ('WARNING','ANOMALY') AND quality_flag = 'reduced_quality') AS row_alerts_reduced_quality,
+        count(*) FILTER (WHERE {src}_severity IN ('WARNING','ANOMALY') AND near_gap_flag) AS row_alerts_near_gap,
+        count(*) FILTER (WHERE {src}_severity IN ('WARNING','ANOMALY') AND quality_flag = 'reduced_quality' AND near_gap_flag) AS row_alerts_both
+      FROM {{rows}} GROUP BY 1) r
+LEFT JOIN (SELECT asset_id, count(*) AS events_total, count(*) FILTER (WHERE has_reduced_quality) AS events_reduced_quality,
+        count(*) FILTER (WHERE has_near_gap) AS events_near_gap,
+        count(*) FILTER (WHERE has_reduced_quality AND has_near_gap) AS events_both FROM {ev} GROUP BY 1) e USING (asset_id)""", pct
+
+
+def _context_full_sql(prefix: str, rows: str, ev: str) -> str:
+    body, pct = _context_sql(prefix, ev)
+    body = body.replace("{rows}", rows)
+    return f" SELECT *, {', '.join(pct)} FROM ({body}) ctx"
+
+
+def _context_out(df: DataFrame) -> DataFrame:
+    pct = []
+    for c, tot in [("row_alerts_reduced_quality", "row_alerts_total"), ("row_alerts_near_gap", "row_alerts_total"),
+                   ("events_reduced_quality", "events_total"), ("events_near_gap", "events_total")]:
+        pct.append(r6(E.percent(F.col(c), F.col(tot))).alias(f"{c}_pct"))
+    return df.select("asset_id", *_CTX_COLS, *pct)
+
+
+@register(
+    "alert_context",
+    "A19 P16",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS)) + _context_full_sql("stage1", "s1", "ev1"),
+)
+def q_alert_context(spark, sf_dir):
+    return _context_out(stage1_context(stage1(spark, sf_dir)))
