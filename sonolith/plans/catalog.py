@@ -418,3 +418,132 @@ def _context_out(df: DataFrame) -> DataFrame:
 )
 def q_alert_context(spark, sf_dir):
     return _context_out(stage1_context(stage1(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- step 5: Stage 2
+from sonolith.operators import multivariate as MV  # noqa: E402
+from sonolith.plans.pipeline import Stage2Result, run_stage2  # noqa: E402
+
+
+def stage2(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage2Result:
+    return _memo(spark, ("stage2", sf_dir, opts), lambda: run_stage2(stage1(spark, sf_dir, opts).rows, opts))
+
+
+_S2F = list(O.STAGE2_FEATURES)
+
+
+@register(
+    "feature_stats",
+    "A9 M1 P15",
+    SER(O.stage2_ctes(OPTS))
+    + " SELECT asset_id, n_rows, " + ", ".join(f"{O.r6(f + '_mean')} AS {f}_mean, {O.r6(f + '_std')} AS {f}_std" for f in _S2F) + " FROM s2_stats",
+)
+def q_feature_stats(spark, sf_dir):
+    m = series(spark, sf_dir)
+    st = MV.feature_stats(m, _S2F, ["asset_id"], where=MV.complete(_S2F))
+    return st.select("asset_id", "n_rows", *[r6(f"{f}_{k}").alias(f"{f}_{k}") for f in _S2F for k in ("mean", "std")])
+
+
+def _corr_sql(src: str) -> str:
+    pairs = " UNION ALL ".join(
+        f"SELECT asset_id, '{a}' AS feature_a, '{b}' AS feature_b, {O.r6(f'corr({a}, {b})')} AS corr FROM {src} GROUP BY asset_id"
+        for a in _S2F for b in _S2F
+    )
+    return pairs
+
+
+@register(
+    "correlation_matrix",
+    "A10 P15",
+    SER("corr_src AS (SELECT * FROM series WHERE " + " AND ".join(f"{f} IS NOT NULL" for f in _S2F) + ")") + " " + _corr_sql("corr_src"),
+)
+def q_correlation_matrix(spark, sf_dir):
+    c = MV.correlation_matrix(series(spark, sf_dir), _S2F)
+    return c.select("asset_id", "feature_a", "feature_b", r6("corr").alias("corr"))
+
+
+@register(
+    "correlation_timeframe",
+    "A11 P10",
+    SER(
+        "tf_bounds AS (SELECT asset_id, max(timestamp) - INTERVAL 30 DAY AS ws FROM series WHERE timestamp IS NOT NULL GROUP BY 1)",
+        "corr_src AS (SELECT s.* FROM series s JOIN tf_bounds b USING (asset_id) WHERE s.timestamp >= b.ws AND "
+        + " AND ".join(f"s.{f} IS NOT NULL" for f in _S2F) + ")",
+    )
+    + " " + _corr_sql("corr_src"),
+)
+def q_correlation_timeframe(spark, sf_dir):
+    from sonolith.operators.explore import timeframe_slice
+
+    rows = timeframe_slice(series(spark, sf_dir), "Letzte 30 Tage")
+    c = MV.correlation_matrix(rows, _S2F)
+    return c.select("asset_id", "feature_a", "feature_b", r6("corr").alias("corr"))
+
+
+@register(
+    "multivariate_score",
+    "M1 M2 M4 J6",
+    SER(O.stage2_ctes(OPTS)) + f" SELECT asset_id, row_id, stage2_complete, {O.r6('multivariate_score')} AS multivariate_score FROM s2",
+)
+def q_multivariate_score(spark, sf_dir):
+    r = stage2(spark, sf_dir).rows
+    return r.select("asset_id", "row_id", "stage2_complete", r6("multivariate_score").alias("multivariate_score"))
+
+
+@register(
+    "score_quantiles",
+    "A12",
+    SER(O.stage2_ctes(OPTS))
+    + " SELECT asset_id, "
+    + ", ".join(f"{O.r6(f'quantile_cont(multivariate_score, {q})')} AS q{int(round(q * 100)):02d}" for q in (0.05, 0.5, 0.95, 0.99))
+    + " FROM s2 WHERE multivariate_score IS NOT NULL GROUP BY 1",
+)
+def q_score_quantiles(spark, sf_dir):
+    r = stage2(spark, sf_dir).rows
+    out = None
+    for q in (0.05, 0.5, 0.95, 0.99):
+        t = MV.quantile_per_key(r, "multivariate_score", q, OPTS, ["asset_id"], f"q{int(round(q * 100)):02d}")
+        out = t if out is None else out.join(t, "asset_id")
+    return out.select("asset_id", *[r6(c).alias(c) for c in ("q05", "q50", "q95", "q99")])
+
+
+_S2_RULES = ["stage2_warning_now", "stage2_persistent_warning", "stage2_severity", "stage2_message"]
+
+
+@register(
+    "stage2_rules",
+    "M5 W7 R3 R5",
+    SER(O.stage2_ctes(OPTS)) + " SELECT asset_id, row_id, " + ", ".join(_S2_RULES) + f", {O.r6('stage2_threshold')} AS stage2_threshold FROM s2",
+)
+def q_stage2_rules(spark, sf_dir):
+    r = stage2(spark, sf_dir).rows
+    return r.select("asset_id", "row_id", *_S2_RULES, r6("stage2_threshold").alias("stage2_threshold"))
+
+
+@register(
+    "stage2_events",
+    "W9 A13 J6 J7",
+    SER(O.stage2_ctes(OPTS), O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"))
+    + " SELECT " + ", ".join(c if c != "stage" else "'Stage 2' AS stage" for c in _EVENT_BASE)
+    + f", {O.r6('multivariate_score')} AS multivariate_score FROM ev2",
+)
+def q_stage2_events(spark, sf_dir):
+    ev = stage2(spark, sf_dir).events
+    return ev.select(*_EVENT_BASE, r6("multivariate_score").alias("multivariate_score"))
+
+
+@register(
+    "stage2_alert_context",
+    "A19",
+    SER(O.stage2_ctes(OPTS), O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"))
+    + _context_full_sql("stage2", "s2", "ev2"),
+)
+def q_stage2_alert_context(spark, sf_dir):
+    r = stage2(spark, sf_dir)
+    return _context_out(E.alert_context(r.rows, r.events, "stage2"))
+
+
+@register("pca_scores", "M3", None)
+def q_pca_scores(spark, sf_dir):
+    r = stage2(spark, sf_dir).rows
+    return r.where(F.col("stage2_complete")).select("asset_id", "row_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))

@@ -179,3 +179,36 @@ STAGE1_EVENT_AGGS = """,
 
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(p.strip("\n") for p in parts)
+
+
+STAGE2_FEATURES = ("avg_decibel", "peak_decibel", "min_decibel", "peak_minus_avg", "avg_minus_min", "peak_minus_min",
+                   "low_share", "mid_share", "high_share")
+
+
+def stage2_ctes(opts: Options, src: str = "series") -> str:
+    """CTEs ``s2_stats`` and ``s2`` (Stage-2 annotated rows)."""
+    fs = STAGE2_FEATURES
+    n = opts.stage2.persistence_windows
+    q = opts.stage2.distance_quantile
+    complete = " AND ".join(f"{f} IS NOT NULL" for f in fs)
+    stats = ", ".join(
+        f"avg({f}) AS {f}_mean, CASE WHEN stddev_pop({f}) = 0 THEN 1.0 ELSE stddev_pop({f}) END AS {f}_std" for f in fs
+    )
+    score = " + ".join(f"(({f} - {f}_mean) / {f}_std) * (({f} - {f}_mean) / {f}_std)" for f in fs)
+    return f"""
+s2_src AS (SELECT *, ({complete}) AS stage2_complete FROM {src}),
+s2_stats AS (SELECT asset_id, count(*) AS n_rows, {stats} FROM s2_src WHERE stage2_complete GROUP BY 1),
+s2_z AS (SELECT s.*, CASE WHEN stage2_complete THEN sqrt({score}) END AS multivariate_score
+         FROM s2_src s LEFT JOIN s2_stats USING (asset_id)),
+s2_thr AS (SELECT asset_id, quantile_cont(multivariate_score, {q}) AS stage2_threshold FROM s2_z
+           WHERE multivariate_score IS NOT NULL GROUP BY 1),
+s2_w AS (SELECT z.*, t.stage2_threshold, coalesce(z.stage2_complete AND z.multivariate_score >= t.stage2_threshold, false) AS stage2_warning_now
+         FROM s2_z z LEFT JOIN s2_thr t USING (asset_id)),
+s2_p AS (SELECT asset_id, row_id, coalesce(sum(CAST(stage2_warning_now AS INTEGER)) OVER (
+           PARTITION BY asset_id, segment_id ORDER BY timestamp, row_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) >= {n}
+           AS stage2_persistent_warning FROM s2_w WHERE stage2_complete),
+s2 AS (SELECT w.*, coalesce(p.stage2_persistent_warning, false) AS stage2_persistent_warning,
+         CASE WHEN coalesce(p.stage2_persistent_warning, false) THEN 'ANOMALY' WHEN w.stage2_warning_now THEN 'WARNING' ELSE 'NORMAL' END AS stage2_severity,
+         CASE WHEN coalesce(p.stage2_persistent_warning, false) THEN 'Persistente multivariate Abweichung'
+              WHEN w.stage2_warning_now THEN 'Multivariate Einzelwarnung' ELSE 'Normalbereich' END AS stage2_message
+       FROM s2_w w LEFT JOIN s2_p p USING (asset_id, row_id))"""

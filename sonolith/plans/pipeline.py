@@ -22,6 +22,7 @@ from sonolith.operators.events import (
     rule_summary,
     stage1_event_aggs,
 )
+from sonolith.operators.multivariate import run_stage2 as _annotate_stage2
 from sonolith.operators.rules import apply_stage1_rules
 from sonolith.options import Options
 from sonolith.session import cut_lineage
@@ -58,3 +59,20 @@ def stage1_context(result: Stage1Result, keys: Sequence[str] = ("asset_id",)) ->
 
 def stage1_rule_summary(result: Stage1Result, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
     return rule_summary(result.rows, result.events, keys)
+
+
+@dataclass
+class Stage2Result:
+    rows: DataFrame
+    alert_rows: DataFrame
+    events: DataFrame
+
+
+def run_stage2(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> Stage2Result:
+    keys = list(keys)
+    annotated = _annotate_stage2(rows, opts, keys, cut=cut_lineage if cut else None)
+    if cut:
+        annotated = cut_lineage(annotated)
+    alerts = alert_rows_with_event_ids(annotated, "stage2", keys)
+    events = build_events(alerts, "stage2", opts.expected_interval_minutes, keys, score_column="multivariate_score")
+    return Stage2Result(annotated, alerts, events)
