@@ -547,3 +547,120 @@ def q_stage2_alert_context(spark, sf_dir):
 def q_pca_scores(spark, sf_dir):
     r = stage2(spark, sf_dir).rows
     return r.where(F.col("stage2_complete")).select("asset_id", "row_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
+
+
+# ---------------------------------------------------------------- step 6: exploration
+from sonolith.operators import explore as X  # noqa: E402
+from sonolith.functions.formatting import display_timestamp, event_signature  # noqa: E402
+
+_TF_SQL = {
+    "Letzte 24h": "max(timestamp) - INTERVAL 24 HOUR",
+    "Letzte 7 Tage": "max(timestamp) - INTERVAL 7 DAY",
+}
+
+
+@register(
+    "timeframe_slice",
+    "P10",
+    SER(
+        "tf AS (SELECT asset_id, CAST(CAST(max(timestamp) AS DATE) AS TIMESTAMP) AS ws FROM series WHERE timestamp IS NOT NULL GROUP BY 1)"
+    )
+    + " SELECT s.asset_id, s.row_id, s.timestamp FROM series s JOIN tf USING (asset_id) WHERE s.timestamp >= tf.ws AND s.timestamp < tf.ws + INTERVAL 1 DAY",
+)
+def q_timeframe_slice(spark, sf_dir):
+    return X.timeframe_slice(series(spark, sf_dir), "Letzter Kalendertag").select("asset_id", "row_id", "timestamp")
+
+
+@register(
+    "timeframe_events",
+    "J4 P10",
+    S1(
+        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+        "tf AS (SELECT asset_id, max(timestamp) - INTERVAL 7 DAY AS ws, max(timestamp) AS we FROM series WHERE timestamp IS NOT NULL GROUP BY 1)",
+    )
+    + " SELECT e.asset_id, e.event_id, e.start_timestamp, e.end_timestamp FROM ev1 e JOIN tf USING (asset_id) WHERE e.end_timestamp >= tf.ws AND e.start_timestamp <= tf.we",
+)
+def q_timeframe_events(spark, sf_dir):
+    bounds = X.timeframe_bounds(series(spark, sf_dir), "Letzte 7 Tage")
+    ev = X.events_in_timeframe(stage1(spark, sf_dir).events, bounds)
+    return ev.select("asset_id", "event_id", "start_timestamp", "end_timestamp")
+
+
+@register(
+    "event_windows",
+    "J3",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS))
+    + f""" SELECT e.asset_id, e.event_id, s.row_id, s.timestamp, {O.r6('s.avg_decibel')} AS avg_decibel
+FROM ev1 e JOIN series s ON s.asset_id = e.asset_id
+ AND s.timestamp BETWEEN e.start_timestamp - INTERVAL {OPTS.inspection_window_hours} HOUR AND e.end_timestamp + INTERVAL {OPTS.inspection_window_hours} HOUR""",
+)
+def q_event_windows(spark, sf_dir):
+    w = X.event_windows(series(spark, sf_dir), stage1(spark, sf_dir).events, OPTS.inspection_window_hours, event_cols=["event_id"])
+    return w.select("asset_id", "event_id", "row_id", "timestamp", r6("avg_decibel").alias("avg_decibel"))
+
+
+_DS_MAX = 100
+
+
+@register(
+    "downsample",
+    "W10",
+    SER(
+        "ds_src AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY timestamp, row_id) - 1 AS pos, count(*) OVER (PARTITION BY asset_id) AS n FROM series WHERE avg_decibel IS NOT NULL AND low_share IS NOT NULL)"
+    )
+    + f""" SELECT asset_id, row_id, timestamp FROM ds_src
+WHERE pos % (CASE WHEN n <= {_DS_MAX} THEN 1 ELSE greatest(1, n // {_DS_MAX}) END) = 0""",
+)
+def q_downsample(spark, sf_dir):
+    d = X.downsample(series(spark, sf_dir), ["avg_decibel", "low_share"], _DS_MAX)
+    return d.select("asset_id", "row_id", "timestamp")
+
+
+_LATEST_SQL_EV = """
+all_ev AS (
+  SELECT asset_id, event_id, start_timestamp, 'Stage 1' AS stage, 1 AS priority FROM ev1
+  UNION ALL SELECT asset_id, event_id, start_timestamp, 'Stage 2', 2 FROM ev2)"""
+
+
+@register(
+    "latest_events",
+    "T1 T2 T4",
+    SER(
+        O.zrow_ctes(OPTS, weekday_mode=False),
+        O.stage1_ctes(OPTS),
+        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+        O.stage2_ctes(OPTS, src="s1"),
+        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
+        _LATEST_SQL_EV,
+    )
+    + """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage, priority,
+       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, priority DESC, event_id) AS rank
+FROM all_ev) WHERE rank <= 8""",
+)
+def q_latest_events(spark, sf_dir):
+    u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events])
+    return X.latest_events(u, 8).select("asset_id", "event_id", "start_timestamp", "stage", "priority", "rank")
+
+
+@register(
+    "status_record",
+    "A24 P12 P11",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS))
+    + """ SELECT r.asset_id, 'Gesamt' AS timeframe, 'Gesamte Historie' AS baseline_mode, 'Stunde' AS granularity, 'Auto' AS weekday,
+       r.row_count, coalesce(e.event_count, 0) AS event_count, '-' AS computed_at,
+       e.first_start, e.first_signature
+FROM (SELECT asset_id, count(*) AS row_count FROM series GROUP BY 1) r
+LEFT JOIN (SELECT asset_id, count(*) AS event_count,
+                  strftime(min(start_timestamp), '%d.%m.%Y %H:%M') AS first_start,
+                  arg_min('Stage 1|' || strftime(start_timestamp, '%Y%m%dT%H%M%S') || '|' || strftime(end_timestamp, '%Y%m%dT%H%M%S'), start_timestamp) AS first_signature
+           FROM ev1 GROUP BY 1) e USING (asset_id)""",
+)
+def q_status_record(spark, sf_dir):
+    m = series(spark, sf_dir)
+    ev = stage1(spark, sf_dir).events
+    st = X.status_record(m, ev, "Gesamt", "Gesamte Historie", "Stunde")
+    first = ev.groupBy("asset_id").agg(
+        display_timestamp(F.min("start_timestamp")).alias("first_start"),
+        F.min_by(event_signature(F.col("stage"), F.col("start_timestamp"), F.col("end_timestamp")), F.col("start_timestamp")).alias("first_signature"),
+    )
+    return st.join(first, "asset_id", "left")
