@@ -29,8 +29,8 @@ class Stage3Options:
     random_state: int = 42
     iforest_trees: int = 200
     iforest_max_samples: int = 256
-    ocsvm_features: int = 256
-    ocsvm_iterations: int = 60
+    ocsvm_features: int = 128
+    ocsvm_iterations: int = 25
 
     @property
     def clamped_contamination(self) -> float:

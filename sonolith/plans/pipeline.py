@@ -76,3 +76,71 @@ def run_stage2(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id"
     alerts = alert_rows_with_event_ids(annotated, "stage2", keys)
     events = build_events(alerts, "stage2", opts.expected_interval_minutes, keys, score_column="multivariate_score")
     return Stage2Result(annotated, alerts, events)
+
+
+@dataclass
+class Stage3Result:
+    rows: DataFrame
+    plan: DataFrame
+    alert_rows: DataFrame
+    events: DataFrame
+
+
+MODELS = ("iforest", "lof", "ocsvm")
+
+
+def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Training plan + scaled features + the three detector scores, joined on row id."""
+    from pyspark.sql import functions as F
+
+    from sonolith.operators.ensemble import annotate_training, quantile_expr, scale_features, training_plan
+    from sonolith.operators.iforest import iforest_scores
+    from sonolith.operators.lof import lof_scores
+    from sonolith.operators.ocsvm import ocsvm_scores
+    from sonolith.plans.sizing import broadcast_if_small
+
+    keys = list(keys)
+    c = cut_lineage if cut else (lambda d: d)
+    plan = c(training_plan(rows, opts, keys))
+    ann = c(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
+    iso = iforest_scores(ann, plan, opts, keys)
+    lof = lof_scores(ann, plan, opts, keys)
+    svm = ocsvm_scores(ann, plan, opts, keys)
+    scores = c(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
+    # isolation score relative to the training (1 - contamination) quantile: 0 is the boundary
+    offs = scores.join(ann.where(F.col("stage3_train")).select(*keys, "row_id"), keys + ["row_id"], "left_semi")
+    offs = offs.groupBy(*keys).agg(quantile_expr(F.col("iforest_s"), 1.0 - opts.stage3.clamped_contamination, opts).alias("_if_off"))
+    scores = scores.join(broadcast_if_small(offs, opts.scale.broadcast_max_rows), keys, "left").select(
+        *keys,
+        "row_id",
+        (F.col("iforest_s") - F.col("_if_off")).alias("stage3_iforest_score"),
+        F.col("lof").alias("stage3_lof_score"),
+        F.col("ocsvm").alias("stage3_ocsvm_score"),
+    )
+    return ann.join(scores, keys + ["row_id"], "left"), plan
+
+
+def run_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> Stage3Result:
+    from pyspark.sql import functions as F
+
+    from sonolith.operators.ampel import apply_row_ampel, finish_stage3_events, stage3_event_aggs
+    from sonolith.operators.ensemble import combine, thresholds_and_norms
+    from sonolith.operators.persistence import persistent_flag
+    from sonolith.operators.rules import severity, stage3_message
+
+    keys = list(keys)
+    c = cut_lineage if cut else (lambda d: d)
+    scored, plan = score_stage3(rows, opts, keys, cut)
+    scored = c(scored)
+    stats = c(thresholds_and_norms(scored, MODELS, opts, keys))
+    comb = c(combine(scored, stats, MODELS, opts, keys))
+    comb = persistent_flag(comb, "stage3_strong_now", opts.stage3.persistence_windows, "stage3_persistent_warning", keys)
+    p, w = F.col("stage3_persistent_warning"), F.col("stage3_warning_now")
+    comb = comb.withColumns({"stage3_severity": severity(p, w), "stage3_message": stage3_message(p, w, F.col("stage3_votes"))})
+    annotated = c(apply_row_ampel(comb))
+    alerts = alert_rows_with_event_ids(annotated, "stage3", keys)
+    events = build_events(
+        alerts, "stage3", opts.expected_interval_minutes, keys, score_column="stage3_consensus_score", extra_aggs=stage3_event_aggs()
+    )
+    events = finish_stage3_events(events, opts.stage3.persistence_windows)
+    return Stage3Result(annotated, plan, alerts, events)
