@@ -664,3 +664,158 @@ def q_status_record(spark, sf_dir):
         F.min_by(event_signature(F.col("stage"), F.col("start_timestamp"), F.col("end_timestamp")), F.col("start_timestamp")).alias("first_signature"),
     )
     return st.join(first, "asset_id", "left")
+
+
+# ---------------------------------------------------------------- step 8: Stage 3
+from sonolith.operators import ampel as AM  # noqa: E402
+from sonolith.plans.pipeline import Stage3Result, run_stage3, score_stage3_standin  # noqa: E402
+
+
+def stage3(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage3Result:
+    return _memo(spark, ("stage3", sf_dir, opts), lambda: run_stage3(stage2(spark, sf_dir, opts).rows, opts))
+
+
+def stage3_standin(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage3Result:
+    return _memo(
+        spark, ("stage3s", sf_dir, opts), lambda: run_stage3(stage1(spark, sf_dir, opts).rows, opts, scorer=score_stage3_standin)
+    )
+
+
+_PLAN_COLS = ["asset_id", "use_shares", "n_features", "n_valid", "quality_filtered", "n_train", "scored"]
+
+
+@register("training_set", "M6 M7", SER(O.stage3_train_ctes()) + " SELECT " + ", ".join(_PLAN_COLS) + " FROM s3_plan")
+def q_training_set(spark, sf_dir):
+    return stage3_standin(spark, sf_dir).plan.select(*_PLAN_COLS)
+
+
+@register(
+    "lof_scores",
+    "M8",
+    SER(O.stage3_train_ctes(), O.lof_ctes(OPTS.stage3.lof_neighbors)) + f" SELECT asset_id, row_id, {O.r6('lof')} AS lof FROM lof",
+)
+def q_lof_scores(spark, sf_dir):
+    r = stage3_standin(spark, sf_dir).rows
+    return r.where(F.col("stage3_valid")).select("asset_id", "row_id", r6("stage3_lof_score").alias("lof"))
+
+
+@register("iforest_scores", "M9", None)
+def q_iforest_scores(spark, sf_dir):
+    r = stage3(spark, sf_dir).rows
+    return r.where(F.col("stage3_valid")).select("asset_id", "row_id", r6("stage3_iforest_score").alias("iforest_score"), "stage3_iforest_flag")
+
+
+@register("ocsvm_scores", "M10", None)
+def q_ocsvm_scores(spark, sf_dir):
+    r = stage3(spark, sf_dir).rows
+    return r.where(F.col("stage3_valid")).select("asset_id", "row_id", r6("stage3_ocsvm_score").alias("ocsvm_score"), "stage3_ocsvm_flag")
+
+
+_CONS = ["stage3_votes", "stage3_warning_now", "stage3_strong_now"]
+
+
+@register("consensus", "M11 M12 M13", None)
+def q_consensus(spark, sf_dir):
+    r = stage3(spark, sf_dir).rows
+    return r.select("asset_id", "row_id", *_CONS, r6("stage3_consensus_score").alias("stage3_consensus_score"))
+
+
+@register("stage3_events", "W8 R6 R8 R9 R10 A13", None)
+def q_stage3_events(spark, sf_dir):
+    ev = stage3(spark, sf_dir).events
+    return ev.select(*_EVENT_BASE, "ampel_rank", "ampel_label", "ampel_reason", "consensus_count", "persistent_flag")
+
+
+@register("ampel_summary", "A21 A22 A23", None)
+def q_ampel_summary(spark, sf_dir):
+    r = stage3(spark, sf_dir)
+    return AM.ampel_summary(r.events, r.plan)
+
+
+def S3L(*tail: str) -> str:
+    return S1(O.stage3_train_ctes("s1"), O.lof_ctes(OPTS.stage3.lof_neighbors), O.stage3_logic_ctes(OPTS), *tail)
+
+
+_S3_ROW_COLS = [
+    "stage3_votes", "stage3_warning_now", "stage3_strong_now", "stage3_persistent_warning", "stage3_severity",
+    "stage3_message", "stage3_ampel_rank_raw", "stage3_ampel_rank",
+]
+
+
+@register(
+    "stage3_logic_rows",
+    "M11 M12 M13 W8 R3 R6 R7 J6",
+    S3L()
+    + " SELECT asset_id, row_id, " + ", ".join(_S3_ROW_COLS)
+    + f", {O.AMPEL_CASE.format(x='stage3_ampel_rank')} AS stage3_ampel_label, stage3_ampel_rank < stage3_ampel_rank_raw AS stage3_ampel_discounted"
+    + f", {O.r6('stage3_consensus_score')} AS stage3_consensus_score FROM s3",
+)
+def q_stage3_logic_rows(spark, sf_dir):
+    r = stage3_standin(spark, sf_dir).rows
+    return r.select(
+        "asset_id", "row_id", *_S3_ROW_COLS, "stage3_ampel_label", "stage3_ampel_discounted",
+        r6("stage3_consensus_score").alias("stage3_consensus_score"),
+    )
+
+
+_S3_EV_EXTRA = ["ampel_rank", "ampel_reason", "consensus_count", "persistent_flag"]
+_S3_EV_SQL = S3L(
+    O.event_ctes("s3", "stage3", "ev3", OPTS.expected_interval_minutes, O.STAGE3_EVENT_AGGS), O.stage3_event_finish(OPTS)
+)
+
+
+@register(
+    "stage3_logic_events",
+    "W9 A13 R8 R9 R10",
+    _S3_EV_SQL
+    + " SELECT " + ", ".join(c if c != "stage" else "'Stage 3' AS stage" for c in _EVENT_BASE) + ", " + ", ".join(_S3_EV_EXTRA)
+    + f", {O.AMPEL_CASE.format(x='ampel_rank')} AS ampel_label, "
+    + ", ".join(f"{O.r6(c)} AS {c}" for c in ("stage3_consensus_score", "stage3_iforest_score_max", "stage3_lof_score_max", "stage3_ocsvm_score_max"))
+    + " FROM ev3_f",
+)
+def q_stage3_logic_events(spark, sf_dir):
+    ev = stage3_standin(spark, sf_dir).events
+    return ev.select(
+        *_EVENT_BASE, *_S3_EV_EXTRA, "ampel_label",
+        *[r6(c).alias(c) for c in ("stage3_consensus_score", "stage3_iforest_score_max", "stage3_lof_score_max", "stage3_ocsvm_score_max")],
+    )
+
+
+@register(
+    "ampel_distribution",
+    "A21",
+    _S3_EV_SQL
+    + f""", lbl AS (SELECT * FROM (VALUES ('normal'), ('lokal auffällig'), ('konsistent auffällig'), ('persistent anomal')) v(ampel_label)),
+dim AS (SELECT DISTINCT s.asset_id, l.ampel_label FROM series s CROSS JOIN lbl l),
+cnt AS (SELECT asset_id, {O.AMPEL_CASE.format(x='ampel_rank')} AS ampel_label, count(*) AS events FROM ev3_f GROUP BY 1, 2)
+SELECT d.asset_id, d.ampel_label, coalesce(c.events, 0) AS events FROM dim d LEFT JOIN cnt c USING (asset_id, ampel_label)""",
+)
+def q_ampel_distribution(spark, sf_dir):
+    r = stage3_standin(spark, sf_dir)
+    return AM.ampel_distribution(r.events, r.plan)
+
+
+@register(
+    "ampel_overall",
+    "A22 A23",
+    _S3_EV_SQL
+    + f""", per AS (SELECT asset_id, count(*) AS events, max(ampel_rank) AS mr, count(*) FILTER (WHERE ampel_rank = 0) AS normal_events,
+   count(*) FILTER (WHERE ampel_rank = 1) AS n1, count(*) FILTER (WHERE ampel_rank = 2) AS n2, count(*) FILTER (WHERE ampel_rank = 3) AS n3,
+   sum(row_count) AS alert_rows FROM ev3_f GROUP BY 1),
+a AS (SELECT DISTINCT asset_id FROM series),
+j AS (SELECT a.asset_id, coalesce(p.events, 0) AS events, coalesce(p.mr, 0) AS mr, coalesce(p.normal_events, 0) AS normal_events,
+        coalesce(p.n1, 0) AS n1, coalesce(p.n2, 0) AS n2, coalesce(p.n3, 0) AS n3, coalesce(p.alert_rows, 0) AS alert_rows
+      FROM a LEFT JOIN per p USING (asset_id))
+SELECT asset_id, {O.AMPEL_CASE.format(x='mr')} AS overall_ampel, events, normal_events, alert_rows,
+  (CASE WHEN events = 0 THEN 'Im gewählten Zeitraum gibt es keine Stage-3-Events.'
+        WHEN mr = 3 THEN printf('Mindestens ein Event wurde als persistent anomal eingestuft (%d Events).', n3)
+        WHEN mr = 2 THEN printf('Es gibt keine roten Events, aber %d konsistent auffällige Events.', n2)
+        WHEN mr = 1 THEN printf('Es gibt nur lokale Auffälligkeiten (%d Events), aber keine konsistenten oder persistenten roten Phasen.', n1)
+        ELSE 'Die vorhandenen Events wurden nach Abschlägen eher als normal eingestuft.' END)
+  || CASE WHEN events > 0 AND normal_events > 0 THEN printf(' %d Event(s) wurden durch Reduced Quality oder Gap-Nähe auf normal abgewertet.', normal_events) ELSE '' END
+  AS ampel_explanation
+FROM j""",
+)
+def q_ampel_overall(spark, sf_dir):
+    r = stage3_standin(spark, sf_dir)
+    return AM.ampel_summary(r.events, r.plan)

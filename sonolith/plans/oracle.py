@@ -212,3 +212,131 @@ s2 AS (SELECT w.*, coalesce(p.stage2_persistent_warning, false) AS stage2_persis
          CASE WHEN coalesce(p.stage2_persistent_warning, false) THEN 'Persistente multivariate Abweichung'
               WHEN w.stage2_warning_now THEN 'Multivariate Einzelwarnung' ELSE 'Normalbereich' END AS stage2_message
        FROM s2_w w LEFT JOIN s2_p p USING (asset_id, row_id))"""
+
+
+def stage3_train_ctes(src: str = "series") -> str:
+    """CTEs ``s3_plan`` (per-asset training plan) and ``s3_f`` (standardised valid rows)."""
+    base = ("avg_decibel", "peak_minus_avg", "avg_minus_min", "peak_minus_min")
+    shares = ("low_share", "mid_share", "high_share")
+    base_ok = " AND ".join(["timestamp IS NOT NULL"] + [f"{c} IS NOT NULL" for c in base])
+    cand_ok = base_ok + " AND " + " AND ".join(f"{c} IS NOT NULL" for c in shares)
+    xs = [f"{c} AS x{i}" for i, c in enumerate(base)] + [
+        f"CASE WHEN p.use_shares THEN {c} ELSE 0.0 END AS x{i + 4}" for i, c in enumerate(shares)
+    ]
+    stats = ", ".join(f"avg(x{i}) AS m{i}, CASE WHEN stddev_pop(x{i}) = 0 THEN 1.0 ELSE stddev_pop(x{i}) END AS sd{i}" for i in range(7))
+    fs = ", ".join(f"(x{i} - m{i}) / sd{i} AS f{i}" for i in range(7))
+    return f"""
+s3_src AS (SELECT *, ({base_ok}) AS base_ok, ({cand_ok}) AS cand_ok,
+              (NOT coalesce(quality_flag = 'reduced_quality', false) AND NOT coalesce(near_gap_flag, false)) AS quality_ok
+           FROM {src}),
+s3_cnt AS (SELECT asset_id, count(*) FILTER (WHERE cand_ok) AS n_cand, count(*) FILTER (WHERE base_ok) AS n_base,
+              count(*) FILTER (WHERE cand_ok AND quality_ok) AS n_cand_q, count(*) FILTER (WHERE base_ok AND quality_ok) AS n_base_q
+           FROM s3_src GROUP BY 1),
+s3_plan0 AS (SELECT asset_id, n_cand >= 250 AS use_shares FROM s3_cnt),
+s3_plan1 AS (SELECT c.asset_id, p.use_shares, CASE WHEN p.use_shares THEN 7 ELSE 4 END AS n_features,
+               CASE WHEN p.use_shares THEN n_cand ELSE n_base END AS n_valid,
+               CASE WHEN p.use_shares THEN n_cand_q ELSE n_base_q END AS n_q
+             FROM s3_cnt c JOIN s3_plan0 p USING (asset_id)),
+s3_plan AS (SELECT asset_id, use_shares, n_features, n_valid, n_q >= greatest(250, 5 * n_features) AS quality_filtered,
+               CASE WHEN n_q >= greatest(250, 5 * n_features) THEN n_q ELSE n_valid END AS n_train, n_valid >= 10 AS scored
+            FROM s3_plan1),
+s3_rows AS (SELECT s.*, p.scored AND s.base_ok AND (NOT p.use_shares OR s.cand_ok) AS stage3_valid,
+               p.scored AND s.base_ok AND (NOT p.use_shares OR s.cand_ok) AND (NOT p.quality_filtered OR s.quality_ok) AS stage3_train,
+               {", ".join(xs)}
+            FROM s3_src s JOIN s3_plan p USING (asset_id)),
+s3_stats AS (SELECT asset_id, {stats} FROM s3_rows WHERE stage3_train GROUP BY 1),
+s3_f AS (SELECT r.asset_id, r.row_id, r.stage3_train, {fs} FROM s3_rows r JOIN s3_stats USING (asset_id) WHERE r.stage3_valid)"""
+
+
+def lof_ctes(neighbors: int) -> str:
+    """CTE ``lof``: exact novelty LOF of every valid row (brute force, oracle only)."""
+    dist = " + ".join(f"(q.f{i} - t.f{i}) * (q.f{i} - t.f{i})" for i in range(7))
+    return f"""
+lof_k AS (SELECT asset_id, greatest(2, least({neighbors}, greatest(2, n_train - 1))) AS k FROM s3_plan),
+lof_pairs AS (SELECT q.asset_id, q.row_id AS q_row, q.stage3_train AS q_train, t.row_id AS o, sqrt({dist}) AS d
+              FROM s3_f q JOIN s3_f t ON q.asset_id = t.asset_id AND t.stage3_train),
+lof_tn AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY asset_id, q_row ORDER BY d, o) AS rn
+                          FROM lof_pairs p WHERE q_train AND o <> q_row) x JOIN lof_k USING (asset_id) WHERE rn <= k),
+lof_kd AS (SELECT asset_id, q_row AS o, d AS kdist FROM lof_tn WHERE rn = k),
+lof_lrd AS (SELECT n.asset_id, n.q_row AS o, 1.0 / (avg(greatest(kd.kdist, n.d)) + 1e-10) AS lrd
+            FROM lof_tn n JOIN lof_kd kd ON kd.asset_id = n.asset_id AND kd.o = n.o GROUP BY 1, 2),
+lof_qn AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY asset_id, q_row ORDER BY d, o) AS rn FROM lof_pairs p) x
+           JOIN lof_k USING (asset_id) WHERE rn <= k),
+lof AS (SELECT n.asset_id, n.q_row AS row_id,
+               avg(l.lrd) / (1.0 / (avg(greatest(kd.kdist, n.d)) + 1e-10)) AS lof
+        FROM lof_qn n JOIN lof_kd kd ON kd.asset_id = n.asset_id AND kd.o = n.o
+        JOIN lof_lrd l ON l.asset_id = n.asset_id AND l.o = n.o GROUP BY 1, 2)"""
+
+
+AMPEL_CASE = "CASE {x} WHEN 0 THEN 'normal' WHEN 1 THEN 'lokal auffällig' WHEN 2 THEN 'konsistent auffällig' WHEN 3 THEN 'persistent anomal' ELSE 'normal' END"
+
+
+def stage3_logic_ctes(opts: Options, src: str = "s1") -> str:
+    """CTE ``s3``: Stage-3 decision logic over the stand-in scores (exact LOF, distance
+    from the training mean, |standardised level|)."""
+    c = opts.stage3.clamped_contamination
+    n = opts.stage3.persistence_windows
+    dist = " + ".join(f"f.f{i} * f.f{i}" for i in range(7))
+    models = ("if", "lof", "svm")
+    th = ", ".join(
+        f"quantile_cont({m}_s, {1.0 - c}) FILTER (WHERE stage3_train) AS {m}_thr, quantile_cont({m}_s, 0.05) AS {m}_lo, quantile_cont({m}_s, 0.95) AS {m}_hi"
+        for m in models
+    )
+    flags = ", ".join(
+        f"coalesce(s.stage3_valid AND s.{m}_s >= t.{m}_thr, false) AS {m}_flag, "
+        f"CASE WHEN s.stage3_valid THEN (CASE WHEN abs(t.{m}_lo - t.{m}_hi) <= 1e-8 + 1e-5 * abs(t.{m}_hi) THEN 0.0 "
+        f"ELSE greatest(0.0, least(1.0, (s.{m}_s - t.{m}_lo) / (t.{m}_hi - t.{m}_lo))) END) END AS {m}_n"
+        for m in models
+    )
+    return f"""
+s3_sc AS (SELECT s.*, f.row_id IS NOT NULL AS stage3_valid, coalesce(f.stage3_train, false) AS stage3_train,
+             CASE WHEN f.row_id IS NOT NULL THEN sqrt({dist}) END AS if_s, l.lof AS lof_s,
+             CASE WHEN f.row_id IS NOT NULL THEN abs(f.f0) END AS svm_s
+          FROM {src} s LEFT JOIN s3_f f USING (asset_id, row_id) LEFT JOIN lof l USING (asset_id, row_id)),
+s3_th AS (SELECT asset_id, {th} FROM s3_sc WHERE stage3_valid GROUP BY 1),
+s3_c AS (SELECT s.*, {flags} FROM s3_sc s LEFT JOIN s3_th t USING (asset_id)),
+s3_v AS (SELECT *, CAST(if_flag AS INTEGER) + CAST(lof_flag AS INTEGER) + CAST(svm_flag AS INTEGER) AS stage3_votes,
+            CASE WHEN stage3_valid THEN (if_n + lof_n + svm_n) / 3.0 ELSE 0.0 END AS stage3_consensus_score,
+            CASE WHEN stage3_valid THEN if_s ELSE 0.0 END AS stage3_iforest_score,
+            CASE WHEN stage3_valid THEN lof_s ELSE 0.0 END AS stage3_lof_score,
+            CASE WHEN stage3_valid THEN svm_s ELSE 0.0 END AS stage3_ocsvm_score
+         FROM s3_c),
+s3_w AS (SELECT *, stage3_votes >= 1 AS stage3_warning_now, stage3_votes >= 2 AS stage3_strong_now FROM s3_v),
+s3_p AS (SELECT *, coalesce(sum(CAST(stage3_strong_now AS INTEGER)) OVER (PARTITION BY asset_id, segment_id ORDER BY timestamp, row_id
+            ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), 0) >= {n} AS stage3_persistent_warning FROM s3_w),
+s3_r AS (SELECT *,
+   CASE WHEN stage3_persistent_warning THEN 'ANOMALY' WHEN stage3_warning_now THEN 'WARNING' ELSE 'NORMAL' END AS stage3_severity,
+   CASE WHEN stage3_persistent_warning AND stage3_votes = 3 THEN 'Persistente Konsens-Anomalie in allen drei Modellen'
+        WHEN stage3_persistent_warning AND stage3_votes >= 2 THEN 'Persistente Konsens-Anomalie in mehreren Modellen'
+        WHEN stage3_warning_now AND stage3_votes = 1 THEN 'Einzelmodell-Warnung'
+        WHEN stage3_warning_now THEN 'Mehrmodell-Warnung' ELSE 'Normalbereich' END AS stage3_message,
+   CASE WHEN stage3_persistent_warning AND stage3_votes >= 2 THEN 3
+        WHEN stage3_strong_now OR (stage3_warning_now AND stage3_consensus_score >= 0.65) THEN 2
+        WHEN stage3_warning_now THEN 1 ELSE 0 END AS stage3_ampel_rank_raw
+   FROM s3_p),
+s3 AS (SELECT *, greatest(0, least(3, stage3_ampel_rank_raw - CAST(coalesce(quality_flag = 'reduced_quality', false) AS INTEGER)
+                                   - CAST(coalesce(near_gap_flag, false) AS INTEGER))) AS stage3_ampel_rank FROM s3_r)"""
+
+
+STAGE3_EVENT_AGGS = """,
+         max(stage3_ampel_rank) AS max_row_rank, count(*) FILTER (WHERE stage3_strong_now) AS strong_rows,
+         max(stage3_votes) AS consensus_count, bool_or(stage3_persistent_warning) AS persistent_flag,
+         max(stage3_consensus_score) AS stage3_consensus_score,
+         max(stage3_iforest_score) AS stage3_iforest_score_max, max(stage3_lof_score) AS stage3_lof_score_max,
+         max(stage3_ocsvm_score) AS stage3_ocsvm_score_max"""
+
+
+def stage3_event_finish(opts: Options, ev: str = "ev3") -> str:
+    need = max(2, int(opts.stage3.persistence_windows))
+    return f"""
+ev3_l AS (SELECT *, CASE WHEN max_row_rank < 2 AND (strong_rows >= 2 OR (consensus_count >= 2 AND row_count >= 2)) THEN 2 ELSE max_row_rank END AS l2
+          FROM {ev}),
+ev3_f AS (SELECT *, greatest(0, least(3, (CASE WHEN l2 < 3 AND strong_rows >= {need} THEN 3 ELSE l2 END)
+                    - CAST(has_reduced_quality AS INTEGER) - CAST(has_near_gap AS INTEGER))) AS ampel_rank,
+             {AMPEL_CASE.format(x="greatest(0, least(3, max_row_rank))")} || ': ' ||
+             printf('%d Modell(e) gleichzeitig, Dauer %.0f min', consensus_count, duration_minutes) ||
+             CASE WHEN persistent_flag THEN ', Persistenz erkannt' ELSE ', keine Persistenz' END ||
+             CASE WHEN has_reduced_quality AND has_near_gap THEN ', Reduced Quality + Gap-Nähe => Abschlag'
+                  WHEN has_reduced_quality THEN ', Reduced Quality => Abschlag'
+                  WHEN has_near_gap THEN ', Gap-Nähe => Abschlag' ELSE '' END AS ampel_reason
+          FROM ev3_l)"""

@@ -120,7 +120,34 @@ def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
     return ann.join(scores, keys + ["row_id"], "left"), plan
 
 
-def run_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> Stage3Result:
+def score_stage3_standin(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Deterministic scorer for checking the Stage-3 decision logic against SQL:
+    exact LOF plus two closed-form scores (distance from the training mean,
+    |standardised level|) in the isolation-forest and SVM slots."""
+    from pyspark.sql import functions as F
+
+    from sonolith.operators.ensemble import FEATURE_SLOTS, annotate_training, scale_features, training_plan
+    from sonolith.operators.lof import lof_scores
+
+    keys = list(keys)
+    c = cut_lineage if cut else (lambda d: d)
+    plan = c(training_plan(rows, opts, keys))
+    ann = c(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
+    lof = lof_scores(ann, plan, opts, keys)
+    dist = F.sqrt(sum((F.col(f) * F.col(f) for f in FEATURE_SLOTS), F.lit(0.0)))
+    out = ann.join(lof, keys + ["row_id"], "left").withColumns(
+        {
+            "stage3_iforest_score": F.when(F.col("stage3_valid"), dist),
+            "stage3_lof_score": F.col("lof"),
+            "stage3_ocsvm_score": F.when(F.col("stage3_valid"), F.abs(F.col("f0"))),
+        }
+    ).drop("lof")
+    return out, plan
+
+
+def run_stage3(
+    rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True, scorer=None
+) -> Stage3Result:
     from pyspark.sql import functions as F
 
     from sonolith.operators.ampel import apply_row_ampel, finish_stage3_events, stage3_event_aggs
@@ -130,7 +157,7 @@ def run_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id"
 
     keys = list(keys)
     c = cut_lineage if cut else (lambda d: d)
-    scored, plan = score_stage3(rows, opts, keys, cut)
+    scored, plan = (scorer or score_stage3)(rows, opts, keys, cut)
     scored = c(scored)
     stats = c(thresholds_and_norms(scored, MODELS, opts, keys))
     comb = c(combine(scored, stats, MODELS, opts, keys))
