@@ -819,3 +819,189 @@ FROM j""",
 def q_ampel_overall(spark, sf_dir):
     r = stage3_standin(spark, sf_dir)
     return AM.ampel_summary(r.events, r.plan)
+
+
+# ---------------------------------------------------------------- step 2: parsing and ingest
+from sonolith.functions import parsing as PZ  # noqa: E402
+from sonolith.sources import csv_ingest as CI  # noqa: E402
+
+# Locale text built from the event values: seven shapes chosen by event_id % 7.
+_IP = "CAST(floor(value) AS BIGINT)"
+_DEC = "lpad(CAST(CAST(floor((value - floor(value)) * 100 + 0.5) AS BIGINT) AS VARCHAR), 2, '0')"
+_LOCALE_TEXT_SQL = f"""CASE event_id % 7
+  WHEN 0 THEN CAST({_IP} AS VARCHAR) || ',' || {_DEC}
+  WHEN 1 THEN '1.' || lpad(CAST({_IP} AS VARCHAR), 3, '0') || ',' || {_DEC}
+  WHEN 2 THEN '1,' || lpad(CAST({_IP} AS VARCHAR), 3, '0') || '.' || {_DEC}
+  WHEN 3 THEN ' ' || CAST({_IP} AS VARCHAR) || ' ' || ',' || {_DEC} || ' '
+  WHEN 4 THEN CAST({_IP} AS VARCHAR) || '.' || {_DEC} || '.5'
+  WHEN 5 THEN CAST({_IP} AS VARCHAR) || ',' || {_DEC} || ',5'
+  ELSE 'x' || CAST({_IP} AS VARCHAR) END"""
+
+
+def _locale_text(df: DataFrame) -> Column:
+    ip = F.floor("value").cast("long").cast("string")
+    dec = F.lpad(F.floor((F.col("value") - F.floor("value")) * 100 + 0.5).cast("long").cast("string"), 2, "0")
+    k = F.col("event_id") % 7
+    return (
+        F.when(k == 0, F.concat(ip, F.lit(","), dec))
+        .when(k == 1, F.concat(F.lit("1."), F.lpad(ip, 3, "0"), F.lit(","), dec))
+        .when(k == 2, F.concat(F.lit("1,"), F.lpad(ip, 3, "0"), F.lit("."), dec))
+        .when(k == 3, F.concat(F.lit(" "), ip, F.lit(" "), F.lit(","), dec, F.lit(" ")))
+        .when(k == 4, F.concat(ip, F.lit("."), dec, F.lit(".5")))
+        .when(k == 5, F.concat(ip, F.lit(","), dec, F.lit(",5")))
+        .otherwise(F.concat(F.lit("x"), ip))
+    )
+
+
+def _sql_locale_parse(t: str) -> str:
+    s = f"replace(regexp_replace({t}, '^\\s+|\\s+$', '', 'g'), ' ', '')"
+    last = lambda x, ch: f"(CASE WHEN strpos({x}, '{ch}') = 0 THEN 0 ELSE length({x}) - strpos(reverse({x}), '{ch}') + 1 END)"
+    cnt = lambda x, ch: f"(length({x}) - length(replace({x}, '{ch}', '')))"
+    keep = lambda x, ch: f"(split_part({x}, '{ch}', 1) || '{ch}' || replace(substr({x}, strpos({x}, '{ch}') + 1), '{ch}', ''))"
+    r = f"""(CASE WHEN strpos({s}, ',') > 0 AND strpos({s}, '.') > 0 AND {last(s, ',')} > {last(s, '.')} THEN replace(replace({s}, '.', ''), ',', '.')
+      WHEN strpos({s}, ',') > 0 AND strpos({s}, '.') > 0 THEN replace({s}, ',', '')
+      WHEN {cnt(s, '.')} > 1 AND strpos({s}, ',') = 0 THEN {keep(s, '.')}
+      WHEN {cnt(s, ',')} > 1 AND strpos({s}, '.') = 0 THEN {keep(s, ',')}
+      ELSE replace({s}, ',', '.') END)"""
+    return f"(CASE WHEN regexp_full_match({r}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({r} AS DOUBLE) END)"
+
+
+@register(
+    "parse_locale_numbers",
+    "P3",
+    f"WITH t AS (SELECT event_id, {_LOCALE_TEXT_SQL} AS text FROM events) SELECT event_id, text, {O.r6(_sql_locale_parse('text'))} AS parsed FROM t",
+)
+def q_parse_locale_numbers(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    t = ev.select("event_id", _locale_text(ev).alias("text"))
+    return t.select("event_id", "text", r6(PZ.locale_number(F.col("text"))).alias("parsed"))
+
+
+_BAND_TXT_SQL = """CASE event_id % 4
+  WHEN 0 THEN lpad(CAST(CAST(floor(value) AS BIGINT) % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0') || '.123.456.789'
+  WHEN 1 THEN CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) || '.345.678.901.234'
+  WHEN 2 THEN ''
+  ELSE lpad(CAST(CAST(floor(value) AS BIGINT) % 100 AS VARCHAR), 2, '0') || '.345' END"""
+
+
+@register(
+    "parse_frequency_bands",
+    "P4 P5",
+    f"""WITH t AS (SELECT event_id, {_BAND_TXT_SQL} AS text FROM events),
+v AS (SELECT event_id, text, coalesce(regexp_full_match(trim(text), '[0-9]{{2}}(\\.[0-9]{{3}}){{4}}'), false) AS valid FROM t)
+SELECT event_id, text, CASE WHEN valid THEN {O.r6("TRY_CAST(split_part(trim(text), '.', 1) || '.' || replace(substr(trim(text), 4), '.', '') AS DOUBLE)")} END AS band_value,
+       valid AS band_valid, NOT valid AS freq_format_error FROM v""",
+)
+def q_parse_frequency_bands(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value")
+    ip = F.floor("value").cast("long")
+    k = F.col("event_id") % 4
+    text = (
+        F.when(k == 0, F.concat(F.lpad((ip % 100).cast("string"), 2, "0"), F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.lit(".123.456.789")))
+        .when(k == 1, F.concat((ip % 10).cast("string"), F.lit(".345.678.901.234")))
+        .when(k == 2, F.lit(""))
+        .otherwise(F.concat(F.lpad((ip % 100).cast("string"), 2, "0"), F.lit(".345")))
+    )
+    t = ev.select("event_id", text.alias("text"))
+    v, ok = PZ.frequency_band(F.col("text"))
+    return t.select("event_id", "text", r6(v).alias("band_value"), ok.alias("band_valid"), (~ok).alias("freq_format_error"))
+
+
+@register(
+    "parse_timestamps",
+    "P1 P2",
+    """WITH t AS (SELECT event_id, ts, CASE event_id % 3
+    WHEN 0 THEN strftime(ts, '%d.%m.%Y %H:%M')
+    WHEN 1 THEN CAST(day(ts) AS VARCHAR) || '.' || CAST(month(ts) AS VARCHAR) || '.' || CAST(year(ts) AS VARCHAR) || ' ' || CAST(hour(ts) AS VARCHAR) || ':' || CAST(minute(ts) AS VARCHAR)
+    ELSE 'n/a' END AS text FROM events)
+SELECT event_id, text, CASE WHEN event_id % 3 < 2 THEN date_trunc('minute', ts) END AS parsed FROM t""",
+)
+def q_parse_timestamps(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    k = F.col("event_id") % 3
+    unpadded = F.concat_ws(".", F.dayofmonth("ts").cast("string"), F.month("ts").cast("string"), F.year("ts").cast("string"))
+    unpadded = F.concat(unpadded, F.lit(" "), F.hour("ts").cast("string"), F.lit(":"), F.minute("ts").cast("string"))
+    text = F.when(k == 0, F.date_format("ts", "dd.MM.yyyy HH:mm")).when(k == 1, unpadded).otherwise(F.lit("n/a"))
+    t = ev.select("event_id", text.alias("text"))
+    return t.select("event_id", "text", PZ.parse_timestamp(F.col("text"), OPTS.csv.timestamp_format).alias("parsed"))
+
+
+def _csv_fixture_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Write the series as a German-locale ``;`` CSV (one file per asset and day,
+    rows in time order) under the shared checkpoint folder, once per session."""
+    import uuid
+
+    from sonolith.session import ensure_checkpoint_dir
+
+    def build():
+        root = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{root}/csv-fixture-{uuid.uuid4().hex}"
+        m = series(spark, sf_dir)
+        bad_ts = (F.col("row_id") % 50) == 13
+        band_txt = {
+            b: F.when(
+                F.col(b).isNotNull() & (F.col(b) >= 10) & (F.col(b) < 100),
+                F.concat(F.floor(F.col(b)).cast("long").cast("string"), F.lit("."),
+                         F.regexp_replace(F.substring(F.format_string("%.12f", F.col(b) - F.floor(F.col(b))), 3, 12), "(\\d{3})(?=\\d)", "$1.")),
+            ).otherwise(F.lit("ungültig"))
+            for b in ("low_freq_avg", "mid_freq_avg", "high_freq_avg")
+        }
+        out = m.select(
+            "asset_id", "date",
+            F.col("id").cast("long").cast("string").alias("id"),
+            *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(c) for c in ("avg_decibel", "peak_decibel", "min_decibel", "measurement_duration", "samples_count")],
+            *[band_txt[b].alias(b) for b in band_txt],
+            F.when(bad_ts, F.lit("n/a")).otherwise(F.date_format("timestamp", "dd.MM.yyyy HH:mm")).alias("created_at"),
+            "timestamp",
+        )
+        (
+            out.repartition("asset_id", "date")
+            .sortWithinPartitions("asset_id", "date", "timestamp")
+            .drop("timestamp")
+            .write.option("header", True).option("sep", ";")
+            .partitionBy("asset_id", "date")
+            .csv(path)
+        )
+        return path
+
+    return _memo(spark, ("csv", sf_dir), build)
+
+
+_CSV_OPTS = OPTS.with_(csv=OPTS.csv.__class__(separator=";", encoding="utf-8"))
+
+
+@register(
+    "csv_ingest",
+    "S1 S2 S3 S4 W0 W1 P1 P3 P4 P5",
+    SER()
+    + f""" SELECT asset_id, date, row_number() OVER (PARTITION BY asset_id, date ORDER BY timestamp) - 1 AS file_pos,
+       CASE WHEN row_id % 50 = 13 THEN NULL ELSE timestamp END AS timestamp,
+       {O.r6('avg_decibel')} AS avg_decibel, {O.r6('samples_count')} AS samples_count,
+       {O.r6("CASE WHEN low_freq_avg >= 10 AND low_freq_avg < 100 THEN TRY_CAST(CAST(CAST(floor(low_freq_avg) AS BIGINT) AS VARCHAR) || '.' || substr(printf('%.12f', low_freq_avg - floor(low_freq_avg)), 3, 12) AS DOUBLE) END")} AS low_freq_avg,
+       NOT (coalesce(low_freq_avg >= 10 AND low_freq_avg < 100, false) AND coalesce(mid_freq_avg >= 10 AND mid_freq_avg < 100, false)
+            AND coalesce(high_freq_avg >= 10 AND high_freq_avg < 100, false)) AS freq_format_error
+FROM series""",
+)
+def q_csv_ingest(spark, sf_dir):
+    path = _csv_fixture_dir(spark, sf_dir)
+    df = CI.load_measurement_csv(spark, path, _CSV_OPTS, asset_col="asset_id")
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("asset_id", "date").orderBy("row_id")
+    return df.select(
+        "asset_id", F.col("date").cast("date").alias("date"), (F.row_number().over(w) - 1).alias("file_pos"), "timestamp",
+        r6("avg_decibel").alias("avg_decibel"), r6("samples_count").alias("samples_count"), r6("low_freq_avg").alias("low_freq_avg"),
+        "freq_format_error",
+    )
+
+
+@register(
+    "load_quality_report",
+    "S5",
+    SER()
+    + """ SELECT asset_id, count(*) AS rows, count(*) FILTER (WHERE row_id % 50 = 13) AS invalid_timestamps,
+       count(*) FILTER (WHERE NOT (coalesce(low_freq_avg >= 10 AND low_freq_avg < 100, false) AND coalesce(mid_freq_avg >= 10 AND mid_freq_avg < 100, false)
+            AND coalesce(high_freq_avg >= 10 AND high_freq_avg < 100, false))) AS invalid_frequency_rows
+FROM series GROUP BY 1""",
+)
+def q_load_quality_report(spark, sf_dir):
+    df = CI.load_measurement_csv(spark, _csv_fixture_dir(spark, sf_dir), _CSV_OPTS, asset_col="asset_id")
+    return CI.load_quality_report(df)
