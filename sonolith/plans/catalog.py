@@ -1005,3 +1005,144 @@ FROM series GROUP BY 1""",
 def q_load_quality_report(spark, sf_dir):
     df = CI.load_measurement_csv(spark, _csv_fixture_dir(spark, sf_dir), _CSV_OPTS, asset_col="asset_id")
     return CI.load_quality_report(df)
+
+
+# ---------------------------------------------------------------- step 7: labels and notes
+import datetime as _dt  # noqa: E402
+
+from sonolith.operators import feedback as FB  # noqa: E402
+
+_T_CREATED = _dt.datetime(2024, 2, 1, 8, 0, 0)
+_T_UPDATED = _dt.datetime(2024, 2, 2, 9, 30, 0)
+
+
+def _label_events(spark, sf_dir) -> DataFrame:
+    return stage1(spark, sf_dir).events.where(F.col("severity") == "ANOMALY")
+
+
+def _hours_col() -> Column:
+    k = F.col("event_id") % 3
+    return F.when(k == 0, F.lit(None).cast("int")).when(k == 1, F.lit(12)).otherwise(F.lit(48))
+
+
+def _repaired_col() -> Column:
+    return F.when(F.col("event_id") % 4 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(
+        F.col("end_timestamp") + F.make_dt_interval(F.lit(0), F.lit(1))
+    )
+
+
+def base_labels(spark, sf_dir) -> DataFrame:
+    ev = _label_events(spark, sf_dir)
+    return FB.labels_from_events(ev, F.lit("Lagerschaden"), _hours_col(), _T_CREATED, repaired_at=_repaired_col())
+
+
+_MIN = "date_trunc('minute', {x})"
+_ISO = "strftime({x}, '%Y-%m-%dT%H:%M:%S')"
+_LABEL_PARTS = (
+    O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+    f"""lab0 AS (SELECT asset_id, event_id, {_MIN.format(x='start_timestamp')} AS es, {_MIN.format(x='end_timestamp')} AS ee,
+       CASE WHEN event_id % 4 = 0 THEN NULL ELSE {_MIN.format(x='end_timestamp + INTERVAL 1 HOUR')} END AS rep,
+       CASE event_id % 3 WHEN 0 THEN 24 WHEN 1 THEN 12 ELSE 48 END AS hours
+     FROM ev1 WHERE severity = 'ANOMALY')""",
+    f"""labels AS (SELECT asset_id, event_id,
+       'LBL-' || upper(substr(md5(concat_ws('|', asset_id, 'Stage 1', {_ISO.format(x='es')}, {_ISO.format(x='ee')})), 1, 10)) AS label_id,
+       'Stage 1' AS source_stage, es AS event_start, ee AS event_end, rep AS repaired_at, hours AS pre_failure_hours,
+       coalesce(rep, ee) - hours * INTERVAL 1 HOUR AS learning_window_start, coalesce(rep, ee) AS learning_window_end,
+       'Lagerschaden' AS defect_type
+     FROM lab0)""",
+)
+_LABEL_SQL_CTES = S1(*_LABEL_PARTS)
+_LW_COLS = ["asset_id", "label_id", "source_stage", "event_start", "event_end", "repaired_at", "pre_failure_hours",
+            "learning_window_start", "learning_window_end", "defect_type"]
+
+
+@register("label_windows", "L1 L5 P13", _LABEL_SQL_CTES + " SELECT " + ", ".join(_LW_COLS) + " FROM labels")
+def q_label_windows(spark, sf_dir):
+    return FB.normalize_labels(base_labels(spark, sf_dir)).select(*_LW_COLS)
+
+
+@register(
+    "label_upsert",
+    "L2 L5",
+    S1(
+        *_LABEL_PARTS,
+        O.stage2_ctes(OPTS),
+        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
+    )
+    + f""", upd AS (SELECT asset_id, label_id, source_stage, 'Unwucht' AS defect_type, event_start, event_end FROM labels WHERE event_id % 2 = 0),
+ev2s AS (SELECT asset_id, start_timestamp, end_timestamp FROM ev2),
+new AS (SELECT asset_id,
+           'LBL-' || upper(substr(md5(concat_ws('|', asset_id, 'Stage 2', {_ISO.format(x=_MIN.format(x='start_timestamp'))}, {_ISO.format(x=_MIN.format(x='end_timestamp'))})), 1, 10)) AS label_id,
+           'Stage 2' AS source_stage, 'Sensorfehler' AS defect_type, {_MIN.format(x='start_timestamp')} AS event_start, {_MIN.format(x='end_timestamp')} AS event_end FROM ev2s)
+SELECT asset_id, label_id, source_stage, defect_type, event_start, event_end FROM labels WHERE label_id NOT IN (SELECT label_id FROM upd UNION SELECT label_id FROM new)
+UNION ALL SELECT * FROM upd UNION ALL SELECT * FROM new""",
+)
+def q_label_upsert(spark, sf_dir):
+    base = base_labels(spark, sf_dir)
+    ev = _label_events(spark, sf_dir)
+    changed = FB.labels_from_events(ev.where(F.col("event_id") % 2 == 0), F.lit("Unwucht"), _hours_col(), _T_UPDATED, repaired_at=_repaired_col())
+    new = FB.labels_from_events(stage2(spark, sf_dir).events, F.lit("Sensorfehler"), F.lit(24), _T_UPDATED)
+    out = FB.normalize_labels(FB.upsert(base, changed.unionByName(new), "label_id", "created_at"))
+    return out.select("asset_id", "label_id", "source_stage", "defect_type", "event_start", "event_end")
+
+
+@register("label_delete", "J9", _LABEL_SQL_CTES + " SELECT asset_id, label_id FROM labels WHERE event_id % 5 <> 0")
+def q_label_delete(spark, sf_dir):
+    base = base_labels(spark, sf_dir)
+    ev = _label_events(spark, sf_dir).where(F.col("event_id") % 5 == 0)
+    gone = FB.labels_from_events(ev, F.lit("x"), F.lit(24), _T_UPDATED, repaired_at=_repaired_col())
+    return FB.delete_by_key(base, gone, "label_id").select("asset_id", "label_id")
+
+
+_SIG = "'Stage 1|' || strftime(start_timestamp, '%Y%m%dT%H%M%S') || '|' || strftime(end_timestamp, '%Y%m%dT%H%M%S')"
+
+
+@register(
+    "note_lookup",
+    "P11 J8 L3 L4",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS))
+    + f""" SELECT asset_id, event_id, {_SIG} AS event_signature,
+       CASE WHEN event_id % 6 = 0 THEN 'Fehlalarm' WHEN event_id % 3 = 0 THEN 'bestätigt' ELSE 'manuell geprüft' END AS verdict,
+       CASE WHEN event_id % 6 = 0 THEN 'Sensor getauscht' WHEN event_id % 3 = 0 THEN 'Lager prüfen' ELSE '' END AS note
+FROM ev1""",
+)
+def q_note_lookup(spark, sf_dir):
+    ev = stage1(spark, sf_dir).events
+    base = FB.notes_from_events(ev.where(F.col("event_id") % 3 == 0), F.lit("bestätigt"), F.lit("Lager prüfen"), F.lit(_T_CREATED.isoformat()))
+    upd = FB.notes_from_events(ev.where(F.col("event_id") % 6 == 0), F.lit("Fehlalarm"), F.lit("Sensor getauscht"), F.lit(_T_UPDATED.isoformat()))
+    notes = FB.normalize_notes(FB.upsert(base, upd, "event_signature", "updated_at"))
+    return FB.note_lookup(ev, notes).select("asset_id", "event_id", "event_signature", "verdict", "note")
+
+
+@register(
+    "labelled_rows",
+    "J5 L6",
+    _LABEL_SQL_CTES
+    + f""", nx AS (SELECT *, lead(avg_decibel) OVER w AS na, lead(peak_minus_min) OVER w AS np, lead(segment_id) OVER w AS ns
+        FROM series WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp, row_id))
+SELECT s.asset_id, s.row_id, l.label_id,
+       {O.r6('CASE WHEN s.ns = s.segment_id THEN s.na END')} AS next_avg_decibel,
+       {O.r6('CASE WHEN s.ns = s.segment_id THEN s.np END')} AS next_peak_minus_min
+FROM nx s JOIN labels l ON s.asset_id = l.asset_id AND s.timestamp BETWEEN l.learning_window_start AND l.learning_window_end""",
+)
+def q_labelled_rows(spark, sf_dir):
+    labels = FB.normalize_labels(base_labels(spark, sf_dir))
+    r = FB.labelled_rows(series(spark, sf_dir), labels)
+    return r.select("asset_id", "row_id", "label_id", r6("next_avg_decibel").alias("next_avg_decibel"), r6("next_peak_minus_min").alias("next_peak_minus_min"))
+
+
+@register(
+    "label_overlay",
+    "J5",
+    _LABEL_SQL_CTES
+    + """, b AS (SELECT asset_id, max(timestamp) - INTERVAL 7 DAY AS ws, max(timestamp) AS we FROM series WHERE timestamp IS NOT NULL GROUP BY 1)
+SELECT l.asset_id, l.label_id, l.learning_window_end >= b.ws AND l.learning_window_start <= b.we AS window_visible,
+       coalesce(l.repaired_at >= b.ws AND l.repaired_at <= b.we, false) AS repair_visible
+FROM labels l JOIN b USING (asset_id)""",
+)
+def q_label_overlay(spark, sf_dir):
+    labels = FB.normalize_labels(base_labels(spark, sf_dir))
+    b = X.timeframe_bounds(series(spark, sf_dir), "Letzte 7 Tage")
+    j = labels.join(b, "asset_id")
+    out = FB.windows_in_range(j, F.col("window_start"), F.col("window_end"))
+    return out.select("asset_id", "label_id", "window_visible", "repair_visible")
