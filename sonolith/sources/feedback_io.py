@@ -24,27 +24,31 @@ def text_schema(fields) -> StructType:
     return StructType([StructField(f, StringType(), True) for f in fields])
 
 
-def _path_exists(spark: SparkSession, path: str) -> bool:
+def _path_kind(spark: SparkSession, path: str) -> str | None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return None
+    return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
 def read_records(spark: SparkSession, path: str, fields) -> DataFrame:
+    """A file is one JSON array document (anything else: no rows); a directory is
+    a JSON-lines data set as written by :func:`write_records`."""
     schema = text_schema(fields)
-    if not _path_exists(spark, path):
+    kind = _path_kind(spark, path)
+    if kind is None:
         return spark.createDataFrame([], schema)
+    if kind == "dir":
+        return spark.read.schema(schema).json(path)
     docs = spark.read.option("wholetext", True).text(path)
-    body = F.regexp_replace(F.col("value"), "^﻿", "")
-    trimmed = F.trim(body)
-    items = F.when(trimmed.startswith("["), F.from_json(trimmed, "array<string>")).when(
-        trimmed.startswith("{"), F.split(trimmed, "\\r?\\n")
-    )
+    trimmed = F.trim(F.regexp_replace(F.col("value"), "^\ufeff", ""))
+    items = F.when(trimmed.startswith("["), F.from_json(trimmed, "array<string>"))
     raw = docs.select(F.explode(items).alias("item")).where(F.trim("item").startswith("{"))
     # numbers in the JSON come through as their text
-    parsed = raw.select(F.from_json("item", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    return parsed
+    return raw.select(F.from_json("item", schema).alias("r")).where(F.col("r").isNotNull()).select("r.*")
 
 
 def write_records(df: DataFrame, path: str) -> None:
