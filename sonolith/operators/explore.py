@@ -197,10 +197,33 @@ def latest_events(events: DataFrame, k: int, keys: Sequence[str] = ("asset_id",)
     if by_priority and "priority" in events.columns:
         order.append(F.col("priority").desc())
     order.append(F.col("event_id").asc())
+    if "stage" in events.columns:
+        order.append(F.col("stage").asc())
     w = Window.partitionBy(*keys).orderBy(*order)
     return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def overview_counts(
+    rows: DataFrame, contexts: dict[str, DataFrame], keys: Sequence[str] = ("asset_id",)
+) -> DataFrame:
+    """Rows, gaps, reduced-quality rows plus alert rows and events per stage.
+
+    ``contexts`` maps a stage prefix to its alert-context table (A19)."""
+    keys = list(keys)
+    out = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if("gap_flag").alias("gaps"),
+        F.count_if(F.col("quality_flag") == F.lit(V.REDUCED_QUALITY)).alias("reduced_quality_rows"),
+    )
+    for prefix, ctx in contexts.items():
+        out = out.join(
+            ctx.select(*keys, F.col("row_alerts_total").alias(f"{prefix}_alert_rows"), F.col("events_total").alias(f"{prefix}_events")),
+            keys,
+            "left",
+        )
+    return out
+
+
 def status_record(
     rows: DataFrame,
     events: DataFrame,

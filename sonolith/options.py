@@ -90,7 +90,7 @@ class Options:
         return replace(self, **kwargs)
 
 
-def test_series_options() -> Options:
+def hourly_series_options() -> Options:
     """Options used for the hourly series derived from the driver's ``events`` table."""
     return Options(
         expected_interval_minutes=60.0,

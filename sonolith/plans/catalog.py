@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from sonolith.functions.vocab import GRANULARITY_WEEKDAY_HOUR
 from sonolith.operators import baseline as B
 from sonolith.operators import events as E
-from sonolith.options import BaselineOptions, Options, test_series_options
+from sonolith.options import BaselineOptions, Options, hourly_series_options
 from sonolith.plans import oracle as O
 from sonolith.plans.pipeline import Stage1Result, run_stage1, stage1_context, stage1_rule_summary
 from sonolith.session import cut_lineage
 from sonolith.sources.measurements import measurement_table
 
-OPTS: Options = test_series_options()
+OPTS: Options = hourly_series_options()
 OPTS_WEEKDAY: Options = OPTS.with_(
     baseline=BaselineOptions(default_granularity=GRANULARITY_WEEKDAY_HOUR, weekday_hour_min_count=OPTS.baseline.weekday_hour_min_count)
 )
@@ -1146,3 +1146,62 @@ def q_label_overlay(spark, sf_dir):
     j = labels.join(b, "asset_id")
     out = FB.windows_in_range(j, F.col("window_start"), F.col("window_end"))
     return out.select("asset_id", "label_id", "window_visible", "repair_visible")
+
+
+# ---------------------------------------------------------------- overview and long event lists
+@register(
+    "overview_counts",
+    "A20 A19",
+    S1(
+        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+        O.stage2_ctes(OPTS, src="s1"),
+        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
+        O.stage3_train_ctes("s1"),
+        O.lof_ctes(OPTS.stage3.lof_neighbors),
+        O.stage3_logic_ctes(OPTS),
+        O.event_ctes("s3", "stage3", "ev3", OPTS.expected_interval_minutes, O.STAGE3_EVENT_AGGS),
+    )
+    + """ SELECT b.asset_id, b.rows, b.gaps, b.reduced_quality_rows,
+       a1.n AS stage1_alert_rows, coalesce(e1.n, 0) AS stage1_events,
+       a2.n AS stage2_alert_rows, coalesce(e2.n, 0) AS stage2_events,
+       a3.n AS stage3_alert_rows, coalesce(e3.n, 0) AS stage3_events
+FROM (SELECT asset_id, count(*) AS rows, count(*) FILTER (WHERE gap_flag) AS gaps,
+             count(*) FILTER (WHERE quality_flag = 'reduced_quality') AS reduced_quality_rows FROM series GROUP BY 1) b
+JOIN (SELECT asset_id, count(*) FILTER (WHERE stage1_severity IN ('WARNING','ANOMALY')) AS n FROM s1 GROUP BY 1) a1 USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM ev1 GROUP BY 1) e1 USING (asset_id)
+JOIN (SELECT asset_id, count(*) FILTER (WHERE stage2_severity IN ('WARNING','ANOMALY')) AS n FROM s2 GROUP BY 1) a2 USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM ev2 GROUP BY 1) e2 USING (asset_id)
+JOIN (SELECT asset_id, count(*) FILTER (WHERE stage3_severity IN ('WARNING','ANOMALY')) AS n FROM s3 GROUP BY 1) a3 USING (asset_id)
+LEFT JOIN (SELECT asset_id, count(*) AS n FROM ev3 GROUP BY 1) e3 USING (asset_id)""",
+)
+def q_overview_counts(spark, sf_dir):
+    """Overview with the Stage-3 stand-in scorer so every count has an SQL oracle."""
+    s1 = stage1(spark, sf_dir)
+    s2 = stage2(spark, sf_dir)
+    s3 = stage3_standin(spark, sf_dir)
+    ctx = {
+        "stage1": E.alert_context(s1.rows, s1.events, "stage1"),
+        "stage2": E.alert_context(s2.rows, s2.events, "stage2"),
+        "stage3": E.alert_context(s3.rows, s3.events, "stage3"),
+    }
+    return X.overview_counts(series(spark, sf_dir), ctx)
+
+
+@register(
+    "latest_300",
+    "T1 T3",
+    SER(
+        O.zrow_ctes(OPTS, weekday_mode=False),
+        O.stage1_ctes(OPTS),
+        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+        O.stage2_ctes(OPTS, src="s1"),
+        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
+        _LATEST_SQL_EV,
+    )
+    + """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage,
+       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, event_id, stage) AS rank
+FROM all_ev) WHERE rank <= 300""",
+)
+def q_latest_300(spark, sf_dir):
+    u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events])
+    return X.latest_events(u, 300, by_priority=False).select("asset_id", "event_id", "start_timestamp", "stage", "rank")

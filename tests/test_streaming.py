@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sonolith.options import test_series_options
+from sonolith.options import hourly_series_options
 
 
 def test_reload_stream_matches_batch(spark):
@@ -14,7 +14,7 @@ def test_reload_stream_matches_batch(spark):
     from sonolith.sources.measurements import measurement_table
     from sonolith.streaming.reload import start_reload_stream
 
-    opts = test_series_options()
+    opts = hourly_series_options()
     m = measurement_table(spark, "/root/testdata/sf0.001", opts)
     root = tempfile.mkdtemp(prefix="sonolith-stream-")
     src = os.path.join(root, "in")
