@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.functions.vocab import GRANULARITY_HOUR, GRANULARITY_WEEKDAY_HOUR
+from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
 
@@ -16,18 +17,6 @@ MAD_SCALE = 1.4826
 MIN_SCALE = 1e-9
 
 
-def _median(col: Column, opts: Options) -> Column:
-    if opts.scale.exact_quantiles:
-        return F.median(col)
-    return F.percentile_approx(col, F.lit(0.5), opts.scale.approx_accuracy)
-
-
-def _quantile(col: Column, q: float, opts: Options) -> Column:
-    if opts.scale.exact_quantiles:
-        return F.percentile(col, F.lit(q))
-    return F.percentile_approx(col, F.lit(q), opts.scale.approx_accuracy)
-
-
 def group_columns(granularity: str) -> list[str]:
     return ["weekday", "hour_of_day"] if granularity == GRANULARITY_WEEKDAY_HOUR else ["hour_of_day"]
 
@@ -47,16 +36,15 @@ def baseline_table(
     """
     group = list(keys) + group_columns(granularity)
     src = df.select(*group, *metrics).na.drop(subset=group + list(metrics))
-    med = src.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("baseline_count"),
-        *[_median(F.col(m), opts).alias(f"{m}_baseline_median") for m in metrics],
+    med = quantile_table(
+        src, group, [(m, 0.5, f"{m}_baseline_median") for m in metrics], opts,
+        extra_aggs=[F.count(F.lit(1)).alias("baseline_count")],
     )
     med_small = broadcast_if_small(med, opts.scale.broadcast_max_rows)
-    dev = (
-        src.join(med_small, group, "inner")
-        .groupBy(*group)
-        .agg(*[_median(F.abs(F.col(m) - F.col(f"{m}_baseline_median")), opts).alias(f"{m}_baseline_mad") for m in metrics])
+    devs = src.join(med_small, group, "inner").select(
+        *group, *[F.abs(F.col(m) - F.col(f"{m}_baseline_median")).alias(f"_dev_{m}") for m in metrics]
     )
+    dev = quantile_table(devs, group, [(f"_dev_{m}", 0.5, f"{m}_baseline_mad") for m in metrics], opts)
     cols = [*group, "baseline_count"]
     for m in metrics:
         cols += [f"{m}_baseline_median", f"{m}_baseline_mad"]
@@ -126,11 +114,9 @@ def hourly_profile(df: DataFrame, metric: str, opts: Options, keys: Sequence[str
     """Median, q10, q90 and count of any metric per hour (A4)."""
     keys = list(keys)
     src = df.select(*keys, "hour_of_day", metric).na.drop(subset=[metric, "hour_of_day"])
-    return src.groupBy(*keys, "hour_of_day").agg(
-        _median(F.col(metric), opts).alias("median"),
-        _quantile(F.col(metric), 0.10, opts).alias("q10"),
-        _quantile(F.col(metric), 0.90, opts).alias("q90"),
-        F.count(metric).alias("count"),
+    return quantile_table(
+        src, keys + ["hour_of_day"], [(metric, 0.5, "median"), (metric, 0.10, "q10"), (metric, 0.90, "q90")], opts,
+        extra_aggs=[F.count(metric).alias("count")],
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sonolith.functions.vocab import REDUCED_QUALITY
 from sonolith.operators.multivariate import OPTIONAL_SHARES
+from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
 
@@ -125,25 +126,19 @@ def scale_features(df: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
     ).drop(*[f"_m{i}" for i in range(n)], *[f"_s{i}" for i in range(n)], *[f"x{i}" for i in range(n)])
 
 
-def quantile_expr(col: Column, q: float, opts: Options) -> Column:
-    if opts.scale.exact_quantiles:
-        return F.percentile(col, F.lit(q))
-    return F.percentile_approx(col, F.lit(q), opts.scale.approx_accuracy)
-
-
 def thresholds_and_norms(scored: DataFrame, models: Sequence[str], opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
     """Per asset and model: threshold = (1 - contamination) quantile of training
     scores (M11); q05/q95 of all scored rows for normalisation (M12)."""
+    keys = list(keys)
     c = opts.stage3.clamped_contamination
-    aggs = []
-    for m in models:
-        s = F.col(f"stage3_{m}_score")
-        aggs += [
-            quantile_expr(F.when(F.col("stage3_train"), s), 1.0 - c, opts).alias(f"stage3_{m}_threshold"),
-            quantile_expr(s, 0.05, opts).alias(f"_{m}_q05"),
-            quantile_expr(s, 0.95, opts).alias(f"_{m}_q95"),
-        ]
-    return scored.where(F.col("stage3_valid")).groupBy(*keys).agg(*aggs)
+    valid = scored.where(F.col("stage3_valid"))
+    thr = quantile_table(
+        valid.where(F.col("stage3_train")), keys, [(f"stage3_{m}_score", 1.0 - c, f"stage3_{m}_threshold") for m in models], opts
+    )
+    norms = quantile_table(
+        valid, keys, [(f"stage3_{m}_score", q, f"_{m}_q{int(q * 100):02d}") for m in models for q in (0.05, 0.95)], opts
+    )
+    return norms.join(thr, keys, "left")
 
 
 def combine(scored: DataFrame, stats: DataFrame, models: Sequence[str], opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:

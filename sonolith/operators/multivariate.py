@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.operators.persistence import persistent_flag
+from sonolith.operators.quantiles import quantile_table
 from sonolith.operators.rules import severity, stage2_message
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
@@ -88,13 +89,8 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], keys: Sequence[st
 
 
 def quantile_per_key(df: DataFrame, col: str, q: float, opts: Options, keys: Sequence[str], out: str) -> DataFrame:
-    """Linear-interpolated quantile per key (A12); sketch-based when exact quantiles are off."""
-    expr = (
-        F.percentile(F.col(col), F.lit(q))
-        if opts.scale.exact_quantiles
-        else F.percentile_approx(F.col(col), F.lit(q), opts.scale.approx_accuracy)
-    )
-    return df.where(F.col(col).isNotNull()).groupBy(*keys).agg(expr.cast("double").alias(out))
+    """Linear-interpolated quantile per key (A12), exact with bounded memory or sketch-based."""
+    return quantile_table(df.where(F.col(col).isNotNull()), list(keys), [(col, q, out)], opts)
 
 
 def _eig_top2(features: list[str], keys: list[str]):

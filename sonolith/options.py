@@ -68,6 +68,10 @@ class ScaleOptions:
     # Exact percentiles (value->count maps) or sketches (percentile_approx).
     exact_quantiles: bool = True
     approx_accuracy: int = 10_000
+    # groups above this size switch from value->count maps to histogram refinement
+    exact_group_limit: int = 1_000_000
+    refine_bins: int = 1024
+    refine_final_candidates: int = 50_000
     # Rows per scoring chunk for model scoring / k-NN blocks.
     chunk_rows: int = 200_000
 

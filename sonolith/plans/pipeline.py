@@ -93,7 +93,8 @@ def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
     """Training plan + scaled features + the three detector scores, joined on row id."""
     from pyspark.sql import functions as F
 
-    from sonolith.operators.ensemble import annotate_training, quantile_expr, scale_features, training_plan
+    from sonolith.operators.ensemble import annotate_training, scale_features, training_plan
+    from sonolith.operators.quantiles import quantile_table
     from sonolith.operators.iforest import iforest_scores
     from sonolith.operators.lof import lof_scores
     from sonolith.operators.ocsvm import ocsvm_scores
@@ -109,7 +110,7 @@ def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
     scores = c(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
     # isolation score relative to the training (1 - contamination) quantile: 0 is the boundary
     offs = scores.join(ann.where(F.col("stage3_train")).select(*keys, "row_id"), keys + ["row_id"], "left_semi")
-    offs = offs.groupBy(*keys).agg(quantile_expr(F.col("iforest_s"), 1.0 - opts.stage3.clamped_contamination, opts).alias("_if_off"))
+    offs = quantile_table(offs, keys, [("iforest_s", 1.0 - opts.stage3.clamped_contamination, "_if_off")], opts)
     scores = scores.join(broadcast_if_small(offs, opts.scale.broadcast_max_rows), keys, "left").select(
         *keys,
         "row_id",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sonolith.operators.quality import BAND_COLUMNS, add_derived_columns, add_quality_columns
+from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 
 
@@ -19,22 +20,22 @@ def hour_floor(ts: F.Column) -> F.Column:
     return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
-def quantiles(col: str, probs: list[float], opts: Options) -> F.Column:
-    if opts.scale.exact_quantiles:
-        return F.percentile(F.col(col), F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(F.col(col), F.array(*[F.lit(p) for p in probs]), opts.scale.approx_accuracy)
-
-
 def hourly_groups(events: DataFrame, opts: Options) -> DataFrame:
     """One row per (asset, hour): level statistics, quartiles and duration (partial aggregation)."""
-    return events.groupBy(F.col("event_type").alias("asset_id"), hour_floor(F.col("ts")).alias("timestamp")).agg(
-        F.avg("value").alias("avg_decibel"),
-        F.max("value").alias("peak_decibel"),
-        F.min("value").alias("min_decibel"),
-        F.count(F.lit(1)).cast("double").alias("samples_count"),
-        quantiles("value", [0.25, 0.5, 0.75], opts).alias("_q"),
-        (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)).alias("measurement_duration"),
-    )
+    src = events.select(F.col("event_type").alias("asset_id"), hour_floor(F.col("ts")).alias("timestamp"), "ts", "value")
+    return quantile_table(
+        src,
+        ["asset_id", "timestamp"],
+        [("value", 0.25, "_q1"), ("value", 0.5, "_q2"), ("value", 0.75, "_q3")],
+        opts,
+        extra_aggs=[
+            F.avg("value").alias("avg_decibel"),
+            F.max("value").alias("peak_decibel"),
+            F.min("value").alias("min_decibel"),
+            F.count(F.lit(1)).cast("double").alias("samples_count"),
+            (F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")) / F.lit(1e6)).alias("measurement_duration"),
+        ],
+    ).withColumn("_q", F.array("_q1", "_q2", "_q3")).drop("_q1", "_q2", "_q3")
 
 
 def measurement_table(spark: SparkSession, sf_dir: str, opts: Options) -> DataFrame:

@@ -78,7 +78,7 @@ def test_persistence_matches_rolling_window(spark):
     el = pdf[pdf["e"]].copy()
     el["pe"] = el.groupby(["asset_id", "segment_id"])["w"].transform(lambda s: s.astype(int).rolling(n, min_periods=1).sum() >= n)
     pdf = pdf.merge(el[["asset_id", "row_id", "pe"]], on=["asset_id", "row_id"], how="left")
-    pdf["pe"] = pdf["pe"].fillna(False).astype(bool)
+    pdf["pe"] = pdf["pe"].astype("boolean").fillna(False).astype(bool)
     exp = {(r.asset_id, r.row_id): (bool(r.p), bool(r.pe)) for r in pdf.itertuples()}
     g1 = {(r.asset_id, r.row_id): r.p for r in got.collect()}
     g2 = {(r.asset_id, r.row_id): r.pe for r in got_e.collect()}
