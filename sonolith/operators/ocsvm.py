@@ -5,13 +5,14 @@ Schölkopf et al. (2001) primal in feature space,
 with phi(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
 (Rahimi & Recht 2007) and gamma = 1 / (features * var(X_train)) ("scale").
 
-Optimised by full-batch projected subgradient steps with iterate averaging.
-Each step is one distributed aggregate (per-asset partial sums from
-``mapInPandas`` then ``groupBy``); only the per-asset model (D + 1 numbers) moves
-between steps, the way MLlib's iterative optimisers work.  W and b are
-regenerated from the seed inside each task, never shipped.
-The score is -decision = rho - w . phi(x).  This approximates the exact kernel
-model; ranking, not bit-equality with a kernel solver, is what the stage uses.
+Optimised by full-batch subgradient steps with iterate averaging.  The model
+(one row per asset: w, rho and the running averages) is a DataFrame: each step
+replicates it to the asset's bounded row chunks, a co-grouped pandas function
+returns per-chunk partial sums, one aggregation per asset combines them and the
+update is JVM array arithmetic.  Nothing passes through the driver; the model
+table is checkpointed every step.  W and b are regenerated from the seed inside
+each task.  The score is -decision = rho - w . phi(x); this approximates the exact
+kernel model (ranking, not bit-equality, is what the stage uses).
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from pyspark.sql import functions as F
 from sonolith.operators.ensemble import FEATURE_SLOTS
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
+from sonolith.session import cut_lineage
+
+PARTIAL_SCHEMA = "asset_key string, n long, n_viol long, s array<double>"
+SCORE_SCHEMA = "asset_key string, row_id long, ocsvm double"
 
 
 def _features(seed: int, asset_seed: int, gamma: float, dim: int, x: np.ndarray) -> np.ndarray:
@@ -35,88 +40,114 @@ def _features(seed: int, asset_seed: int, gamma: float, dim: int, x: np.ndarray)
     return np.sqrt(2.0 / dim) * np.cos(x @ w + b)
 
 
-def _partial(seed: int, dim: int, params: dict):
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            out = []
-            for (ak, aseed, gamma), g in pdf.groupby(["asset_key", "asset_seed", "gamma"], sort=False):
-                phi = _features(seed, int(aseed), float(gamma), dim, g[FEATURE_SLOTS].to_numpy(dtype=float))
-                if ak in params:
-                    w, rho = params[ak]
-                    viol = phi @ w < rho
-                else:  # initial pass: mean embedding
-                    viol = np.ones(len(phi), dtype=bool)
-                out.append({"asset_key": ak, "n": int(len(phi)), "n_viol": int(viol.sum()), "s": phi[viol].sum(axis=0).tolist()})
-            yield pd.DataFrame(out)
+def _partial(seed: int, dim: int, initial: bool):
+    def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"asset_key": [], "n": [], "n_viol": [], "s": []})
+        r0 = rows.iloc[0]
+        phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
+        if initial or model.empty:
+            viol = np.ones(len(phi), dtype=bool)
+        else:
+            w = np.asarray(model["w"].iloc[0], dtype=float)
+            viol = phi @ w < float(model["rho"].iloc[0])
+        return pd.DataFrame({"asset_key": [r0["asset_key"]], "n": [len(phi)], "n_viol": [int(viol.sum())], "s": [phi[viol].sum(axis=0).tolist()]})
 
     return fn
 
 
-def _scores(seed: int, dim: int, params: dict):
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            parts = []
-            for (ak, aseed, gamma), g in pdf.groupby(["asset_key", "asset_seed", "gamma"], sort=False):
-                w, rho = params[ak]
-                phi = _features(seed, int(aseed), float(gamma), dim, g[FEATURE_SLOTS].to_numpy(dtype=float))
-                parts.append(pd.DataFrame({"asset_key": ak, "row_id": g["row_id"].to_numpy(), "ocsvm": rho - phi @ w}))
-            yield pd.concat(parts, ignore_index=True)
+def _score(seed: int, dim: int):
+    def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or model.empty:
+            return pd.DataFrame({"asset_key": [], "row_id": [], "ocsvm": []})
+        r0 = rows.iloc[0]
+        phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
+        w = np.asarray(model["w"].iloc[0], dtype=float)
+        return pd.DataFrame({"asset_key": r0["asset_key"], "row_id": rows["row_id"].to_numpy(), "ocsvm": float(model["rho"].iloc[0]) - phi @ w})
 
     return fn
 
 
+def _chunked(rows: DataFrame, counts: DataFrame, chunk_rows: int, max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows keyed by (asset_key, chunk) with bounded chunks, and the chunk-key table."""
+    n_chunks = counts.select("asset_key", F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(chunk_rows))).cast("long").alias("n_chunks"))
+    n_chunks = broadcast_if_small(cut_lineage(n_chunks), max_rows)
+    keyed = rows.join(n_chunks, "asset_key").withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.col("n_chunks"))).drop("n_chunks")
+    keys = n_chunks.select("asset_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"))
+    return keyed, keys
+
+
+def _cogroup(rows: DataFrame, model_rep: DataFrame, fn, schema: str) -> DataFrame:
+    m = model_rep.select(*[F.col(c).alias(c) for c in model_rep.columns])
+    return rows.groupBy("asset_key", "chunk").cogroup(m.groupBy("asset_key", "chunk")).applyInPandas(fn, schema)
+
+
 def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
     """(keys, row_id, ocsvm) for every valid row."""
     keys = list(keys)
     s3 = opts.stage3
     dim, iters, nu, seed = s3.ocsvm_features, s3.ocsvm_iterations, s3.clamped_nu, s3.random_state
+    mx = opts.scale.broadcast_max_rows
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
     p = plan.select(*keys, key.alias("asset_key"), F.xxhash64(key).alias("asset_seed"), "n_features")
-    base = df.select(*keys, "row_id", "stage3_train", "stage3_valid", *FEATURE_SLOTS).join(
-        broadcast_if_small(p, opts.scale.broadcast_max_rows), keys, "inner"
-    )
+    base = df.select(*keys, "row_id", "stage3_train", "stage3_valid", *FEATURE_SLOTS).join(broadcast_if_small(p, mx), keys, "inner")
     # gamma = 1 / (n_features * var(all training entries of the real features))
     real = [F.when(F.lit(i) < F.col("n_features"), F.col(f)) for i, f in enumerate(FEATURE_SLOTS)]
     sq = sum((F.coalesce(r * r, F.lit(0.0)) for r in real), F.lit(0.0))
     sm = sum((F.coalesce(r, F.lit(0.0)) for r in real), F.lit(0.0))
     g = base.where(F.col("stage3_train")).groupBy("asset_key").agg(
-        F.sum(sq).alias("_sq"), F.sum(sm).alias("_sm"), F.sum(F.col("n_features")).alias("_cnt"), F.first("n_features").alias("_d")
+        F.sum(sq).alias("_sq"), F.sum(sm).alias("_sm"), F.sum(F.col("n_features")).alias("_cnt"),
+        F.first("n_features").alias("_d"), F.count(F.lit(1)).alias("n"),
     )
     var = F.col("_sq") / F.col("_cnt") - (F.col("_sm") / F.col("_cnt")) ** 2
-    g = g.select("asset_key", (F.lit(1.0) / (F.col("_d") * F.when(var > 0, var).otherwise(F.lit(1.0)))).alias("gamma"))
-    base = base.join(broadcast_if_small(g, opts.scale.broadcast_max_rows), "asset_key", "inner")
-    train = base.where(F.col("stage3_train")).select("asset_key", "asset_seed", "gamma", *FEATURE_SLOTS)
-    agg_schema = "asset_key string, n long, n_viol long, s array<double>"
-
-    def step(params: dict) -> dict:
-        parts = train.mapInPandas(_partial(seed, dim, params), agg_schema)
-        tot = parts.groupBy("asset_key").agg(
+    g = cut_lineage(g.select("asset_key", "n", (F.lit(1.0) / (F.col("_d") * F.when(var > 0, var).otherwise(F.lit(1.0)))).alias("gamma")))
+    base = base.join(broadcast_if_small(g.select("asset_key", "gamma"), mx), "asset_key", "inner")
+    cols = ["asset_key", "asset_seed", "gamma", "row_id", *FEATURE_SLOTS]
+    train, train_keys = _chunked(base.where(F.col("stage3_train")).select(*cols), g, opts.scale.chunk_rows, mx)
+    # hash-partitioned like the co-group needs; the checkpoint keeps that
+    # partitioning, so no step re-shuffles the training rows
+    train = cut_lineage(train.repartition("asset_key", "chunk"))
+
+    def sums(model: DataFrame, initial: bool) -> DataFrame:
+        rep = train_keys.join(model, "asset_key")
+        parts = _cogroup(train, rep, _partial(seed, dim, initial), PARTIAL_SCHEMA)
+        return parts.groupBy("asset_key").agg(
             F.sum("n").alias("n"), F.sum("n_viol").alias("n_viol"),
             F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("s"),
         )
-        return {r["asset_key"]: (int(r["n"]), int(r["n_viol"]), np.asarray(r["s"], dtype=float)) for r in tot.collect()}
 
-    init = step({})
-    params = {ak: (s / max(n, 1), 0.0) for ak, (n, _, s) in init.items()}
-    avg = {ak: (np.zeros(dim), 0.0, 0) for ak in params}
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    empty = g.select("asset_key", zeros.alias("w"), F.lit(0.0).alias("rho"))
+    init = sums(empty, initial=True)
+    model = cut_lineage(
+        init.select(
+            "asset_key",
+            F.transform("s", lambda v: v / F.col("n")).alias("w"),
+            F.lit(0.0).alias("rho"),
+            zeros.alias("aw"), F.lit(0.0).alias("arho"), F.lit(0).alias("ac"),
+        )
+    )
     for t in range(iters):
-        stats = step(params)
-        eta = 1.0 / np.sqrt(t + 1.0)
-        new = {}
-        for ak, (w, rho) in params.items():
-            n, n_viol, s = stats.get(ak, (1, 0, np.zeros(dim)))
-            gw = w - s / (nu * n)
-            grho = -1.0 + n_viol / (nu * n)
-            new[ak] = (w - eta * gw, rho - eta * grho)
-            if t >= iters // 2:
-                aw, ar, c = avg[ak]
-                avg[ak] = (aw + new[ak][0], ar + new[ak][1], c + 1)
-        params = new
-    final = {ak: (aw / max(c, 1), ar / max(c, 1)) if c else params[ak] for ak, (aw, ar, c) in avg.items()}
-    valid = base.where(F.col("stage3_valid")).select("asset_key", "asset_seed", "gamma", "row_id", *FEATURE_SLOTS)
-    scored = valid.mapInPandas(_scores(seed, dim, final), "asset_key string, row_id long, ocsvm double")
+        st = sums(model.select("asset_key", "w", "rho"), initial=False)
+        eta = float(1.0 / np.sqrt(t + 1.0))
+        j = model.join(st, "asset_key", "left").fillna({"n": 1, "n_viol": 0})
+        scale = F.lit(nu) * F.col("n").cast("double")
+        s = F.coalesce(F.col("s"), zeros)
+        w_new = F.zip_with("w", s, lambda w, x: w - F.lit(eta) * (w - x / scale))
+        rho_new = F.col("rho") - F.lit(eta) * (F.lit(-1.0) + F.col("n_viol") / scale)
+        j = j.select("asset_key", w_new.alias("w"), rho_new.alias("rho"), "aw", "arho", "ac")
+        if t >= iters // 2:
+            j = j.select(
+                "asset_key", "w", "rho",
+                F.zip_with("aw", "w", lambda a, b: a + b).alias("aw"), (F.col("arho") + F.col("rho")).alias("arho"), (F.col("ac") + 1).alias("ac"),
+            )
+        model = cut_lineage(j)
+    final = model.select(
+        "asset_key",
+        F.when(F.col("ac") > 0, F.transform("aw", lambda a: a / F.col("ac"))).otherwise(F.col("w")).alias("w"),
+        F.when(F.col("ac") > 0, F.col("arho") / F.col("ac")).otherwise(F.col("rho")).alias("rho"),
+    )
+    counts_valid = base.where(F.col("stage3_valid")).groupBy("asset_key").agg(F.count(F.lit(1)).alias("n"))
+    valid, valid_keys = _chunked(base.where(F.col("stage3_valid")).select(*cols), counts_valid, opts.scale.chunk_rows, mx)
+    scored = _cogroup(valid, valid_keys.join(final, "asset_key"), _score(seed, dim), SCORE_SCHEMA)
     return scored.join(p.select(*keys, "asset_key"), "asset_key", "inner").select(*keys, "row_id", "ocsvm")
