@@ -30,7 +30,7 @@ from sonolith.operators.ensemble import FEATURE_SLOTS
 from sonolith.operators.multivariate import pca_components
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
-from sonolith.session import cut_lineage
+from sonolith.session import cut_lineage, write_table
 
 GRID = 4096
 CAND_SCHEMA = "asset_key string, q_row long, d double, o long"
@@ -131,7 +131,7 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     t = t.join(blocks.select("asset_key", "block", "n_tsub"), ["asset_key", "block"]).withColumn(
         "tsub", F.pmod(F.xxhash64("row_id"), F.col("n_tsub"))
     )
-    t_side = cut_lineage(t.select("asset_key", "block", "tsub", F.col("row_id").alias("t_row"), *FEATURE_SLOTS))
+    t_side = write_table(t.select("asset_key", "block", "tsub", F.col("row_id").alias("t_row"), *FEATURE_SLOTS), "lof-train")
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """pairs: (asset_key, block, q_row, kk, f*) -> per-group top-kk candidates."""
@@ -157,8 +157,8 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
         )
 
     q = q.join(rng, "asset_key").withColumn("cell", cell_of(F.col("proj"))).join(cells, ["asset_key", "cell"], "inner")
-    q = cut_lineage(q.withColumnRenamed("row_id", "q_row").withColumnRenamed("block", "home"))
-    pass1 = cut_lineage(candidates(q.select("asset_key", F.col("home").alias("block"), "q_row", "kk", *FEATURE_SLOTS)))
+    q = write_table(q.withColumnRenamed("row_id", "q_row").withColumnRenamed("block", "home"), "lof-query")
+    pass1 = write_table(candidates(q.select("asset_key", F.col("home").alias("block"), "q_row", "kk", *FEATURE_SLOTS)), "lof-pass1")
     top1 = _merge_top(pass1.join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"]))
     theta = F.when(F.size("nbrs") >= F.col("kk"), F.element_at("nbrs", -1)["d"])
     q2 = q.join(top1.select("asset_key", "q_row", theta.alias("theta")), ["asset_key", "q_row"], "inner")
@@ -172,7 +172,7 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     pass2 = candidates(q2.select("asset_key", "block", "q_row", "kk", *FEATURE_SLOTS))
     allc = pass1.unionByName(pass2).join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"])
     merged = _merge_top(allc)
-    return cut_lineage(merged.join(p.select("asset_key", "k", *keys), "asset_key", "inner"))
+    return write_table(merged.join(p.select("asset_key", "k", *keys), "asset_key", "inner"), "lof-knn")
 
 
 def lof_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
@@ -192,7 +192,7 @@ def lof_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str
         .groupBy("asset_key", "q_row")
         .agg((F.lit(1.0) / (F.avg(F.greatest(F.col("kdist"), F.col("d"))) + F.lit(1e-10))).alias("lrd"))
     )
-    stats = cut_lineage(kd.join(lrd_t.withColumnRenamed("q_row", "o"), ["asset_key", "o"], "inner"))
+    stats = write_table(kd.join(lrd_t.withColumnRenamed("q_row", "o"), ["asset_key", "o"], "inner"), "lof-train-stats")
     qn = nb.select(*keys, "asset_key", "q_row", F.explode(F.slice("nbrs", 1, F.col("k"))).alias("n")).select(
         *keys, "asset_key", "q_row", F.col("n.d").alias("d"), F.col("n.o").alias("o")
     )

@@ -19,7 +19,7 @@ from sonolith.operators import events as E
 from sonolith.options import BaselineOptions, Options, hourly_series_options
 from sonolith.plans import oracle as O
 from sonolith.plans.pipeline import Stage1Result, run_stage1, stage1_context, stage1_rule_summary
-from sonolith.session import cut_lineage
+from sonolith.session import write_table
 from sonolith.sources.measurements import measurement_table
 
 OPTS: Options = hourly_series_options()
@@ -67,7 +67,7 @@ def _memo(spark: SparkSession, key: tuple, build):
 
 
 def series(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> DataFrame:
-    return _memo(spark, ("series", sf_dir, opts), lambda: cut_lineage(measurement_table(spark, sf_dir, opts)))
+    return _memo(spark, ("series", sf_dir, opts), lambda: write_table(measurement_table(spark, sf_dir, opts), "series"))
 
 
 def stage1(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage1Result:

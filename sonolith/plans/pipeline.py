@@ -25,7 +25,7 @@ from sonolith.operators.events import (
 from sonolith.operators.multivariate import run_stage2 as _annotate_stage2
 from sonolith.operators.rules import apply_stage1_rules
 from sonolith.options import Options
-from sonolith.session import cut_lineage
+from sonolith.session import cut_lineage, write_table
 
 
 @dataclass
@@ -45,7 +45,7 @@ def run_stage1(measurements: DataFrame, opts: Options, keys: Sequence[str] = ("a
         hourly, weekday_hourly = cut_lineage(hourly), cut_lineage(weekday_hourly)
     rows = apply_stage1_rules(apply_baseline(measurements, hourly, weekday_hourly, opts, keys), opts, keys)
     if cut:
-        rows = cut_lineage(rows)
+        rows = write_table(rows, "stage1")
     alerts = alert_rows_with_event_ids(rows, "stage1", keys)
     events = finish_stage1_events(
         build_events(alerts, "stage1", opts.expected_interval_minutes, keys, extra_aggs=stage1_event_aggs())
@@ -70,9 +70,9 @@ class Stage2Result:
 
 def run_stage2(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> Stage2Result:
     keys = list(keys)
-    annotated = _annotate_stage2(rows, opts, keys, cut=cut_lineage if cut else None)
+    annotated = _annotate_stage2(rows, opts, keys, cut=(lambda d: write_table(d, "stage2-scored")) if cut else None)
     if cut:
-        annotated = cut_lineage(annotated)
+        annotated = write_table(annotated, "stage2")
     alerts = alert_rows_with_event_ids(annotated, "stage2", keys)
     events = build_events(alerts, "stage2", opts.expected_interval_minutes, keys, score_column="multivariate_score")
     return Stage2Result(annotated, alerts, events)
@@ -102,12 +102,13 @@ def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
 
     keys = list(keys)
     c = cut_lineage if cut else (lambda d: d)
+    t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
     plan = c(training_plan(rows, opts, keys))
-    ann = c(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
+    ann = t(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
     iso = iforest_scores(ann, plan, opts, keys)
     lof = lof_scores(ann, plan, opts, keys)
     svm = ocsvm_scores(ann, plan, opts, keys)
-    scores = c(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
+    scores = t(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
     # isolation score relative to the training (1 - contamination) quantile: 0 is the boundary
     offs = scores.join(ann.where(F.col("stage3_train")).select(*keys, "row_id"), keys + ["row_id"], "left_semi")
     offs = quantile_table(offs, keys, [("iforest_s", 1.0 - opts.stage3.clamped_contamination, "_if_off")], opts)
@@ -132,8 +133,9 @@ def score_stage3_standin(rows: DataFrame, opts: Options, keys: Sequence[str] = (
 
     keys = list(keys)
     c = cut_lineage if cut else (lambda d: d)
+    t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
     plan = c(training_plan(rows, opts, keys))
-    ann = c(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
+    ann = t(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
     lof = lof_scores(ann, plan, opts, keys)
     dist = F.sqrt(sum((F.col(f) * F.col(f) for f in FEATURE_SLOTS), F.lit(0.0)))
     out = ann.join(lof, keys + ["row_id"], "left").withColumns(
@@ -158,14 +160,15 @@ def run_stage3(
 
     keys = list(keys)
     c = cut_lineage if cut else (lambda d: d)
+    t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
     scored, plan = (scorer or score_stage3)(rows, opts, keys, cut)
-    scored = c(scored)
+    scored = t(scored)
     stats = c(thresholds_and_norms(scored, MODELS, opts, keys))
-    comb = c(combine(scored, stats, MODELS, opts, keys))
+    comb = t(combine(scored, stats, MODELS, opts, keys))
     comb = persistent_flag(comb, "stage3_strong_now", opts.stage3.persistence_windows, "stage3_persistent_warning", keys)
     p, w = F.col("stage3_persistent_warning"), F.col("stage3_warning_now")
     comb = comb.withColumns({"stage3_severity": severity(p, w), "stage3_message": stage3_message(p, w, F.col("stage3_votes"))})
-    annotated = c(apply_row_ampel(comb))
+    annotated = t(apply_row_ampel(comb))
     alerts = alert_rows_with_event_ids(annotated, "stage3", keys)
     events = build_events(
         alerts, "stage3", opts.expected_interval_minutes, keys, score_column="stage3_consensus_score", extra_aggs=stage3_event_aggs()

@@ -82,5 +82,19 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def write_table(df: DataFrame, name: str = "table") -> DataFrame:
+    """Cut lineage with a parquet table written under the shared checkpoint folder.
+
+    Unlike an RDD checkpoint, the re-read table keeps column pruning and filter
+    pushdown, so later stages scan only the columns they use.
+    """
+    import uuid
+
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def default_sf_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")

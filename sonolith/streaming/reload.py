@@ -25,7 +25,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from sonolith.operators.quality import BAND_COLUMNS, prepare_series
 from sonolith.options import Options
 from sonolith.plans.pipeline import run_stage1
-from sonolith.session import cut_lineage, ensure_checkpoint_dir
+from sonolith.session import ensure_checkpoint_dir, write_table
 from sonolith.sources.csv_ingest import NUMBER_COLUMNS, parse_measurements, with_file_row_ids
 
 
@@ -43,13 +43,13 @@ def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str):
         parsed = parsed.withColumn("row_id", F.lit(batch_id).cast("long") * F.lit(2**32) + F.col("row_id"))
         keep = ["asset_id", "row_id", "timestamp", *NUMBER_COLUMNS, *BAND_COLUMNS,
                 *[f"{b}_format_valid" for b in BAND_COLUMNS], "freq_format_error"]
-        parsed = cut_lineage(parsed.select(*keep))
+        parsed = write_table(parsed.select(*keep), "stream-batch")
         parsed.write.mode("append").partitionBy("asset_id").parquet(store_dir)
         touched = parsed.select("asset_id").distinct()
         history = spark.read.parquet(store_dir).join(touched, "asset_id", "left_semi")
         # adjacency across arrivals follows time order: row_id becomes the position
         # per asset (file positions of different files are not comparable)
-        series = cut_lineage(prepare_series(history, opts).withColumn("row_id", F.col("seq_pos")))
+        series = write_table(prepare_series(history, opts).withColumn("row_id", F.col("seq_pos")), "stream-series")
         events = run_stage1(series, opts).events
         (
             events.write.mode("overwrite")
