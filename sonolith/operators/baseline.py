@@ -11,6 +11,7 @@ from sonolith.functions.vocab import GRANULARITY_HOUR, GRANULARITY_WEEKDAY_HOUR
 from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
+from sonolith.session import cut_lineage
 
 BASELINE_METRICS = ("avg_decibel", "peak_minus_avg", "peak_minus_min")
 MAD_SCALE = 1.4826
@@ -40,6 +41,7 @@ def baseline_table(
         src, group, [(m, 0.5, f"{m}_baseline_median") for m in metrics], opts,
         extra_aggs=[F.count(F.lit(1)).alias("baseline_count")],
     )
+    med = cut_lineage(med)  # small (assets x slots); computed once, used twice
     med_small = broadcast_if_small(med, opts.scale.broadcast_max_rows)
     devs = src.join(med_small, group, "inner").select(
         *group, *[F.abs(F.col(m) - F.col(f"{m}_baseline_median")).alias(f"_dev_{m}") for m in metrics]

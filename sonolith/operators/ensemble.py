@@ -18,6 +18,7 @@ from sonolith.operators.multivariate import OPTIONAL_SHARES
 from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
+from sonolith.session import cut_lineage
 
 STAGE3_BASE = ("avg_decibel", "peak_minus_avg", "avg_minus_min", "peak_minus_min")
 FEATURE_SLOTS = [f"f{i}" for i in range(len(STAGE3_BASE) + len(OPTIONAL_SHARES))]
@@ -120,7 +121,7 @@ def scale_features(df: DataFrame, opts: Options, keys: Sequence[str] = ("asset_i
     stats = stats.select(
         *keys, *[c for i in range(n) for c in (F.col(f"_m{i}"), F.when(F.col(f"_s{i}") == 0, 1.0).otherwise(F.col(f"_s{i}")).alias(f"_s{i}"))]
     )
-    j = df.join(broadcast_if_small(stats, opts.scale.broadcast_max_rows), keys, "left")
+    j = df.join(broadcast_if_small(cut_lineage(stats), opts.scale.broadcast_max_rows), keys, "left")
     return j.withColumns(
         {f"f{i}": F.when(F.col("stage3_valid"), (F.col(f"x{i}") - F.col(f"_m{i}")) / F.col(f"_s{i}")) for i in range(n)}
     ).drop(*[f"_m{i}" for i in range(n)], *[f"_s{i}" for i in range(n)], *[f"x{i}" for i in range(n)])

@@ -19,6 +19,7 @@ from sonolith.operators.quantiles import quantile_table
 from sonolith.operators.rules import severity, stage2_message
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
+from sonolith.session import cut_lineage
 
 STAGE2_BASE = ("avg_decibel", "peak_decibel", "min_decibel", "peak_minus_avg", "avg_minus_min", "peak_minus_min")
 OPTIONAL_SHARES = ("low_share", "mid_share", "high_share")
@@ -164,15 +165,15 @@ def run_stage2(
     feats = stage2_features(df)
     ok = complete(feats)
     d = df.withColumn("stage2_complete", ok)
-    stats = feature_stats(d, feats, keys, where=F.col("stage2_complete"))
+    stats = cut_lineage(feature_stats(d, feats, keys, where=F.col("stage2_complete")))
     z = standardize(d, stats, feats, keys, opts.scale.broadcast_max_rows)
     score = F.sqrt(sum((F.col(f"z_{f}") * F.col(f"z_{f}") for f in feats), F.lit(0.0)))
     z = z.withColumn("multivariate_score", F.when(F.col("stage2_complete"), score))
-    thr = quantile_per_key(z, "multivariate_score", opts.stage2.distance_quantile, opts, keys, "stage2_threshold")
+    thr = cut_lineage(quantile_per_key(z, "multivariate_score", opts.stage2.distance_quantile, opts, keys, "stage2_threshold"))
     z = z.join(broadcast_if_small(thr, opts.scale.broadcast_max_rows), keys, "left")
     z = z.withColumn("stage2_warning_now", F.col("stage2_complete") & (F.col("multivariate_score") >= F.col("stage2_threshold")))
     if with_pca:
-        comps = pca_components(z.where(F.col("stage2_complete")), feats, keys)
+        comps = cut_lineage(pca_components(z.where(F.col("stage2_complete")), feats, keys))
         z = project(z, comps, feats, keys, opts.scale.broadcast_max_rows)
         z = z.withColumns({c: F.when(F.col("stage2_complete"), F.col(c)) for c in ("pc1", "pc2")})
     if cut is not None:

@@ -30,7 +30,7 @@ class Stage3Options:
     iforest_trees: int = 200
     iforest_max_samples: int = 256
     ocsvm_features: int = 128
-    ocsvm_iterations: int = 20
+    ocsvm_iterations: int = 15
 
     @property
     def clamped_contamination(self) -> float:

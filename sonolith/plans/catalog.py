@@ -668,16 +668,25 @@ def q_status_record(spark, sf_dir):
 
 # ---------------------------------------------------------------- step 8: Stage 3
 from sonolith.operators import ampel as AM  # noqa: E402
-from sonolith.plans.pipeline import Stage3Result, run_stage3, score_stage3_standin  # noqa: E402
+from sonolith.plans.pipeline import Stage3Result, model_scorer, run_stage3, stage3_inputs, standin_scorer  # noqa: E402
+
+
+def _stage3_inputs(spark: SparkSession, sf_dir: str, opts: Options = OPTS):
+    return _memo(spark, ("stage3in", sf_dir, opts), lambda: stage3_inputs(stage2(spark, sf_dir, opts).rows, opts))
 
 
 def stage3(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage3Result:
-    return _memo(spark, ("stage3", sf_dir, opts), lambda: run_stage3(stage2(spark, sf_dir, opts).rows, opts))
+    return _memo(
+        spark, ("stage3", sf_dir, opts),
+        lambda: run_stage3(stage2(spark, sf_dir, opts).rows, opts, scorer=model_scorer(_stage3_inputs(spark, sf_dir, opts))),
+    )
 
 
 def stage3_standin(spark: SparkSession, sf_dir: str, opts: Options = OPTS) -> Stage3Result:
+    """Same Stage-3 decision logic with deterministic stand-in scores (SQL-checkable)."""
     return _memo(
-        spark, ("stage3s", sf_dir, opts), lambda: run_stage3(stage1(spark, sf_dir, opts).rows, opts, scorer=score_stage3_standin)
+        spark, ("stage3s", sf_dir, opts),
+        lambda: run_stage3(stage2(spark, sf_dir, opts).rows, opts, scorer=standin_scorer(_stage3_inputs(spark, sf_dir, opts))),
     )
 
 

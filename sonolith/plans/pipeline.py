@@ -89,63 +89,85 @@ class Stage3Result:
 MODELS = ("iforest", "lof", "ocsvm")
 
 
-def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Training plan + scaled features + the three detector scores, joined on row id."""
-    from pyspark.sql import functions as F
-
+def stage3_inputs(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training plan, scaled feature rows and exact LOF scores (shared by all scorers)."""
     from sonolith.operators.ensemble import annotate_training, scale_features, training_plan
-    from sonolith.operators.quantiles import quantile_table
-    from sonolith.operators.iforest import iforest_scores
     from sonolith.operators.lof import lof_scores
-    from sonolith.operators.ocsvm import ocsvm_scores
-    from sonolith.plans.sizing import broadcast_if_small
 
     keys = list(keys)
     c = cut_lineage if cut else (lambda d: d)
     t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
     plan = c(training_plan(rows, opts, keys))
     ann = t(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
-    iso = iforest_scores(ann, plan, opts, keys)
-    lof = lof_scores(ann, plan, opts, keys)
-    svm = ocsvm_scores(ann, plan, opts, keys)
-    scores = t(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
-    # isolation score relative to the training (1 - contamination) quantile: 0 is the boundary
-    offs = scores.join(ann.where(F.col("stage3_train")).select(*keys, "row_id"), keys + ["row_id"], "left_semi")
-    offs = quantile_table(offs, keys, [("iforest_s", 1.0 - opts.stage3.clamped_contamination, "_if_off")], opts)
-    scores = scores.join(broadcast_if_small(offs, opts.scale.broadcast_max_rows), keys, "left").select(
-        *keys,
-        "row_id",
-        (F.col("iforest_s") - F.col("_if_off")).alias("stage3_iforest_score"),
-        F.col("lof").alias("stage3_lof_score"),
-        F.col("ocsvm").alias("stage3_ocsvm_score"),
-    )
-    return ann.join(scores, keys + ["row_id"], "left"), plan
+    lof = t(lof_scores(ann, plan, opts, keys))
+    return plan, ann, lof
 
 
-def score_stage3_standin(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+def model_scorer(inputs: tuple[DataFrame, DataFrame, DataFrame]):
+    """Scorer with the three detectors (J6: scores joined back on row id)."""
+
+    def score(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+        from pyspark.sql import functions as F
+
+        from sonolith.operators.iforest import iforest_scores
+        from sonolith.operators.ocsvm import ocsvm_scores
+        from sonolith.operators.quantiles import quantile_table
+
+        keys = list(keys)
+        plan, ann, lof = inputs
+        c = cut_lineage if cut else (lambda d: d)
+        t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
+        iso = iforest_scores(ann, plan, opts, keys)
+        svm = ocsvm_scores(ann, plan, opts, keys)
+        scores = t(iso.join(lof, keys + ["row_id"], "full").join(svm, keys + ["row_id"], "full"))
+        # isolation score relative to the training (1 - contamination) quantile: 0 is the boundary
+        offs = scores.join(ann.where(F.col("stage3_train")).select(*keys, "row_id"), keys + ["row_id"], "left_semi")
+        offs = c(quantile_table(offs, keys, [("iforest_s", 1.0 - opts.stage3.clamped_contamination, "_if_off")], opts))
+        from sonolith.plans.sizing import broadcast_if_small
+
+        scores = scores.join(broadcast_if_small(offs, opts.scale.broadcast_max_rows), keys, "left").select(
+            *keys,
+            "row_id",
+            (F.col("iforest_s") - F.col("_if_off")).alias("stage3_iforest_score"),
+            F.col("lof").alias("stage3_lof_score"),
+            F.col("ocsvm").alias("stage3_ocsvm_score"),
+        )
+        return ann.join(scores, keys + ["row_id"], "left"), plan
+
+    return score
+
+
+def standin_scorer(inputs: tuple[DataFrame, DataFrame, DataFrame]):
     """Deterministic scorer for checking the Stage-3 decision logic against SQL:
     exact LOF plus two closed-form scores (distance from the training mean,
     |standardised level|) in the isolation-forest and SVM slots."""
-    from pyspark.sql import functions as F
 
-    from sonolith.operators.ensemble import FEATURE_SLOTS, annotate_training, scale_features, training_plan
-    from sonolith.operators.lof import lof_scores
+    def score(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+        from pyspark.sql import functions as F
 
-    keys = list(keys)
-    c = cut_lineage if cut else (lambda d: d)
-    t = (lambda d: write_table(d, "stage3")) if cut else (lambda d: d)
-    plan = c(training_plan(rows, opts, keys))
-    ann = t(scale_features(annotate_training(rows, plan, opts, keys), opts, keys))
-    lof = lof_scores(ann, plan, opts, keys)
-    dist = F.sqrt(sum((F.col(f) * F.col(f) for f in FEATURE_SLOTS), F.lit(0.0)))
-    out = ann.join(lof, keys + ["row_id"], "left").withColumns(
-        {
-            "stage3_iforest_score": F.when(F.col("stage3_valid"), dist),
-            "stage3_lof_score": F.col("lof"),
-            "stage3_ocsvm_score": F.when(F.col("stage3_valid"), F.abs(F.col("f0"))),
-        }
-    ).drop("lof")
-    return out, plan
+        from sonolith.operators.ensemble import FEATURE_SLOTS
+
+        keys = list(keys)
+        plan, ann, lof = inputs
+        dist = F.sqrt(sum((F.col(f) * F.col(f) for f in FEATURE_SLOTS), F.lit(0.0)))
+        out = ann.join(lof, keys + ["row_id"], "left").withColumns(
+            {
+                "stage3_iforest_score": F.when(F.col("stage3_valid"), dist),
+                "stage3_lof_score": F.col("lof"),
+                "stage3_ocsvm_score": F.when(F.col("stage3_valid"), F.abs(F.col("f0"))),
+            }
+        ).drop("lof")
+        return out, plan
+
+    return score
+
+
+def score_stage3(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    return model_scorer(stage3_inputs(rows, opts, keys, cut))(rows, opts, keys, cut)
+
+
+def score_stage3_standin(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> tuple[DataFrame, DataFrame]:
+    return standin_scorer(stage3_inputs(rows, opts, keys, cut))(rows, opts, keys, cut)
 
 
 def run_stage3(
