@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.functions import vocab as V
-from sonolith.functions.formatting import event_signature
+from sonolith.functions.formatting import display_timestamp, event_signature
 from sonolith.functions.parsing import parse_iso_timestamp, parse_timestamp
 from sonolith.operators.quality import CANONICAL_ORDER
 from sonolith.operators.sequence import ordered_scan
@@ -65,7 +65,8 @@ def labels_from_events(
     repaired_at = end (minute precision, as entered in the form); rows without a
     defect type are rejected."""
     stage = F.coalesce(F.nullif(F.trim(F.col("stage")), F.lit("")), F.lit(V.MANUAL_STAGE))
-    minute = lambda c: F.date_trunc("minute", c).cast("timestamp_ntz")
+    # the form shows dd.MM.yyyy HH:mm and parses it back strictly (P12 -> P13): minute precision
+    minute = lambda c: strict_form_timestamp(display_timestamp(c))
     start, end = minute(F.col("start_timestamp")), minute(F.col("end_timestamp"))
     rep = minute(repaired_at) if repaired_at is not None else end
     out = events.select(

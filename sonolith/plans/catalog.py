@@ -1214,3 +1214,54 @@ FROM all_ev) WHERE rank <= 300""",
 def q_latest_300(spark, sf_dir):
     u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events])
     return X.latest_events(u, 300, by_priority=False).select("asset_id", "event_id", "start_timestamp", "stage", "rank")
+
+
+
+# ---------------------------------------------------------------- file sources and sinks
+from sonolith.sources import feedback_io as FIO  # noqa: E402
+
+
+def _store_path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from sonolith.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("label_store_round_trip", "S6 S8 L1", _LABEL_SQL_CTES + " SELECT " + ", ".join(_LW_COLS) + " FROM labels")
+def q_label_store_round_trip(spark, sf_dir):
+    """Labels written as a new version directory, read back and normalised."""
+    path = _store_path(spark, "labels")
+    labels = base_labels(spark, sf_dir)
+    FIO.write_records(labels, f"{path}/v1")
+    back = FIO.read_records(spark, f"{path}/v1", ("asset_id", *FIO.LABEL_FIELDS))
+    return FB.normalize_labels(back).select(*_LW_COLS)
+
+
+@register(
+    "note_store_round_trip",
+    "S7 S8 L3 L4 J8",
+    REGISTRY["note_lookup"].sql,
+)
+def q_note_store_round_trip(spark, sf_dir):
+    ev = stage1(spark, sf_dir).events
+    path = _store_path(spark, "notes")
+    base = FB.notes_from_events(ev.where(F.col("event_id") % 3 == 0), F.lit("bestätigt"), F.lit("Lager prüfen"), F.lit(_T_CREATED.isoformat()))
+    FIO.write_records(base, f"{path}/v1")
+    upd = FB.notes_from_events(ev.where(F.col("event_id") % 6 == 0), F.lit("Fehlalarm"), F.lit("Sensor getauscht"), F.lit(_T_UPDATED.isoformat()))
+    v1 = FIO.read_records(spark, f"{path}/v1", ("asset_id", *FIO.NOTE_FIELDS))
+    FIO.write_records(FB.upsert(v1, upd, "event_signature", "updated_at"), f"{path}/v2")
+    notes = FB.normalize_notes(FIO.read_records(spark, f"{path}/v2", ("asset_id", *FIO.NOTE_FIELDS)))
+    return FB.note_lookup(ev, notes).select("asset_id", "event_id", "event_signature", "verdict", "note")
+
+
+@register("event_window_export", "S9 J3", REGISTRY["event_windows"].sql)
+def q_event_window_export(spark, sf_dir):
+    w = X.event_windows(series(spark, sf_dir), stage1(spark, sf_dir).events, OPTS.inspection_window_hours, event_cols=["event_id"])
+    path = _store_path(spark, "export")
+    X.export_csv(w.select("asset_id", "event_id", "row_id", "timestamp", "avg_decibel"), path)
+    back = spark.read.option("header", True).schema(
+        "asset_id string, event_id long, row_id long, timestamp timestamp_ntz, avg_decibel double"
+    ).csv(path)
+    return back.select("asset_id", "event_id", "row_id", "timestamp", r6("avg_decibel").alias("avg_decibel"))
