@@ -42,7 +42,11 @@ def add_quality_columns(
     keys = list(keys)
     thr = F.lit(float(opts.gap_threshold_minutes))
     ts = F.col("timestamp")
-    b = add_bucket(df, "timestamp", opts.scale.scan_bucket_hours)
+    sc = opts.scale
+    if sc.scan_bucket_rows:
+        b = add_bucket(df, "timestamp", keys=keys, target_rows=sc.scan_bucket_rows, max_rows=sc.broadcast_max_rows)
+    else:
+        b = add_bucket(df, "timestamp", sc.scan_bucket_hours)
     part = keys + [BUCKET]
     w = Window.partitionBy(*part).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

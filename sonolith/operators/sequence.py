@@ -28,15 +28,43 @@ NULL_BUCKET = 2**62
 _HELPER_PREFIXES = ("_sv_", "_mv_", "_pv_", "_nv_", "_si_", "_mi_", "_pi_", "_ni_", "_sp_", "_mp_", "_pp_", "_np_", "_sc_")
 
 
-def bucket_expr(ts_col: str = "timestamp", hours: int = 24) -> Column:
-    """Time bucket from a TIMESTAMP_NTZ column without any time-zone conversion."""
+def epoch_minutes(ts: Column) -> Column:
+    """Minutes since 1970-01-01 of a TIMESTAMP_NTZ, without time-zone conversion."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    return (days * 24 + F.hour(ts)) * 60 + F.minute(ts)
+
+
+def bucket_expr(ts_col: str = "timestamp", hours: int = 24, width_minutes: Column | None = None) -> Column:
+    """Time bucket: fixed ``hours`` wide, or ``width_minutes`` (a per-row column)."""
     ts = F.col(ts_col)
-    epoch_hours = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour(ts)
-    return F.when(ts.isNull(), F.lit(NULL_BUCKET)).otherwise(F.floor(epoch_hours / F.lit(hours))).cast("long")
+    width = width_minutes if width_minutes is not None else F.lit(int(hours) * 60)
+    return F.when(ts.isNull(), F.lit(NULL_BUCKET)).otherwise(F.floor(epoch_minutes(ts) / width)).cast("long")
 
 
-def add_bucket(df: DataFrame, ts_col: str = "timestamp", hours: int = 24) -> DataFrame:
-    return df.withColumn(BUCKET, bucket_expr(ts_col, hours))
+def add_bucket(
+    df: DataFrame,
+    ts_col: str = "timestamp",
+    hours: int = 24,
+    keys: Sequence[str] | None = None,
+    target_rows: int | None = None,
+    max_rows: int = 2_000_000,
+) -> DataFrame:
+    """Add the scan bucket.  With ``keys`` and ``target_rows`` the width adapts per
+    key so a bucket holds about ``target_rows`` rows whatever the sampling rate
+    (one small per-key aggregate: count and time span)."""
+    if keys is None or target_rows is None:
+        return df.withColumn(BUCKET, bucket_expr(ts_col, hours))
+    from sonolith.plans.sizing import broadcast_if_small
+
+    keys = list(keys)
+    ts = F.col(ts_col)
+    stats = df.where(ts.isNotNull()).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_bn"), (epoch_minutes(F.max(ts)) - epoch_minutes(F.min(ts)) + 1).alias("_span")
+    )
+    width = F.greatest(F.lit(1), F.floor(F.col("_span") * F.lit(float(target_rows)) / F.col("_bn"))).cast("long")
+    widths = stats.select(*keys, width.alias("_bw"))
+    j = df.join(broadcast_if_small(widths, max_rows), keys, "left")
+    return j.withColumn(BUCKET, bucket_expr(ts_col, width_minutes=F.coalesce(F.col("_bw"), F.lit(1)))).drop("_bw")
 
 
 def ordered_scan(

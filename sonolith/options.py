@@ -61,7 +61,9 @@ class CsvOptions:
 
 @dataclass(frozen=True)
 class ScaleOptions:
-    # Width of the buckets of the two-level ordered scan, in hours.
+    # Buckets of the two-level ordered scan: adaptive per asset to about this many
+    # rows (None: fixed width of scan_bucket_hours).
+    scan_bucket_rows: int | None = 1_000_000
     scan_bucket_hours: int = 24
     # Tables with at most this many rows are broadcast (row count checked first).
     broadcast_max_rows: int = 2_000_000

@@ -61,10 +61,14 @@ def test_quality_scan_independent_of_bucket_width(spark):
     base = _random_series(spark)
     cols = ["asset_id", "row_id", "delta_minutes", "gap_flag", "segment_id", "near_gap_flag", "seq_pos"]
     outs = [
-        sorted(add_quality_columns(base, Options(gap_threshold_minutes=30, scale=ScaleOptions(scan_bucket_hours=h))).select(cols).collect())
+        sorted(add_quality_columns(base, Options(gap_threshold_minutes=30, scale=ScaleOptions(scan_bucket_rows=None, scan_bucket_hours=h))).select(cols).collect())
         for h in (1, 24, 100000)
     ]
-    assert outs[0] == outs[1] == outs[2]
+    adaptive = [
+        sorted(add_quality_columns(base, Options(gap_threshold_minutes=30, scale=ScaleOptions(scan_bucket_rows=r))).select(cols).collect())
+        for r in (7, 50, 10**9)
+    ]
+    assert outs[0] == outs[1] == outs[2] == adaptive[0] == adaptive[1] == adaptive[2]
 
 
 def test_persistence_matches_rolling_window(spark):

@@ -56,7 +56,7 @@ def test_gaps_segments_near_gap(spark):
 def test_gaps_across_tiny_buckets(spark):
     from sonolith.options import ScaleOptions
 
-    opts = Options(scale=ScaleOptions(scan_bucket_hours=1))
+    opts = Options(scale=ScaleOptions(scan_bucket_rows=None, scan_bucket_hours=1))
     minutes = [0, 1, 2, 59, 60, 61, 200, 201, 320]
     df = add_quality_columns(_series(spark, minutes), opts)
     ref = add_quality_columns(_series(spark, minutes), Options())
