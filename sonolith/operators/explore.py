@@ -200,7 +200,7 @@ def latest_events(events: DataFrame, k: int, keys: Sequence[str] = ("asset_id",)
     if "stage" in events.columns:
         order.append(F.col("stage").asc())
     w = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return events.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def overview_counts(

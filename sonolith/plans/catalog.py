@@ -810,7 +810,7 @@ def q_ampel_distribution(spark, sf_dir):
     _S3_EV_SQL
     + f""", per AS (SELECT asset_id, count(*) AS events, max(ampel_rank) AS mr, count(*) FILTER (WHERE ampel_rank = 0) AS normal_events,
    count(*) FILTER (WHERE ampel_rank = 1) AS n1, count(*) FILTER (WHERE ampel_rank = 2) AS n2, count(*) FILTER (WHERE ampel_rank = 3) AS n3,
-   sum(row_count) AS alert_rows FROM ev3_f GROUP BY 1),
+   CAST(sum(row_count) AS BIGINT) AS alert_rows FROM ev3_f GROUP BY 1),
 a AS (SELECT DISTINCT asset_id FROM series),
 j AS (SELECT a.asset_id, coalesce(p.events, 0) AS events, coalesce(p.mr, 0) AS mr, coalesce(p.normal_events, 0) AS normal_events,
         coalesce(p.n1, 0) AS n1, coalesce(p.n2, 0) AS n2, coalesce(p.n3, 0) AS n3, coalesce(p.alert_rows, 0) AS alert_rows
@@ -996,7 +996,7 @@ def q_csv_ingest(spark, sf_dir):
     df = CI.load_measurement_csv(spark, path, _CSV_OPTS, asset_col="asset_id")
     w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("asset_id", "date").orderBy("row_id")
     return df.select(
-        "asset_id", F.col("date").cast("date").alias("date"), (F.row_number().over(w) - 1).alias("file_pos"), "timestamp",
+        "asset_id", F.col("date").cast("date").alias("date"), (F.row_number().over(w) - 1).cast("long").alias("file_pos"), "timestamp",
         r6("avg_decibel").alias("avg_decibel"), r6("samples_count").alias("samples_count"), r6("low_freq_avg").alias("low_freq_avg"),
         "freq_format_error",
     )

@@ -45,8 +45,8 @@ gapped AS (
   SELECT *, coalesce(delta_minutes > {thr}, false) AS gap_flag FROM lagged),
 series AS (
   SELECT *,
-         sum(CAST(gap_flag AS BIGINT)) OVER (PARTITION BY asset_id ORDER BY timestamp, row_id
-                                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment_id,
+         CAST(sum(CAST(gap_flag AS BIGINT)) OVER (PARTITION BY asset_id ORDER BY timestamp, row_id
+                                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS segment_id,
          row_number() OVER (PARTITION BY asset_id ORDER BY timestamp, row_id) - 1 AS seq_pos,
          gap_flag OR coalesce(next_delta > {thr}, false) AS near_gap_flag,
          CASE WHEN samples_count < {rq} THEN 'reduced_quality' ELSE 'normal' END AS quality_flag,
@@ -142,8 +142,8 @@ def event_ctes(src: str, prefix: str, name: str, interval: float, extra_aggs: st
   FROM {src} WHERE {prefix}_severity IN ('WARNING', 'ANOMALY')
   WINDOW w AS (PARTITION BY asset_id ORDER BY timestamp, row_id)),
 {name}_rows AS (
-  SELECT *, sum(CASE WHEN p_row IS NULL OR row_id - p_row <> 1 OR segment_id <> p_seg THEN 1 ELSE 0 END)
-              OVER (PARTITION BY asset_id ORDER BY timestamp, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS event_id,
+  SELECT *, CAST(sum(CASE WHEN p_row IS NULL OR row_id - p_row <> 1 OR segment_id <> p_seg THEN 1 ELSE 0 END)
+              OVER (PARTITION BY asset_id ORDER BY timestamp, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS event_id,
          coalesce(quality_flag = 'reduced_quality', false) AS is_reduced_quality,
          coalesce(near_gap_flag, false) AS is_near_gap
   FROM {name}_a),

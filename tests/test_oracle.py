@@ -38,6 +38,11 @@ def test_query_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = [tuple(r) for r in res.fetchall()]
     assert sorted(df.columns) == sorted(dcols)
+    spark_to_duck = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                     "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+    duck_types = {d[0]: str(d[1]) for d in res.description}
+    for f in df.schema.fields:
+        assert spark_to_duck.get(f.dataType.simpleString()) == duck_types[f.name], f.name
     assert len(rows) == len(drows)
     assert _digest(df.columns, rows) == _digest(dcols, drows)
 

@@ -56,6 +56,13 @@ def main(sf_dir, names):
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:800]}")
             continue
+        spark_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+        duck_types = {d[0]: str(d[1]) for d in res.description}
+        want = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+                "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+        bad = {c: (t, duck_types.get(c)) for c, t in spark_types.items() if want.get(t, t) != duck_types.get(c)}
+        if bad:
+            print(f"TYPE {name}: {bad}")
         h1, l1 = digest(cols, rows)
         h2, l2 = digest(dcols, drows)
         if sorted(cols) != sorted(dcols):
