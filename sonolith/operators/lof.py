@@ -86,8 +86,8 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     keys = list(keys)
     n_feat = len(FEATURE_SLOTS)
     s3 = opts.stage3
-    block_rows = 4096
-    q_chunk_rows = 8192
+    block_rows = opts.scale.knn_block_rows
+    q_chunk_rows = opts.scale.knn_query_chunk_rows
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
     k = F.greatest(F.lit(2), F.least(F.lit(s3.lof_neighbors), F.greatest(F.lit(2), F.col("n_train") - 1)))
     p = plan.select(*keys, key.alias("asset_key"), k.cast("int").alias("k"), (k + 1).cast("int").alias("kk"))
@@ -161,7 +161,9 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     pass1 = write_table(candidates(q.select("asset_key", F.col("home").alias("block"), "q_row", "kk", *FEATURE_SLOTS)), "lof-pass1")
     top1 = _merge_top(pass1.join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"]))
     theta = F.when(F.size("nbrs") >= F.col("kk"), F.element_at("nbrs", -1)["d"])
-    q2 = q.join(top1.select("asset_key", "q_row", theta.alias("theta")), ["asset_key", "q_row"], "inner")
+    # a query whose home slab holds fewer than k+1 training rows (or none) keeps an
+    # unbounded radius and searches every slab
+    q2 = q.join(top1.select("asset_key", "q_row", theta.alias("theta")), ["asset_key", "q_row"], "left")
     lo_cell = F.when(F.col("theta").isNull(), F.lit(-1)).otherwise(cell_of(F.col("proj") - F.col("theta")))
     hi_cell = F.when(F.col("theta").isNull(), F.lit(GRID)).otherwise(cell_of(F.col("proj") + F.col("theta")))
     q2 = q2.withColumn("_lo_cell", lo_cell.cast("long")).withColumn("_hi_cell", hi_cell.cast("long"))

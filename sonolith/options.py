@@ -74,8 +74,11 @@ class ScaleOptions:
     exact_group_limit: int = 1_000_000
     refine_bins: int = 1024
     refine_final_candidates: int = 50_000
-    # Rows per scoring chunk for model scoring / k-NN blocks.
+    # Rows per scoring chunk for model scoring.
     chunk_rows: int = 200_000
+    # k-NN (LOF): training rows per slab / sub-block, query rows per chunk.
+    knn_block_rows: int = 4096
+    knn_query_chunk_rows: int = 8192
 
 
 @dataclass(frozen=True)

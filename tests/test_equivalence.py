@@ -127,7 +127,8 @@ def test_lof_slabs_match_brute_force(spark):
     x = np.zeros((n, len(FEATURE_SLOTS)))
     x[:, :4] = rng.normal(size=(n, 4))
     x[:20, :4] += 6.0  # planted outliers
-    train_mask = np.arange(n) % 3 != 0
+    x[-5:, :4] = 50.0 + np.arange(5)[:, None]  # query-only rows beyond every training row
+    train_mask = (np.arange(n) % 3 != 0) & (np.arange(n) < n - 5)
     pdf = pd.DataFrame(x, columns=FEATURE_SLOTS)
     pdf.insert(0, "row_id", np.arange(n, dtype=np.int64))
     pdf.insert(0, "asset_id", "a")
@@ -135,10 +136,12 @@ def test_lof_slabs_match_brute_force(spark):
     pdf["stage3_valid"] = True
     df = spark.createDataFrame(pdf)
     plan = spark.createDataFrame([("a", int(train_mask.sum()))], "asset_id string, n_train long")
-    from sonolith.options import Options, Stage3Options
+    from sonolith.options import Options, ScaleOptions, Stage3Options
 
-    opts = Options(stage3=Stage3Options(lof_neighbors=10))
-    got = {r.row_id: r.lof for r in lof_scores(df, plan, opts).collect()}
     exp = _brute_lof(x[train_mask], x, 10)
-    assert len(got) == n
-    assert max(abs(got[i] - exp[i]) for i in range(n)) < 1e-9
+    # one slab, and many small slabs with sub-blocks and query chunks (pruned second pass)
+    for scale in (ScaleOptions(), ScaleOptions(knn_block_rows=40, knn_query_chunk_rows=64)):
+        opts = Options(stage3=Stage3Options(lof_neighbors=10), scale=scale)
+        got = {r.row_id: r.lof for r in lof_scores(df, plan, opts).collect()}
+        assert len(got) == n
+        assert max(abs(got[i] - exp[i]) for i in range(n)) < 1e-9
