@@ -73,3 +73,18 @@ def test_active_weekday_modes(spark):
     assert active_weekday(q, selected="Fr").first().active_weekday == 4
     assert active_weekday(q, end_timestamp=dt.datetime(2024, 1, 7)).first().active_weekday == 6
     assert active_weekday(q).first().active_weekday_rows == 2
+
+
+def test_row_ids_when_one_file_spans_partitions(spark):
+    hdr = "id;avg_decibel;peak_decibel;min_decibel;measurement_duration;samples_count;created_at"
+    rows = [hdr] + [f"{i};{i},5;2;0;60;100;1.1.2024 {i // 60 % 24}:{i % 60}" for i in range(3000)]
+    p = _write(rows)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = load_measurement_csv(spark, p, Options(csv=CsvOptions(separator=";")))
+        assert df.rdd.getNumPartitions() > 1
+        got = [(r.row_id, r.id) for r in df.select("row_id", "id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(got) == [(i, float(i)) for i in range(3000)]

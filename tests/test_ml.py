@@ -21,6 +21,21 @@ def _frame(spark, n=600, seed=1, outliers=12):
     return spark.createDataFrame(pdf), plan
 
 
+def test_iforest_pool_sampling_and_chunks(spark):
+    """Small sub-samples force the hash-threshold pool, many trees per pool and
+    several scoring chunks per asset."""
+    from sonolith.operators.iforest import iforest_scores
+    from sonolith.options import ScaleOptions
+
+    df, plan = _frame(spark)
+    opts = Options(stage3=Stage3Options(iforest_trees=30, iforest_max_samples=8), scale=ScaleOptions(chunk_rows=100))
+    s = {r.row_id: r.iforest_s for r in iforest_scores(df, plan, opts).collect()}
+    assert len(s) == 600
+    out = np.array([s[i] for i in range(12)])
+    inl = np.array([s[i] for i in range(12, 600)])
+    assert np.median(out) > np.quantile(inl, 0.9)
+
+
 def test_iforest_ranks_planted_outliers(spark):
     from sonolith.operators.iforest import iforest_scores
 
@@ -38,8 +53,12 @@ def test_iforest_ranks_planted_outliers(spark):
 def test_ocsvm_ranks_planted_outliers(spark):
     from sonolith.operators.ocsvm import ocsvm_scores
 
+    from sonolith.options import ScaleOptions
+
     df, plan = _frame(spark)
-    s = {r.row_id: r.ocsvm for r in ocsvm_scores(df, plan, Options(stage3=Stage3Options(ocsvm_iterations=15))).collect()}
+    opts = Options(stage3=Stage3Options(ocsvm_iterations=15), scale=ScaleOptions(chunk_rows=128))
+    s = {r.row_id: r.ocsvm for r in ocsvm_scores(df, plan, opts).collect()}
+    assert len(s) == 600
     out = np.array([s[i] for i in range(12)])
     inl = np.array([s[i] for i in range(12, 600)])
     assert np.median(out) > np.quantile(inl, 0.95)
