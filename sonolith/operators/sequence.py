@@ -62,7 +62,9 @@ def add_bucket(
         F.count(F.lit(1)).alias("_bn"), (epoch_minutes(F.max(ts)) - epoch_minutes(F.min(ts)) + 1).alias("_span")
     )
     width = F.greatest(F.lit(1), F.floor(F.col("_span") * F.lit(float(target_rows)) / F.col("_bn"))).cast("long")
-    widths = stats.select(*keys, width.alias("_bw"))
+    from sonolith.session import cut_lineage
+
+    widths = cut_lineage(stats.select(*keys, width.alias("_bw")))  # one row per key, computed once
     j = df.join(broadcast_if_small(widths, max_rows), keys, "left")
     return j.withColumn(BUCKET, bucket_expr(ts_col, width_minutes=F.coalesce(F.col("_bw"), F.lit(1)))).drop("_bw")
 

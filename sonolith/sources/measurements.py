@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sonolith.operators.quality import BAND_COLUMNS, add_derived_columns, add_quality_columns
 from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
+from sonolith.session import write_table
 
 
 def hour_floor(ts: F.Column) -> F.Column:
@@ -45,7 +46,8 @@ def measurement_table(spark: SparkSession, sf_dir: str, opts: Options) -> DataFr
     quality scan already computes as ``seq_pos`` (hours are unique per asset).
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "value")
-    grouped = hourly_groups(events, opts)
+    # the events aggregation is the expensive pass: materialise it once for the scans
+    grouped = write_table(hourly_groups(events, opts), "hourly")
     q = add_quality_columns(grouped, opts, ["asset_id"], order=["timestamp"])
     q = q.withColumn("row_id", F.col("seq_pos"))
     band_error = (F.col("row_id") % 20) == 7
