@@ -73,12 +73,16 @@ def _topk(n_feat: int):
     return fn
 
 
-def _merge_top(cands: DataFrame, kk_col: str = "kk") -> DataFrame:
-    """Best ``kk`` candidates per query, ordered by (distance, row id)."""
+def _merge_top(cands: DataFrame, kk_max: int, kk_col: str = "kk") -> DataFrame:
+    """Best ``kk`` candidates per query, ordered by (distance, row id).
+
+    ``row_number() <= kk_max`` (a literal) lets Spark keep a partial top-k per
+    query before the shuffle; only at most ``kk`` entries are collected.
+    """
+    w = Window.partitionBy("asset_key", "q_row").orderBy("d", "o")
+    top = cands.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= F.lit(kk_max)).where(F.col("_r") <= F.col(kk_col))
     lst = F.array_sort(F.collect_list(F.struct(F.col("d"), F.col("o"))))
-    return cands.groupBy("asset_key", "q_row", kk_col).agg(lst.alias("_all")).select(
-        "asset_key", "q_row", kk_col, F.slice(F.col("_all"), 1, F.col(kk_col)).alias("nbrs")
-    )
+    return top.groupBy("asset_key", "q_row", kk_col).agg(lst.alias("nbrs"))
 
 
 def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
@@ -159,7 +163,8 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     q = q.join(rng, "asset_key").withColumn("cell", cell_of(F.col("proj"))).join(cells, ["asset_key", "cell"], "inner")
     q = write_table(q.withColumnRenamed("row_id", "q_row").withColumnRenamed("block", "home"), "lof-query")
     pass1 = write_table(candidates(q.select("asset_key", F.col("home").alias("block"), "q_row", "kk", *FEATURE_SLOTS)), "lof-pass1")
-    top1 = _merge_top(pass1.join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"]))
+    kk_max = max(2, s3.lof_neighbors) + 1
+    top1 = _merge_top(pass1.join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"]), kk_max)
     theta = F.when(F.size("nbrs") >= F.col("kk"), F.element_at("nbrs", -1)["d"])
     # a query whose home slab holds fewer than k+1 training rows (or none) keeps an
     # unbounded radius and searches every slab
@@ -173,7 +178,7 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     q2 = q2.withColumn("block", F.explode(F.sequence(F.col("b_lo"), F.col("b_hi")))).where(F.col("block") != F.col("home"))
     pass2 = candidates(q2.select("asset_key", "block", "q_row", "kk", *FEATURE_SLOTS))
     allc = pass1.unionByName(pass2).join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"])
-    merged = _merge_top(allc)
+    merged = _merge_top(allc, kk_max)
     return write_table(merged.join(p.select("asset_key", "k", *keys), "asset_key", "inner"), "lof-knn")
 
 
