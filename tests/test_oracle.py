@@ -50,3 +50,11 @@ def test_query_matches_oracle(spark, con, name):
 @pytest.mark.parametrize("name", [n for n, q in REGISTRY.items() if q.sql is None])
 def test_rows_only_queries_run(spark, name):
     assert REGISTRY[name].run(spark, SF_DIR).count() >= 0
+
+
+@pytest.mark.parametrize("name", list(REGISTRY))
+def test_plan_has_no_nested_loop_or_cartesian(spark, name):
+    """Range predicates go through binned equi-joins; nothing plans all pairs."""
+    plan = REGISTRY[name].run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
