@@ -18,23 +18,29 @@ def is_alert(prefix: str) -> Column:
     return F.col(f"{prefix}_severity").isin(*V.ALERT_SEVERITIES)
 
 
-def alert_rows_with_event_ids(df: DataFrame, prefix: str, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
+def alert_rows_with_event_ids(
+    df: DataFrame, prefix: str, keys: Sequence[str] = ("asset_id",), adjacency: str = "file"
+) -> DataFrame:
     """Alert rows (WARNING/ANOMALY) with 1-based ``event_id`` per asset.
 
-    A new event starts when the row id is not the previous alert row's id + 1 or
-    the segment changes (gaps-and-islands over the sparse alert rows).
+    A new event starts when the row is not adjacent to the previous alert row or
+    the segment changes (gaps-and-islands over the sparse alert rows).  Adjacency
+    is by file position (``row_id``, the documented behaviour: an unsorted file
+    splits events) or, with ``adjacency="time"``, by position in time order
+    (``seq_pos``).
     """
+    pos = {"file": "row_id", "time": "seq_pos"}[adjacency]
 
     def new_event(cur, prev):
         return (
-            prev["row_id"].isNull()
-            | (cur["row_id"] - prev["row_id"] != F.lit(1))
+            prev[pos].isNull()
+            | (cur[pos] - prev[pos] != F.lit(1))
             | (cur["segment_id"] != prev["segment_id"])
         )
 
     alerts = df.filter(is_alert(prefix))
     # the first alert row of an asset has no previous row: a break, so ids start at 1
-    numbered = count_breaks(alerts, keys, CANONICAL_ORDER, ["row_id", "segment_id"], new_event, "event_id")
+    numbered = count_breaks(alerts, keys, CANONICAL_ORDER, [pos, "segment_id"], new_event, "event_id")
     return numbered.withColumns(
         {
             "is_reduced_quality": F.coalesce(F.col("quality_flag") == F.lit(V.REDUCED_QUALITY), F.lit(False)),

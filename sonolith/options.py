@@ -88,6 +88,8 @@ class Options:
     reduced_quality_min_samples: int = 100
     max_points_per_series: int = 5000
     inspection_window_hours: int = 2
+    # event adjacency: "file" (row_id, documented behaviour) or "time" (position in time order)
+    event_adjacency: str = "file"
     stage1: Stage1Options = field(default_factory=Stage1Options)
     stage2: Stage2Options = field(default_factory=Stage2Options)
     stage3: Stage3Options = field(default_factory=Stage3Options)

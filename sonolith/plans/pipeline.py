@@ -46,7 +46,7 @@ def run_stage1(measurements: DataFrame, opts: Options, keys: Sequence[str] = ("a
     rows = apply_stage1_rules(apply_baseline(measurements, hourly, weekday_hourly, opts, keys), opts, keys)
     if cut:
         rows = write_table(rows, "stage1")
-    alerts = alert_rows_with_event_ids(rows, "stage1", keys)
+    alerts = alert_rows_with_event_ids(rows, "stage1", keys, opts.event_adjacency)
     events = finish_stage1_events(
         build_events(alerts, "stage1", opts.expected_interval_minutes, keys, extra_aggs=stage1_event_aggs())
     )
@@ -73,7 +73,7 @@ def run_stage2(rows: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id"
     annotated = _annotate_stage2(rows, opts, keys, cut=(lambda d: write_table(d, "stage2-scored")) if cut else None)
     if cut:
         annotated = write_table(annotated, "stage2")
-    alerts = alert_rows_with_event_ids(annotated, "stage2", keys)
+    alerts = alert_rows_with_event_ids(annotated, "stage2", keys, opts.event_adjacency)
     events = build_events(alerts, "stage2", opts.expected_interval_minutes, keys, score_column="multivariate_score")
     return Stage2Result(annotated, alerts, events)
 
@@ -191,7 +191,7 @@ def run_stage3(
     p, w = F.col("stage3_persistent_warning"), F.col("stage3_warning_now")
     comb = comb.withColumns({"stage3_severity": severity(p, w), "stage3_message": stage3_message(p, w, F.col("stage3_votes"))})
     annotated = t(apply_row_ampel(comb))
-    alerts = alert_rows_with_event_ids(annotated, "stage3", keys)
+    alerts = alert_rows_with_event_ids(annotated, "stage3", keys, opts.event_adjacency)
     events = build_events(
         alerts, "stage3", opts.expected_interval_minutes, keys, score_column="stage3_consensus_score", extra_aggs=stage3_event_aggs()
     )

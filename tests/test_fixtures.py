@@ -157,3 +157,17 @@ def test_event_ampel(spark):
     )
     for r in finish_stage3_events(df, 5).collect():
         assert r.ampel_rank == r.expect
+
+
+def test_event_adjacency_file_vs_time(spark):
+    """An unsorted file: time neighbours 1,2,3 sit at file positions 0, 5, 2."""
+    base = dt.datetime(2024, 1, 1)
+    order = [0, 3, 2, 4, 5, 1]  # file position -> minute
+    rows = [("a", pos, base + dt.timedelta(minutes=m), 200.0, False) for pos, m in enumerate(order)]
+    df = spark.createDataFrame(rows, "asset_id string, row_id long, timestamp timestamp_ntz, samples_count double, w boolean")
+    q = add_quality_columns(df, Options())
+    alert = F.col("timestamp").isin(base + dt.timedelta(minutes=1), base + dt.timedelta(minutes=2), base + dt.timedelta(minutes=3))
+    q = q.withColumns({"stage1_severity": F.when(alert, F.lit("WARNING")).otherwise(F.lit("NORMAL")), "stage1_message": F.lit("m")})
+    by_file = alert_rows_with_event_ids(q, "stage1").select("event_id").distinct().count()
+    by_time = alert_rows_with_event_ids(q, "stage1", adjacency="time").select("event_id").distinct().count()
+    assert (by_file, by_time) == (3, 1)
