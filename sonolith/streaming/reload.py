@@ -6,8 +6,8 @@ file-source stream picks up new CSV files; each micro-batch (``foreachBatch``)
 1. parses the new rows (same expressions as the batch ingest) and appends them to
    a parquet store partitioned by asset, with ``row_id = batch_id * 2^32 + file
    position`` so file order stays monotone across batches;
-2. recomputes the prepared series and Stage-1 events for the assets touched by
-   the batch only (``left_semi`` on the touched assets); across arrivals, row
+2. recomputes the prepared series and the events of Stages 1-3 for the assets
+   touched by the batch only (``left_semi`` on the touched assets); across arrivals, row
    adjacency follows time order (``row_id`` := position per asset);
 3. overwrites those assets' partitions of the event table (dynamic partition
    overwrite), so a replayed batch produces the same result.
@@ -24,7 +24,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from sonolith.operators.quality import BAND_COLUMNS, prepare_series
 from sonolith.options import Options
-from sonolith.plans.pipeline import run_stage1
+from sonolith.plans.pipeline import run_stage1, run_stage2, run_stage3
 from sonolith.session import ensure_checkpoint_dir, write_table
 from sonolith.sources.csv_ingest import NUMBER_COLUMNS, parse_measurements, with_file_row_ids
 
@@ -34,7 +34,7 @@ def text_schema(opts: Options, asset_col: str) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
-def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str):
+def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str, stages: int):
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if batch.limit(1).count() == 0:
@@ -50,7 +50,13 @@ def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str):
         # adjacency across arrivals follows time order: row_id becomes the position
         # per asset (file positions of different files are not comparable)
         series = write_table(prepare_series(history, opts).withColumn("row_id", F.col("seq_pos")), "stream-series")
-        events = run_stage1(series, opts).events
+        s1 = run_stage1(series, opts)
+        events = s1.events
+        if stages >= 2:
+            s2 = run_stage2(s1.rows, opts)
+            events = events.unionByName(s2.events, allowMissingColumns=True)
+            if stages >= 3:
+                events = events.unionByName(run_stage3(s2.rows, opts).events, allowMissingColumns=True)
         (
             events.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -70,7 +76,9 @@ def start_reload_stream(
     asset_col: str = "asset_id",
     name: str = "reload",
     available_now: bool = True,
+    stages: int = 3,
 ) -> StreamingQuery:
+    """Start the reload stream; ``stages`` (1-3) selects how many stages are recomputed."""
     ckpt = ensure_checkpoint_dir(spark).rstrip("/") + f"/stream-{name}"
     stream = (
         spark.readStream.schema(text_schema(opts, asset_col))
@@ -79,6 +87,6 @@ def start_reload_stream(
         .option("maxFilesPerTrigger", 1)
         .csv(source_dir)
     )
-    writer = stream.writeStream.foreachBatch(_process(opts, asset_col, store_dir, events_dir)).option("checkpointLocation", ckpt)
+    writer = stream.writeStream.foreachBatch(_process(opts, asset_col, store_dir, events_dir, stages)).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
