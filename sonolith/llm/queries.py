@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sonolith.llm.minhash import near_duplicates
+from sonolith.llm.mixing import mix_sources
+from sonolith.llm.packing import pack
+from sonolith.llm.sharding import interleave
 from sonolith.llm.substring import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +36,70 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         coalesce('a' || source, 'b') AS src, coalesce(md5(doc_id::VARCHAR), '') AS digest
+  FROM documents),
+s AS (SELECT src, sum(size)::BIGINT AS source_size FROM d GROUP BY src),
+w AS (SELECT *, ((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::BIGINT AS weight, 3 * source_size AS cap FROM s),
+r AS (SELECT *, cap / weight AS ratio FROM w),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT
+        / (sum(weight) OVER (ORDER BY ratio, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level FROM r),
+t AS (SELECT src, source_size, CASE WHEN ratio <= level THEN cap::DOUBLE
+        ELSE max(CASE WHEN ratio > level THEN level END) OVER () * weight END AS target FROM l),
+k AS (SELECT d.doc_id, d.size, t.source_size, t.target, row_number() OVER (PARTITION BY src ORDER BY d.size, d.digest) AS rank,
+        CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
+        (('0x' || substr(md5('mix' || src), 1, 8))::BIGINT % 1000000 + 0.5::DOUBLE) / 1000000 AS shift
+      FROM d JOIN t USING (src))
+SELECT doc_id, size::BIGINT AS size, source_size, target,
+       size * (floor(rate * rank + shift) - floor(rate * (rank - 1) + shift))::BIGINT AS taken
+FROM k
+"""
+
+
+@query("op2_mix_sources", MIX_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+SHARD_SQL = r"""
+WITH c AS (
+  SELECT list(list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc
+  FROM (SELECT range AS i FROM range(256))),
+d AS (
+  SELECT doc_id, source, coalesce(strlen(text), 0) + 8 AS size, coalesce('a' || source, 'b') AS src,
+         md5('shard' || coalesce(doc_id::VARCHAR, 'null')) AS digest,
+         xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+                         lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, c),
+r AS (SELECT *, (2 * row_number() OVER (PARTITION BY src ORDER BY digest, text_crc32, size) - 1) / (2 * count(*) OVER (PARTITION BY src)) AS place FROM d),
+g AS (SELECT *, row_number() OVER (ORDER BY place, src, digest, text_crc32, size) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (pos * 24 // total)::INTEGER AS shard,
+       pos - ((pos * 24 // total) * total + 23) // 24 AS slot, NULL::INTEGER AS grown_shard
+FROM g
+"""
+
+
+@query("op5_interleaved_shards", SHARD_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = interleave(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), str(tokenizer_path()))
+
+
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
