@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonolith.llm import langid
 from sonolith.llm.minhash import near_duplicates
 from sonolith.llm.mixing import mix_sources
 from sonolith.llm.packing import pack
+from sonolith.llm.quality import judge
 from sonolith.llm.sharding import interleave
 from sonolith.llm.substring import remove_repeats
 
@@ -64,6 +66,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs, langid.fit(docs))
+    return out.select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 SHARD_SQL = r"""
 WITH c AS (
   SELECT list(list_reduce(list_prepend(i, [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]),
@@ -103,3 +112,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUALITY_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('a' || source, 'b') AS src, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
+h AS (SELECT rid, p, count(*) OVER (PARTITION BY rid, w[p], w[p + 1], w[p + 2]) AS n FROM g),
+rep AS (SELECT rid, count(DISTINCT q) AS n_repeat_words FROM (SELECT rid, unnest([p, p + 1, p + 2]) AS q FROM h WHERE n > 1) GROUP BY rid),
+l AS (SELECT rid, src, text, unnest(string_split(text, chr(10))) AS line FROM d),
+v AS (SELECT rid, src, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+             regexp_replace(translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm
+      FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM v GROUP BY rid),
+hosts AS (SELECT src, count(DISTINCT text) AS texts FROM d GROUP BY src),
+often AS (SELECT src, norm FROM (SELECT src, norm, count(DISTINCT text) AS n FROM v GROUP BY src, norm) JOIN hosts USING (src)
+          WHERE n > 10 AND n > texts * 0.01),
+rem AS (SELECT rid, sum(words) AS removed FROM v JOIN often USING (src, norm) GROUP BY rid),
+b AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0) AS removed
+  FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rem USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed) >= 30 * n_words AS kept
+FROM b
+"""
+
+
+@query("op9_line_frequency_rules", QUALITY_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents")).drop("removed_words")
