@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import langid
+from sonolith.llm import chat, langid
+from sonolith.llm.extraction import extract
 from sonolith.llm.minhash import near_duplicates
 from sonolith.llm.mixing import mix_sources
 from sonolith.llm.packing import pack
 from sonolith.llm.quality import judge
 from sonolith.llm.sharding import interleave
+from sonolith.llm.spotsigs import fingerprints
 from sonolith.llm.substring import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +68,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query("op3_spot_signatures")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op4_language_id")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +116,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(tokenizer_path()))
 
 
+@query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -146,3 +158,9 @@ FROM b
 @query("op9_line_frequency_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("removed_words")
+
+
+@query("op10_transcript_roles")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.parse_transcripts(turns, chat.fit(turns))

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
 
-_WORD_BYTE = np.ones(256, dtype=bool)
-_WORD_BYTE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+WORD_BYTES = np.ones(256, dtype=bool)
+WORD_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -107,10 +107,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def split(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
+def split(data: np.ndarray, offs: np.ndarray, lower: bool = False, word_bytes: np.ndarray = WORD_BYTES) -> Words:
     if lower:
         data = _LOWER[data]
-    word = _WORD_BYTE[data]
+    word = word_bytes[data]
     before = np.zeros(len(data), dtype=bool)
     before[1:] = word[:-1]
     inner = offs[(offs > 0) & (offs < len(data))]
@@ -123,13 +123,13 @@ def split(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> Words:
     return Words(data, start, end, np.searchsorted(start, offs))
 
 
-def slices(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def slices(texts: pa.Array, lower: bool = False, word_bytes: np.ndarray = WORD_BYTES) -> Iterator[tuple[int, int, Words]]:
     """Whole documents i to j at a time, of about SLICE_BYTES together."""
     data, offs = buffers(texts)
     i, n = 0, len(offs) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(offs, offs[i] + SLICE_BYTES, side="right")) - 1))
-        yield i, j, split(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower)
+        yield i, j, split(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], lower, word_bytes)
         i = j
 
 
