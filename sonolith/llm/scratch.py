@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,12 +19,40 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _OPEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables saved so far. Call it only when every result that reads them is written."""
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _OPEN.pop(spark.sparkContext.applicationId, []):
+    for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove saved tables that nothing unwritten reads any more."""
+    for t in tables:
+        _OPEN[t.sparkSession.sparkContext.applicationId].remove(t.scratch_path)
+        _remove(t.sparkSession, [t.scratch_path])
+
+
+def saved(spark: SparkSession) -> list[str]:
+    """Paths of the tables that are still there."""
+    return list(_OPEN.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these tables. Call it only when every result that reads them is written."""
+    still = _OPEN.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in paths if p in still]:
+        still.remove(path)
+        _remove(spark, [path])
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs whose results are written: it does so when the
+    driver collects what referred to them, which on a quiet driver may be hours later."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

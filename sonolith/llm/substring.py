@@ -11,7 +11,7 @@ greatest edge hash; combined before the shuffle) sorts nodes into
 * nonbranching: every occurrence has the same edges, so the paths through it are one
   path and compact to a repeated span without looking at single windows,
 * branching: occurrences differ somewhere within reach; there the source coordinates
-  decide, by comparing 128-bit hashes of each whole window.
+  decide, by comparing 96-bit hashes of each whole window.
 
 Equal windows have the same minimizer, hence the same node and the same kind, so the
 result is that of comparing all windows. Rows go by the pair (doc_id, hash of the
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sonolith.llm import scratch
 from sonolith.llm.words import WORD_BASES, Windows, Words, mix, signed, slices
@@ -97,7 +98,7 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, k: int) -> Iterator
             null = np.arange(len(s)) < len(s1)
             take = pa.array(doc + i)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(take), b.column("dk").take(take), pa.array((s - words.first[doc]).astype(np.int32)), pa.array((e - words.first[doc]).astype(np.int32)), pa.array(signed(mix(roll.of(s, e))), mask=null), pa.array(signed(mix(roll2.of(s, e))), mask=null)],
+                [b.column("doc_id").take(take), b.column("dk").take(take), pa.array((s - words.first[doc]).astype(np.int32)), pa.array((e - words.first[doc]).astype(np.int32)), pa.array(signed(mix(roll.of(s, e))), mask=null), pa.array((mix(roll2.of(s, e)) >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=null)],
                 names=["doc_id", "dk", "start", "end", "h1", "h2"],
             )
 
@@ -123,10 +124,12 @@ def _rewrite(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.
                 digest.append(hashlib.sha256(text).hexdigest())
                 texts.append(text if keep_text else b"")
             del body
-        cols = [b.column("doc_id"), b.column("dk"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
-        names = ["doc_id", "dk", "n_words", "n_removed", "kept_sha256"]
+        cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+        names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if keep_text:
             cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+        if "row" in b.schema.names:
+            cols, names = [*cols, b.column("row")], [*names, "row"]
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
@@ -134,12 +137,33 @@ def key_column(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER, keep_text: bool = False) -> DataFrame:
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["dk"] == b["dk"])
+
+
+def _candidates(rows: DataFrame, id_type: str, window: int, k: int) -> DataFrame:
+    """What the compacted graph leaves: repeated spans (h1 null), and windows to compare by hash."""
+    occ = scratch.save(rows.mapInArrow(partial(_anchors, window=window, k=k), f"node long, edges long, doc_id {id_type}, dk long, pos int"), "anchors")
+    nodes = occ.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edges").alias("lo"), F.max("edges").alias("hi")).where("n > 1")
+    # compaction: each occurrence learns from its node whether the path through it branches
+    marks = (
+        occ.select("node", "doc_id", "dk", "pos")
+        .join(nodes.select("node", (F.col("lo") == F.col("hi")).alias("path")), "node")
+        .groupBy("doc_id", "dk")
+        .agg(F.collect_set(F.when(F.col("path"), F.col("pos") + 1).otherwise(-F.col("pos") - 1)).alias("at"))
+    )
+    marked = rows.join(marks, _same(rows, marks)).select(rows["doc_id"], rows["dk"], "text", "at")
+    found = scratch.save(marked.mapInArrow(partial(_windows, window=window, k=k), f"doc_id {id_type}, dk long, start int, end int, h1 long, h2 int"), "windows")
+    scratch.drop(occ)
+    return found
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER, keep_text: bool = False, carry: bool = False) -> DataFrame:
     """Remove every word covered by a ``window``-word sequence that starts anywhere else as well.
 
     ``docs`` needs doc_id (long) and text; other columns are ignored. Returns one row per
     input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
-    space) and, with ``keep_text``, dk (xxhash64 of doc_id and text) and kept_text.
+    space), with ``keep_text`` also kept_text, with ``carry`` also row, all input columns.
     Null and empty texts and texts of fewer than ``window`` words lose nothing (null: no
     words, the digest of an empty text). A null doc_id is a value like any other. Repeated
     rows repeat each other's windows, so all of these go. An empty table gives no rows.
@@ -148,30 +172,21 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER, keep_text:
         raise ValueError(f"a k-mer of {k} words does not fit a window of {window}")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", key_column().alias("dk"))
-    occ = scratch.save(rows.mapInArrow(partial(_anchors, window=window, k=k), f"node long, edges long, doc_id {id_type}, dk long, pos int"), "anchors")
-    nodes = occ.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("edges").alias("lo"), F.max("edges").alias("hi")).where("n > 1")
-    # compaction: each occurrence learns from its node whether the path through it branches
-    marks = (
-        occ.select("node", "doc_id", "dk", "pos")
-        .join(nodes.select("node", (F.col("lo") == F.col("hi")).alias("path")), "node")
-        .groupBy("doc_id", "dk")
-        .agg(F.collect_set(F.when(F.col("path"), F.col("pos") + 1).otherwise(-F.col("pos") - 1)).alias("at"))
-    )
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["dk"] == b["dk"])
-    found = scratch.save(
-        rows.join(marks, same(rows, marks)).select(rows["doc_id"], rows["dk"], "text", "at").mapInArrow(partial(_windows, window=window, k=k), f"doc_id {id_type}, dk long, start int, end int, h1 long, h2 long"),
-        "windows",
-    )
+    found = _candidates(rows, id_type, window, k)
+    scratch.settle(docs.sparkSession)
     single = found.where(F.col("h1").isNotNull())
     twice = single.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
     spans = (
-        single.join(twice, ["h1", "h2"], "left_semi")
-        .select("doc_id", "dk", "start", "end")
+        single.select("h1", "h2", "doc_id", "dk", "start")
+        .join(twice, ["h1", "h2"], "left_semi")
+        .select("doc_id", "dk", "start", (F.col("start") + window).alias("end"))
         .unionByName(found.where(F.col("h1").isNull()).select("doc_id", "dk", "start", "end"))
         .groupBy("doc_id", "dk")
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    joined = rows.join(spans, same(rows, spans), "left").select(rows["doc_id"], rows["dk"], "text", F.coalesce("spans", none).alias("spans"))
-    out = joined.mapInArrow(partial(_rewrite, keep_text=keep_text), f"doc_id {id_type}, dk long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)
-    return out if keep_text else out.drop("dk")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    base = docs.select("doc_id", "text", key_column().alias("dk"), *[whole] * carry)
+    joined = base.join(spans, _same(base, spans), "left").select(base["doc_id"], "text", F.coalesce("spans", none).alias("spans"), *["row"] * carry)
+    fields = [base.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)]
+    return joined.mapInArrow(partial(_rewrite, keep_text=keep_text), T.StructType(fields + [f for f in base.schema if f.name == "row"]))
