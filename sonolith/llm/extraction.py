@@ -3,7 +3,7 @@
 Each block element and each run of text is a variable with three states: boilerplate,
 container, content. Potentials of a node come from its tag, the words of its class, id and
 role, its share of linked text and its length; potentials of a parent and its child are
-one table. Sum-product messages pass from the leaves to the root and back, which gives
+one table for each kind of child: text, plain block, other element. Sum-product messages pass from the leaves to the root and back, which gives
 exact marginals on a tree. The weights maximise the likelihood of labelled pages, by the
 same messages. A page's text is that of the runs that are more likely content than not.
 """
@@ -44,30 +44,42 @@ def node_features(n: Node, parent_tag: str) -> list[str]:
     links = "links=%d" % (0 if share < 0.05 else 1 if share < 0.5 else 2)
     if n.tag == "#text":
         return ["text", f"in={parent_tag}", f"text {size}", f"text {links}"] + ["stop"] * (n.text[-1] in ".!?:;…\"")
-    out = [f"tag={n.tag}", size, links]
+    out = [f"tag={n.tag}", links]
     if n.attrs:
         out += _cues(" ".join(n.attrs.get(k, "") for k in ("class", "id", "role")))
     return out
 
 
+#: Blocks that say nothing of their own, if they have no telling class, id or role.
+PLAIN = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 blockquote pre table tbody thead tr td th figure figcaption".split())
+KINDS = 3
+
+
+def kind(n: Node, features: list[str]) -> int:
+    return 0 if n.tag == "#text" else 1 if n.tag in PLAIN and not any(f.startswith("cue") for f in features) else 2
+
+
 @dataclass
 class Forest:
-    """Nodes of several pages: parents (-1: a root), levels from the roots, and features."""
+    """Nodes of several pages: parents (-1: a root), kinds, levels from the roots, and features."""
 
     parent: np.ndarray
+    kind: np.ndarray
     levels: list[np.ndarray]
     owner: np.ndarray  # node of each feature
     feature: np.ndarray
 
 
 def forest(trees: list[list[Node]], names: dict[str, int], grow: bool = False) -> Forest:
-    parent, depth, owner, feature = [], [], [], []
+    parent, kinds, depth, owner, feature = [], [], [], [], []
     for nodes in trees:
         base = len(parent)
         for k, n in enumerate(nodes):
             parent.append(n.parent + base if n.parent >= 0 else -1)
             depth.append(n.depth)
-            for f in node_features(n, nodes[n.parent].tag if n.parent >= 0 else ""):
+            features = node_features(n, nodes[n.parent].tag if n.parent >= 0 else "")
+            kinds.append(kind(n, features))
+            for f in features:
                 i = names.setdefault(f, len(names)) if grow else names.get(f, -1)
                 if i >= 0:
                     owner.append(base + k)
@@ -75,7 +87,7 @@ def forest(trees: list[list[Node]], names: dict[str, int], grow: bool = False) -
     depths = np.array(depth)
     order = np.argsort(depths, kind="stable")
     levels = np.split(order, np.flatnonzero(np.diff(depths[order])) + 1)
-    return Forest(np.array(parent), levels, np.array(owner, dtype=np.int64), np.array(feature, dtype=np.int64))
+    return Forest(np.array(parent), np.array(kinds), levels, np.array(owner, dtype=np.int64), np.array(feature, dtype=np.int64))
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -87,7 +99,7 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 class Model:
     names: dict[str, int]
     unary: np.ndarray  # features x states
-    pair: np.ndarray  # parent's state x child's
+    pair: np.ndarray  # kind of child x parent's state x child's
 
     def marginals(self, f: Forest) -> tuple[np.ndarray, np.ndarray]:
         """Of each node, and of each node with its parent (parent's state x own)."""
@@ -96,13 +108,13 @@ class Model:
         np.add.at(below, f.owner, self.unary[f.feature])
         up = np.zeros((n, k))  # message to the parent
         for level in reversed(f.levels[1:]):
-            up[level] = _log_sum(self.pair[None] + below[level][:, None, :], axis=2)
+            up[level] = _log_sum(self.pair[f.kind[level]] + below[level][:, None, :], axis=2)
             np.add.at(below, f.parent[level], up[level])
         belief = below.copy()
         both = np.zeros((n, k, k))
         for level in f.levels[1:]:
             p = f.parent[level]
-            rest = (belief[p] - up[level])[:, :, None] + self.pair[None]
+            rest = (belief[p] - up[level])[:, :, None] + self.pair[f.kind[level]]
             belief[level] += _log_sum(rest, axis=1)
             both[level] = rest + below[level][:, None, :]
         prob = np.exp(belief - _log_sum(belief, axis=1)[:, None])
@@ -119,24 +131,26 @@ def labels(nodes: list[Node]) -> list[int]:
     return out
 
 
-def train(labelled: list[str], steps: int = 300, rate: float = 0.1, ridge: float = 0.02) -> Model:
-    """Maximum likelihood (with a ridge) by gradient ascent on exact expectations."""
+def train(labelled: list[str], steps: int = 500, rate: float = 0.05, ridge: float = 0.001) -> Model:
+    """Maximum likelihood (with a ridge) by Adam steps on exact expectations."""
     trees = [parse(p) for p in labelled]
     names: dict[str, int] = {}
     f = forest(trees, names, grow=True)
     truth = np.eye(len(STATES))[[s for t in trees for s in labels(t)]]
     child = np.flatnonzero(f.parent >= 0)
-    seen = np.einsum("ni,nj->ij", truth[f.parent[child]], truth[child])
-    m = Model(names, np.zeros((len(names), len(STATES))), np.zeros((len(STATES), len(STATES))))
-    speed = [np.zeros_like(m.unary), np.zeros_like(m.pair)]
-    for _ in range(steps):
+    of_kind = np.eye(KINDS)[f.kind[child]]
+    seen = np.einsum("nk,ni,nj->kij", of_kind, truth[f.parent[child]], truth[child])
+    m = Model(names, np.zeros((len(names), len(STATES))), np.zeros((KINDS, len(STATES), len(STATES))))
+    mean, square = ([np.zeros_like(m.unary), np.zeros_like(m.pair)] for _ in range(2))
+    for t in range(1, steps + 1):
         prob, pairs = m.marginals(f)
-        grads = [np.zeros_like(m.unary), seen - pairs[child].sum(axis=0)]
+        grads = [np.zeros_like(m.unary), seen - np.einsum("nk,nij->kij", of_kind, pairs[child])]
         np.add.at(grads[0], f.feature, (truth - prob)[f.owner])
-        for w, g, v in zip((m.unary, m.pair), grads, speed, strict=True):
+        for w, g, v1, v2 in zip((m.unary, m.pair), grads, mean, square, strict=True):
             g -= ridge * len(labelled) * w
-            v += g * g
-            w += rate * g / np.sqrt(v + 1e-8)
+            v1 += 0.1 * (g - v1)
+            v2 += 0.01 * (g * g - v2)
+            w += rate * (v1 / (1 - 0.9**t)) / (np.sqrt(v2 / (1 - 0.99**t)) + 1e-8)
     return m
 
 

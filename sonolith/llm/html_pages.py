@@ -29,5 +29,57 @@ PAGES = [
 ]
 
 
+# Boilerplate around and inside the content, and ways to hold the content.
+AROUND = [
+    _NAV,
+    '<header y="b"><h1>{s}</h1><p>{m}</p></header>',
+    '<div class="ad" y="b">{m}</div>',
+    '<aside y="b"><p>{l}</p></aside>',
+    '<div id="comments" y="b"><p>{l}</p><p>{m}</p></div>',
+    '<form y="b"><label>{s}</label><input><button>{s}</button></form>',
+    '<div class="cookie-banner" y="b"><p>{l}</p><button>{s}</button></div>',
+    '<div class="sidebar" y="b"><h3>{s}</h3><p>{l}</p></div>',
+    '<ul class="menu" y="b"><li><a>{s}</a></li><li><a>{s}</a></li></ul>',
+    '<section class="comments" y="b"><h3>{s}</h3><ol><li><p>{m}</p></li><li><p>{l}</p></li></ol></section>',
+    '<div role="alert" class="notice" y="b"><p>{m}</p></div>',
+    '<div class="advertisement" y="b"><h3>{s}</h3><p>{l}</p><a>{s}</a></div>',
+    '<aside y="b"><h2>{s}</h2><ul><li><a>{m}</a></li><li><a>{s}</a></li></ul></aside>',
+    '<div class="related-posts" y="b"><h3>{s}</h3><p><a>{m}</a></p><p><a>{m}</a></p></div>',
+    '<form class="search" y="b"><input><button>{s}</button></form>',
+    '<div id="footer" y="b"><p>{m}</p><p><a>{s}</a></p></div>',
+    '<section id="respond" y="b"><h3>{s}</h3><form><label>{s}</label><textarea></textarea><button>{m}</button></form></section>',
+]
+HOLD = [
+    '<article y="c">{x}</article>',
+    '<main y="c">{x}</main>',
+    '<main><article y="c">{x}</article></main>',
+    '<div id="content" y="c">{x}</div>',
+    '<div class="wrapper"><div class="post-body" y="c">{x}</div></div>',
+    '<div><section class="entry" y="c">{x}</section></div>',
+    '<div y="c">{x}</div>',
+]
+BODY = [
+    "<h1>{s}</h1><p>{l}</p><p>{m}</p>{i}<p>{l}</p>",
+    "<h2>{s}</h2><p>{m}<p>{l}<ul><li>{m}<li>{s}.</ul>{i}",
+    "<h1>{s} {s}</h1>{i}<p>{l}</p><blockquote>{m}</blockquote><h3>{s}</h3><ol><li>{m}</li></ol><p>{s}</p>",
+    "<h1>{m}</h1><p>{s}.</p>",
+    "<h1>{s}</h1><p><b>{m}<br><p>{s}</p>{i}",
+    "<h1>{s} {s}</h1><p><b>{m}<br></p><p>{m}</p>{i}<p>{s}</p>",
+    "<h1>{s}</h1><p>{m}</p>",
+    "<p>{m}</p><p>{m}</p><table><tr><th>{s}</th><td>{m}</td></tr></table><pre>{m}</pre>{i}<p>{s}.</p>",
+]
+
+
+def composed(n: int = 119) -> list[str]:
+    """Every holder with every body, and each piece of boilerplate before, after and inside it."""
+    out = []
+    for k in range(n):
+        part = lambda j: AROUND[(k + j) % len(AROUND)]  # noqa: E731,B023
+        body = BODY[k % len(BODY)].replace("{i}", part(5) if k % 2 else "")
+        hold = HOLD[k % len(HOLD)].replace("{x}", body)
+        out.append('<html y="n"><body>' + part(0) + part(7) + hold + part(3) + part(11) + (_FOOT if k % 3 else "") + "</body></html>")
+    return out
+
+
 def pages() -> list[str]:
-    return [p.replace("{s}", S).replace("{m}", M).replace("{l}", L) for p in PAGES]
+    return [p.replace("{s}", S).replace("{m}", M).replace("{l}", L) for p in [*PAGES, *composed()]]
