@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -145,7 +144,7 @@ def _sign(batches: Iterator[pa.RecordBatch], o: MinHashOptions) -> Iterator[pa.R
             keys[n == 0] = 0
             flat = pa.array(signed(keys.reshape(-1)))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * o.bands, o.bands, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(signed(cid), mask=n == 0), lists], names=["doc_id", "n_shingles", "cid", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("th").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(signed(cid), mask=n == 0), lists], names=["doc_id", "th", "n_shingles", "cid", "bands"])
 
 
 def _class_ids(s: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -225,15 +224,20 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
     """Groups of documents whose sets of word shingles (lower case) are linked, directly or through others.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns one row per input row:
-    doc_id, n_shingles, component_id (least doc_id reachable), kept (doc_id = component_id).
+    doc_id, th (xxhash64 of the text), n_shingles, component_id (least doc_id reachable), kept
+    (doc_id = component_id).
     Null texts and texts without a word have an empty set and are linked with nothing. A null
     doc_id is never the least one unless the whole group has no other; repeated rows share a
     class. An empty table gives no rows. Classes are told apart by 64-bit hashes of their sets.
     """
     o = options or MinHashOptions()
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
-    signed_docs = scratch.save(rows.mapInArrow(partial(_sign, o=o), f"doc_id {id_type}, n_shingles long, cid long, bands array<long>"), "signed")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sign(batches, o)
+
+    signed_docs = scratch.save(rows.mapInArrow(sign, f"doc_id {id_type}, th long, n_shingles long, cid long, bands array<long>"), "signed")
     classes = signed_docs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     # equal sets have equal bands: those of each class' first row
     first = (signed_docs["cid"] == classes["cid"]) & signed_docs["doc_id"].eqNullSafe(classes["first_id"])
@@ -249,10 +253,14 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
         "component", "cid", "first_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
     )
     texts = meets.join(rows, meets["first_id"].eqNullSafe(rows["doc_id"])).select("component", "x", "y", "side", "cid", "text")
-    links = scratch.save(texts.groupBy("component", "x", "y").applyInPandas(partial(_link, o=o), "a long, b long"), "links")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _link(pdf, o)
+
+    links = scratch.save(texts.groupBy("component", "x", "y").applyInPandas(link, "a long, b long"), "links")
     groups = components(links, "a", "b")
     least = groups.join(classes, groups["node"] == classes["cid"]).groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = classes.select("cid", "first_id").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(least, "component", "left").select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = signed_docs.select("doc_id", "n_shingles", "cid").join(by_class, "cid", "left")
+    out = signed_docs.select("doc_id", "th", "n_shingles", "cid").join(by_class, "cid", "left")
     comp = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "th", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

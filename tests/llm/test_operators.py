@@ -1,0 +1,317 @@
+"""Operators against plain versions, SQL and held-out accuracy."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import brute
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sonolith.llm import chat, langid, words
+from sonolith.llm.extraction import default_model, forest, labels, main_texts
+from sonolith.llm.html_pages import pages
+from sonolith.llm.html_tree import parse
+from sonolith.llm.minhash import MinHashOptions, estimate, near_duplicates, shingles, sketches
+from sonolith.llm.mixing import mix_sources
+from sonolith.llm.packing import ChunkEncoder, PackOptions, best_fit, pack
+from sonolith.llm.queries import ORACLES, QUERIES, tokenizer_path
+from sonolith.llm.spotsigs import SpotOptions, fingerprints, pruned_jaccard, signatures
+from sonolith.llm.substring import remove_repeats
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+# ------------------------------------------------------------------ words
+@given(st.lists(st.text(alphabet="ab \n\t\x0b\x0cé Z", max_size=30) | st.none(), max_size=8))
+@settings(max_examples=60, deadline=None)
+def test_words_match_the_pattern(texts):
+    got, slice_bytes = [], words.SLICE_BYTES
+    words.SLICE_BYTES = 16
+    try:
+        for _, _, w in words.slices(pa.array(texts, pa.string())):
+            body = w.data.tobytes()
+            for d in range(len(w.first) - 1):
+                got.append([body[w.start[k] : w.end[k]].decode() for k in range(w.first[d], w.first[d + 1])])
+            h = w.hashes()
+            by = {}
+            for k in range(len(h)):
+                assert by.setdefault(body[w.start[k] : w.end[k]], h[k]) == h[k]
+    finally:
+        words.SLICE_BYTES = slice_bytes
+    assert got == [brute.words(t) for t in texts]
+
+
+# ------------------------------------------------------------------ 1
+@pytest.mark.parametrize("window,k", [(4, 2), (7, 3), (5, 5)])
+def test_substring_against_brute_force(spark, window, k):
+    rng = random.Random(window)
+    passage = [rng.choice("abc") for _ in range(12)]
+    rows = []
+    for i in range(120):
+        w = [rng.choice("abcdefghij") for _ in range(rng.randint(0, 40))]
+        if i % 3 == 0:
+            at = rng.randint(0, len(w))
+            w[at:at] = passage[rng.randint(0, 4) : rng.randint(6, 12)]
+        rows.append((i, " ".join(w)))
+    rows += [(200, "a " * 30), (201, "a " * 3), (202, rows[3][1]), (203, rows[3][1])]
+    got = sorted((tuple(r) for r in remove_repeats(table(spark, rows), window=window, k=k).collect()), key=str)
+    assert got == brute.substring(rows, window)
+
+
+def test_substring_on_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    got = sorted((tuple(r) for r in remove_repeats(documents).collect()), key=str)
+    assert got == brute.substring(rows)
+
+
+# ------------------------------------------------------------------ 8
+def near_copies(seed=3):
+    rng = random.Random(seed)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{rng.randint(0, 300)}" for _ in range(rng.choice([6, 20, 60, 400]))]
+        for _ in range(rng.choice([1, 2, 12])):
+            w = [x if rng.random() > rng.choice([0, 0.02, 0.08]) else f"e{rng.random()}" for x in base]
+            rows.append((len(rows), " ".join(w)))
+    return rows + [(len(rows), "x"), (len(rows) + 1, "X"), (len(rows) + 2, "x y")]
+
+
+@pytest.mark.parametrize("options", [MinHashOptions(), MinHashOptions(block_sets=3), MinHashOptions(block_shingles=100)])
+def test_near_duplicates_against_brute_force(spark, options):
+    rows = near_copies()
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table(spark, rows), options).collect())
+    assert got == brute.near(rows)
+
+
+def test_near_duplicates_on_documents(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents).collect())
+    assert got == brute.near(rows)
+
+
+def test_estimates_are_close_to_the_similarity():
+    rng = random.Random(1)
+    o = MinHashOptions()
+    base = [f"w{rng.random()}" for _ in range(3000)]
+    texts = [" ".join(base)] + [" ".join(base[:n] + [f"z{rng.random()}" for _ in range(3000 - n)]) for n in (0, 1000, 2000, 2700)]
+    ((_, _, w),) = words.slices(pa.array(texts))
+    s, offs = shingles(w, 5)
+    regs, n = sketches(s, offs, o), np.diff(offs)
+    sets = [set(s[offs[d] : offs[d + 1]].tolist()) for d in range(len(texts))]
+    got = estimate(regs[:1], regs, n[:1], n, o)[0]
+    for d, x in enumerate(sets):
+        assert abs(got[d] - len(sets[0] & x) / len(sets[0] | x)) < 0.15
+
+
+# ------------------------------------------------------------------ SQL
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    res = con.execute(ORACLES[name])
+    cols = [d[0] for d in res.description]
+    assert sorted(cols) == sorted(df.columns)
+    want = sorted(repr(tuple(r[cols.index(c)] for c in df.columns)) for r in res.fetchall())
+    assert sorted(repr(tuple(r)) for r in df.collect()) == want
+
+
+# ------------------------------------------------------------------ 2
+def test_mix_caps_targets_and_copies(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 3}") for i in range(300)] + [(1000, "a b", "tiny"), (1001, None, "none"), (1002, "c d e", None)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    total = sum(len(brute.words(t)) for _, t, _ in rows)
+    target = {r.row.source: (r.target, r.source_size) for r in out}
+    assert abs(sum(t for t, _ in target.values()) - total) < 1e-6
+    assert target["tiny"] == (6.0, 2) and target["none"] == (0.0, 0) and target[None][0] == 9.0
+    assert all(0 <= r.copies <= 3 for r in out)
+    taken = defaultdict(int)
+    for r in out:
+        taken[r.row.source] += r.size * r.copies
+    assert all(abs(taken[s] - t) <= 7 for s, (t, _) in target.items())
+
+
+# ------------------------------------------------------------------ 3
+def test_signatures_against_plain_code():
+    o = SpotOptions(anchors=("the", "of"), chain=2)
+    texts = ["The cat sat of the mat, on THE red house", "of of", "cat dog", "a"]
+    sets = signatures(pa.array(texts), o)
+    # the-cat-sat, of-mat-on, the-mat-on, the-red-house and the opening
+    assert [len(s) for s in sets] == [5, 1, 1, 1]
+    assert pruned_jaccard(sets[0], sets[0]) == 1.0 and pruned_jaccard(sets[0], sets[1], 0.5) == 0.0
+
+
+@given(st.sets(st.integers(0, 40), min_size=1), st.sets(st.integers(0, 40), min_size=1), st.sampled_from([0.0, 0.5, 0.75]))
+@settings(deadline=None)
+def test_pruned_jaccard(a, b, t):
+    exact = len(a & b) / len(a | b)
+    got = pruned_jaccard(np.array(sorted(a)), np.array(sorted(b)), t)
+    assert got == (exact if exact >= t else 0.0)
+
+
+def test_edited_texts(spark, documents):
+    rows = sorted(((r.doc_id, r.text) for r in documents.collect()), reverse=True)
+    got = {r.doc_id: r for r in fingerprints(documents).collect()}
+    sets = dict(zip((i for i, _ in rows), signatures(pa.array([t for _, t in rows]), SpotOptions()), strict=True))
+    for k, (i, t) in enumerate(rows):
+        after_id, after = rows[(k + 1) % len(rows)]
+        half = len(t) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()
+        a, b = set(sets[i].tolist()), set(sets[after_id].tolist())
+        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+
+
+# ------------------------------------------------------------------ 4
+def test_language_accuracy_on_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    rows = [r for r in QUERIES["op4_language_id"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(truth[r.doc_id] == r.lang_pred for r in rows) >= 0.98 * len(rows)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_kneser_ney_sums_to_one():
+    counts = Counter({"   a": 3, "  ab": 2, "  ac": 1, " ab ": 2, " ac ": 1})
+    probs, weights = langid._kneser_ney(dict(counts), 5)
+    seen = [g for g in probs[3] if g[:3] == "  a"]
+    lower = {c: probs[2].get(f" a{c}") for c in "bc"}
+    rest = 1 - sum(probs[3][g] for g in seen)
+    assert 0 <= rest < 1 and all(lower.values())
+    assert rest == pytest.approx(weights[3]["  a"] * (1 - sum(lower.values())))
+
+
+# ------------------------------------------------------------------ 6
+ODD = ["", " ", "  a", "a  b", " a b ", "x\n y", "tab\t end", "it's we'll 12 34", "nb sp ace", "line  sep", "<|endoftext|> is text", "é è ñ ü ß", "a 　 b", "日本 語", "é x", "\x1c \x1d a", "\x85 b", "a \x00 b"]
+
+
+@given(st.lists(st.text(alphabet="ab' \n\t 　é1.,<|>", max_size=25), max_size=5))
+@settings(max_examples=80, deadline=None)
+def test_chunk_encoder_equals_plain_encoding(texts):
+    enc = ENCODERS.setdefault("", None) or ENCODERS.update({"": ChunkEncoder(tokenizer_path(), limit=50)}) or ENCODERS[""]
+    every = ODD + texts
+    assert [x.tolist() for x in enc.encode(every)] == [x.tolist() for x in enc.plain(every)]
+
+
+ENCODERS: dict = {}
+
+
+def test_pack(spark, documents):
+    rows = pack(documents, tokenizer_path(), PackOptions(group=64)).collect()
+    enc = ChunkEncoder(tokenizer_path())
+    want, total = set(), 0
+    for r in documents.collect():
+        ids = np.append(enc.plain([r.text or ""])[0], 0).astype("<u4")
+        total += len(ids)
+        lo = 0
+        for p, hi in enumerate(range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)):
+            want.add((r.doc_id, p, lo, hi - lo, zlib.crc32(ids[lo:hi].tobytes())))
+            lo = hi
+    assert {tuple(r)[:5] for r in rows} == want and len(rows) == len(want)
+    by = defaultdict(list)
+    for r in rows:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) <= -(-total // 2048) + 2 * (len(rows) // 64 + 1)
+
+
+def test_best_fit_holds_every_capacity():
+    rng = random.Random(0)
+    o = PackOptions(tokens=100, documents=3, attention=10_000, weights=(1.0, 0.1, 0.1))
+    lengths = [rng.randint(1, 100) for _ in range(500)]
+    seq, offset = best_fit(lengths, o)
+    by = defaultdict(list)
+    for n, s, at in zip(lengths, seq, offset, strict=True):
+        by[s].append((at, n))
+    for parts in by.values():
+        assert len(parts) <= 3 and sum(n for _, n in parts) <= 100 and sum(n * n for _, n in parts) <= 10_000
+        assert sorted(parts)[0][0] == 0
+    assert best_fit([60, 40, 60, 40], PackOptions(tokens=100, documents=2, attention=10_000))[0] == [0, 0, 1, 1]
+
+
+# ------------------------------------------------------------------ 7
+def test_labelled_pages_are_learned():
+    m = default_model()
+    trees = [parse(p) for p in pages()]
+    got = m.marginals(forest(trees, m.names))[0].argmax(axis=1)
+    want = np.array([s for t in trees for s in labels(t)])
+    assert (got == want).mean() > 0.98
+
+
+def test_marginals_against_enumeration():
+    import itertools
+
+    m = default_model()
+    trees = [parse("<div class=ad><p>a b</p></div><article>c d e</article>")]
+    f = forest(trees, m.names)
+    unary = np.zeros((len(f.parent), 3))
+    np.add.at(unary, f.owner, m.unary[f.feature])
+    total = np.zeros((len(f.parent), 3))
+    for states in itertools.product(range(3), repeat=len(f.parent)):
+        score = sum(unary[k, s] for k, s in enumerate(states)) + sum(m.pair[f.kind[k], states[p], states[k]] for k, p in enumerate(f.parent) if p >= 0)
+        for k, s in enumerate(states):
+            total[k, s] += np.exp(score)
+    assert m.marginals(f)[0] == pytest.approx(total / total.sum(axis=1, keepdims=True))
+
+
+def test_pages_of_other_shapes():
+    para = "Some words that make a sentence, and then a few more of them. " * 4
+    html = (
+        "<html><head><title>T</title><script>if (a<b) '</p>'</script></head><body><div class='top-nav'><a href=x>Home</a> <a href=y>More</a></div>"
+        f"<main><h1>Head&eacute;</h1><p>{para}<p>{para}<ul><li>First point of it.<li>Second point.</ul>"
+        f"<form><label>Mail</label><input><button>Go</button></form></main><aside><p>{para}</p></aside><div id=comments><p>{para}</p></div><footer>&copy; x</footer>"
+    )
+    text = " ".join(para.split())
+    assert main_texts([html], default_model())[0] == f"Headé\n\n{text}\n\n{text}\n\nFirst point of it.\n\nSecond point."
+
+
+# ------------------------------------------------------------------ 10
+def test_roles_of_conversations(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    truth = {(r.conv_id, r.turn): r.role for r in turns.collect()}
+    model = chat.fit(turns)
+    small = chat.ChatOptions(chunk=2)
+    got, again = (sorted((tuple(r) for r in chat.parse_transcripts(turns, model, o).collect())) for o in (chat.ChatOptions(), small))
+    assert got == again  # chunks change nothing
+    held = [r for r in got if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    assert sum(truth[r[0], r[1]] == r[3] for r in held) >= 0.95 * len(held)
+
+
+def test_marked_transcript(spark):
+    model = chat.train([], chat.ChatOptions())
+    text = "System: be brief\nUser: hello there\nand more\n### Assistant: fine\n[Human]: again"
+    rows = chat.parse_transcripts(spark.createDataFrame([(1, 0, text)], "conv_id long, turn int, text string"), model).collect()
+    assert [(r.part, r.role_pred, r.text) for r in sorted(rows, key=lambda r: r.part)] == [(0, "system", "be brief"), (1, "user", "hello there\nand more"), (2, "assistant", "fine"), (3, "user", "again")]
+
+
+def test_viterbi_against_enumeration():
+    import itertools
+
+    model = chat.train([[("user", "hi?"), ("assistant", "Hello.\nWell.")]], chat.ChatOptions())
+    steps = chat._steps(model, ["what?", "One.\ntwo", "Three?"])
+    k = len(model.roles)
+
+    def score(path):
+        total, last = 0.0, None
+        for (move, emit, _, _), s in zip(steps, path, strict=True):
+            total += emit[s] + (model.start[s] if last is None else move[last, s])
+            last = s
+        return total
+
+    best = max(itertools.product(range(k), repeat=len(steps)), key=score)
+    assert tuple(chat.decode(model, steps, 0, best[-1], True)) == best
