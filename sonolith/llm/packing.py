@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from sonolith.llm import scratch
 
+SPACE = "\u0120"  # how byte-level vocabularies write a space
+
 
 @dataclass(frozen=True)
 class PackOptions:
@@ -37,12 +39,27 @@ class PackOptions:
     group: int = 4096
 
 
+class _Numbers(dict):
+    """Numbers for chunks, in the order of their first use; ``new`` are those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class ChunkEncoder:
     """Token ids of whole texts through a cache of chunks.
 
     The tokenizer never merges across a single space between two characters that are not
     white space, so the text is cut before each such space and every distinct chunk is
-    encoded once. Chunks next to other white space send their whole text down the plain way."""
+    encoded once. New chunks are encoded many in one string: each begins with the only token
+    in it that starts with a space. Chunks next to other white space are odd; they send
+    their whole text down the plain way."""
 
     def __init__(self, path: str, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,11 +67,14 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Numbers()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
@@ -62,53 +82,63 @@ class ChunkEncoder:
         self.used = 0
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > self.limit:
-            self.clear()
-        for i in range(0, len(chunks), 4096):
-            part = chunks[i : i + 4096]
-            new = [e.ids for e in self.tokenizer.encode_batch([f" {c}" for c in part], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-            n, total = len(self.known), int(lengths.sum())
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(part) > len(self.start):
-                self.start, self.length, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.odd))
-            self.ids[self.used : self.used + total] = np.fromiter((x for ids in new for x in ids), dtype=np.uint32, count=total)
-            self.start[n : n + len(part)] = self.used + np.cumsum(lengths) - lengths
-            self.length[n : n + len(part)] = lengths
-            self.odd[n : n + len(part)] = [not c or c[0].isspace() or c[-1].isspace() for c in part]
-            self.known.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used += total
+        return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, ids: np.ndarray) -> int:
+        """Append ids; where they are."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return self.used - len(ids)
+
+    def _learn(self) -> None:
+        chunks, self.known.new = self.known.new, []
+        first, n = len(self.known) - len(chunks), len(self.known)
+        while n > len(self.start):
+            self.start, self.length, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.odd))
+        odd = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in chunks), dtype=bool, count=len(chunks))
+        even = [c for c, o in zip(chunks, odd, strict=True) if not o]
+        ids = np.concatenate([np.zeros(0, np.uint32), *self.plain(["".join([f" {c}" for c in even[i : i + 1000]]) for i in range(0, len(even), 1000)])])
+        begins = np.flatnonzero(self.spaced[ids])
+        if len(begins) != len(even):
+            raise ValueError("the tokenizer does not keep chunks apart at spaces")
+        at = first + np.flatnonzero(~odd)
+        self.start[at] = self._store(ids) + begins
+        self.length[at] = np.diff(np.append(begins, len(ids)))
+        self.odd[first:n] = odd
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") for t in texts]
-        tails = [c for chunks in cut for c in chunks[1:]]
-        at = list(map(self.known.get, tails))
-        if None in at:
-            new = list(dict.fromkeys(c for c, i in zip(tails, at, strict=True) if i is None))
-            if len(self.known) + len(new) > self.limit:
-                self.clear()
-                new = list(dict.fromkeys(tails))
-            self._learn(new)
-            at = list(map(self.known.get, tails))
-        index = np.array(at, dtype=np.int64)
-        first = np.concatenate([[0], np.cumsum([len(c) - 1 for c in cut])])
-        heads = self.plain([c[0] for c in cut])
-        out = []
-        for d, text in enumerate(texts):
-            own = index[first[d] : first[d + 1]]
-            if not len(own):
-                out.append(heads[d])
-                continue
-            if self.odd[own].any() or not cut[d][0] or cut[d][0][-1].isspace():
-                out += self.plain([text])
-                continue
-            n = self.length[own]
-            ends = np.cumsum(n)
-            out.append(np.concatenate([heads[d], self.ids[np.repeat(self.start[own] - ends + n, n) + np.arange(ends[-1])]]))
+        if len(self.known) > self.limit:
+            self.clear()
+        chunks: list[str] = []
+        counts = []
+        for t in texts:
+            cut = t.split(" ")
+            counts.append(len(cut))
+            chunks += cut
+        # first among the few chunks of these texts, then only the distinct ones in the large cache
+        local = _Numbers()
+        index = np.fromiter(map(local.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        index = np.fromiter(map(self.known.__getitem__, local.new), dtype=np.int64, count=len(local.new))[index]
+        if self.known.new:
+            self._learn()
+        ends = np.cumsum(counts)
+        head = ends - counts
+        odd = self.odd[index]
+        firsts = [chunks[k] for k in head.tolist()]
+        odd[head] = [not c and n > 1 or c[-1:].isspace() for c, n in zip(firsts, counts, strict=True)]
+        start, length = self.start[index], self.length[index]
+        # a text's first chunk has no space before it; its ids stand behind the cache for now
+        keep, own = self.used, self.plain(firsts)
+        length[head] = [len(x) for x in own]
+        start[head] = self._store(np.concatenate([np.zeros(0, np.uint32), *own])) + np.cumsum(length[head]) - length[head]
+        self.used = keep
+        to = np.cumsum(length)
+        flat = self.ids[np.repeat(start - to + length, length) + np.arange(to[-1] if len(to) else 0)]
+        out = np.split(flat, to[ends[:-1] - 1]) if texts else []
+        for d in np.flatnonzero(np.logical_or.reduceat(odd, head)) if texts else []:
+            out[d] = self.plain([texts[d]])[0]
         return out
 
 
@@ -122,7 +152,7 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _some(texts: list[str | None], chars: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def _some(texts: list[str | None], chars: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
     i = 0
     while i < len(texts):
         j, n = i, 0
