@@ -53,7 +53,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter, in a language that was learned and within its calibrated range.
 
     Null and empty texts go; with no labelled document at all, everything goes."""
-    return langid.predict(docs, langid.fit(docs), carry=True).where(~F.col("rejected")).select("row.*")
+    verdicts = langid.predict(docs, langid.fit(docs))
+    gone = scratch.save(verdicts.where("rejected").select(F.col("doc_id").alias("id"), "th").distinct(), "rejected")
+    rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), _row(docs))
+    return rows.join(gone, rows["k1"].eqNullSafe(gone["id"]) & (rows["k2"] == gone["th"]), "left_anti").select("row.*")
 
 
 @_stage

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import math
 import re
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sonolith.llm.words import mix
 
@@ -43,7 +41,7 @@ class LangIdOptions:
 
     sample: int = 1000
     slack: float = 0.25
-    cache: int = 1_000_000
+    cache: int = 400_000
 
 
 @dataclass
@@ -162,7 +160,7 @@ def _hash_strings(grams: list[str], n: int) -> np.ndarray:
 
 
 class Scorer:
-    """Scores of texts through a cache of words, kept between the tasks of a Python worker."""
+    """Scores of texts through a cache of words, of one task."""
 
     def __init__(self, model: Model, cache: int):
         self.model, self.limit = model, cache
@@ -263,9 +261,6 @@ def fit(docs: DataFrame, options: LangIdOptions | None = None) -> Model | None:
     return model
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _batches(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str]]:
     part: list[str] = []
     n = 0
@@ -279,25 +274,19 @@ def _batches(texts: list[str | None], chars: int = 1 << 20) -> Iterator[list[str
         yield part
 
 
-def predict(docs: DataFrame, model: Model | None, options: LangIdOptions | None = None, carry: bool = False) -> DataFrame:
-    """Language of every row of ``docs`` (doc_id, text; others only carried).
+def predict(docs: DataFrame, model: Model | None, options: LangIdOptions | None = None) -> DataFrame:
+    """Language of every row of ``docs`` (doc_id, text; others are ignored).
 
-    Returns doc_id, lang_pred, score (calibrated confidence, 0 to 1) and rejected (no letter,
-    or a cross-entropy beyond what the language's labelled texts reach); with ``carry`` also
-    row, all input columns as a struct. Null texts and texts without a letter are ``und``
+    Returns doc_id, th (xxhash64 of the text), lang_pred, score (calibrated confidence, 0 to
+    1) and rejected (no letter, or a cross-entropy beyond what the language's labelled texts
+    reach). Null texts and texts without a letter are ``und``
     with score 0, as is everything when nothing was labelled. Ties go to the first language
     by code point. Equal texts get equal rows. An empty table gives no rows.
     """
     o = options or LangIdOptions()
-    token = uuid.uuid4().hex
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = None
-        if model is not None:
-            if token not in _SCORERS:
-                _SCORERS.clear()
-                _SCORERS[token] = Scorer(model, o.cache)
-            scorer = _SCORERS[token]
+        scorer = Scorer(model, o.cache) if model is not None else None
         for b in batches:
             langs, conf, gone = [], [], []
             for texts in _batches(b.column("text").to_pylist()):
@@ -310,10 +299,8 @@ def predict(docs: DataFrame, model: Model | None, options: LangIdOptions | None
                 langs += [model.langs[i] if i >= 0 else UNDETERMINED for i in best]
                 conf += confidence.tolist()
                 gone += rejected.tolist()
-            cols = [b.column("doc_id"), pa.array(langs, pa.string()), pa.array(conf, pa.float64()), pa.array(gone, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols + [b.column(c) for c in ["row"] * carry], names=["doc_id", "lang_pred", "score", "rejected"] + ["row"] * carry)
+            cols = [b.column("doc_id"), b.column("th"), pa.array(langs, pa.string()), pa.array(conf, pa.float64()), pa.array(gone, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "lang_pred", "score", "rejected"])
 
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select("doc_id", "text", *[whole] * carry)
-    schema = T.StructType([rows.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())] + [f for f in rows.schema if f.name == "row"])
-    return rows.mapInArrow(apply, schema)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(apply, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, lang_pred string, score double, rejected boolean")

@@ -61,7 +61,7 @@ class ChunkEncoder:
     in it that starts with a space. Chunks next to other white space are odd; they send
     their whole text down the plain way."""
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -146,7 +146,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One per Python worker, kept between tasks."""
+    """One per Python worker, kept between tasks; its cache is not."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
@@ -182,6 +182,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, o: PackOptions) -> DataFrame:
                         rows.append((d, p, lo, hi - lo, zlib.crc32(body[4 * lo : 4 * hi])))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc.clear()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
