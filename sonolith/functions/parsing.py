@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,21 +78,47 @@ DAY_FIRST_PATTERNS = (
 )
 
 
-def parse_timestamp(c: Column, fmt: str) -> Column:
-    """Trimmed text in ``fmt`` -> TIMESTAMP_NTZ, bad -> NULL.
+# date letters of a Java pattern -> digits they accept (one letter: padded or not)
+_FIELD = {"yyyy": "[0-9]{4}", "d": "[0-9]{1,2}", "M": "[0-9]{1,2}", "H": "[0-9]{1,2}", "m": "[0-9]{1,2}", "s": "[0-9]{1,2}"}
+_FIELD |= {k * 2: "[0-9]{2}" for k in "dMHms"}
 
-    Parsed in the session time zone and converted back, so the wall time is kept
-    (sessions are expected to run in UTC).
-    """
-    return F.try_to_timestamp(_strip(c.cast("string")), F.lit(fmt)).cast("timestamp_ntz")
+
+def _wall_time(text: Column, fmt: str) -> Column:
+    """Text in a Java pattern of year to second -> TIMESTAMP_NTZ without any time zone; bad -> NULL.
+
+    The fields are taken out by a pattern and put together as ISO text; the cast rejects
+    impossible dates and times."""
+    pattern, order = "", []
+    for quoted, letters, other in re.findall(r"'([^']*)'|([a-zA-Z]+)|([^a-zA-Z'])", fmt):
+        if not letters:
+            pattern += re.sub(r"([^0-9A-Za-z ])", r"\\\1", quoted or other)
+            continue
+        for run in re.findall(r"((.)\2*)", letters):
+            if run[0] not in _FIELD:
+                raise ValueError(f"timestamp pattern {fmt!r}: field {run[0]!r} is not supported")
+            pattern += f"({_FIELD[run[0]]})"
+            order.append(run[1])
+    full = f"^{pattern}$"
+    part = lambda k: f"${order.index(k) + 1}" if k in order else "00"
+    iso = F.regexp_replace(text, full, f"{part('y')}-{part('M')}-{part('d')} {part('H')}:{part('m')}:{part('s')}")
+    return F.when(text.rlike(full), iso.try_cast("timestamp_ntz"))
+
+
+def parse_timestamp(c: Column, fmt: str) -> Column:
+    """Trimmed text in ``fmt`` -> TIMESTAMP_NTZ, bad -> NULL (P1); the session time zone plays no part."""
+    return _wall_time(_strip(c.cast("string")), fmt)
 
 
 def parse_timestamp_day_first(c: Column) -> Column:
     """Fallback: the first of several day-first patterns that parses."""
     t = _strip(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)).cast("timestamp_ntz") for p in DAY_FIRST_PATTERNS])
+    return F.coalesce(*[_wall_time(t, p) for p in DAY_FIRST_PATTERNS])
 
 
 def parse_iso_timestamp(c: Column) -> Column:
-    """ISO-8601 text (optional offset) -> TIMESTAMP_NTZ in the session zone; bad -> NULL."""
-    return F.try_to_timestamp(_strip(c.cast("string"))).cast("timestamp_ntz")
+    """ISO-8601 text -> TIMESTAMP_NTZ; bad -> NULL. A text with an offset gives its UTC wall time,
+    one without keeps its own; the session time zone plays no part."""
+    t = _strip(c.cast("string"))
+    instant = F.unix_micros(t.try_cast("timestamp"))
+    utc = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(instant / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.when(t.rlike(r"[T ][0-9:.]+\s*(Z|UTC|GMT|[+-][0-9]{1,2}(:?[0-9]{2})?)$"), utc).otherwise(t.try_cast("timestamp_ntz"))

@@ -14,6 +14,7 @@ from sonolith.functions import vocab as V
 from sonolith.functions.formatting import display_timestamp
 from sonolith.operators.quality import CANONICAL_ORDER
 from sonolith.operators.sequence import ordered_scan
+from sonolith.options import ScaleOptions
 from sonolith.plans.sizing import broadcast_if_small
 
 _LOOKBACK_HOURS = {"Letzte 24h": 24, "Letzte 7 Tage": 7 * 24, "Letzte 30 Tage": 30 * 24, "Letzte 90 Tage": 90 * 24}
@@ -126,7 +127,7 @@ def downsample(
     counts = counts.select(*keys, step.cast("long").alias("_step"))
     pos = ordered_scan(src, keys, CANONICAL_ORDER, sums={"_pos": F.lit(1).cast("long")})
     return (
-        pos.join(broadcast_if_small(counts, 2_000_000), keys, "inner")
+        pos.join(broadcast_if_small(counts, ScaleOptions.broadcast_max_rows), keys, "inner")
         .where(((F.col("_pos") - 1) % F.col("_step")) == 0)
         .drop("_pos", "_step")
     )
@@ -145,7 +146,7 @@ def events_in_range(events: DataFrame, start: Column | None, end: Column | None)
 def events_in_timeframe(events: DataFrame, bounds: DataFrame, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
     """J4 against per-asset timeframe bounds (upper bound inclusive, as documented)."""
     keys = list(keys)
-    j = events.join(broadcast_if_small(bounds, 2_000_000), keys, "inner")
+    j = events.join(broadcast_if_small(bounds, ScaleOptions.broadcast_max_rows), keys, "inner")
     cond = (F.col("window_start").isNull() | (F.col("end_timestamp") >= F.col("window_start"))) & (
         F.col("window_end").isNull() | (F.col("start_timestamp") <= F.col("window_end"))
     )
@@ -203,6 +204,11 @@ def latest_events(events: DataFrame, k: int, keys: Sequence[str] = ("asset_id",)
     return events.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = ("asset_id",)) -> DataFrame:
+    """Presentation order as an explicit column ``rank`` from 1 (T4)."""
+    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+
+
 def overview_counts(
     rows: DataFrame, contexts: dict[str, DataFrame], keys: Sequence[str] = ("asset_id",)
 ) -> DataFrame:

@@ -10,19 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.functions import vocab as V
-from sonolith.functions.formatting import display_timestamp, event_signature
+from sonolith.functions.formatting import display_timestamp, event_signature, iso_text
 from sonolith.functions.parsing import parse_iso_timestamp, parse_timestamp
 from sonolith.operators.quality import CANONICAL_ORDER
 from sonolith.operators.sequence import ordered_scan
 
-ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss"
 LABEL_FORM_FORMAT = "d.M.yyyy H:m"
 
 
-def iso_text(ts: Column) -> Column:
-    return F.date_format(ts, ISO_FORMAT)
-
-
 def normalize_labels(raw: DataFrame) -> DataFrame:
     """Parse the four timestamps (bad -> NULL), default pre-failure hours to 24 and
     derive the learning window ``[end - hours, end]`` with end = repaired_at, else
@@ -49,10 +44,17 @@ def strict_form_timestamp(c: Column) -> Column:
 
 
 def label_id_for(*parts: Column) -> Column:
-    """``LBL-`` + 10 upper-case hex digits from the natural key: reproducible under retries."""
+    """``LBL-`` + 10 upper-case hex digits from the natural key: reproducible under retries.
+
+    Forty bits do not tell all labels of a large store apart; stores are keyed by LABEL_KEY."""
     return F.concat(F.lit("LBL-"), F.upper(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 10)))
 
 
+# Keys of the stores: a signature or a short id alone can belong to several assets.
+LABEL_KEY = ("asset_id", "label_id", "source_stage", "event_start", "event_end")
+NOTE_KEY = ("asset_id", "event_signature")
+
+
 def labels_from_events(
     events: DataFrame,
     defect_type: Column,
@@ -86,18 +88,28 @@ def labels_from_events(
     return out.where(F.coalesce(F.col("defect_type"), F.lit("")) != "")
 
 
-def upsert(base: DataFrame, updates: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Batch upsert: the newest update per key (by ``order_col``) replaces the base
-    record, other base records stay (L2, L3)."""
-    w = Window.partitionBy(key).orderBy(F.col(order_col).desc_nulls_last())
+def _same_key(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(b[k])
+    return cond
+
+
+def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
+    """Batch upsert: the newest update per key (by ``order_col``; ties by the whole record)
+    replaces the base record, other base records stay (L2, L3)."""
+    tie = F.xxhash64(*[F.col(c) for c in sorted(updates.columns)])
+    w = Window.partitionBy(*keys).orderBy(F.col(order_col).desc_nulls_last(), tie)
     latest = updates.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    kept = base.join(latest.select(key), key, "left_anti")
+    new = latest.select(*keys)
+    kept = base.join(new, _same_key(base, new, keys), "left_anti")
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
-def delete_by_key(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Delete records whose key appears in ``keys``."""
-    return base.join(keys.select(key).distinct(), key, "left_anti")
+def delete_by_key(base: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Delete records whose key appears in ``gone``."""
+    names = gone.select(*keys).distinct()
+    return base.join(names, _same_key(base, names, keys), "left_anti")
 
 
 def notes_from_events(events: DataFrame, verdict: Column, notes: Column, updated_at: Column, keys: Sequence[str] = ("asset_id",)) -> DataFrame:

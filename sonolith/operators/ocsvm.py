@@ -1,18 +1,17 @@
 """One-class SVM with an RBF kernel, approximated by random Fourier features.
 
-Schölkopf et al. (2001) primal in feature space,
-    min_w,rho  1/2 |w|^2 - rho + 1/(nu n) sum_i max(0, rho - w . phi(x_i)),
-with phi(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi)
-(Rahimi & Recht 2007) and gamma = 1 / (features * var(X_train)) ("scale").
-
-Optimised by full-batch subgradient steps with iterate averaging.  The model
-(one row per asset: w, rho and the running averages) is a DataFrame: each step
-replicates it to the asset's bounded row chunks, a co-grouped pandas function
-returns per-chunk partial sums, one aggregation per asset combines them and the
-update is JVM array arithmetic.  Nothing passes through the driver; the model
-table is checkpointed every step.  W and b are regenerated from the seed inside
-each task.  The score is -decision = rho - w . phi(x); this approximates the exact
-kernel model (ranking, not bit-equality, is what the stage uses).
+Features phi(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi) (Rahimi & Recht
+2007), gamma = 1 / (features * var(X_train)) ("scale"). The nu-SVM of Schölkopf et al. (2001)
+is then a least-norm problem: w is the shortest vector among all averages of phi in which no
+row weighs more than 1 / (nu n), and rho is the nu-quantile of w . phi.
+
+The average that lies furthest against w is the mean of the rows with the lowest scores, a
+share nu of them. Each step finds it by one pass over the bounded chunks of an asset (counts
+and feature sums by score bin around the last boundary, exact decimal sums across chunks),
+adds it to the asset's few atoms, and takes the point of least norm in their hull. Steps end
+when the duality gap w . (w - atom) is below ``ocsvm_gap`` |w|^2 for every asset. Models are
+rows of a DataFrame; only the number of open ones reaches the driver. W and b are
+regenerated from the seed inside each task. The score is -decision = rho - w . phi(x).
 """
 
 from __future__ import annotations
@@ -25,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.operators.ensemble import FEATURE_SLOTS
+from sonolith.operators.quantiles import quantile_table
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
-from sonolith.session import cut_lineage
+from sonolith.session import cut_lineage, write_table
 
-PARTIAL_SCHEMA = "asset_key string, n long, n_viol long, s array<double>"
-SCORE_SCHEMA = "asset_key string, row_id long, ocsvm double"
+PARTIAL_SCHEMA = "asset_key string, bin int, n long, low double, high double, s array<double>"
+MODEL_SCHEMA = "asset_key string, w array<double>, atoms array<double>, lo double, hi double, gap double, norm double"
+SCORE_SCHEMA = "asset_key string, row_id long, score double"
 
 
 def _features(seed: int, asset_seed: int, gamma: float, dim: int, x: np.ndarray) -> np.ndarray:
@@ -40,18 +41,90 @@ def _features(seed: int, asset_seed: int, gamma: float, dim: int, x: np.ndarray)
     return np.sqrt(2.0 / dim) * np.cos(x @ w + b)
 
 
-def _partial(seed: int, dim: int, initial: bool):
+# bins of the score around the last boundary; bin 0 is all below, LAST all above
+BINS = 48
+LAST = BINS + 1
+
+
+def _partial(seed: int, dim: int):
+    """Per chunk: row counts and feature sums by score bin (above the last bin only counts)."""
+
     def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"asset_key": [], "n": [], "n_viol": [], "s": []})
-        r0 = rows.iloc[0]
+        if rows.empty or model.empty:
+            return pd.DataFrame(columns=["asset_key", "bin", "n", "low", "high", "s"], dtype=object)
+        rows = rows.sort_values("row_id", kind="stable")
+        r0, m = rows.iloc[0], model.iloc[0]
         phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
-        if initial or model.empty:
-            viol = np.ones(len(phi), dtype=bool)
+        score = phi @ np.asarray(m["w"], dtype=float)
+        width = max((m["hi"] - m["lo"]) / BINS, 1e-300)
+        at = np.clip(np.floor((score - m["lo"]) / width) + 1, 0, LAST).astype(int)
+        out = []
+        for k in np.unique(at):
+            own = at == k
+            out.append((r0["asset_key"], int(k), int(own.sum()), float(score[own].min()), float(score[own].max()), (phi[own].sum(axis=0) if k < LAST else np.zeros(dim)).tolist()))
+        return pd.DataFrame(out, columns=["asset_key", "bin", "n", "low", "high", "s"])
+
+    return fn
+
+
+def least_norm(atoms: np.ndarray, rounds: int = 2000, tol: float = 1e-12) -> np.ndarray:
+    """Convex weights of the point of least norm in the hull of a few atoms (pairwise steps)."""
+    gram = atoms @ atoms.T
+    beta = np.full(len(atoms), 1.0 / len(atoms))
+    for _ in range(rounds):
+        grad = gram @ beta
+        to = int(grad.argmin())
+        away = int(np.where(beta > 0, grad, -np.inf).argmax())
+        slope = grad[away] - grad[to]
+        if slope <= tol * max(float(beta @ grad), 1e-300):
+            break
+        curve = gram[to, to] + gram[away, away] - 2 * gram[to, away]
+        step = min(beta[away], slope / curve if curve > 0 else beta[away])
+        beta[to] += step
+        beta[away] -= step
+    return beta
+
+
+def _update(nu: float, dim: int):
+    """New model of an asset from its binned sums: the tail of the lowest scores is the next atom."""
+
+    def fn(bins: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if bins.empty or model.empty:
+            return pd.DataFrame(columns=model.columns, dtype=object)
+        m = model.iloc[0].to_dict()
+        m.update(w=list(m["w"]), atoms=list(m["atoms"]))
+        bins = bins.sort_values("bin")
+        w = np.asarray(m["w"], dtype=float)
+        need = nu * bins["n"].sum()
+        tail, left, edge = np.zeros(dim), need, float(bins["high"].iloc[-1])
+        for k, n, high, total in zip(bins["bin"], bins["n"], bins["high"], bins["s"], strict=True):
+            if left <= 0 or k == LAST:
+                break
+            part = min(1.0, left / n)  # of the boundary bin every row takes the same share
+            tail += part * np.asarray(total, dtype=float)
+            left -= part * n
+            edge = high
+        low, high = float(bins["low"].min()), float(bins["high"].max())
+        spread = max(high - low, 1e-9)
+        at = bins[bins["high"] >= edge]["bin"].iloc[0]
+        if left > 1e-9 * need or at == 0 and len(bins) > 1 and m["lo"] > low:
+            # the boundary lies outside the bins: look again over the whole range
+            m.update(lo=low, hi=high + 1e-12)
+            if left > 1e-9 * need:
+                return pd.DataFrame([m])[list(model.columns)]
         else:
-            w = np.asarray(model["w"].iloc[0], dtype=float)
-            viol = phi @ w < float(model["rho"].iloc[0])
-        return pd.DataFrame({"asset_key": [r0["asset_key"]], "n": [len(phi)], "n_viol": [int(viol.sum())], "s": [phi[viol].sum(axis=0).tolist()]})
+            # closer around the boundary, but no closer than it has moved
+            reach = max(4 * (m["hi"] - m["lo"]) / BINS, 2 * abs(edge - (m["hi"] + m["lo"]) / 2), 1e-12 * spread)
+            m.update(lo=edge - reach, hi=edge + reach)
+        atom = tail / need
+        gap = float(w @ (w - atom))
+        m["gap"] = max(gap, 0.0)
+        m["norm"] = float(w @ w)
+        atoms = np.vstack([np.asarray(m["atoms"], dtype=float).reshape(-1, dim), atom])
+        beta = least_norm(atoms)
+        atoms, beta = atoms[beta > 0], beta[beta > 0]
+        m.update(w=(beta @ atoms).tolist(), atoms=atoms.reshape(-1).tolist())
+        return pd.DataFrame([m])[list(model.columns)]
 
     return fn
 
@@ -59,11 +132,11 @@ def _partial(seed: int, dim: int, initial: bool):
 def _score(seed: int, dim: int):
     def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
-            return pd.DataFrame({"asset_key": [], "row_id": [], "ocsvm": []})
+            return pd.DataFrame({"asset_key": [], "row_id": [], "score": []})
         r0 = rows.iloc[0]
         phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
         w = np.asarray(model["w"].iloc[0], dtype=float)
-        return pd.DataFrame({"asset_key": r0["asset_key"], "row_id": rows["row_id"].to_numpy(), "ocsvm": float(model["rho"].iloc[0]) - phi @ w})
+        return pd.DataFrame({"asset_key": r0["asset_key"], "row_id": rows["row_id"].to_numpy(), "score": phi @ w})
 
     return fn
 
@@ -86,7 +159,7 @@ def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[s
     """(keys, row_id, ocsvm) for every valid row."""
     keys = list(keys)
     s3 = opts.stage3
-    dim, iters, nu, seed = s3.ocsvm_features, s3.ocsvm_iterations, s3.clamped_nu, s3.random_state
+    dim, nu, seed = s3.ocsvm_features, s3.clamped_nu, s3.random_state
     mx = opts.scale.broadcast_max_rows
     key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
     p = plan.select(*keys, key.alias("asset_key"), F.xxhash64(key).alias("asset_seed"), "n_features")
@@ -108,46 +181,33 @@ def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[s
     # partitioning, so no step re-shuffles the training rows
     train = cut_lineage(train.repartition("asset_key", "chunk"))
 
-    def sums(model: DataFrame, initial: bool) -> DataFrame:
-        rep = train_keys.join(model, "asset_key")
-        parts = _cogroup(train, rep, _partial(seed, dim, initial), PARTIAL_SCHEMA)
-        return parts.groupBy("asset_key").agg(
-            F.sum("n").alias("n"), F.sum("n_viol").alias("n_viol"),
-            F.aggregate(F.collect_list("s"), F.array_repeat(F.lit(0.0), dim), lambda acc, x: F.zip_with(acc, x, lambda a, b: a + b)).alias("s"),
-        )
+    def binned(model: DataFrame) -> DataFrame:
+        """Exact sums (decimal) over the chunks, so that their order does not matter."""
+        rep = train_keys.join(model.select("asset_key", "w", "lo", "hi"), "asset_key")
+        parts = cut_lineage(_cogroup(train, rep, _partial(seed, dim), PARTIAL_SCHEMA))
+        sums = parts.select("asset_key", "bin", F.posexplode("s").alias("i", "v")).groupBy("asset_key", "bin", "i").agg(F.sum(F.col("v").cast("decimal(38,15)")).cast("double").alias("v"))
+        sums = sums.groupBy("asset_key", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))  # dim values
+        counts = parts.groupBy("asset_key", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        return counts.join(sums, ["asset_key", "bin"])
 
+    # start from all rows' mean: with w = 0 every score is 0 and falls into one bin
     zeros = F.array_repeat(F.lit(0.0), dim)
-    empty = g.select("asset_key", zeros.alias("w"), F.lit(0.0).alias("rho"))
-    init = sums(empty, initial=True)
-    model = cut_lineage(
-        init.select(
-            "asset_key",
-            F.transform("s", lambda v: v / F.col("n")).alias("w"),
-            F.lit(0.0).alias("rho"),
-            zeros.alias("aw"), F.lit(0.0).alias("arho"), F.lit(0).alias("ac"),
-        )
-    )
-    for t in range(iters):
-        st = sums(model.select("asset_key", "w", "rho"), initial=False)
-        eta = float(1.0 / np.sqrt(t + 1.0))
-        j = model.join(st, "asset_key", "left").fillna({"n": 1, "n_viol": 0})
-        scale = F.lit(nu) * F.col("n").cast("double")
-        s = F.coalesce(F.col("s"), zeros)
-        w_new = F.zip_with("w", s, lambda w, x: w - F.lit(eta) * (w - x / scale))
-        rho_new = F.col("rho") - F.lit(eta) * (F.lit(-1.0) + F.col("n_viol") / scale)
-        j = j.select("asset_key", w_new.alias("w"), rho_new.alias("rho"), "aw", "arho", "ac")
-        if t >= iters // 2:
-            j = j.select(
-                "asset_key", "w", "rho",
-                F.zip_with("aw", "w", lambda a, b: a + b).alias("aw"), (F.col("arho") + F.col("rho")).alias("arho"), (F.col("ac") + 1).alias("ac"),
-            )
-        model = cut_lineage(j)
-    final = model.select(
-        "asset_key",
-        F.when(F.col("ac") > 0, F.transform("aw", lambda a: a / F.col("ac"))).otherwise(F.col("w")).alias("w"),
-        F.when(F.col("ac") > 0, F.col("arho") / F.col("ac")).otherwise(F.col("rho")).alias("rho"),
-    )
+    whole = binned(g.select("asset_key", zeros.alias("w"), F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")))
+    mean = whole.groupBy("asset_key").agg(F.sum("n").alias("n"), F.first("s").alias("s")).select("asset_key", F.transform("s", lambda v: v / F.col("n")).alias("w"))
+    model = write_table(mean.select("asset_key", "w", F.col("w").alias("atoms"), F.lit(-2.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(float("inf")).alias("gap"), F.lit(1.0).alias("norm")), "ocsvm-model")
+    while model.where(F.col("gap") > F.lit(s3.ocsvm_gap) * F.col("norm")).limit(1).count():
+        open_ = F.col("gap") > F.lit(s3.ocsvm_gap) * F.col("norm")
+        todo = model.where(open_)
+        step = binned(todo).groupBy("asset_key").cogroup(todo.groupBy("asset_key")).applyInPandas(_update(nu, dim), MODEL_SCHEMA)
+        model = write_table(step.unionByName(model.where(~open_)).coalesce(1), "ocsvm-model")
+
+    def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+        chunks, chunk_keys = _chunked(rows.select(*cols), counts, opts.scale.chunk_rows, mx)
+        return _cogroup(chunks, chunk_keys.join(model.select("asset_key", "w"), "asset_key"), _score(seed, dim), SCORE_SCHEMA)
+
     counts_valid = base.where(F.col("stage3_valid")).groupBy("asset_key").agg(F.count(F.lit(1)).alias("n"))
-    valid, valid_keys = _chunked(base.where(F.col("stage3_valid")).select(*cols), counts_valid, opts.scale.chunk_rows, mx)
-    scored = _cogroup(valid, valid_keys.join(final, "asset_key"), _score(seed, dim), SCORE_SCHEMA)
-    return scored.join(p.select(*keys, "asset_key"), "asset_key", "inner").select(*keys, "row_id", "ocsvm")
+    valid = write_table(scored(base.where(F.col("stage3_valid")), counts_valid), "ocsvm")
+    in_training = base.where(F.col("stage3_train")).select("asset_key", "row_id")
+    rho = quantile_table(valid.join(in_training, ["asset_key", "row_id"], "left_semi"), ["asset_key"], [("score", nu, "rho")], opts)
+    out = valid.join(rho, "asset_key").join(p.select(*keys, "asset_key"), "asset_key", "inner")
+    return out.select(*keys, "row_id", (F.col("rho") - F.col("score")).alias("ocsvm"))

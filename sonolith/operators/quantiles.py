@@ -83,7 +83,8 @@ def _refined(src: DataFrame, counts: DataFrame, keys: list[str], probs: Sequence
     rng = src.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
     state = targets.join(rng, keys).withColumns({"offset": F.lit(0).cast("long"), "value": F.lit(None).cast("double")})
     state = cut_lineage(state)
-    for _ in range(64):
+    # a bin that is not one value holds fewer distinct values than its range, so this ends
+    while True:
         open_ = state.where(F.col("value").isNull())
         if open_.limit(1).count() == 0:
             break

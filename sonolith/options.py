@@ -30,7 +30,8 @@ class Stage3Options:
     iforest_trees: int = 200
     iforest_max_samples: int = 256
     ocsvm_features: int = 128
-    ocsvm_iterations: int = 15
+    # one-class SVM: greatest duality gap, as a share of |w|^2
+    ocsvm_gap: float = 0.005
 
     @property
     def clamped_contamination(self) -> float:

@@ -59,8 +59,15 @@ def r6(c: str | Column) -> Column:
 _MEMO: dict[tuple, object] = {}
 
 
+def _written(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """When the input was written, and its length: results of an older one are not used again."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    return status.getModificationTime(), status.getLen()
+
+
 def _memo(spark: SparkSession, key: tuple, build):
-    k = (id(spark), spark.sparkContext.applicationId, *key)
+    k = (id(spark), spark.sparkContext.applicationId, _written(spark, key[1]), *key)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
@@ -189,9 +196,9 @@ def _profile_sql(m: str, src: str) -> str:
     return _PROFILE_SQL_TAIL.format(
         m=m,
         src=src,
-        r_med=O.r6(f"median({m})"),
-        r_q10=O.r6(f"quantile_cont({m}, 0.1)"),
-        r_q90=O.r6(f"quantile_cont({m}, 0.9)"),
+        r_med=O.r6(O.percentile(m, 0.5)),
+        r_q10=O.r6(O.percentile(m, 0.1)),
+        r_q90=O.r6(O.percentile(m, 0.9)),
     )
 
 
@@ -616,32 +623,6 @@ def q_downsample(spark, sf_dir):
     return d.select("asset_id", "row_id", "timestamp")
 
 
-_LATEST_SQL_EV = """
-all_ev AS (
-  SELECT asset_id, event_id, start_timestamp, 'Stage 1' AS stage, 1 AS priority FROM ev1
-  UNION ALL SELECT asset_id, event_id, start_timestamp, 'Stage 2', 2 FROM ev2)"""
-
-
-@register(
-    "latest_events",
-    "T1 T2 T4",
-    SER(
-        O.zrow_ctes(OPTS, weekday_mode=False),
-        O.stage1_ctes(OPTS),
-        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
-        O.stage2_ctes(OPTS, src="s1"),
-        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
-        _LATEST_SQL_EV,
-    )
-    + """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage, priority,
-       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, priority DESC, event_id) AS rank
-FROM all_ev) WHERE rank <= 8""",
-)
-def q_latest_events(spark, sf_dir):
-    u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events])
-    return X.latest_events(u, 8).select("asset_id", "event_id", "start_timestamp", "stage", "priority", "rank")
-
-
 @register(
     "status_record",
     "A24 P12 P11",
@@ -790,8 +771,20 @@ def q_stage3_logic_events(spark, sf_dir):
     )
 
 
+@register("ampel_distribution", "A21", None)
+def q_ampel_distribution(spark, sf_dir):
+    r = stage3(spark, sf_dir)
+    return AM.ampel_distribution(r.events, r.plan)
+
+
+@register("ampel_overall", "A22 A23", None)
+def q_ampel_overall(spark, sf_dir):
+    r = stage3(spark, sf_dir)
+    return AM.ampel_summary(r.events, r.plan)
+
+
 @register(
-    "ampel_distribution",
+    "stage3_logic_ampel_distribution",
     "A21",
     _S3_EV_SQL
     + f""", lbl AS (SELECT * FROM (VALUES ('normal'), ('lokal auffällig'), ('konsistent auffällig'), ('persistent anomal')) v(ampel_label)),
@@ -799,13 +792,13 @@ dim AS (SELECT DISTINCT s.asset_id, l.ampel_label FROM series s CROSS JOIN lbl l
 cnt AS (SELECT asset_id, {O.AMPEL_CASE.format(x='ampel_rank')} AS ampel_label, count(*) AS events FROM ev3_f GROUP BY 1, 2)
 SELECT d.asset_id, d.ampel_label, coalesce(c.events, 0) AS events FROM dim d LEFT JOIN cnt c USING (asset_id, ampel_label)""",
 )
-def q_ampel_distribution(spark, sf_dir):
+def q_logic_ampel_distribution(spark, sf_dir):
     r = stage3_standin(spark, sf_dir)
     return AM.ampel_distribution(r.events, r.plan)
 
 
 @register(
-    "ampel_overall",
+    "stage3_logic_ampel_overall",
     "A22 A23",
     _S3_EV_SQL
     + f""", per AS (SELECT asset_id, count(*) AS events, max(ampel_rank) AS mr, count(*) FILTER (WHERE ampel_rank = 0) AS normal_events,
@@ -825,7 +818,7 @@ SELECT asset_id, {O.AMPEL_CASE.format(x='mr')} AS overall_ampel, events, normal_
   AS ampel_explanation
 FROM j""",
 )
-def q_ampel_overall(spark, sf_dir):
+def q_logic_ampel_overall(spark, sf_dir):
     r = stage3_standin(spark, sf_dir)
     return AM.ampel_summary(r.events, r.plan)
 
@@ -1091,7 +1084,7 @@ def q_label_upsert(spark, sf_dir):
     ev = _label_events(spark, sf_dir)
     changed = FB.labels_from_events(ev.where(F.col("event_id") % 2 == 0), F.lit("Unwucht"), _hours_col(), _T_UPDATED, repaired_at=_repaired_col())
     new = FB.labels_from_events(stage2(spark, sf_dir).events, F.lit("Sensorfehler"), F.lit(24), _T_UPDATED)
-    out = FB.normalize_labels(FB.upsert(base, changed.unionByName(new), "label_id", "created_at"))
+    out = FB.normalize_labels(FB.upsert(base, changed.unionByName(new), FB.LABEL_KEY, "created_at"))
     return out.select("asset_id", "label_id", "source_stage", "defect_type", "event_start", "event_end")
 
 
@@ -1100,7 +1093,7 @@ def q_label_delete(spark, sf_dir):
     base = base_labels(spark, sf_dir)
     ev = _label_events(spark, sf_dir).where(F.col("event_id") % 5 == 0)
     gone = FB.labels_from_events(ev, F.lit("x"), F.lit(24), _T_UPDATED, repaired_at=_repaired_col())
-    return FB.delete_by_key(base, gone, "label_id").select("asset_id", "label_id")
+    return FB.delete_by_key(base, gone, FB.LABEL_KEY).select("asset_id", "label_id")
 
 
 _SIG = "'Stage 1|' || strftime(start_timestamp, '%Y%m%dT%H%M%S') || '|' || strftime(end_timestamp, '%Y%m%dT%H%M%S')"
@@ -1119,7 +1112,7 @@ def q_note_lookup(spark, sf_dir):
     ev = stage1(spark, sf_dir).events
     base = FB.notes_from_events(ev.where(F.col("event_id") % 3 == 0), F.lit("bestätigt"), F.lit("Lager prüfen"), F.lit(_T_CREATED.isoformat()))
     upd = FB.notes_from_events(ev.where(F.col("event_id") % 6 == 0), F.lit("Fehlalarm"), F.lit("Sensor getauscht"), F.lit(_T_UPDATED.isoformat()))
-    notes = FB.normalize_notes(FB.upsert(base, upd, "event_signature", "updated_at"))
+    notes = FB.normalize_notes(FB.upsert(base, upd, FB.NOTE_KEY, "updated_at"))
     return FB.note_lookup(ev, notes).select("asset_id", "event_id", "event_signature", "verdict", "note")
 
 
@@ -1158,8 +1151,23 @@ def q_label_overlay(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- overview and long event lists
+def _overview(spark, sf_dir, s3) -> DataFrame:
+    s1, s2 = stage1(spark, sf_dir), stage2(spark, sf_dir)
+    ctx = {
+        "stage1": E.alert_context(s1.rows, s1.events, "stage1"),
+        "stage2": E.alert_context(s2.rows, s2.events, "stage2"),
+        "stage3": E.alert_context(s3.rows, s3.events, "stage3"),
+    }
+    return X.overview_counts(series(spark, sf_dir), ctx)
+
+
+@register("overview_counts", "A20 A19", None)
+def q_overview_counts(spark, sf_dir):
+    return _overview(spark, sf_dir, stage3(spark, sf_dir))
+
+
 @register(
-    "overview_counts",
+    "stage3_logic_overview_counts",
     "A20 A19",
     S1(
         O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
@@ -1183,38 +1191,77 @@ LEFT JOIN (SELECT asset_id, count(*) AS n FROM ev2 GROUP BY 1) e2 USING (asset_i
 JOIN (SELECT asset_id, count(*) FILTER (WHERE stage3_severity IN ('WARNING','ANOMALY')) AS n FROM s3 GROUP BY 1) a3 USING (asset_id)
 LEFT JOIN (SELECT asset_id, count(*) AS n FROM ev3 GROUP BY 1) e3 USING (asset_id)""",
 )
-def q_overview_counts(spark, sf_dir):
-    """Overview with the Stage-3 stand-in scorer so every count has an SQL oracle."""
-    s1 = stage1(spark, sf_dir)
-    s2 = stage2(spark, sf_dir)
-    s3 = stage3_standin(spark, sf_dir)
-    ctx = {
-        "stage1": E.alert_context(s1.rows, s1.events, "stage1"),
-        "stage2": E.alert_context(s2.rows, s2.events, "stage2"),
-        "stage3": E.alert_context(s3.rows, s3.events, "stage3"),
-    }
-    return X.overview_counts(series(spark, sf_dir), ctx)
+def q_logic_overview_counts(spark, sf_dir):
+    return _overview(spark, sf_dir, stage3_standin(spark, sf_dir))
 
 
-@register(
-    "latest_300",
-    "T1 T3",
-    SER(
-        O.zrow_ctes(OPTS, weekday_mode=False),
-        O.stage1_ctes(OPTS),
-        O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
-        O.stage2_ctes(OPTS, src="s1"),
-        O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
-        _LATEST_SQL_EV,
-    )
-    + """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage,
-       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, event_id, stage) AS rank
-FROM all_ev) WHERE rank <= 300""",
+_LATEST_SQL = S3L(
+    O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+    O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
+    O.event_ctes("s3", "stage3", "ev3", OPTS.expected_interval_minutes, O.STAGE3_EVENT_AGGS),
+    """all_ev AS (
+  SELECT asset_id, event_id, start_timestamp, 'Stage 1' AS stage, 1 AS priority FROM ev1
+  UNION ALL SELECT asset_id, event_id, start_timestamp, 'Stage 2', 2 FROM ev2
+  UNION ALL SELECT asset_id, event_id, start_timestamp, 'Stage 3', 3 FROM ev3)""",
 )
+_LATEST_8_SQL = """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage, priority,
+       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, priority DESC, event_id) AS rank
+FROM all_ev) WHERE rank <= 8"""
+_LATEST_K_SQL = """ SELECT * FROM (SELECT asset_id, event_id, start_timestamp, stage,
+       row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp DESC NULLS LAST, event_id, stage) AS rank
+FROM all_ev) WHERE rank <= {k}"""
+
+
+def _latest(spark, sf_dir, s3, k: int, by_priority: bool) -> DataFrame:
+    u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events, s3.events])
+    cols = ["asset_id", "event_id", "start_timestamp", "stage", *["priority"] * by_priority, "rank"]
+    return X.latest_events(u, k, by_priority=by_priority).select(*cols)
+
+
+@register("latest_events", "T1 T2", None)
+def q_latest_events(spark, sf_dir):
+    return _latest(spark, sf_dir, stage3(spark, sf_dir), 8, True)
+
+
+@register("latest_300", "T1 T3", None)
 def q_latest_300(spark, sf_dir):
-    u = X.union_events([stage1(spark, sf_dir).events, stage2(spark, sf_dir).events])
-    return X.latest_events(u, 300, by_priority=False).select("asset_id", "event_id", "start_timestamp", "stage", "rank")
+    return _latest(spark, sf_dir, stage3(spark, sf_dir), 300, False)
+
+
+@register("stage3_logic_latest_events", "T1 T2", _LATEST_SQL + _LATEST_8_SQL)
+def q_logic_latest_events(spark, sf_dir):
+    return _latest(spark, sf_dir, stage3_standin(spark, sf_dir), 8, True)
+
+
+@register("stage3_logic_latest_300", "T1 T3", _LATEST_SQL + _LATEST_K_SQL.format(k=300))
+def q_logic_latest_300(spark, sf_dir):
+    return _latest(spark, sf_dir, stage3_standin(spark, sf_dir), 300, False)
+
 
+@register("stage3_logic_latest_20", "T1 T3", _LATEST_SQL + _LATEST_K_SQL.format(k=20))
+def q_logic_latest_20(spark, sf_dir):
+    """The same list with a limit that is reached."""
+    return _latest(spark, sf_dir, stage3_standin(spark, sf_dir), 20, False)
+
+
+@register(
+    "stage1_events_by_start",
+    "T4",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS))
+    + " SELECT asset_id, event_id, start_timestamp, row_number() OVER (PARTITION BY asset_id ORDER BY start_timestamp NULLS LAST, event_id) AS rank FROM ev1",
+)
+def q_stage1_events_by_start(spark, sf_dir):
+    return X.ranked(stage1(spark, sf_dir).events, [F.col("start_timestamp").asc_nulls_last(), F.col("event_id")]).select("asset_id", "event_id", "start_timestamp", "rank")
+
+
+@register(
+    "labels_newest_first",
+    "T4 L1",
+    _LABEL_SQL_CTES + " SELECT asset_id, label_id, event_start, row_number() OVER (PARTITION BY asset_id ORDER BY event_start DESC NULLS LAST, label_id) AS rank FROM labels",
+)
+def q_labels_newest_first(spark, sf_dir):
+    labels = FB.normalize_labels(base_labels(spark, sf_dir))
+    return X.ranked(labels, [F.col("event_start").desc_nulls_last(), F.col("label_id")]).select("asset_id", "label_id", "event_start", "rank")
 
 
 # ---------------------------------------------------------------- file sources and sinks
@@ -1251,7 +1298,7 @@ def q_note_store_round_trip(spark, sf_dir):
     FIO.write_records(base, f"{path}/v1")
     upd = FB.notes_from_events(ev.where(F.col("event_id") % 6 == 0), F.lit("Fehlalarm"), F.lit("Sensor getauscht"), F.lit(_T_UPDATED.isoformat()))
     v1 = FIO.read_records(spark, f"{path}/v1", ("asset_id", *FIO.NOTE_FIELDS))
-    FIO.write_records(FB.upsert(v1, upd, "event_signature", "updated_at"), f"{path}/v2")
+    FIO.write_records(FB.upsert(v1, upd, FB.NOTE_KEY, "updated_at"), f"{path}/v2")
     notes = FB.normalize_notes(FIO.read_records(spark, f"{path}/v2", ("asset_id", *FIO.NOTE_FIELDS)))
     return FB.note_lookup(ev, notes).select("asset_id", "event_id", "event_signature", "verdict", "note")
 

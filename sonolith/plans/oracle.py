@@ -9,6 +9,16 @@ from __future__ import annotations
 from sonolith.options import Options
 
 
+def percentile(x: str, p: float) -> str:
+    """The p-quantile with the interpolation written as (1 - f) * low + f * high, so that the last digit agrees too."""
+    h = f"{p}::DOUBLE * (len(l) - 1)"
+    return (
+        f"list_transform([list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL))], lambda l: "
+        f"CASE WHEN ceil({h}) = floor({h}) THEN l[floor({h})::BIGINT + 1] "
+        f"ELSE (ceil({h}) - {h}) * l[floor({h})::BIGINT + 1] + ({h} - floor({h})) * l[ceil({h})::BIGINT + 1] END)[1]"
+    )
+
+
 def r6(expr: str) -> str:
     """Round half up to 1e-6 with the same IEEE operations Spark uses (``F.floor``)."""
     return f"floor(({expr}) * 1e6 + 0.5) / 1e6"

@@ -1,17 +1,23 @@
-"""Size-checked broadcast: broadcast a table only after counting its rows."""
+"""Size-checked broadcast: broadcast a table only where its bytes are bounded."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Greatest estimated size of a broadcast table.
+MAX_BYTES = 64 << 20
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
 
-    The count is one small job over an aggregate-sized table (callers pass
-    tables keyed by asset x hour, asset x bucket, events ...).  Beyond the bound
-    the join stays a shuffle join and AQE's skew handling applies.
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows of together ``max_bytes``, else ``df``.
+
+    The bound in bytes is put in rows by the width of the schema.  The count is one small
+    job over an aggregate-sized table (callers pass tables keyed by asset x hour, asset x
+    bucket, events ...).  Beyond the bound the join stays a shuffle join and AQE's skew
+    handling applies.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    width = max(8, df._jdf.schema().defaultSize())
+    bound = max(1, min(max_rows, max_bytes // width))
+    n = df.limit(bound + 1).count()
+    return F.broadcast(df) if n <= bound else df

@@ -61,8 +61,9 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is left untouched.  Only
-    when it is unset (local tests) a private folder is created and registered.
+    On a cluster this setting names a shared folder and is left untouched; without
+    it nothing could be exchanged, so that is an error.  Only a local master gets a
+    private folder when it is unset (tests).
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -70,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="sonolith-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)

@@ -2,8 +2,8 @@
 
 Every column is read as text with an explicit schema-free header read; numbers
 and timestamps are repaired with JVM expressions.  ``row_id`` is the position
-in file order, built from per-partition counts (one tiny table) instead of a
-single-partition numbering.
+in file order, built from the row counts of file stretches (one small table)
+instead of a single-partition numbering.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from sonolith.functions.parsing import frequency_band, locale_number, parse_timestamp, parse_timestamp_day_first
 from sonolith.operators.quality import BAND_COLUMNS
-from sonolith.options import Options
+from sonolith.options import Options, ScaleOptions
+from sonolith.plans.sizing import broadcast_if_small
+from sonolith.session import cut_lineage
 
 REQUIRED_COLUMNS = ("id", "avg_decibel", "peak_decibel", "min_decibel", "measurement_duration", "samples_count", "created_at")
 NUMBER_COLUMNS = ("id", "avg_decibel", "peak_decibel", "min_decibel", "measurement_duration", "samples_count")
@@ -50,34 +52,37 @@ def check_required(df: DataFrame) -> None:
         raise ValueError(f"required columns missing from the CSV: {missing}")
 
 
+#: Where a row stands; streams take these along, as their batches know no files.
+def location() -> dict:
+    return {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+
+
 def with_file_row_ids(df: DataFrame, out: str = "row_id") -> DataFrame:
-    """Contiguous 0-based position in file order.
+    """Contiguous 0-based position in file order (W0): files by path, rows as they stand.
 
-    ``monotonically_increasing_id`` encodes (partition, index in partition); the
-    row counts per partition (one row per input partition) give each partition's
-    offset.  File scans split deterministically, so both uses agree and retries
-    reproduce the same ids.
+    A scan reads each stretch of a file in one task, in order, so a row's place in its
+    stretch is its ``monotonically_increasing_id`` less the stretch's first; the stretches'
+    row counts give the offsets.  File scans split deterministically, so both uses agree and
+    retries reproduce the same ids.  The table of offsets has one row per stretch.
     """
-    d = df.withColumn("_mid", F.monotonically_increasing_id())
-    d = d.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_idx", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    # one row per input partition: bounded by the scan's partition count
-    return d.join(F.broadcast(offs.select("_pid", "_off")), "_pid").withColumn(out, F.col("_off") + F.col("_idx")).drop(
-        "_mid", "_pid", "_idx", "_off"
-    )
+    d = df if "_file" in df.columns else df.withColumns(location())
+    d = d.withColumn("_mid", F.monotonically_increasing_id())
+    blocks = cut_lineage(d.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first")))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("_file").agg(F.sum("_n").alias("_n")).select("_file", before(Window.orderBy("_file")).alias("_f0"))
+    offs = blocks.withColumn("_b0", before(Window.partitionBy("_file").orderBy("_block"))).join(files, "_file")
+    offs = cut_lineage(offs.select("_file", "_block", (F.col("_f0") + F.col("_b0") - F.col("_first")).alias("_off")))
+    j = d.join(broadcast_if_small(offs, ScaleOptions.broadcast_max_rows), ["_file", "_block"])
+    return j.withColumn(out, F.col("_off") + F.col("_mid")).drop("_mid", "_file", "_block", "_off")
 
 
 def parse_measurements(df: DataFrame, opts: Options, asset_col: str | None = None, asset_id: str = "asset") -> DataFrame:
     """Typed measurement table from text columns (P1-P5); keeps ``*_raw`` band text."""
     src = opts.csv.source_column
     ts = parse_timestamp(F.col(src), opts.csv.timestamp_format)
-    parsed_any = df.select(F.count(ts).alias("n")).first()["n"]
-    if parsed_any == 0:
+    if df.where(ts.isNotNull()).limit(1).count() == 0:
         ts = parse_timestamp_day_first(F.col(src))
-        if df.select(F.count(ts).alias("n")).first()["n"] == 0 and df.limit(1).count() > 0:
+        if df.where(ts.isNotNull()).limit(1).count() == 0 and df.limit(1).count() > 0:
             sample = [r[0] for r in df.select(src).limit(5).collect()]
             raise ValueError(f"the time column could not be parsed; check the format. Samples: {sample}")
     cols = {"timestamp": ts}
@@ -108,9 +113,9 @@ def load_measurement_csv(
 ) -> DataFrame:
     """S1-S3 + W0 + P1-P5.  Canonical order (timestamp NULLS LAST, row_id) is
     applied inside the ordered operators, never as a global sort (W1)."""
-    raw = rename_columns(read_raw_csv(spark, path, opts), opts)
-    check_required(raw)
-    return parse_measurements(with_file_row_ids(raw), opts, asset_col, asset_id)
+    raw = read_raw_csv(spark, path, opts)
+    check_required(rename_columns(raw, opts))
+    return parse_measurements(rename_columns(with_file_row_ids(raw), opts), opts, asset_col, asset_id)
 
 
 def numeric_columns(df: DataFrame, drop: Sequence[str] = ()) -> list[str]:

@@ -26,7 +26,7 @@ from sonolith.operators.quality import BAND_COLUMNS, prepare_series
 from sonolith.options import Options
 from sonolith.plans.pipeline import run_stage1, run_stage2, run_stage3
 from sonolith.session import ensure_checkpoint_dir, write_table
-from sonolith.sources.csv_ingest import NUMBER_COLUMNS, parse_measurements, with_file_row_ids
+from sonolith.sources.csv_ingest import NUMBER_COLUMNS, location, parse_measurements, with_file_row_ids
 
 
 def text_schema(opts: Options, asset_col: str) -> StructType:
@@ -34,6 +34,15 @@ def text_schema(opts: Options, asset_col: str) -> StructType:
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
+def _drop_partitions(spark: SparkSession, events_dir: str, assets: DataFrame) -> None:
+    """Remove what an earlier batch found for assets that have no event any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for row in assets.toLocalIterator():
+        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(row["asset_id"])
+        path = jvm.org.apache.hadoop.fs.Path(f"{events_dir}/asset_id={name}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str, stages: int):
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -44,9 +53,10 @@ def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str, sta
         keep = ["asset_id", "row_id", "timestamp", *NUMBER_COLUMNS, *BAND_COLUMNS,
                 *[f"{b}_format_valid" for b in BAND_COLUMNS], "freq_format_error"]
         parsed = write_table(parsed.select(*keep), "stream-batch")
-        parsed.write.mode("append").partitionBy("asset_id").parquet(store_dir)
+        # a batch that runs again replaces its own rows
+        parsed.write.mode("overwrite").partitionBy("asset_id").parquet(f"{store_dir}/batch_id={batch_id}")
         touched = parsed.select("asset_id").distinct()
-        history = spark.read.parquet(store_dir).join(touched, "asset_id", "left_semi")
+        history = spark.read.parquet(store_dir).drop("batch_id").join(touched, "asset_id", "left_semi")
         # adjacency across arrivals follows time order: row_id becomes the position
         # per asset (file positions of different files are not comparable)
         series = write_table(prepare_series(history, opts).withColumn("row_id", F.col("seq_pos")), "stream-series")
@@ -57,6 +67,8 @@ def _process(opts: Options, asset_col: str, store_dir: str, events_dir: str, sta
             events = events.unionByName(s2.events, allowMissingColumns=True)
             if stages >= 3:
                 events = events.unionByName(run_stage3(s2.rows, opts).events, allowMissingColumns=True)
+        events = write_table(events, "stream-events")
+        _drop_partitions(spark, events_dir, touched.join(events.select("asset_id").distinct(), "asset_id", "left_anti"))
         (
             events.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -86,6 +98,7 @@ def start_reload_stream(
         .option("sep", opts.csv.separator)
         .option("maxFilesPerTrigger", 1)
         .csv(source_dir)
+        .withColumns(location())
     )
     writer = stream.writeStream.foreachBatch(_process(opts, asset_col, store_dir, events_dir, stages)).option("checkpointLocation", ckpt)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -171,3 +171,39 @@ def test_event_adjacency_file_vs_time(spark):
     by_file = alert_rows_with_event_ids(q, "stage1").select("event_id").distinct().count()
     by_time = alert_rows_with_event_ids(q, "stage1", adjacency="time").select("event_id").distinct().count()
     assert (by_file, by_time) == (3, 1)
+
+
+def test_wall_times_do_not_depend_on_the_session_zone(spark):
+    from sonolith.functions.parsing import parse_iso_timestamp, parse_timestamp_day_first
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = ["31.03.2024 02:30", "31.02.2024 02:30", "1.1.24 1:1", "31/03/2024 02:30:05", "2024-03-31T02:30:00", "2024-03-31 02:30:00+02:00", "2024-03-31", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    try:
+        for z in ("UTC", "Europe/Berlin", "America/Sao_Paulo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            t = F.col("t")
+            got = [tuple(r) for r in df.select(parse_timestamp(t, "d.M.yyyy H:m"), parse_timestamp_day_first(t), parse_iso_timestamp(t)).collect()]
+            at, wall = dt.datetime(2024, 3, 31, 2, 30), "timestamp_ntz'2024-03-31 02:30:00'"
+            assert [r[0] for r in got] == [at] + [None] * 7
+            assert [r[1] for r in got] == [at, None, None, at.replace(second=5), at, None, at.replace(hour=0, minute=0), None]
+            assert [r[2] for r in got][4:] == [at, at.replace(hour=0), at.replace(hour=0, minute=0), None]
+            r = df.limit(1).select(event_signature(F.lit("S"), F.expr(wall), F.lit(None).cast("timestamp_ntz")).alias("s"), display_timestamp(F.expr(wall)).alias("d")).first()
+            assert (r.s, r.d) == ("S|20240331T023000|NA", "31.03.2024 02:30")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_notes_of_two_assets_at_the_same_time(spark):
+    from sonolith.operators.feedback import NOTE_KEY, delete_by_key, note_lookup, upsert
+
+    at = dt.datetime(2024, 1, 1)
+    ev = spark.createDataFrame([(a, "Stage 1", at, at) for a in "ab"], "asset_id string, stage string, start_timestamp timestamp_ntz, end_timestamp timestamp_ntz")
+    sig = event_signature(F.col("stage"), F.col("start_timestamp"), F.col("end_timestamp"))
+    note = lambda a, v, t: ev.where(F.col("asset_id") == a).select("asset_id", sig.alias("event_signature"), F.lit(v).alias("verdict"), F.lit("n").alias("notes"), F.lit(t).alias("updated_at"))
+    base = note("a", "old", "1").unionByName(note("b", "other", "1"))
+    notes = upsert(base, note("a", "tie", "2").unionByName(note("a", "tie", "2")), NOTE_KEY, "updated_at")
+    assert {r.asset_id: r.verdict for r in note_lookup(ev, notes).collect()} == {"a": "tie", "b": "other"}
+    assert notes.count() == 2
+    left = delete_by_key(notes, note("b", "x", "3"), NOTE_KEY)
+    assert [r.asset_id for r in left.collect()] == ["a"]

@@ -88,3 +88,14 @@ def test_row_ids_when_one_file_spans_partitions(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(got) == [(i, float(i)) for i in range(3000)]
+
+
+def test_row_ids_follow_files_of_unequal_size(spark, tmp_path):
+    from sonolith.sources.csv_ingest import with_file_row_ids
+
+    n = 0
+    for name, rows in (("a", 10), ("b", 100), ("c", 1)):
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{n + i}\n" for i in range(rows)))
+        n += rows
+    got = with_file_row_ids(spark.read.option("header", True).csv(str(tmp_path))).collect()
+    assert sorted((r.row_id, int(r.v)) for r in got) == [(i, i) for i in range(n)]

@@ -43,3 +43,24 @@ def test_reload_stream_matches_batch(spark):
     assert sorted(got.where(F.col("stage") == "Stage 1").select(cols).collect()) == sorted(want.select(cols).collect())
     assert {r.stage for r in got.select("stage").distinct().collect()} <= {"Stage 1", "Stage 2", "Stage 3"}
     assert got.where(F.col("stage") == "Stage 2").count() > 0
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark):
+    from sonolith.sources.csv_ingest import location
+    from sonolith.streaming.reload import _process, text_schema
+
+    opts = hourly_series_options()
+    root = tempfile.mkdtemp(prefix="sonolith-replay-")
+    rows = [("a", str(i), str(50 + (40 if 10 <= i < 20 else 0)), "60", "40", "1", "200", f"01.01.2024 {i:02d}:00") for i in range(24)]
+    names = ["asset_id", "id", "avg_decibel", "peak_decibel", "min_decibel", "measurement_duration", "samples_count", "created_at"]
+    spark.createDataFrame(rows, names).coalesce(1).write.option("header", True).csv(f"{root}/in")
+    schema = text_schema(opts, "asset_id")
+    batch = spark.read.schema(schema.fromJson({"type": "struct", "fields": [f.jsonValue() for f in schema.fields[: len(names)]]})).option("header", True).csv(f"{root}/in").withColumns(location())
+    for c in schema.fieldNames()[len(names):]:
+        batch = batch.withColumn(c, F.lit(None).cast("string"))
+    run = _process(opts, "asset_id", f"{root}/store", f"{root}/events", 1)
+    os.makedirs(f"{root}/events/asset_id=a")  # left by an earlier batch
+    run(batch, 0)
+    once = spark.read.parquet(f"{root}/store").count()
+    run(batch, 0)
+    assert spark.read.parquet(f"{root}/store").count() == once == 24

@@ -2,12 +2,13 @@
 
 import hashlib
 import math
+import os
 import sys
 import time
 
 import duckdb
 
-sys.path.insert(0, "/root/repo")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from sonolith.plans.catalog import REGISTRY  # noqa: E402
 from sonolith.session import local_session  # noqa: E402
 
