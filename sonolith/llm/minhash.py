@@ -203,6 +203,11 @@ def _link(pdf: pd.DataFrame, o: MinHashOptions) -> pd.DataFrame:
     inter = _overlaps([sets[left[i]] for i in rows], [sets[right[j]] for j in cols])
     union = na[rows][:, None] + nb[cols][None, :] - inter
     linked = (100 * inter >= o.percent * union) & near[np.ix_(rows, cols)]
+    return spanning([left[i] for i in rows], [right[j] for j in cols], linked)
+
+
+def spanning(left: list[int], right: list[int], linked: np.ndarray) -> pd.DataFrame:
+    """As few of the links as connect the same nodes."""
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -213,13 +218,26 @@ def _link(pdf: pd.DataFrame, o: MinHashOptions) -> pd.DataFrame:
 
     links = []
     for i, j in zip(*np.nonzero(linked), strict=True):
-        x, y = find(left[rows[i]]), find(right[cols[j]])
+        x, y = find(left[i]), find(right[j])
         if x != y:
             root[max(x, y)] = min(x, y)
             links.append((x, y))
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
+def block_meetings(near: DataFrame, classes: DataFrame, sets: int, members: int) -> DataFrame:
+    """Deal the classes of each candidate part into blocks, and let every two blocks meet once.
+
+    ``near``: node, component. ``classes``: cid, n (size of the set), other columns. A block
+    has about ``sets`` sets or ``members`` members, whichever is less. Returns component, x, y
+    (blocks), side (0 or 1) and the columns of ``classes``."""
+    parts = near.join(classes, near["node"] == classes["cid"]).drop("node")
+    sizes = parts.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / sets, F.sum("n") / members)).cast("int").alias("blocks"))
+    placed = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    meets = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return meets.select("component", *classes.columns, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> DataFrame:
     """Groups of documents whose sets of word shingles (lower case) are linked, directly or through others.
 
@@ -245,13 +263,7 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
     members = heads.select("cid", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).where("n > 1").select("band", "lead")
     near = components(members.join(shared, "band").select("cid", "lead").where("cid != lead").distinct(), "cid", "lead")
-    parts = near.join(classes, near["node"] == classes["cid"]).select("component", "cid", "first_id", "n")
-    sizes = parts.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / o.block_sets, F.sum("n") / o.block_shingles)).cast("int").alias("blocks"))
-    placed = parts.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    # every block meets itself and every other block of its part once
-    meets = placed.select("component", "cid", "first_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "component", "cid", "first_id", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side")
-    )
+    meets = block_meetings(near, classes, o.block_sets, o.block_shingles)
     texts = meets.join(rows, meets["first_id"].eqNullSafe(rows["doc_id"])).select("component", "x", "y", "side", "cid", "text")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:

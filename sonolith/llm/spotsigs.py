@@ -18,12 +18,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sonolith.llm.words import BYTE_BASES, WORD_BASES, Windows, Words, mix, slices
+from sonolith.llm import scratch
+from sonolith.llm.graph import components
+from sonolith.llm.minhash import block_meetings, spanning
+from sonolith.llm.words import WORD_BASES, Windows, mix, slices
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -190,3 +194,52 @@ def fingerprints(docs: DataFrame, options: SpotOptions | None = None) -> DataFra
         return _compare(batches, o)
 
     return in_order(docs).mapInArrow(compare, f"doc_id {id_type}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _length_partition(n: str, percent: int):
+    """Sets that can be alike are in the same or in neighbouring partitions."""
+    return F.floor(F.log(F.col(n)) / F.log(F.lit(100.0 / percent)) + 1e-9)
+
+
+def similar(docs: DataFrame, options: SpotOptions | None = None) -> DataFrame:
+    """Groups of documents whose fingerprints have a Jaccard similarity of ``percent`` / 100 or more.
+
+    ``docs`` needs doc_id and text; other columns are ignored. Returns one row per input row:
+    doc_id, n_signatures, component_id (least doc_id reachable). Equal fingerprints are one
+    class. Two classes are candidates if they share one of their rarest signatures (as many
+    as a set may lack and still be alike) in the same or neighbouring partitions of length;
+    connected candidates are compared in blocks. Empty texts are linked with nothing; a null
+    doc_id is least only where there is no other. An empty table gives no rows.
+    """
+    o = options or SpotOptions()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = signatures(b.column("text").fill_null(""), o)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.astype(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sigs"])
+
+    signed = scratch.save(docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, sigs array<long>").withColumn("n", F.size("sigs")).withColumn("cid", F.when(F.col("n") > 0, F.xxhash64("sigs"))), "spots")
+    classes = scratch.save(signed.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("sigs").alias("sigs"), F.first("n").alias("n")), "classes")
+    each = classes.select("cid", "n", F.explode("sigs").alias("sig"))
+    rare = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "sig")
+    rank = F.row_number().over(W.partitionBy("cid").orderBy("df", "sig"))  # within one set
+    prefix = rare.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * o.percent / F.lit(100)) + 1)
+    at = _length_partition("n", o.percent)
+    members = prefix.select("cid", "sig", F.explode(F.array(at, at - 1)).alias("length"))
+    shared = members.groupBy("sig", "length").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).where("n > 1").drop("n")
+    near = components(members.join(shared, ["sig", "length"]).select("cid", "lead").where("cid != lead").distinct(), "cid", "lead")
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = {int(c): np.asarray(s, dtype=np.int64) for c, s in zip(pdf["cid"], pdf["sigs"], strict=True)}
+        left, right = ([int(c) for c in pdf["cid"][pdf["side"] == side]] for side in (0, 1))
+        right = right or left
+        linked = np.array([[a != b and pruned_jaccard(sets[a], sets[b], o.percent / 100) > 0 for b in right] for a in left], dtype=bool).reshape(len(left), len(right))
+        return spanning(left, right, linked)
+
+    links = scratch.save(block_meetings(near, classes, 128, 100_000).groupBy("component", "x", "y").applyInPandas(link, "a long, b long"), "links")
+    groups = components(links, "a", "b")
+    least = groups.join(classes, groups["node"] == classes["cid"]).groupBy("component").agg(F.min("first_id").alias("least"))
+    by_class = classes.select("cid", "first_id").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(least, "component", "left")
+    out = signed.join(by_class.select("cid", F.coalesce("least", "first_id").alias("component_id")), "cid", "left")
+    return out.select("doc_id", F.col("n").alias("n_signatures"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -13,7 +13,7 @@ from sonolith.llm.packing import pack
 from sonolith.llm.quality import judge
 from sonolith.llm.queries import tokenizer_path
 from sonolith.llm.sharding import interleave
-from sonolith.llm.spotsigs import fingerprints
+from sonolith.llm.spotsigs import fingerprints, similar
 from sonolith.llm.substring import remove_repeats
 
 PLAIN = [(r[0], r[1]) for r in edge_rows()]
@@ -21,6 +21,7 @@ OPERATORS = {
     "substring": remove_repeats,
     "mix": mix_sources,
     "spots": fingerprints,
+    "similar": similar,
     "language": lambda d: langid.predict(d, langid.fit(d)),
     "shards": lambda d: interleave(d, 24),
     "pack": lambda d: pack(d, tokenizer_path()),
