@@ -37,11 +37,12 @@ UNDETERMINED = "und"
 class LangIdOptions:
     """``sample``: training documents per language. A fifth of them calibrates: the softness
     of the score, and the greatest cross-entropy that is not rejected, ``slack`` above the
-    worst one seen in the language."""
+    worst one seen in the language, and more for few characters (``short`` / sqrt(n))."""
 
     sample: int = 1000
     slack: float = 0.25
-    cache: int = 400_000
+    short: float = 5.0
+    cache: int = 250_000
 
 
 @dataclass
@@ -203,13 +204,14 @@ class Scorer:
         return total[ends] - total[begins], chars[ends] - chars[begins]
 
 
-def decide(score: np.ndarray, chars: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def decide(score: np.ndarray, chars: np.ndarray, model: Model, short: float = LangIdOptions.short) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index of the language (-1: undetermined), confidence, and rejection of each text."""
     per_char = score / np.maximum(chars, 1)[:, None]
     best = per_char.argmax(axis=1)
     soft = model.softness * (score - score.max(axis=1, keepdims=True))
     confidence = 1 / np.exp(soft).sum(axis=1)
-    rejected = (chars == 0) | (-per_char[np.arange(len(best)), best] > (model.limit[best] if model.limit is not None else np.inf))
+    limit = model.limit[best] if model.limit is not None else np.full(len(best), np.inf)
+    rejected = (chars == 0) | (-per_char[np.arange(len(best)), best] > limit * (1 + short / np.sqrt(np.maximum(chars, 1))))
     best[chars == 0] = -1
     confidence[chars == 0] = 0
     return best, confidence, rejected
@@ -295,7 +297,7 @@ def predict(docs: DataFrame, model: Model | None, options: LangIdOptions | None
                     conf += [0.0] * len(texts)
                     gone += [True] * len(texts)
                     continue
-                best, confidence, rejected = decide(*scorer.texts(texts), model)
+                best, confidence, rejected = decide(*scorer.texts(texts), model, o.short)
                 langs += [model.langs[i] if i >= 0 else UNDETERMINED for i in best]
                 conf += confidence.tolist()
                 gone += rejected.tolist()

@@ -12,10 +12,22 @@ from sonolith.session import ensure_checkpoint_dir
 _OPEN: dict[str, list[str]] = {}
 
 
+#: Rows of text per Arrow batch; Spark's default of 10,000 is meant for rows of numbers.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of long texts, unless the session sets a bound of its own."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back: cuts the lineage,
     survives lost executors, and keeps column pruning for the readers."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _OPEN.setdefault(spark.sparkContext.applicationId, []).append(path)
