@@ -1195,8 +1195,12 @@ def q_logic_overview_counts(spark, sf_dir):
     return _overview(spark, sf_dir, stage3_standin(spark, sf_dir))
 
 
-_LATEST_SQL = S3L(
+_LATEST_SQL = S1(
     O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS),
+    O.stage2_ctes(OPTS, src="s1"),
+    O.stage3_train_ctes("s1"),
+    O.lof_ctes(OPTS.stage3.lof_neighbors),
+    O.stage3_logic_ctes(OPTS),
     O.event_ctes("s2", "stage2", "ev2", OPTS.expected_interval_minutes, ", max(multivariate_score) AS multivariate_score"),
     O.event_ctes("s3", "stage3", "ev3", OPTS.expected_interval_minutes, O.STAGE3_EVENT_AGGS),
     """all_ev AS (
