@@ -33,6 +33,7 @@ def _stage(fn: Stage) -> Stage:
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
         ship_package(spark)
+        scratch.small_batches(spark)
         app = spark.sparkContext.applicationId
         scratch.release(spark, _MADE.pop(app, []))
         scratch.settle(spark)
@@ -72,9 +73,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that occur elsewhere; what is left has single spaces."""
     out = remove_repeats(docs, keep_text=True, carry=True)
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    changed = F.col("n_removed") > 0
-    return out.select(*[F.when(changed, new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    length = F.when(F.col("n_removed") > 0, F.length("new_text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("new_text"), "n_chars": length}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 @_stage

@@ -122,12 +122,13 @@ def _rewrite(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.
                 n_words.append(hi - lo)
                 n_removed.append(hi - lo - len(kept))
                 digest.append(hashlib.sha256(text).hexdigest())
-                texts.append(text if keep_text else b"")
+                if keep_text:
+                    texts.append(text if len(kept) < hi - lo else b.column("text")[d].as_py().encode() if b.column("text")[d].is_valid else None)
             del body
         cols = [b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         if keep_text:
-            cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "kept_text"]
+            cols, names = [*cols, pa.array(texts, pa.binary()).cast(pa.string())], [*names, "new_text"]
         if "row" in b.schema.names:
             cols, names = [*cols, b.column("row")], [*names, "row"]
         yield pa.RecordBatch.from_arrays(cols, names=names)
@@ -163,7 +164,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER, keep_text:
 
     ``docs`` needs doc_id (long) and text; other columns are ignored. Returns one row per
     input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one
-    space), with ``keep_text`` also kept_text, with ``carry`` also row, all input columns.
+    space), with ``keep_text`` also new_text (these kept words, or the text as it was where
+    nothing is removed), with ``carry`` also row, all input columns but text.
     Null and empty texts and texts of fewer than ``window`` words lose nothing (null: no
     words, the digest of an empty text). A null doc_id is a value like any other. Repeated
     rows repeat each other's windows, so all of these go. An empty table gives no rows.
@@ -185,8 +187,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, k: int = KMER, keep_text:
         .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
     none = F.expr("cast(array() as array<struct<start: int, end: int>>)")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     base = docs.select("doc_id", "text", key_column().alias("dk"), *[whole] * carry)
     joined = base.join(spans, _same(base, spans), "left").select(base["doc_id"], "text", F.coalesce("spans", none).alias("spans"), *["row"] * carry)
-    fields = [base.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep_text)]
+    fields = [base.schema["doc_id"], *T.StructType.fromDDL("n_words long, n_removed long, kept_sha256 string" + ", new_text string" * keep_text)]
     return joined.mapInArrow(partial(_rewrite, keep_text=keep_text), T.StructType(fields + [f for f in base.schema if f.name == "row"]))
