@@ -54,11 +54,11 @@ def targets(sizes: DataFrame, o: MixOptions) -> DataFrame:
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(level * F.col("weight"))).select("src", "source_size", "target")
 
 
-def mix_sources(docs: DataFrame, options: MixOptions | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, options: MixOptions | None = None, keep: list[str] | None = None) -> DataFrame:
     """How often the mix takes each document.
 
-    ``docs`` needs doc_id, text and source. Returns one row per input row: row (all input
-    columns as a struct, so that none can clash), size (words; null text: 0), source_size,
+    ``docs`` needs doc_id, text and source. Returns one row per input row: row (the input
+    columns ``keep``, by default all, as a struct, so that none can clash), size (words; null text: 0), source_size,
     target, copies. Copies are the floor or the ceiling of target / source_size and never
     above ``at_most``. A null source is a source of its own, the last one. Sources without
     a word have the target 0 and no copies. Repeated rows are sampled one by one; rows with
@@ -67,7 +67,7 @@ def mix_sources(docs: DataFrame, options: MixOptions | None = None) -> DataFrame
     """
     o = options or MixOptions()
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("row"),
         F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         source_key().alias("src"),
         F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit("")).alias("digest"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonolith.llm import chat, langid
+from sonolith.llm import chat, langid, scratch
 from sonolith.llm.extraction import extract
 from sonolith.llm.minhash import near_duplicates
 from sonolith.llm.mixing import mix_sources
@@ -32,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    scratch.small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -64,7 +65,7 @@ FROM k
 
 @query("op2_mix_sources", MIX_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mix = mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return mix.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
