@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,6 +66,9 @@ def release(spark: SparkSession, paths: list[str]) -> None:
 
 def settle(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of jobs whose results are written: it does so when the
-    driver collects what referred to them, which on a quiet driver may be hours later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    driver collects what referred to them, which on a quiet driver may be hours later. The
+    listeners let go of a finished job a moment after it, and files go in the background."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1.0)
