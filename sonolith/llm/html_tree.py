@@ -19,8 +19,9 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
-    "body": ({"head"}, set()),
 }
+#: Any other start tag ends an open head, and so does text.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 
@@ -39,10 +40,35 @@ class Node:
     label: str | None = None
 
 
+def _tags(html: str) -> tuple[list[re.Match], set[int]]:
+    """All tags outside raw text, and the positions of the unseen elements' start tags that have an end tag."""
+    tags: list[re.Match] = []
+    open_: dict[str, list[int]] = {}
+    ended: set[int] = set()
+    pos = 0
+    while m := _TAG.search(html, pos):
+        pos = m.end()
+        tags.append(m)
+        name = (m["name"] or "").lower()
+        if name not in UNSEEN and name not in RAW:
+            continue
+        if m["end"]:
+            if open_.get(name):
+                ended.add(open_[name].pop())
+        elif name not in UNSEEN or not (m["attrs"] or "").endswith("/"):
+            open_.setdefault(name, []).append(m.start())
+            if name in RAW:
+                stop = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
+                pos = stop.start() if stop else len(html)
+    return tags, ended
+
+
 def parse(html: str) -> list[Node]:
     """Nodes in page order, the root first; text is decoded, its white space single spaces."""
     nodes = [Node("#root", -1, 0)]
     open_: list[tuple[str, int]] = [("#root", 0)]  # all open elements, and the block node they are in
+    walls: list[int] = []  # unseen elements among them whose end tag comes: no start tag in them ends what is around them
+    unseen = 0
     run: list[str] = []
     linked = 0
 
@@ -56,23 +82,28 @@ def parse(html: str) -> list[Node]:
         linked = 0
 
     def close(down_to: int) -> None:
+        nonlocal unseen
         if any(t not in INLINE for t, _ in open_[down_to:]):
             flush()
+        unseen -= sum(t in UNSEEN for t, _ in open_[down_to:])
         del open_[down_to:]
+        while walls and walls[-1] >= down_to:
+            walls.pop()
 
     def close_one_of(names: set[str], stop: set[str]) -> None:
-        for k in range(len(open_) - 1, 0, -1):
+        for k in range(len(open_) - 1, walls[-1] if walls else 0, -1):
             if open_[k][0] in names:
                 close(k)
                 return
             if open_[k][0] in stop:
                 return
 
-    unseen = 0
+    tags, ended = _tags(html)
     pos = 0
-    while pos < len(html):
-        m = _TAG.search(html, pos)
+    for i, m in enumerate([*tags, None]):
         chunk = html[pos : m.start() if m else len(html)]
+        if unseen and open_[-1][0] == "head" and chunk.strip(" \t\n\f\r"):
+            close(len(open_) - 1)
         if chunk and not unseen:
             run.append(unescape(chunk))
             if any(t == "a" for t, _ in open_):
@@ -86,7 +117,6 @@ def parse(html: str) -> list[Node]:
         if m["end"]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == name:
-                    unseen -= sum(t in UNSEEN for t, _ in open_[k:])
                     close(k)
                     break
             else:
@@ -95,6 +125,8 @@ def parse(html: str) -> list[Node]:
             if name == "br":
                 run.append(" ")
             continue
+        if unseen and name not in IN_HEAD:
+            close_one_of({"head"}, set())
         if name not in INLINE:
             if name in CLOSES:
                 close_one_of(*CLOSES[name])
@@ -114,11 +146,10 @@ def parse(html: str) -> list[Node]:
             continue
         open_.append((name, at))
         unseen += name in UNSEEN
+        if m.start() in ended and name != "head":
+            walls.append(len(open_) - 1)
         if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-            if name == "textarea" and not unseen:
-                pass
-            pos = stop.start() if stop else len(html)
+            pos = tags[i + 1].start() if i + 1 < len(tags) else len(html)
     flush()
     for n in reversed(nodes[1:]):  # a parent stands before its children
         nodes[n.parent].chars += n.chars

@@ -313,6 +313,37 @@ def test_pages_of_other_shapes():
     assert main_texts([html], default_model())[0] == f"Headé\n\n{text}\n\n{text}\n\nFirst point of it.\n\nSecond point."
 
 
+def _seen(html):
+    return [n.text for n in parse(html) if n.tag == "#text"]
+
+
+PARA = "Some words that make a sentence, and then a few more of them. " * 4
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><body>", "<html><head><title>t</title>", "<head><meta charset=utf-8><style>a{}</style>", "<head><template><div>", "<head><title>t</title></head><body>"])
+def test_pages_without_end_of_head_or_body(start):
+    text = " ".join(PARA.split())
+    assert main_texts([f"{start}<article><h1>Head</h1><p>{PARA}</p></article></body></html>"], default_model()) == [f"Head\n\n{text}"]
+    assert _seen(f"{start}<b>plain</b> words") == ["plain words"]
+    assert _seen(f"{start}<br>words<p>more") == ["words", "more"]
+
+
+def test_text_and_templates_in_a_head():
+    assert _seen("<head><title>t</title> words <p>more") == ["words", "more"]
+    assert _seen("<head><template><div>no</div></template><title>t</title><div>yes</div>") == ["yes"]
+    assert _seen("<head><noscript><p>no</p></noscript><script>'<p>'</script>\n<textarea>no</textarea>yes") == ["yes"]
+
+
+@pytest.mark.parametrize("tag", ["svg", "object", "template", "math", "canvas"])
+def test_unseen_elements_closed_by_a_start_tag(tag):
+    assert _seen(f"<ul><li>one<{tag}>no<li>two</ul><p>three") == ["one", "two", "three"]
+    assert _seen(f"<table><tr><td>one<{tag}>no<td>two</table><p>three") == ["one", "two", "three"]
+    assert _seen(f"<p>one<{tag}>no<p>two") == ["one", "two"]
+    # with an end tag, what is inside stays unseen and ends nothing outside
+    assert _seen(f"<ul><li>one<{tag}><li>no</li></{tag}> more<li>two</ul>") == ["one", "more", "two"]
+    assert _seen(f"<ul><li>one<{tag}><li>two<{tag}>no</{tag}><li>three</ul>") == ["one", "two", "three"]
+
+
 # ------------------------------------------------------------------ 10
 def test_roles_of_conversations(spark):
     turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
