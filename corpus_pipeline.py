@@ -62,9 +62,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the least doc_id; of repeated rows one."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), "th")
-    named = kept.where("id is not null").groupBy("id").agg(F.min("th").alias("th")).unionByName(kept.where("id is null").distinct())
+    """One document of each near-duplicate group, that of the least doc_id (a null one only if the
+    group has no other), whatever other groups share that id; of repeated rows one. Texts without
+    a word are in no group."""
+    kept = near_duplicates(docs).where("kept").select("component", F.col("doc_id").alias("id"), "th")
+    # a group's kept rows have one id
+    alone = [F.when(F.col("component").isNull(), F.col(c)).alias(f"alone_{c}") for c in ("id", "th")]
+    named = kept.groupBy("component", *alone).agg(F.min("id").alias("id"), F.min("th").alias("th")).select("id", "th")
     rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), _row(docs))
     return rows.join(named, rows["k1"].eqNullSafe(named["id"]) & (rows["k2"] == named["th"]), "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")
 

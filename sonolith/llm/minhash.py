@@ -242,8 +242,8 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
     """Groups of documents whose sets of word shingles (lower case) are linked, directly or through others.
 
     ``docs`` needs doc_id and text; other columns are ignored. Returns one row per input row:
-    doc_id, th (xxhash64 of the text), n_shingles, component_id (least doc_id reachable), kept
-    (doc_id = component_id).
+    doc_id, th (xxhash64 of the text), n_shingles, component (a key of the group; null: an empty
+    set), component_id (least doc_id reachable), kept (doc_id = component_id).
     Null texts and texts without a word have an empty set and are linked with nothing. A null
     doc_id is never the least one unless the whole group has no other; repeated rows share a
     class. An empty table gives no rows. Classes are told apart by 64-bit hashes of their sets.
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
     links = scratch.save(texts.groupBy("component", "x", "y").applyInPandas(link, "a long, b long"), "links")
     groups = components(links, "a", "b")
     least = groups.join(classes, groups["node"] == classes["cid"]).groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_class = classes.select("cid", "first_id").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(least, "component", "left").select("cid", F.coalesce("component_id", "first_id").alias("component_id"))
+    by_class = classes.select("cid", "first_id").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(least, "component", "left").select("cid", F.coalesce("component", "cid").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))
     out = signed_docs.select("doc_id", "th", "n_shingles", "cid").join(by_class, "cid", "left")
     comp = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "th", "n_shingles", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "th", "n_shingles", "component", comp.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -124,7 +124,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_minhash_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th", "component")
 
 
 QUALITY_SQL = r"""
