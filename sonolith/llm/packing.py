@@ -59,14 +59,14 @@ class ChunkEncoder:
     white space, so the text is cut before each such space and every distinct chunk is
     encoded once. New chunks are encoded many in one string: each begins with the only token
     in it that starts with a space. Chunks next to other white space are odd; they send
-    their whole text down the plain way."""
+    their whole text down the plain way, and so does an added token in the text."""
 
     def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE]] = True
@@ -81,6 +81,12 @@ class ChunkEncoder:
         self.odd = np.zeros(1 << 14, dtype=bool)
         self.used = 0
 
+    def _have_added(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            out |= np.fromiter([token in t for t in texts], dtype=bool, count=len(texts))
+        return out
+
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -92,12 +98,15 @@ class ChunkEncoder:
         self.used += len(ids)
         return self.used - len(ids)
 
-    def _learn(self) -> None:
+    def _learn(self, added: bool) -> None:
+        """``added``: some of the new chunks may hold an added token."""
         chunks, self.known.new = self.known.new, []
         first, n = len(self.known) - len(chunks), len(self.known)
         while n > len(self.start):
             self.start, self.length, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.odd))
         odd = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in chunks), dtype=bool, count=len(chunks))
+        if added:
+            odd |= self._have_added(chunks)
         even = [c for c, o in zip(chunks, odd, strict=True) if not o]
         ids = np.concatenate([np.zeros(0, np.uint32), *self.plain(["".join([f" {c}" for c in even[i : i + 1000]]) for i in range(0, len(even), 1000)])])
         begins = np.flatnonzero(self.spaced[ids])
@@ -111,6 +120,7 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self.clear()
+        added = self._have_added(texts)
         chunks: list[str] = []
         counts = []
         for t in texts:
@@ -122,7 +132,7 @@ class ChunkEncoder:
         index = np.fromiter(map(local.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         index = np.fromiter(map(self.known.__getitem__, local.new), dtype=np.int64, count=len(local.new))[index]
         if self.known.new:
-            self._learn()
+            self._learn(bool(added.any()))
         ends = np.cumsum(counts)
         head = ends - counts
         odd = self.odd[index]
@@ -137,6 +147,7 @@ class ChunkEncoder:
         to = np.cumsum(length)
         flat = self.ids[np.repeat(start - to + length, length) + np.arange(to[-1] if len(to) else 0)]
         out = np.split(flat, to[ends[:-1] - 1]) if texts else []
+        odd[head] |= added
         for d in np.flatnonzero(np.logical_or.reduceat(odd, head)) if texts else []:
             out[d] = self.plain([texts[d]])[0]
         return out

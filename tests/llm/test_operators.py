@@ -239,6 +239,15 @@ def test_chunk_encoder_equals_plain_encoding(texts):
 ENCODERS: dict = {}
 
 
+def test_chunk_encoder_equals_an_untouched_tokenizer():
+    from tokenizers import Tokenizer
+
+    untouched = Tokenizer.from_file(str(tokenizer_path()))
+    texts = [*ODD, "a <|endoftext|> b", "a<|endoftext|>b c", "plain words", "end <|endoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "<|endof text|>"]
+    enc = ChunkEncoder(tokenizer_path(), limit=50)
+    assert [x.tolist() for x in enc.encode(texts)] == [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pack(spark, documents):
     rows = pack(documents, tokenizer_path(), PackOptions(group=64)).collect()
     enc = ChunkEncoder(tokenizer_path())
