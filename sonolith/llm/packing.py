@@ -61,7 +61,7 @@ class ChunkEncoder:
     in it that starts with a space. Chunks next to other white space are odd; they send
     their whole text down the plain way, and so does an added token in the text."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -73,14 +73,34 @@ class ChunkEncoder:
         self.limit = limit
         self.clear()
 
+    def forget(self) -> None:
+        """Keep the chunks that most of the batches met, half as many as the limit."""
+        n, keep = len(self.known), self.limit // 2
+        often = np.sort(np.argsort(-self.met[:n], kind="stable")[:keep])
+        chunks = list(self.known)
+        known, start, length, odd, met, ids = [chunks[i] for i in often.tolist()], self.start[often], self.length[often], self.odd[often], self.met[often], self.ids
+        self.clear()
+        self._room(len(known))
+        for chunk in known:
+            self.known[chunk]
+        self.known.new = []
+        to = np.cumsum(length)
+        self.length[: len(known)], self.odd[: len(known)], self.met[: len(known)] = length, odd, met // 2
+        self.start[: len(known)] = self._store(ids[np.repeat(start - to + length, length) + np.arange(to[-1] if len(to) else 0)]) + to - length
+
     def clear(self) -> None:
         self.known = _Numbers()
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
         self.odd = np.zeros(1 << 14, dtype=bool)
+        self.met = np.zeros(1 << 14, dtype=np.int64)  # batches that had the chunk
         self.used = 0
 
+    def _room(self, n: int) -> None:
+        while n > len(self.start):
+            self.start, self.length, self.odd, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.odd, self.met))
+
     def _have_added(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), dtype=bool)
         for token in self.added:
@@ -102,8 +122,7 @@ class ChunkEncoder:
         """``added``: some of the new chunks may hold an added token."""
         chunks, self.known.new = self.known.new, []
         first, n = len(self.known) - len(chunks), len(self.known)
-        while n > len(self.start):
-            self.start, self.length, self.odd = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.odd))
+        self._room(n)
         odd = np.fromiter((not c or c[0].isspace() or c[-1].isspace() for c in chunks), dtype=bool, count=len(chunks))
         if added:
             odd |= self._have_added(chunks)
@@ -119,7 +138,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
-            self.clear()
+            self.forget()
         added = self._have_added(texts)
         chunks: list[str] = []
         counts = []
@@ -130,9 +149,11 @@ class ChunkEncoder:
         # first among the few chunks of these texts, then only the distinct ones in the large cache
         local = _Numbers()
         index = np.fromiter(map(local.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        index = np.fromiter(map(self.known.__getitem__, local.new), dtype=np.int64, count=len(local.new))[index]
+        distinct = np.fromiter(map(self.known.__getitem__, local.new), dtype=np.int64, count=len(local.new))
         if self.known.new:
             self._learn(bool(added.any()))
+        self.met[distinct] += 1
+        index = distinct[index]
         ends = np.cumsum(counts)
         head = ends - counts
         odd = self.odd[index]
@@ -157,7 +178,7 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One per Python worker, kept between tasks; its cache is not."""
+    """One per Python worker, kept between tasks with its bounded cache."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
     return _ENCODERS[path]
@@ -193,7 +214,6 @@ def cut_pieces(docs: DataFrame, tokenizer: str, o: PackOptions) -> DataFrame:
                         rows.append((d, p, lo, hi - lo, zlib.crc32(body[4 * lo : 4 * hi])))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        enc.clear()
 
     return docs.select("doc_id", "text").mapInArrow(pieces, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sonolith.llm import scratch
 from sonolith.llm.mixing import source_key
-from sonolith.llm.words import WORD_BASES, Windows, Words, mix, signed, slices
+from sonolith.llm.words import WORD_BASES, Windows, Words, mix, one_by_one, signed, slices
 
 #: Fixed values of the base rules.
 MIN_WORDS = 50
@@ -34,12 +34,11 @@ _FOLD[ord("0") : ord("9") + 1] = ord("0")
 
 @dataclass(frozen=True)
 class QualityOptions:
-    """A line goes if more than max(``min_documents``, ``share`` of the host's distinct texts)
-    distinct texts have it; a document stays with ``keep_percent`` of its words or more."""
+    """A line goes if more than ``documents`` distinct texts of its host have it, whatever the host's
+    size; a document stays with ``keep_percent`` of its words or more."""
 
-    min_documents: int = 10
-    share: float = 0.01
-    keep_percent: int = 30
+    documents: int = 10
+    keep_percent: int = 75
 
 
 def _per_doc(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -81,6 +80,7 @@ def _lines(words: Words, doc_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
     raw = Words(words.data, lo, hi, first).hashes()
     folded = Words(_FOLD[words.data], words.start, words.end, words.first).hashes()
     norm = mix(Windows(folded, WORD_BASES[1]).of(first, last) + (last - first).astype(np.uint64))
+    norm = one_by_one(norm, folded, first, last)
     return doc[first], raw, norm, last - first
 
 
@@ -135,9 +135,7 @@ def judge(docs: DataFrame, options: QualityOptions | None = None) -> DataFrame:
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     measured = scratch.save(rows.mapInArrow(_measure, f"doc_id {id_type}, src string, th long, {counts}, lines array<struct<line: long, words: long>>"), "measured")
     lines = measured.select("doc_id", "src", "th", F.inline("lines"))
-    hosts = measured.select("src", "th").distinct().groupBy("src").agg(F.count(F.lit(1)).alias("texts"))
-    often = lines.select("src", "line", "th").distinct().groupBy("src", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > o.min_documents)
-    often = often.join(hosts, "src").where(F.col("n") > F.col("texts") * o.share).select("src", "line")
+    often = lines.select("src", "line", "th").distinct().groupBy("src", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > o.documents).select("src", "line")
     removed = lines.join(often, ["src", "line"]).dropDuplicates(["doc_id", "src", "th", "line"]).groupBy("doc_id", "src", "th").agg(F.sum("words").alias("removed"))
     base = measured.drop("lines")
     same = base["doc_id"].eqNullSafe(removed["doc_id"]) & (base["src"] == removed["src"]) & (base["th"] == removed["th"])

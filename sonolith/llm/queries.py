@@ -143,9 +143,7 @@ v AS (SELECT rid, src, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D
                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g') AS norm
       FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM v GROUP BY rid),
-hosts AS (SELECT src, count(DISTINCT text) AS texts FROM d GROUP BY src),
-often AS (SELECT src, norm FROM (SELECT src, norm, count(DISTINCT text) AS n FROM v GROUP BY src, norm) JOIN hosts USING (src)
-          WHERE n > 10 AND n > texts * 0.01),
+often AS (SELECT src, norm FROM v GROUP BY src, norm HAVING count(DISTINCT text) > 10),
 rem AS (SELECT rid, sum(words) AS removed FROM v JOIN often USING (src, norm) GROUP BY rid),
 b AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
@@ -154,7 +152,7 @@ b AS (
   FROM d LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rem USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed) >= 30 * n_words AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - removed) >= 75 * n_words AS kept
 FROM b
 """
 
@@ -224,8 +222,10 @@ g AS (
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(length(role), chr(0), role, chr(0), text)), copy) AS i FROM g),
 q AS (
   SELECT *, left(role, 1) AS t, lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS t2,
-         CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
-              WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 't' ELSE '' END AS fault FROM o),
+         CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+              WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault FROM o),
 -- backward: the cheapest rest of a conversation from each state (start, system, user, assistant)
 r AS (
   SELECT conv_id, max(i) AS i, {'c': 0, 'a': '', 'x': ''} AS w0, {'c': 4, 'a': 'II', 'x': chr(10) || 'user:' || chr(10) || 'assistant:'} AS ws,

@@ -1,5 +1,8 @@
 """Words of Arrow text columns as numpy arrays, and hashes of words and word windows.
 
+Short runs are hashed together by polynomials modulo 2**64. Those give equal values to long runs
+that alternate two symbols in certain patterns (Thue-Morse), so longer runs are hashed one by one.
+
 Everything works on the UTF-8 bytes of whole texts, a few megabytes at a time.
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D; those are ASCII,
 so runs of bytes and runs of code points are the same words.
@@ -12,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 
@@ -36,6 +40,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Runs of more values than this do not rely on a polynomial.
+LONG = 64
+
+
+def one_by_one(out: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``out`` with the hashes of long runs of ``values`` replaced by ones that hold for any pattern."""
+    view = memoryview(np.ascontiguousarray(values)).cast("B")
+    width = values.itemsize
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(view[start[i] * width : end[i] * width], seed)
+    return out
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -88,7 +105,7 @@ class Words:
             s, e = self.start[i:j] - lo, self.end[i:j] - lo
             out[i:j] = mix(w.of(s, e) + (e - s).astype(np.uint64) * np.uint64(BYTE_BASES[1 - seed]))
             i = j
-        return out
+        return one_by_one(out, self.data, self.start, self.end, seed)
 
     def doc_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))

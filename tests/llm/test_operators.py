@@ -20,6 +20,7 @@ from sonolith.llm.html_tree import parse
 from sonolith.llm.minhash import MinHashOptions, estimate, near_duplicates, shingles, sketches
 from sonolith.llm.mixing import mix_sources
 from sonolith.llm.packing import ChunkEncoder, PackOptions, best_fit, pack
+from sonolith.llm.quality import QualityOptions, judge
 from sonolith.llm.queries import ORACLES, QUERIES, tokenizer_path
 from sonolith.llm.spotsigs import SpotOptions, fingerprints, pruned_jaccard, signatures, similar
 from sonolith.llm.substring import remove_repeats
@@ -117,7 +118,7 @@ def test_estimates_are_close_to_the_similarity():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     res = con.execute(ORACLES[name])
@@ -388,3 +389,50 @@ def test_viterbi_against_enumeration():
 
     best = max(itertools.product(range(k), repeat=len(steps)), key=score)
     assert tuple(chat.decode(model, steps, 0, best[-1], True)) == best
+
+
+def thue_morse(bits: int) -> tuple[str, str]:
+    """Two different words on which a polynomial modulo 2**64 with an odd base agrees, from 2**10 letters on."""
+    a, b = "a", "b"
+    for _ in range(bits):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_patterned_words_and_lines_differ(spark):
+    """Texts that share no window, link or line, though their bytes and words follow colliding patterns."""
+    a, b = thue_morse(11)
+    words = [" ".join({"a": "x", "b": "y"}[c] for c in t) for t in thue_morse(11)]
+    rest = [f"r{i}" for i in range(34)]
+    texts = [" ".join([a, *rest]), " ".join([b, *rest]), "\n".join([words[0], words[1]] * 1), f"{a}\n{b}"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    assert sorted(tuple(r) for r in remove_repeats(docs).collect()) == brute.substring(rows)
+    assert {r.doc_id: r.n_removed for r in remove_repeats(docs).collect()}[0] == 0
+    near = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame([(0, a, "s"), (1, b, "s")], docs.schema)).collect()}
+    assert near == {(0, 1, 0), (1, 1, 1)}
+    assert {r.doc_id: r.n_dup_lines for r in judge(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_encoder_keeps_frequent_chunks():
+    """Over the limit the rare chunks go, the frequent ones stay, and ids stay right."""
+    enc, fresh = ChunkEncoder(tokenizer_path(), limit=60), ChunkEncoder(tokenizer_path())
+    common = " ".join(f"often{i}" for i in range(20))
+    for k in range(40):
+        texts = [f"{common} rare{k}a rare{k}b rare{k}c", f"alone{k} {common}"]
+        assert [x.tolist() for x in enc.encode(texts)] == [x.tolist() for x in fresh.plain(texts)]
+        assert len(enc.known) <= 60 + 30
+    assert all(f"often{i}" in enc.known for i in range(1, 20))
+    assert "rare0b" not in enc.known
+
+
+def test_line_limit_does_not_grow_with_the_host(spark):
+    """The same boilerplate goes from a small and from a large host, and depleted documents go with it."""
+    line = "subscribe to our letter today " * 4
+    body = [" ".join(f"d{k}w{i}" for i in range(60)).translate(str.maketrans("0123456789", "abcdefghij")) for k in range(400)]  # digits are alike
+    for n in (11, 400):
+        docs = spark.createDataFrame([(k, f"{line}\n{body[k]}", "s") for k in range(n)], "doc_id long, text string, source string")
+        rows = judge(docs).collect()
+        assert {(r.removed_words, r.base_failed, r.kept) for r in rows} == {(20, False, True)}
+        assert not any(r.kept for r in judge(docs, QualityOptions(keep_percent=80)).collect())
+    assert {r.removed_words for r in judge(docs.limit(10)).collect()} == {0}
