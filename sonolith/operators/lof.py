@@ -2,19 +2,17 @@
 
 k-NN join without emitting all pairs:
 
-1. Training rows are ordered along their first principal axis (``proj``) and cut
-   into contiguous *slabs* (blocks of about ``block_rows`` training rows) via a
-   fine per-asset cell grid and cumulative cell counts.
-2. Pass 1: every query row meets the training rows of its home slab; its
-   (k+1)-th distance there is an upper bound ``theta`` on its true one.
-3. Pass 2: since ``|proj(a) - proj(b)| <= ||a - b||``, only slabs whose projection
-   range meets ``[proj - theta, proj + theta]`` can hold closer rows; the query is
-   sent to exactly those slabs.
-4. Each (slab, training sub-block, query chunk) group computes distances in numpy
-   and emits only its top-(k+1) per query; a final per-query merge keeps the best.
-
-The result is exact (ties by training row id).  Large slabs are split into
-sub-blocks and query chunks so no task holds an unbounded group.
+1. Equal feature vectors are one point: of equal training rows only the ``k + 1`` least row ids
+   can be among the nearest of any query, and equal query rows have one answer.
+2. Training points are dealt to k-d cells over all axes, cut by counts (``kdcells``).
+3. Each query meets its home cell; the (k+1)-th distance there bounds its true one. The cells
+   that this ball touches are listed by walking the trees and measured by their boxes; the
+   query meets the nearest ``knn_ring`` of them, which tightens the bound, and then those
+   further out that the tighter ball still touches.
+4. Each (cell, query chunk) group computes distances in numpy and emits exactly the best
+   k+1 per query; a merge per query keeps the best.
+
+The result is exact (ties by training row id).
 """
 
 from __future__ import annotations
@@ -27,12 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.operators.ensemble import FEATURE_SLOTS
-from sonolith.operators.multivariate import pca_components
+from sonolith.operators.kdcells import CELL, box_distance, boxes, descend, grow, reach
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
 from sonolith.session import cut_lineage, write_table
 
-GRID = 4096
+#: Distances that a task works out at a time.
+DISTANCES = 250_000
 CAND_SCHEMA = "asset_key string, q_row long, d double, o long"
 
 
@@ -49,17 +48,18 @@ def _topk(n_feat: int):
         torder = np.argsort(trow, kind="stable")
         tx, trow = tx[torder], trow[torder]
         outs_q, outs_d, outs_o = [], [], []
-        step = max(1, 4_000_000 // max(len(tx), 1))
+        step = max(1, DISTANCES // max(len(tx), 1))
         for s in range(0, len(qx), step):
             block = qx[s : s + step]
             diff = block[:, None, :] - tx[None, :, :]
             d = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
             take = min(kk, d.shape[1])
             if take < d.shape[1]:
-                part = np.argpartition(d, take - 1, axis=1)[:, :take]
-                # keep every column tied with the cut value so ties resolve by row id
-                cut = np.take_along_axis(d, part, axis=1).max(axis=1, keepdims=True)
-                mask = d <= cut
+                cut = np.partition(d, take - 1, axis=1)[:, take - 1 : take]
+                # of those tied with the cut value the first by row id, as many as are needed
+                tied = d == cut
+                mask = d < cut
+                mask |= tied & (np.cumsum(tied, axis=1) <= take - mask.sum(axis=1, keepdims=True))
             else:
                 mask = np.ones_like(d, dtype=bool)
             qi, ti = np.nonzero(mask)
@@ -97,89 +97,57 @@ def knn(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("a
     p = plan.select(*keys, key.alias("asset_key"), k.cast("int").alias("k"), (k + 1).cast("int").alias("kk"))
     p = broadcast_if_small(p, opts.scale.broadcast_max_rows)
 
-    train = df.where(F.col("stage3_train")).select(*keys, "row_id", *FEATURE_SLOTS)
-    comps = pca_components(train, FEATURE_SLOTS, keys, prefix="")
-    axis = cut_lineage(comps.select(*keys, *[f"pc1_w{i}" for i in range(n_feat)]))
-    proj = sum((F.col(f) * F.col(f"pc1_w{i}") for i, f in enumerate(FEATURE_SLOTS)), F.lit(0.0))
-
-    def with_proj(d: DataFrame) -> DataFrame:
-        return d.join(broadcast_if_small(axis, opts.scale.broadcast_max_rows), keys, "inner").withColumn("proj", proj).drop(
-            *[f"pc1_w{i}" for i in range(n_feat)]
-        )
+    feats, mx = list(FEATURE_SLOTS), opts.scale.broadcast_max_rows
+    kk_max = max(2, s3.lof_neighbors) + 1
 
-    t = with_proj(train).join(p, keys, "inner")
-    q = with_proj(df.where(F.col("stage3_valid")).select(*keys, "row_id", *FEATURE_SLOTS)).join(p, keys, "inner")
+    same = Window.partitionBy("asset_key", *feats).orderBy("row_id")
+    train = df.where(F.col("stage3_train")).select(*keys, "row_id", *feats).join(p, keys, "inner")
+    train = train.select("asset_key", "row_id", *feats).withColumn("_r", F.row_number().over(same)).where(F.col("_r") <= kk_max).drop("_r")
+    placed, rounds = grow(train, feats, block_rows, kk_max, opts.scale.knn_sample_rows, mx)
 
-    rng = t.groupBy("asset_key").agg(
-        F.percentile_approx("proj", F.lit(0.001), 10_000).alias("_lo"), F.percentile_approx("proj", F.lit(0.999), 10_000).alias("_hi")
-    )
-    rng = broadcast_if_small(cut_lineage(rng), opts.scale.broadcast_max_rows)
-    width = F.col("_hi") - F.col("_lo")
-
-    def cell_of(v):
-        raw = F.when(width > 0, F.floor((v - F.col("_lo")) / width * F.lit(GRID))).otherwise(F.lit(0))
-        return F.greatest(F.lit(-1), F.least(F.lit(GRID), raw)).cast("long")
-
-    t = t.join(rng, "asset_key").withColumn("cell", cell_of(F.col("proj")))
-    counts = t.groupBy("asset_key", "cell").agg(F.count(F.lit(1)).alias("_n"))
-    all_cells = rng.select("asset_key", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(GRID).cast("long"))).alias("cell"))
-    cells = all_cells.join(counts, ["asset_key", "cell"], "left").fillna(0, subset=["_n"])
-    wc = Window.partitionBy("asset_key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(wc), F.lit(0)))
-    cells = cells.withColumn("block", F.floor(F.col("_before") / F.lit(block_rows)).cast("long")).select("asset_key", "cell", "block")
-    cells = broadcast_if_small(cut_lineage(cells), opts.scale.broadcast_max_rows)
-    t = t.join(cells, ["asset_key", "cell"], "inner")
-    blocks = t.groupBy("asset_key", "block").agg(F.count(F.lit(1)).alias("n_t"))
-    blocks = blocks.withColumn("n_tsub", F.greatest(F.lit(1), F.ceil(F.col("n_t") / F.lit(block_rows))).cast("long"))
-    blocks = broadcast_if_small(cut_lineage(blocks), opts.scale.broadcast_max_rows)
-    t = t.join(blocks.select("asset_key", "block", "n_tsub"), ["asset_key", "block"]).withColumn(
-        "tsub", F.pmod(F.xxhash64("row_id"), F.col("n_tsub"))
-    )
-    t_side = write_table(t.select("asset_key", "block", "tsub", F.col("row_id").alias("t_row"), *FEATURE_SLOTS), "lof-train")
+    rows = df.where(F.col("stage3_valid")).select(*keys, "row_id", *feats).join(p, keys, "inner")
+    q = rows.groupBy("asset_key", "kk", *feats).agg(F.min("row_id").alias("q_row"))
+    q = q.withColumn("cell", F.lit(1).cast("long"))
+    for trees in rounds:
+        q = descend(q, trees, feats, mx)
+    q = write_table(q.withColumnRenamed("cell", "home"), "lof-query")
 
     def candidates(pairs: DataFrame) -> DataFrame:
-        """pairs: (asset_key, block, q_row, kk, f*) -> per-group top-kk candidates."""
-        per_block = pairs.groupBy("asset_key", "block").agg(F.count(F.lit(1)).alias("_np"))
-        per_block = per_block.join(blocks, ["asset_key", "block"], "inner").withColumn(
-            "n_qchunk", F.greatest(F.lit(1), F.ceil(F.col("_np") / F.lit(q_chunk_rows))).cast("long")
-        ).select("asset_key", "block", "n_tsub", "n_qchunk")
-        per_block = broadcast_if_small(cut_lineage(per_block), opts.scale.broadcast_max_rows)
-        qs = pairs.join(per_block, ["asset_key", "block"], "inner")
-        qs = qs.withColumn("qchunk", F.pmod(F.xxhash64("q_row"), F.col("n_qchunk"))).withColumn(
-            "tsub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tsub") - 1))
-        )
-        ts = t_side.join(per_block.select("asset_key", "block", "n_qchunk"), ["asset_key", "block"], "inner").withColumn(
-            "qchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_qchunk") - 1))
-        )
-        g = ["asset_key", "block", "tsub", "qchunk"]
-        return (
-            qs.select(*g, "q_row", "kk", *FEATURE_SLOTS)
-            .groupBy(*g)
-            # fresh aliases: both sides descend from the same rows (self co-group)
-            .cogroup(ts.select(*[F.col(x).alias(x) for x in (*g, "t_row", *FEATURE_SLOTS)]).groupBy(*g))
-            .applyInPandas(_topk(n_feat), CAND_SCHEMA)
-        )
-
-    q = q.join(rng, "asset_key").withColumn("cell", cell_of(F.col("proj"))).join(cells, ["asset_key", "cell"], "inner")
-    q = write_table(q.withColumnRenamed("row_id", "q_row").withColumnRenamed("block", "home"), "lof-query")
-    pass1 = write_table(candidates(q.select("asset_key", F.col("home").alias("block"), "q_row", "kk", *FEATURE_SLOTS)), "lof-pass1")
-    kk_max = max(2, s3.lof_neighbors) + 1
-    top1 = _merge_top(pass1.join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"]), kk_max)
-    theta = F.when(F.size("nbrs") >= F.col("kk"), F.element_at("nbrs", -1)["d"])
-    # a query whose home slab holds fewer than k+1 training rows (or none) keeps an
-    # unbounded radius and searches every slab
-    q2 = q.join(top1.select("asset_key", "q_row", theta.alias("theta")), ["asset_key", "q_row"], "left")
-    lo_cell = F.when(F.col("theta").isNull(), F.lit(-1)).otherwise(cell_of(F.col("proj") - F.col("theta")))
-    hi_cell = F.when(F.col("theta").isNull(), F.lit(GRID)).otherwise(cell_of(F.col("proj") + F.col("theta")))
-    q2 = q2.withColumn("_lo_cell", lo_cell.cast("long")).withColumn("_hi_cell", hi_cell.cast("long"))
-    c_lo = cells.select("asset_key", F.col("cell").alias("_lo_cell"), F.col("block").alias("b_lo"))
-    c_hi = cells.select("asset_key", F.col("cell").alias("_hi_cell"), F.col("block").alias("b_hi"))
-    q2 = q2.join(c_lo, ["asset_key", "_lo_cell"], "inner").join(c_hi, ["asset_key", "_hi_cell"], "inner")
-    q2 = q2.withColumn("block", F.explode(F.sequence(F.col("b_lo"), F.col("b_hi")))).where(F.col("block") != F.col("home"))
-    pass2 = candidates(q2.select("asset_key", "block", "q_row", "kk", *FEATURE_SLOTS))
-    allc = pass1.unionByName(pass2).join(q.select("asset_key", "q_row", "kk"), ["asset_key", "q_row"])
-    merged = _merge_top(allc, kk_max)
-    return write_table(merged.join(p.select("asset_key", "k", *keys), "asset_key", "inner"), "lof-knn")
+        """pairs: (asset_key, cell, q_row, kk, f*) -> the top kk of each query in each cell."""
+        chunks = pairs.groupBy(*CELL).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(q_chunk_rows))).cast("long").alias("n_qchunk"))
+        chunks = broadcast_if_small(cut_lineage(chunks), mx)
+        qs = pairs.join(chunks, CELL).withColumn("qchunk", F.pmod(F.xxhash64("q_row"), F.col("n_qchunk")))
+        ts = placed.join(chunks, CELL).withColumn("qchunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_qchunk") - 1)))
+        g = [*CELL, "qchunk"]
+        # fresh aliases: both sides descend from the same rows (self co-group)
+        ts = ts.select(*[F.col(x).alias(x) for x in g], F.col("row_id").alias("t_row"), *[F.col(x).alias(x) for x in feats])
+        return qs.select(*g, "q_row", "kk", *feats).groupBy(*g).cogroup(ts.groupBy(*g)).applyInPandas(_topk(n_feat), CAND_SCHEMA)
+
+    kk = q.select("asset_key", "q_row", "kk")
+    found = write_table(candidates(q.withColumnRenamed("home", "cell")), "lof-home")
+    if rounds:
+        shapes = broadcast_if_small(cut_lineage(boxes(placed, feats)), mx)
+
+        def within(met: DataFrame) -> DataFrame:
+            """Radius per query from what it has met so far; every cell holds k + 1 points unless the asset has fewer."""
+            top = _merge_top(met.join(kk, ["asset_key", "q_row"]), kk_max)
+            radius = F.when(F.size("nbrs") >= F.col("kk"), F.element_at("nbrs", -1)["d"] * (1 + 1e-9)).otherwise(F.lit(float("inf")))
+            return top.select("asset_key", "q_row", radius.alias("radius"))
+
+        touched = reach(q.join(within(found), ["asset_key", "q_row"]), rounds, feats, "radius", mx).where("cell <> home")
+        touched = touched.join(shapes, CELL).withColumn("away", box_distance(feats)).where("away <= radius")
+        nearest = Window.partitionBy("asset_key", "q_row").orderBy("away", "cell")
+        touched = write_table(touched.select("asset_key", "q_row", "cell", "away", F.row_number().over(nearest).alias("place")), "lof-touched")
+        points = q.drop("home")
+        ring = write_table(touched.where(F.col("place") <= opts.scale.knn_ring).select("asset_key", "q_row", "cell"), "lof-ring")
+        found = found.unionByName(write_table(candidates(ring.join(points, ["asset_key", "q_row"])), "lof-near"))
+        outer = touched.where(F.col("place") > opts.scale.knn_ring).join(within(found), ["asset_key", "q_row"]).where("away <= radius")
+        outer = write_table(outer.select("asset_key", "q_row", "cell"), "lof-outer")
+        found = found.unionByName(candidates(outer.join(points, ["asset_key", "q_row"])))
+    best = _merge_top(found.join(kk, ["asset_key", "q_row"]), kk_max).drop("kk")
+    best = best.join(q.select("asset_key", "q_row", *feats), ["asset_key", "q_row"]).drop("q_row")
+    out = rows.withColumnRenamed("row_id", "q_row").join(best, ["asset_key", *feats])
+    return write_table(out.select(*keys, "asset_key", "q_row", "kk", "k", "nbrs"), "lof-knn")
 
 
 def lof_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:

@@ -77,9 +77,12 @@ class ScaleOptions:
     refine_final_candidates: int = 50_000
     # Rows per scoring chunk for model scoring.
     chunk_rows: int = 200_000
-    # k-NN (LOF): training rows per slab / sub-block, query rows per chunk.
-    knn_block_rows: int = 4096
+    # k-NN (LOF): training points per k-d cell (up to twice as many), query rows per chunk, rows of a
+    # crowded cell that its cuts are worked out from, cells that a query meets before its radius is tightened.
+    knn_block_rows: int = 1024
     knn_query_chunk_rows: int = 8192
+    knn_sample_rows: int = 65_536
+    knn_ring: int = 8
 
 
 @dataclass(frozen=True)

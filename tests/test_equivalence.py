@@ -118,7 +118,7 @@ def _brute_lof(train, allx, k):
     return lrd[nq].mean(1) / lq
 
 
-def test_lof_slabs_match_brute_force(spark):
+def test_lof_cells_match_brute_force(spark):
     from sonolith.operators.ensemble import FEATURE_SLOTS
     from sonolith.operators.lof import lof_scores
 
@@ -139,9 +139,90 @@ def test_lof_slabs_match_brute_force(spark):
     from sonolith.options import Options, ScaleOptions, Stage3Options
 
     exp = _brute_lof(x[train_mask], x, 10)
-    # one slab, and many small slabs with sub-blocks and query chunks (pruned second pass)
-    for scale in (ScaleOptions(), ScaleOptions(knn_block_rows=40, knn_query_chunk_rows=64)):
+    # one cell, many small cells, and cells cut in several rounds from small samples
+    for scale in (ScaleOptions(), ScaleOptions(knn_block_rows=40, knn_query_chunk_rows=64), ScaleOptions(knn_block_rows=15, knn_sample_rows=60, knn_ring=2)):
         opts = Options(stage3=Stage3Options(lof_neighbors=10), scale=scale)
         got = {r.row_id: r.lof for r in lof_scores(df, plan, opts).collect()}
         assert len(got) == n
         assert max(abs(got[i] - exp[i]) for i in range(n)) < 1e-9
+
+
+def _knn(spark, monkeypatch, x, train_mask, scale, k=10):
+    """Neighbours by row id, and the intermediate tables of the search by name."""
+    from sonolith.operators import lof
+    from sonolith.operators.ensemble import FEATURE_SLOTS
+    from sonolith.options import Options, Stage3Options
+
+    pdf = pd.DataFrame(np.pad(x, ((0, 0), (0, len(FEATURE_SLOTS) - x.shape[1]))), columns=FEATURE_SLOTS)
+    pdf.insert(0, "row_id", np.arange(len(x), dtype=np.int64))
+    pdf.insert(0, "asset_id", "a")
+    pdf["stage3_train"], pdf["stage3_valid"] = train_mask, True
+    plan = spark.createDataFrame([("a", int(train_mask.sum()))], "asset_id string, n_train long")
+    tables, write = {}, lof.write_table
+    monkeypatch.setattr(lof, "write_table", lambda df, name: tables.setdefault(name, write(df, name)))
+    got = lof.knn(spark.createDataFrame(pdf), plan, Options(stage3=Stage3Options(lof_neighbors=k), scale=scale)).collect()
+    return {r.q_row: [(n.d, n.o) for n in r.nbrs] for r in got}, tables
+
+
+def _plain_knn(x, train_mask, kk):
+    rows = np.flatnonzero(train_mask)
+    d = np.sqrt(((x[:, None] - x[rows][None]) ** 2).sum(-1))
+    return {i: [(d[i, j], int(rows[j])) for j in np.lexsort((rows, d[i]))[:kk]] for i in range(len(x))}
+
+
+def _same_neighbours(got, want):
+    assert got.keys() == want.keys()
+    for i, pairs in want.items():
+        assert [o for _, o in got[i]] == [o for _, o in pairs]
+        assert np.allclose([d for d, _ in got[i]], [d for d, _ in pairs], rtol=1e-12, atol=1e-12)
+
+
+def test_knn_in_seven_dimensions_meets_few_cells(spark, monkeypatch):
+    from sonolith.options import ScaleOptions
+
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(60, 1, 7)) * 10 + rng.normal(size=(60, 50, 7)) * 0.2).reshape(-1, 7)
+    train = np.arange(len(x)) % 4 != 0
+    got, tables = _knn(spark, monkeypatch, x, train, ScaleOptions(knn_block_rows=30))
+    _same_neighbours(got, _plain_knn(x, train, 11))
+    cells = tables["lof-query"].select("home").distinct().count()
+    met = sum(tables[t].count() for t in ("lof-ring", "lof-outer"))
+    assert cells > 40
+    assert met < 6 * len(x)  # cells per query besides its own, of more than 40
+
+
+def test_knn_with_equal_rows(spark, monkeypatch):
+    """Nine tenths of the rows are one point: one query, k + 1 training points, and k + 1 candidates per query and cell."""
+    from sonolith.options import ScaleOptions
+
+    rng = np.random.default_rng(6)
+    x = np.where(np.arange(3000)[:, None] % 10 == 0, np.round(rng.normal(size=(3000, 7)), 1), 0.5)
+    train = np.arange(len(x)) % 3 != 0
+    got, tables = _knn(spark, monkeypatch, x, train, ScaleOptions(knn_block_rows=20))
+    _same_neighbours(got, _plain_knn(x, train, 11))
+    assert tables["lof-query"].count() == len(np.unique(x, axis=0))
+    per_query = {r["count"] for r in tables["lof-home"].groupBy("q_row").count().collect()}
+    assert per_query == {11}
+
+
+def test_knn_with_fewer_rows_than_neighbours(spark, monkeypatch):
+    from sonolith.options import ScaleOptions
+
+    x = np.arange(12.0)[:, None] * [1, 2, 0, 0, 0, 1, 0]
+    train = np.arange(12) < 6
+    got, _ = _knn(spark, monkeypatch, x, train, ScaleOptions(knn_block_rows=2))
+    _same_neighbours(got, _plain_knn(x, train, 6))
+
+
+def test_cells_are_cut_by_counts(spark):
+    """Skewed rows: no cell above twice the target, none empty, whatever the sample; equal rows stay together."""
+    from sonolith.operators.kdcells import boxes, grow
+
+    rng = np.random.default_rng(7)
+    x = np.exp(rng.normal(size=(6000, 3)) * 3)
+    pdf = pd.DataFrame(x, columns=["f0", "f1", "f2"]).assign(asset_key="a", row_id=np.arange(6000))
+    placed, rounds = grow(spark.createDataFrame(pdf), ["f0", "f1", "f2"], 50, 10, 200, 1000)
+    sizes = [r["n_t"] for r in boxes(placed, ["f0", "f1", "f2"]).collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 100 and len(rounds) > 1
+    same, none = grow(spark.createDataFrame(pdf.assign(f0=1.0, f1=1.0, f2=1.0)), ["f0", "f1", "f2"], 50, 10, 200, 1000)
+    assert none == [] and same.select("cell").distinct().count() == 1
