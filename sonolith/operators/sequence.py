@@ -4,8 +4,8 @@ A plain ``Window.partitionBy(asset).orderBy(ts)`` puts a whole asset into one
 task; one hot asset can hold a third of all rows.  Every ordered operator in this
 package therefore runs as a two-level scan:
 
-1. rows are windowed inside ``(asset, bucket)`` where ``bucket`` is a time bucket
-   (default one day) -- thousands of independent small sorts;
+1. rows are windowed inside ``(asset, bucket)`` where ``bucket`` is a stretch of the
+   series cut by counts of its rows -- thousands of independent small sorts;
 2. a per-bucket summary (one row per asset and bucket: totals, maxima, first and
    last values) is scanned per asset -- a table ``bucket_rows`` times smaller;
 3. the summary is joined back on ``(asset, bucket)``, which the rows are already
@@ -49,24 +49,55 @@ def add_bucket(
     target_rows: int | None = None,
     max_rows: int = 2_000_000,
 ) -> DataFrame:
-    """Add the scan bucket.  With ``keys`` and ``target_rows`` the width adapts per
-    key so a bucket holds about ``target_rows`` rows whatever the sampling rate
-    (one small per-key aggregate: count and time span)."""
+    """Add the scan bucket: a fixed number of hours, or with ``keys`` and ``target_rows`` one cut by counts."""
     if keys is None or target_rows is None:
         return df.withColumn(BUCKET, bucket_expr(ts_col, hours))
-    from sonolith.plans.sizing import broadcast_if_small
+    return counted_bucket(df, list(keys), int(target_rows), ts_col, max_rows)
 
-    keys = list(keys)
-    ts = F.col(ts_col)
-    stats = df.where(ts.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_bn"), (epoch_minutes(F.max(ts)) - epoch_minutes(F.min(ts)) + 1).alias("_span")
-    )
-    width = F.greatest(F.lit(1), F.floor(F.col("_span") * F.lit(float(target_rows)) / F.col("_bn"))).cast("long")
+
+def counted_bucket(df: DataFrame, keys: list[str], target: int, ts_col: str = "timestamp", max_rows: int = 2_000_000, row_id: str = "row_id") -> DataFrame:
+    """Buckets of at most ``2 * target`` rows along (timestamp NULLS LAST, row_id), whatever the gaps and densities.
+
+    Rows are counted per day; only days above the target are counted again per minute, those
+    minutes per second, those seconds per microsecond. One instant above the target, and the
+    rows without a timestamp, are cut by row id: ids are unique, so ``target`` consecutive
+    ones are at most ``target`` rows. A bucket starts wherever the cells before it, added up
+    along the key, pass a multiple of the target.
+    """
+    from sonolith.plans.sizing import broadcast_if_small
     from sonolith.session import cut_lineage
 
-    widths = cut_lineage(stats.select(*keys, width.alias("_bw")))  # one row per key, computed once
-    j = df.join(broadcast_if_small(widths, max_rows), keys, "left")
-    return j.withColumn(BUCKET, bucket_expr(ts_col, width_minutes=F.coalesce(F.col("_bw"), F.lit(1)))).drop("_bw")
+    ts = F.col(ts_col)
+    minutes = epoch_minutes(ts)
+    micros = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    fine = [
+        F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long"),
+        minutes,
+        minutes * 60 + F.floor(micros / 1_000_000),
+        minutes * 60_000_000 + micros,
+        F.floor(F.col(row_id) / target),
+    ]
+    levels = [f"_c{i}" for i in range(len(fine))]
+    rows = df.withColumns({"_c0": F.coalesce(fine[0], F.lit(NULL_BUCKET)), **{c: F.lit(0).cast("long") for c in levels[1:]}})
+    at = [*keys, "_c0"]
+    counts = cut_lineage(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")))
+    cells = counts.where(F.col("_n") <= target)
+    crowded = counts.where(F.col("_n") > target).drop("_n")
+    for i in range(1, len(levels)):
+        if crowded.isEmpty():
+            break
+        hit = broadcast_if_small(crowded.withColumn("_hit", F.lit(True)), max_rows)
+        rows = rows.join(hit, at, "left").withColumn(levels[i], F.when(F.col("_hit"), F.coalesce(fine[i], F.lit(0))).otherwise(0).cast("long"))
+        at = [*at, levels[i]]
+        counts = cut_lineage(rows.where("_hit").groupBy(*at).agg(F.count(F.lit(1)).alias("_n")))
+        rows = rows.drop("_hit")
+        whole = F.col("_n") <= target if i < len(levels) - 1 else F.lit(True)
+        cells = cells.withColumn(levels[i], F.lit(0).cast("long")).unionByName(counts.where(whole))
+        crowded = counts.where(~whole).drop("_n")
+    along = Window.partitionBy(*keys).orderBy(*at[len(keys) :]).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(along), F.lit(0))
+    cells = cells.withColumn(BUCKET, F.floor(before / target) * 2 + (F.col("_c0") == NULL_BUCKET).cast("long")).drop("_n")
+    return rows.join(broadcast_if_small(cut_lineage(cells), max_rows), at, "left").drop(*levels)
 
 
 def ordered_scan(

@@ -62,8 +62,8 @@ class CsvOptions:
 
 @dataclass(frozen=True)
 class ScaleOptions:
-    # Buckets of the two-level ordered scan: adaptive per asset to about this many
-    # rows (None: fixed width of scan_bucket_hours).
+    # Buckets of the two-level ordered scan: cut by counts to this many rows, twice at most
+    # (None: fixed width of scan_bucket_hours).
     scan_bucket_rows: int | None = 1_000_000
     scan_bucket_hours: int = 24
     # Tables with at most this many rows are broadcast (row count checked first).

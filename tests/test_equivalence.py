@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,45 @@ def test_binned_range_join_matches_nested_loop(spark):
     assert sorted(got.collect()) == sorted(ref.collect())
 
 
+def _uneven_series(spark):
+    """A stray row of 1970, a dense second, one instant of many rows, many rows without a timestamp, a sparse asset."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", 0, dt.datetime(1970, 1, 1))]
+    rows += [("a", 1 + i, t0 + dt.timedelta(minutes=i)) for i in range(800)]
+    rows += [("a", 1000 + i, t0 + dt.timedelta(days=3, microseconds=1000 * i)) for i in range(900)]
+    rows += [("a", 2000 + 3 * i, t0 + dt.timedelta(days=9)) for i in range(700)]
+    rows += [("a", 9000 + i, None) for i in range(600)]
+    rows += [("b", i, t0 + dt.timedelta(days=40 * i)) for i in range(30)] + [("c", i, None) for i in range(300)]
+    return spark.createDataFrame([(*r, float(r[1] % 3), 100.0) for r in rows], "asset_id string, row_id long, timestamp timestamp_ntz, v double, samples_count double")
+
+
+@pytest.mark.parametrize("target", [10, 50, 10_000])
+def test_counted_buckets_are_bounded_and_ordered(spark, target):
+    df = _uneven_series(spark)
+    got = add_bucket(df, "timestamp", keys=["asset_id"], target_rows=target)
+    rows = sorted(((r.asset_id, r.timestamp is None, r.timestamp or dt.datetime.min, r.row_id, r.scan_bucket) for r in got.collect()))
+    assert len(rows) == df.count()
+    sizes = {}
+    for (a, *_, bucket), nxt in zip(rows, rows[1:] + [None]):
+        sizes[a, bucket] = sizes.get((a, bucket), 0) + 1
+        assert nxt is None or nxt[0] != a or nxt[-1] >= bucket  # buckets follow the order of the series
+    assert max(sizes.values()) <= 2 * target
+    assert len(sizes) <= 3 * (1 + len(rows) // target) + 3  # and are not more than the rows need
+
+
+@pytest.mark.parametrize("target", [10, 50])
+def test_scans_of_uneven_series_match_plain_windows(spark, target):
+    df = _uneven_series(spark)
+    cols = ["asset_id", "row_id", "delta_minutes", "gap_flag", "segment_id", "near_gap_flag", "seq_pos"]
+    plain, cut = (Options(gap_threshold_minutes=30, scale=ScaleOptions(**s)) for s in ({"scan_bucket_rows": None, "scan_bucket_hours": 10**9}, {"scan_bucket_rows": target}))
+    assert sorted(add_quality_columns(df, cut).select(cols).collect()) == sorted(add_quality_columns(df, plain).select(cols).collect())
+    b = add_bucket(df, "timestamp", keys=["asset_id"], target_rows=target)
+    got = ordered_scan(b, ["asset_id"], ["timestamp", "row_id"], sums={"s": F.col("v")}, prev={"p": F.col("row_id")}, nxt={"n": F.col("row_id")})
+    w = Window.partitionBy("asset_id").orderBy(F.col("timestamp").asc_nulls_last(), "row_id")
+    ref = df.select("asset_id", "row_id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"), F.lag("row_id").over(w).alias("p"), F.lead("row_id").over(w).alias("n"))
+    assert sorted(got.select(ref.columns).collect(), key=str) == sorted(ref.collect(), key=str)
+
+
 def _brute_lof(train, allx, k):
     d_tt = np.sqrt(((train[:, None, :] - train[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(d_tt, np.inf)
