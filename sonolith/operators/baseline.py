@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonolith.functions.vocab import GRANULARITY_HOUR, GRANULARITY_WEEKDAY_HOUR
-from sonolith.operators.quantiles import quantile_table
+from sonolith.operators.quantiles import RUN, merge_runs, quantile_table, run_quantiles, value_runs
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
-from sonolith.session import cut_lineage
+from sonolith.session import cut_lineage, write_table
 
 BASELINE_METRICS = ("avg_decibel", "peak_minus_avg", "peak_minus_min")
 MAD_SCALE = 1.4826
@@ -22,35 +22,71 @@ def group_columns(granularity: str) -> list[str]:
     return ["weekday", "hour_of_day"] if granularity == GRANULARITY_WEEKDAY_HOUR else ["hour_of_day"]
 
 
-def baseline_table(
+def baseline_tables(
     df: DataFrame,
     opts: Options,
-    granularity: str = GRANULARITY_HOUR,
+    granularities: Sequence[str] = (GRANULARITY_HOUR, GRANULARITY_WEEKDAY_HOUR),
     keys: Sequence[str] = ("asset_id",),
     metrics: Sequence[str] = BASELINE_METRICS,
-) -> DataFrame:
-    """count, median and MAD (unscaled) per slot over rows complete in keys and metrics.
+) -> list[DataFrame]:
+    """Per granularity: count, median and MAD (unscaled) per slot over rows complete in keys and metrics.
 
-    MAD = median(|x - median|) needs the group median first: pass one aggregates
-    medians, pass two joins them back (size-checked broadcast) and aggregates the
-    absolute deviations.  Both passes are partial (map-side) aggregations.
+    The rows are scanned once, into runs of equal values per finest slot. Hour slots are
+    merged from weekday slots, and MAD = median(|x - median|) is taken from runs of deviations.
     """
-    group = list(keys) + group_columns(granularity)
-    src = df.select(*group, *metrics).na.drop(subset=group + list(metrics))
-    med = quantile_table(
-        src, group, [(m, 0.5, f"{m}_baseline_median") for m in metrics], opts,
-        extra_aggs=[F.count(F.lit(1)).alias("baseline_count")],
-    )
-    med = cut_lineage(med)  # small (assets x slots); computed once, used twice
-    med_small = broadcast_if_small(med, opts.scale.broadcast_max_rows)
-    devs = src.join(med_small, group, "inner").select(
-        *group, *[F.abs(F.col(m) - F.col(f"{m}_baseline_median")).alias(f"_dev_{m}") for m in metrics]
-    )
-    dev = quantile_table(devs, group, [(f"_dev_{m}", 0.5, f"{m}_baseline_mad") for m in metrics], opts)
-    cols = [*group, "baseline_count"]
+    if not opts.scale.exact_quantiles:
+        return [_sketched_baseline(df, opts, g, keys, metrics) for g in granularities]
+    days = GRANULARITY_WEEKDAY_HOUR in granularities
+    finest = [*keys, *group_columns(GRANULARITY_WEEKDAY_HOUR if days else GRANULARITY_HOUR)]
+    runs = value_runs(df.select(*finest, *metrics).na.drop(), finest, metrics)
+    slot = [*keys, "weekday", "hour_of_day"]
+    all_days = F.lit(None).cast("int")  # the hour slots' weekday
+    sets = []
+    if GRANULARITY_HOUR in granularities:
+        sets.append(runs.withColumn("weekday", all_days))
+    if days:
+        sets.append(runs.select(*slot, *RUN, "n"))
+    runs = merge_runs(sets[0].select(*slot, *RUN, "n"), slot)
+    for more in sets[1:]:
+        runs = runs.unionByName(more)
+    runs = write_table(runs, "slots") if len(sets) > 1 else runs
+    middle = [(i, 0.5, f"{m}_baseline_median") for i, m in enumerate(metrics)]
+    med = cut_lineage(run_quantiles(runs, slot, middle, [(0, "baseline_count")], opts))  # assets x slots
+    small = broadcast_if_small(med, opts.scale.broadcast_max_rows)
+    same = runs["hour_of_day"].eqNullSafe(small["hour_of_day"]) & runs["weekday"].eqNullSafe(small["weekday"])
+    for k in keys:
+        same &= runs[k].eqNullSafe(small[k])
+    of = F.element_at(F.array(*[F.col(name) for _, _, name in middle]), F.col("var") + 1)
+    off = runs.join(small, same).select(*[runs[c] for c in slot], "var", F.abs(F.col("x") - of).alias("x"), "n")
+    mads = [(i, 0.5, f"{m}_baseline_mad") for i, m in enumerate(metrics)]
+    dev = run_quantiles(merge_runs(off, slot), slot, mads, [], opts)
+    cols = ["baseline_count"]
     for m in metrics:
         cols += [f"{m}_baseline_median", f"{m}_baseline_mad"]
-    return med.join(dev, group, "inner").select(*cols)
+    joined = med.join(dev, [med[c].eqNullSafe(dev[c]) for c in slot]).select(*[med[c] for c in slot], *cols)
+    joined = cut_lineage(joined)
+    out = []
+    for g in granularities:
+        hour = g == GRANULARITY_HOUR
+        rows = joined.where(F.col("weekday").isNull() if hour else F.col("weekday").isNotNull())
+        out.append(rows.select(*keys, *group_columns(g), *cols))
+    return out
+
+
+def baseline_table(df: DataFrame, opts: Options, granularity: str = GRANULARITY_HOUR, keys: Sequence[str] = ("asset_id",), metrics: Sequence[str] = BASELINE_METRICS) -> DataFrame:
+    """The baseline of one granularity."""
+    return baseline_tables(df, opts, [granularity], keys, metrics)[0]
+
+
+def _sketched_baseline(df: DataFrame, opts: Options, granularity: str, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    group = [*keys, *group_columns(granularity)]
+    src = df.select(*group, *metrics).na.drop()
+    med = cut_lineage(quantile_table(src, group, [(m, 0.5, f"{m}_baseline_median") for m in metrics], opts, counts=[(metrics[0], "baseline_count")]))
+    off = src.join(broadcast_if_small(med, opts.scale.broadcast_max_rows), group)
+    off = off.select(*group, *[F.abs(F.col(m) - F.col(f"{m}_baseline_median")).alias(f"_dev_{m}") for m in metrics])
+    dev = quantile_table(off, group, [(f"_dev_{m}", 0.5, f"{m}_baseline_mad") for m in metrics], opts)
+    cols = [c for m in metrics for c in (f"{m}_baseline_median", f"{m}_baseline_mad")]
+    return med.join(dev, group).select(*group, "baseline_count", *cols)
 
 
 def robust_z(x: Column, median: Column, mad: Column) -> Column:
@@ -118,7 +154,7 @@ def hourly_profile(df: DataFrame, metric: str, opts: Options, keys: Sequence[str
     src = df.select(*keys, "hour_of_day", metric).na.drop(subset=[metric, "hour_of_day"])
     return quantile_table(
         src, keys + ["hour_of_day"], [(metric, 0.5, "median"), (metric, 0.10, "q10"), (metric, 0.90, "q90")], opts,
-        extra_aggs=[F.count(metric).alias("count")],
+        counts=[(metric, "count")],
     )
 
 
@@ -179,8 +215,9 @@ def stage1_profile(
     from sonolith.operators.explore import active_weekday
 
     keys = list(keys)
-    wb = weekday_hourly if weekday_hourly is not None else baseline_table(df, opts, GRANULARITY_WEEKDAY_HOUR, keys)
-    hb = hourly if hourly is not None else baseline_table(df, opts, GRANULARITY_HOUR, keys)
+    hb, wb = hourly, weekday_hourly
+    if hb is None or wb is None:
+        hb, wb = baseline_tables(df, opts, keys=keys)
     act = active_weekday(df, keys, selected_weekday, end_timestamp)
     day = wb.join(act.select(*keys, "active_weekday"), keys, "inner").where(F.col("weekday") == F.col("active_weekday"))
     best = day.groupBy(*keys).agg(F.max("baseline_count").alias("_max_slot"))

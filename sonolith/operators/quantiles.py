@@ -1,31 +1,82 @@
-"""Exact per-group quantiles with bounded memory.
-
-Spark's exact ``percentile`` keeps a value -> count map per group: fine for small
-or quantised groups, unbounded for a hot group of continuous values.  Here:
-
-* groups with at most ``exact_group_limit`` values use ``percentile`` directly;
-* larger groups find each needed order statistic by histogram refinement: every
-  round counts the values inside the current bracket per (group, target, bin)
-  with a partial aggregation, keeps the bin holding the target rank, and stops
-  once that bin is a single value or holds at most ``final_candidates`` values,
-  which are then sorted exactly.  Each round shrinks a bracket ~``bins``-fold, so
-  a handful of passes reach a double's resolution.
-
-Linear interpolation between the order statistics at ``floor(p (n-1))`` and the
-next one matches ``percentile`` / numpy.  ``mode="approx"`` uses sketches
-(``percentile_approx``) instead.
+"""Exact per-group quantiles from value and count runs.
+
+Rows become runs, one per (group, value), by a partial aggregation: one scan, in which equal
+values of a hot group meet before the shuffle. The runs are dealt by range of (group, value),
+so a group of any size spreads over as many partitions as it needs, and each partition's
+total, added up along its group, gives every run the ranks that it covers. An order statistic
+is the value of the run that covers its rank. No group is ever held by one task, and the same
+steps and the same arithmetic serve groups of any size.
+
+Quantiles of what runs can be turned into (absolute deviations from a median, coarser groups)
+need no further scan of the rows.
+
+Linear interpolation between the order statistics around ``p (n-1)`` as ``percentile`` and
+numpy have it. ``exact_quantiles=False`` uses sketches (``percentile_approx``) instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonolith.options import Options
 from sonolith.plans.sizing import broadcast_if_small
-from sonolith.session import cut_lineage
+from sonolith.session import cut_lineage, write_table
+
+RUN = ["var", "x"]
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out &= a[k].eqNullSafe(b[k])
+    return out
+
+
+def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs of (keys, var, x) from runs of finer groups or of values that have become equal."""
+    return runs.groupBy(*keys, *RUN).agg(F.sum("n").cast("long").alias("n"))
+
+
+def value_runs(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """(keys, var, x, n): how often each value of each column occurs in a group; ``var`` is the
+    column's position. Written once, so that what follows does not scan ``df`` again."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("var"), F.col(v).cast("double").alias("x")) for i, v in enumerate(values)]))
+    rows = df.select(*keys, each.alias("_e")).select(*keys, "_e.var", "_e.x", F.lit(1).cast("long").alias("n"))
+    return write_table(merge_runs(rows, keys), "runs")
+
+
+def run_quantiles(runs: DataFrame, keys: Sequence[str], specs: Sequence[tuple[int, float, str]], counts: Sequence[tuple[int, str]], opts: Options) -> DataFrame:
+    """One row per group: a column per spec ``(var, p, out)``, NULL where a column has no value, and
+    per ``(var, out)`` the number of its values."""
+    keys = list(keys)
+    group, part = [*keys, "var"], [*keys, "var", "_pid"]
+    order = [*[F.col(c) for c in group], F.col("x").asc_nulls_first()]
+    dealt = runs.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id())
+    dealt = write_table(dealt.withColumn("n", F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)), "ranks")
+    totals = dealt.groupBy(*part).agg(F.sum("n").alias("_t"))
+    along = Window.partitionBy(*group).orderBy("_pid")
+    before = F.coalesce(F.sum("_t").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*part, before.alias("_before"), F.sum("_t").over(Window.partitionBy(*group)).alias("_all"))
+    totals = broadcast_if_small(cut_lineage(totals), opts.scale.broadcast_max_rows)
+    within = Window.partitionBy(*part).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_upto", F.sum("n").over(within))
+    ranked = ranked.join(totals, _same(ranked, totals, part)).select(*[ranked[c] for c in group], "x", "n", "_all", (F.col("_before") + F.col("_upto")).alias("_end"))
+
+    def at(var: int, rank: Column) -> Column:
+        return F.max(F.when((F.col("var") == var) & (F.col("_end") - F.col("n") <= rank) & (rank < F.col("_end")), F.col("x")))
+
+    found, out = [], []
+    for i, (var, p, name) in enumerate(specs):
+        h = F.lit(float(p)) * (F.col("_all") - 1)
+        found += [at(var, F.floor(h)).alias(f"_a{i}"), at(var, F.ceil(h)).alias(f"_b{i}"), F.max(F.when(F.col("var") == var, h)).alias(f"_h{i}")]
+        a, b, h = F.col(f"_a{i}"), F.col(f"_b{i}"), F.col(f"_h{i}")
+        out.append(F.when(a == b, a).otherwise((F.ceil(h) - h) * a + (h - F.floor(h)) * b).alias(name))
+    for var, name in counts:
+        found.append(F.sum(F.when(F.col("var") == var, F.col("n")).otherwise(0)).cast("long").alias(name))
+    return ranked.groupBy(*keys).agg(*found).select(*keys, *out, *[name for _, name in counts])
 
 
 def quantile_table(
@@ -33,108 +84,20 @@ def quantile_table(
     keys: Sequence[str],
     specs: Sequence[tuple[str, float, str]],
     opts: Options,
-    extra_aggs: Sequence = (),
+    extra_aggs: Sequence[Column] = (),
+    counts: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """One row per group: ``keys`` + a column ``out`` per spec ``(value column, p, out)``
-    (NULL values ignored) + optional extra aggregates over the same rows."""
+    """One row per group: ``keys``, a column ``out`` per spec ``(value column, p, out)`` (NULL values
+    ignored), per ``counts`` entry ``(value column, out)`` the number of its values, and optional
+    extra aggregates over the same rows (those scan ``df`` once more)."""
     keys = list(keys)
-    sc = opts.scale
-    vals = sorted({v for v, _, _ in specs})
-
-    def direct(rows: DataFrame, exact: bool) -> DataFrame:
-        aggs = []
-        for v, p, out in specs:
-            if exact:
-                aggs.append(F.percentile(F.col(v), F.lit(float(p))).cast("double").alias(out))
-            else:
-                aggs.append(F.percentile_approx(F.col(v), F.lit(float(p)), sc.approx_accuracy).cast("double").alias(out))
-        return rows.groupBy(*keys).agg(*aggs, *extra_aggs)
-
-    if not sc.exact_quantiles:
-        return direct(df, exact=False)
-    counts = df.groupBy(*keys).agg(*[F.count(v).alias(f"_n_{i}") for i, v in enumerate(vals)])
-    too_big = F.greatest(*[F.col(f"_n_{i}") for i in range(len(vals))], F.lit(0)) > F.lit(sc.exact_group_limit)
-    big = counts.where(too_big).select(*keys)
-    if big.limit(1).count() == 0:
-        return direct(df, exact=True)
-    big = cut_lineage(big)
-    small = direct(df.join(big, keys, "left_anti"), exact=True)
-    large_rows = df.join(big, keys, "left_semi")
-    large = large_rows.groupBy(*keys).agg(*extra_aggs) if extra_aggs else big
-    for v in vals:
-        vs = [(p, out) for vv, p, out in specs if vv == v]
-        src = large_rows.select(*keys, F.col(v).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-        n = src.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        large = large.join(_refined(src, n, keys, [p for p, _ in vs], [o for _, o in vs], opts), keys, "left")
-    return small.unionByName(large)
-
-
-def _refined(src: DataFrame, counts: DataFrame, keys: list[str], probs: Sequence[float], names: list[str], opts: Options) -> DataFrame:
-    sc = opts.scale
-    bins, final = sc.refine_bins, sc.refine_final_candidates
-    # targets: for every probability the order statistics at floor(h) and floor(h) + 1
-    tgt = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        lo = F.floor(h).cast("long")
-        tgt.append(F.struct(F.lit(2 * i).alias("tid"), lo.alias("rank")))
-        tgt.append(F.struct(F.lit(2 * i + 1).alias("tid"), F.least(lo + 1, F.col("_n") - 1).alias("rank")))
-    targets = counts.select(*keys, "_n", F.explode(F.array(*tgt)).alias("_t")).select(*keys, "_n", "_t.tid", "_t.rank")
-    rng = src.groupBy(*keys).agg(F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    state = targets.join(rng, keys).withColumns({"offset": F.lit(0).cast("long"), "value": F.lit(None).cast("double")})
-    state = cut_lineage(state)
-    # a bin that is not one value holds fewer distinct values than its range, so this ends
-    while True:
-        open_ = state.where(F.col("value").isNull())
-        if open_.limit(1).count() == 0:
-            break
-        o = broadcast_if_small(open_.select(*keys, "tid", "rank", "lo", "hi", "offset"), sc.broadcast_max_rows)
-        inside = src.join(o, keys).where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
-        width = F.col("hi") - F.col("lo")
-        b = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("lo")) / width * F.lit(bins)))).otherwise(F.lit(0))
-        hist = inside.groupBy(*keys, "tid", b.cast("long").alias("bin")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("_x").alias("bmin"), F.max("_x").alias("bmax")
-        )
-        # per target pick the bin holding rank - offset (bins are few per target: collect + scan)
-        per = hist.groupBy(*keys, "tid").agg(F.array_sort(F.collect_list(F.struct("bin", "c", "bmin", "bmax"))).alias("hs"))
-        per = per.join(o, keys + ["tid"])
-        cum = F.aggregate(
-            F.col("hs"),
-            F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("struct<bin:bigint,c:bigint,bmin:double,bmax:double>").alias("hit"), F.lit(0).cast("long").alias("hit_before")),
-            lambda acc, x: F.struct(
-                (acc["before"] + x["c"]).alias("before"),
-                F.when(acc["hit"].isNull() & (F.col("rank") - F.col("offset") < acc["before"] + x["c"]), x).otherwise(acc["hit"]).alias("hit"),
-                F.when(acc["hit"].isNull() & (F.col("rank") - F.col("offset") < acc["before"] + x["c"]), acc["before"]).otherwise(acc["hit_before"]).alias("hit_before"),
-            ),
-        )
-        per = per.withColumn("_a", cum)
-        nxt = per.select(
-            *keys, "tid", "rank",
-            F.col("_a.hit.bmin").alias("lo"), F.col("_a.hit.bmax").alias("hi"),
-            (F.col("offset") + F.col("_a.hit_before")).alias("offset"),
-            F.col("_a.hit.c").alias("c"),
-        )
-        done_single = F.col("lo") == F.col("hi")
-        nxt = nxt.withColumn("value", F.when(done_single, F.col("lo")))
-        # small final bins: sort their values exactly
-        fin = nxt.where(F.col("value").isNull() & (F.col("c") <= F.lit(final)))
-        vals = src.join(broadcast_if_small(fin.select(*keys, "tid", "lo", "hi"), sc.broadcast_max_rows), keys).where(
-            (F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))
-        )
-        picked = vals.groupBy(*keys, "tid").agg(F.array_sort(F.collect_list("_x")).alias("_vs")).join(
-            fin.select(*keys, "tid", "rank", "offset"), keys + ["tid"]
-        ).select(*keys, "tid", F.element_at("_vs", (F.col("rank") - F.col("offset") + 1).cast("int")).alias("_picked"))
-        nxt = nxt.join(picked, keys + ["tid"], "left").withColumn("value", F.coalesce("value", "_picked")).drop("_picked", "c")
-        closed = state.where(F.col("value").isNotNull()).select(*keys, "tid", "rank", "lo", "hi", "offset", "value")
-        state = cut_lineage(closed.unionByName(nxt.select(*keys, "tid", "rank", "lo", "hi", "offset", "value")).join(
-            targets.select(*keys, "tid", "_n"), keys + ["tid"]
-        ).select(*keys, "_n", "tid", "rank", "lo", "hi", "offset", "value"))
-    # interpolate
-    cols = []
-    wide = state.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("tid", "value"))).alias("_v"))
-    for i, (p, n) in enumerate(zip(probs, names)):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        frac = h - F.floor(h)
-        a, b = F.element_at("_v", F.lit(2 * i)), F.element_at("_v", F.lit(2 * i + 1))
-        cols.append((a + (b - a) * frac).alias(n))
-    return wide.select(*keys, *cols)
+    values = sorted({v for v, *_ in [*specs, *counts]})
+    if not opts.scale.exact_quantiles:
+        aggs = [F.percentile_approx(F.col(v), F.lit(float(p)), opts.scale.approx_accuracy).cast("double").alias(out) for v, p, out in specs]
+        return df.groupBy(*keys).agg(*aggs, *[F.count(v).alias(out) for v, out in counts], *extra_aggs)
+    at = {v: i for i, v in enumerate(values)}
+    out = run_quantiles(value_runs(df, keys, values), keys, [(at[v], p, name) for v, p, name in specs], [(at[v], name) for v, name in counts], opts)
+    if not extra_aggs:
+        return out
+    extra = df.groupBy(*keys).agg(*extra_aggs)
+    return out.join(extra, _same(out, extra, keys)).select(*[out[c] for c in out.columns], *[extra[c] for c in extra.columns if c not in keys])

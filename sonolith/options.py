@@ -68,13 +68,9 @@ class ScaleOptions:
     scan_bucket_hours: int = 24
     # Tables with at most this many rows are broadcast (row count checked first).
     broadcast_max_rows: int = 2_000_000
-    # Exact percentiles (value->count maps) or sketches (percentile_approx).
+    # Exact quantiles (value and count runs) or sketches (percentile_approx).
     exact_quantiles: bool = True
     approx_accuracy: int = 10_000
-    # groups above this size switch from value->count maps to histogram refinement
-    exact_group_limit: int = 1_000_000
-    refine_bins: int = 1024
-    refine_final_candidates: int = 50_000
     # Rows per scoring chunk for model scoring.
     chunk_rows: int = 200_000
     # k-NN (LOF): training points per k-d cell (up to twice as many), query rows per chunk, rows of a

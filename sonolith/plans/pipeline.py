@@ -12,8 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from sonolith.functions.vocab import GRANULARITY_HOUR, GRANULARITY_WEEKDAY_HOUR
-from sonolith.operators.baseline import apply_baseline, baseline_table
+from sonolith.operators.baseline import apply_baseline, baseline_tables
 from sonolith.operators.events import (
     alert_context,
     alert_rows_with_event_ids,
@@ -39,8 +38,7 @@ class Stage1Result:
 
 def run_stage1(measurements: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",), cut: bool = True) -> Stage1Result:
     keys = list(keys)
-    hourly = baseline_table(measurements, opts, GRANULARITY_HOUR, keys)
-    weekday_hourly = baseline_table(measurements, opts, GRANULARITY_WEEKDAY_HOUR, keys)
+    hourly, weekday_hourly = baseline_tables(measurements, opts, keys=keys)
     if cut:
         hourly, weekday_hourly = cut_lineage(hourly), cut_lineage(weekday_hourly)
     rows = apply_stage1_rules(apply_baseline(measurements, hourly, weekday_hourly, opts, keys), opts, keys)
