@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -22,8 +24,19 @@ CLOSES = {
 }
 #: Any other start tag ends an open head, and so does text.
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>?", re.S)
+_START = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+_NAME_END = re.compile(r"[\s/>]|\Z")
+_ATTR = re.compile(r"(?<![^\s=/\"'>])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+
+
+#: Decimal character references too long for the decoder, which refuses numbers of over 4300 digits.
+_LONG_REFERENCE = re.compile(r"&#(?=[0-9]{4000})0*+([0-9]*+);?")
+
+
+def decode(text: str) -> str:
+    """Character references decoded; a number beyond Unicode gives U+FFFD, however long it is."""
+    return unescape(_LONG_REFERENCE.sub(lambda m: f"&#{m[1] or 0};" if len(m[1]) < 8 else "\ufffd", text))
 
 
 @dataclass
@@ -40,13 +53,61 @@ class Node:
     label: str | None = None
 
 
+class _Ends:
+    """Whether a start or end tag that begins at a position ends in the page: one pass from the right over ``>`` and quotes."""
+
+    def __init__(self, html: str, begin: int) -> None:
+        self.html = html
+        self.at = [m.start() for m in re.finditer("[>\"']", html[begin:])]
+        self.at = [begin + k for k in self.at]
+        self.ends = bytearray(len(self.at) + 1)  # from here, outside quotes, a ``>`` outside quotes follows
+        later = {'"': len(self.at), "'": len(self.at)}
+        for k in range(len(self.at) - 1, -1, -1):
+            c = html[self.at[k]]
+            if c == ">":
+                self.ends[k] = 1
+            else:
+                self.ends[k] = later[c] < len(self.at) and self.ends[later[c] + 1]
+                later[c] = k
+        self.name_end = -1
+
+    def ending(self, start: int) -> bool:
+        name = start + 2 + (self.html[start + 1] == "/")
+        if self.name_end < name:  # starts are asked for in page order
+            self.name_end = _NAME_END.search(self.html, name).start()
+        return bool(self.ends[bisect_left(self.at, self.name_end)])
+
+
+def _next_tags(html: str):
+    """A function that gives the first tag at or after a position; the positions asked for must grow.
+
+    A tag that never ends costs a scan to the end of the page, so after the first of them the
+    others are looked up in :class:`_Ends`: the time is linear in the page, whatever it holds.
+    """
+    ends: _Ends | None = None
+
+    def search(pos: int) -> re.Match | None:
+        nonlocal ends
+        while start := _START.search(html, pos):
+            pos = start.start()
+            if ends is None or html[pos + 1] in "!?" or ends.ending(pos):
+                if m := _TAG.match(html, pos):
+                    return m
+                ends = ends or _Ends(html, pos)
+            pos += 1
+        return None
+
+    return search
+
+
 def _tags(html: str) -> tuple[list[re.Match], set[int]]:
     """All tags outside raw text, and the positions of the unseen elements' start tags that have an end tag."""
+    search = _next_tags(html)
     tags: list[re.Match] = []
     open_: dict[str, list[int]] = {}
     ended: set[int] = set()
     pos = 0
-    while m := _TAG.search(html, pos):
+    while m := search(pos):
         pos = m.end()
         tags.append(m)
         name = (m["name"] or "").lower()
@@ -68,6 +129,7 @@ def parse(html: str) -> list[Node]:
     nodes = [Node("#root", -1, 0)]
     open_: list[tuple[str, int]] = [("#root", 0)]  # all open elements, and the block node they are in
     walls: list[int] = []  # unseen elements among them whose end tag comes: no start tag in them ends what is around them
+    places: defaultdict[str, list[int]] = defaultdict(list)  # where the open elements of a name stand in open_
     unseen = 0
     run: list[str] = []
     linked = 0
@@ -85,18 +147,18 @@ def parse(html: str) -> list[Node]:
         nonlocal unseen
         if any(t not in INLINE for t, _ in open_[down_to:]):
             flush()
-        unseen -= sum(t in UNSEEN for t, _ in open_[down_to:])
+        for t, _ in open_[down_to:]:
+            unseen -= t in UNSEEN
+            places[t].pop()
         del open_[down_to:]
         while walls and walls[-1] >= down_to:
             walls.pop()
 
     def close_one_of(names: set[str], stop: set[str]) -> None:
-        for k in range(len(open_) - 1, walls[-1] if walls else 0, -1):
-            if open_[k][0] in names:
-                close(k)
-                return
-            if open_[k][0] in stop:
-                return
+        last = lambda ts: max((places[t][-1] for t in ts if places[t]), default=0)
+        k = last(names)
+        if k > (walls[-1] if walls else 0) and k > last(stop):
+            close(k)
 
     tags, ended = _tags(html)
     pos = 0
@@ -105,8 +167,8 @@ def parse(html: str) -> list[Node]:
         if unseen and open_[-1][0] == "head" and chunk.strip(" \t\n\f\r"):
             close(len(open_) - 1)
         if chunk and not unseen:
-            run.append(unescape(chunk))
-            if any(t == "a" for t, _ in open_):
+            run.append(decode(chunk))
+            if places["a"]:
                 linked += len(" ".join(chunk.split()))
         if not m:
             break
@@ -115,13 +177,10 @@ def parse(html: str) -> list[Node]:
         if not name:
             continue
         if m["end"]:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == name:
-                    close(k)
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
+            if places[name]:
+                close(places[name][-1])
+            elif name not in INLINE:
+                flush()
             if name == "br":
                 run.append(" ")
             continue
@@ -139,11 +198,12 @@ def parse(html: str) -> list[Node]:
             continue
         at = open_[-1][1]
         if name not in INLINE and name not in UNSEEN:
-            attrs = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
+            attrs = {k.lower(): decode(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"] or "")}
             nodes.append(Node(name, at, nodes[at].depth + 1, attrs, label=attrs.get("y")))
             at = len(nodes) - 1
         if (m["attrs"] or "").endswith("/") and name in UNSEEN:
             continue
+        places[name].append(len(open_))
         open_.append((name, at))
         unseen += name in UNSEEN
         if m.start() in ended and name != "head":
