@@ -1,17 +1,21 @@
 """Isolation forest (Liu, Ting & Zhou 2008) as Spark jobs (M9).
 
-* Sub-samples: every tree needs ``m = min(256, n_train)`` rows.  A bounded seeded
-  pool (hash threshold, about 1.25 x 200 x m rows per asset) is ranked, and a
-  generated (tree, slot) table picks pool ranks per tree -- no rows x trees explode.
+* Sub-samples: every tree draws its own ``m = min(256, n_train)`` rows.  Each (tree, row) is
+  taken with probability q (about 1.75 m / n), independently, by a keyed hash; the tree keeps
+  the m least hashes of them.  A row finds the first tree that takes it in one step (geometric
+  skip), so only rows that some tree takes look at the other trees: no rows x trees are emitted,
+  and the m least are cut before the shuffle.
 * Growth: ``groupBy(asset, tree).applyInPandas`` grows each tree (random feature
-  among non-constant ones, uniform threshold, depth limit ceil(log2 m)).
+  among non-constant ones, uniform threshold, depth limit ceil(log2 m)) level by level; nodes are
+  numbered as in a heap and draw from the hash of (seed, asset, tree, node).
 * Scoring: rows are split into bounded chunks per asset and co-grouped with the
   asset's node table; path lengths are vectorised per tree in numpy.
-  s(x) = 2^(-E[h(x)] / c(m)).
+  s(x) = 2^(-E[h(x)] / c(m)).  Path lengths are multiples of 2^-20: their sums are exact in any order.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
@@ -38,59 +42,97 @@ def average_path_length(n: np.ndarray | float) -> np.ndarray:
     return out
 
 
+def path_units(n: np.ndarray | float) -> np.ndarray:
+    """c(n) to the nearest multiple of 2^-20."""
+    return np.floor(average_path_length(n) * 2.0**20 + 0.5) / 2.0**20
+
+
 def unit_hash(*cols) -> F.Column:
     """Deterministic uniform [0, 1) from columns (stable under task retries)."""
     h = F.xxhash64(*cols)
     return (F.pmod(h, F.lit(2**53)).cast("double")) / F.lit(float(2**53))
 
 
+def keyed_draws(*parts) -> tuple[F.Column, F.Column]:
+    """Two independent uniform [0, 1) numbers from the MD5 of the parts, as :func:`_node_draws` has them."""
+    digest = F.md5(F.concat_ws("|", *parts))
+    return tuple(F.conv(F.substring(digest, k, 13), 16, 10).cast("double") / F.lit(2.0**52) for k in (1, 14))
+
+
+def _node_draws(seed: int, asset: str, tree: int, node: int) -> tuple[float, float]:
+    digest = hashlib.md5(f"{seed}|{asset}|{tree}|n{node}".encode()).hexdigest()
+    return int(digest[:13], 16) / 2.0**52, int(digest[13:26], 16) / 2.0**52
+
+
+def on_grid(x: F.Column) -> F.Column:
+    """The nearest multiple of 2^-30: rounding noise of a standardised value must not make a constant feature vary."""
+    return F.floor(x * F.lit(2.0**30) + F.lit(0.5)) / F.lit(2.0**30)
+
+
+def take_rate(m, n):
+    """Chance of a row to be drawn by one tree: the count drawn falls below m once in over 10^9 trees."""
+    return F.least(F.lit(1.0), (m + 12.0 * F.sqrt(m)) / n)
+
+
+def tree_samples(train: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str]) -> DataFrame:
+    """(keys, asset_key, tree, m, row_id, features): a simple random sample of the training rows per tree.
+
+    ``plan`` has one row per asset: keys, asset_key, m, n_train.  Samples of different trees are
+    independent; repeated runs and retried tasks draw the same rows.
+    """
+    s3 = opts.stage3
+    n_trees, seed = s3.iforest_trees, F.lit(s3.random_state)
+    d = train.join(plan.select(*keys, "asset_key", "m", take_rate(F.col("m"), F.col("n_train")).alias("_q")), list(keys), "inner")
+    skip, _ = keyed_draws(seed, F.col("asset_key"), F.col("row_id"))
+    d = d.withColumn(
+        "_first", F.when(F.col("_q") >= 1.0, F.lit(0)).otherwise(F.floor(F.log1p(-skip) / F.log1p(-F.col("_q")))).cast("long")
+    ).where(F.col("_first") < n_trees)
+    later = F.filter(
+        F.sequence(F.col("_first"), F.lit(n_trees - 1).cast("long")),
+        lambda t: (t == F.col("_first")) | (keyed_draws(seed, F.col("asset_key"), t, F.col("row_id"))[0] < F.col("_q")),
+    )
+    d = d.withColumn("tree", F.explode(later))
+    d = d.withColumn("_order", keyed_draws(seed, F.col("asset_key"), F.col("tree"), F.col("row_id"))[1])
+    w = Window.partitionBy(*keys, "tree").orderBy("_order", "row_id")
+    return d.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= s3.iforest_max_samples).drop("_q", "_first", "_order", "_rank")
+
+
 def _grow(seed: int, n_feat: int):
     feats = FEATURE_SLOTS[:n_feat]
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         asset = pdf["asset_key"].iloc[0]
         tree = int(pdf["tree"].iloc[0])
-        m = int(pdf["m"].iloc[0])
         x = pdf[feats].to_numpy(dtype=float)
-        max_depth = int(math.ceil(math.log2(max(m, 2))))
-        rng = np.random.default_rng([seed, tree, int(pdf["asset_seed"].iloc[0]) & 0x7FFFFFFF])
-        feature, threshold, left, right, value = [], [], [], [], []
-
-        def node(idx: np.ndarray, depth: int) -> int:
-            me = len(feature)
-            feature.append(-1)
-            threshold.append(0.0)
-            left.append(-1)
-            right.append(-1)
-            value.append(0.0)
-            sub = x[idx]
-            if depth >= max_depth or len(idx) <= 1:
-                value[me] = depth + float(average_path_length(len(idx)))
-                return me
-            lo, hi = sub.min(axis=0), sub.max(axis=0)
-            candidates = np.flatnonzero(hi > lo)
-            if len(candidates) == 0:
-                value[me] = depth + float(average_path_length(len(idx)))
-                return me
-            f = int(rng.choice(candidates))
-            t = float(rng.uniform(lo[f], hi[f]))
-            go_left = sub[:, f] <= t
-            feature[me], threshold[me] = f, t
-            left[me] = node(idx[go_left], depth + 1)
-            right[me] = node(idx[~go_left], depth + 1)
-            return me
-
-        node(np.arange(len(x)), 0)
+        max_depth = int(math.ceil(math.log2(max(int(pdf["m"].iloc[0]), 2))))
+        done = []  # (node, feature or -1, threshold, value)
+        level = [(1, x)]
+        for depth in range(max_depth + 1):
+            below = []
+            for node, sub in level:
+                lo, hi = (sub.min(axis=0), sub.max(axis=0)) if len(sub) else (np.zeros(n_feat), np.zeros(n_feat))
+                varying = np.flatnonzero(hi > lo)
+                if depth == max_depth or len(varying) == 0:
+                    done.append((node, -1, 0.0, depth + float(path_units(len(sub)))))
+                    continue
+                which, where = _node_draws(seed, asset, tree, node)
+                f = int(varying[int(which * len(varying))])
+                t = float(lo[f] + where * (hi[f] - lo[f]))
+                done.append((node, f, t, 0.0))
+                left = sub[:, f] <= t
+                below += [(2 * node, sub[left]), (2 * node + 1, sub[~left])]
+            level = below
+        at = {node: k for k, (node, *_) in enumerate(done)}
         return pd.DataFrame(
             {
                 "asset_key": asset,
                 "tree": tree,
-                "node": np.arange(len(feature), dtype=np.int64),
-                "feature": np.asarray(feature, dtype=np.int64),
-                "threshold": np.asarray(threshold, dtype=float),
-                "left": np.asarray(left, dtype=np.int64),
-                "right": np.asarray(right, dtype=np.int64),
-                "value": np.asarray(value, dtype=float),
+                "node": np.arange(len(done), dtype=np.int64),
+                "feature": np.asarray([f for _, f, _, _ in done], dtype=np.int64),
+                "threshold": np.asarray([t for _, _, t, _ in done], dtype=float),
+                "left": np.asarray([at.get(2 * n, -1) for n, *_ in done], dtype=np.int64),
+                "right": np.asarray([at.get(2 * n + 1, -1) for n, *_ in done], dtype=np.int64),
+                "value": np.asarray([v for *_, v in done], dtype=float),
             }
         )
 
@@ -139,30 +181,18 @@ def iforest_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence
     """Raw isolation score s(x) in (0, 1] for every valid row: (keys, row_id, iforest_s)."""
     keys = list(keys)
     s3 = opts.stage3
-    n_trees, max_samples = s3.iforest_trees, s3.iforest_max_samples
     n_feat = len(FEATURE_SLOTS)
+    df = df.withColumns({f: on_grid(F.col(f)) for f in FEATURE_SLOTS})
     key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
     p = plan.select(
         *keys,
         key.alias("asset_key"),
-        F.xxhash64(key).alias("asset_seed"),
-        F.least(F.lit(max_samples), F.col("n_train")).cast("long").alias("m"),
+        F.least(F.lit(s3.iforest_max_samples), F.col("n_train")).cast("long").alias("m"),
         "n_train",
         "n_valid",
     )
     p = broadcast_if_small(p, opts.scale.broadcast_max_rows)
-    train = df.where(F.col("stage3_train")).select(*keys, "row_id", *FEATURE_SLOTS).join(p, keys, "inner")
-    need = F.lit(float(n_trees)) * F.col("m")
-    frac = F.least(F.lit(1.0), F.lit(1.25) * need / F.col("n_train").cast("double"))
-    pool = train.withColumn("_u", unit_hash(F.lit(s3.random_state), F.col("asset_key"), F.col("row_id"))).where(F.col("_u") < frac)
-    w = Window.partitionBy(*keys).orderBy("_u", "row_id")
-    pool = pool.withColumn("rank", F.row_number().over(w) - 1)
-    pool_size = pool.groupBy(*keys).agg(F.count(F.lit(1)).alias("pool_n"))
-    slots = p.join(pool_size, keys).select(
-        *keys, "m", "pool_n", F.explode(F.sequence(F.lit(0), F.lit(n_trees) * F.col("m") - 1)).alias("slot")
-    )
-    slots = slots.select(*keys, (F.col("slot") / F.col("m")).cast("long").alias("tree"), F.pmod(F.col("slot"), F.col("pool_n")).alias("rank"))
-    tree_rows = slots.join(pool.drop("_u"), keys + ["rank"], "inner")
+    tree_rows = tree_samples(df.where(F.col("stage3_train")).select(*keys, "row_id", *FEATURE_SLOTS), p, opts, keys)
     nodes = tree_rows.groupBy("asset_key", "tree").applyInPandas(_grow(s3.random_state, n_feat), NODE_SCHEMA)
 
     # score valid rows in bounded chunks per asset; the node table is replicated per chunk

@@ -550,7 +550,11 @@ def q_stage2_alert_context(spark, sf_dir):
     return _context_out(E.alert_context(r.rows, r.events, "stage2"))
 
 
-@register("pca_scores", "M3", None)
+@register(
+    "pca_scores",
+    "M3",
+    SER(O.stage2_ctes(OPTS), O.pca_ctes()) + f" SELECT asset_id, row_id, {O.r6('pc1')} AS pc1, {O.r6('pc2')} AS pc2 FROM pca",
+)
 def q_pca_scores(spark, sf_dir):
     r = stage2(spark, sf_dir).rows
     return r.where(F.col("stage2_complete")).select("asset_id", "row_id", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"))
@@ -689,7 +693,20 @@ def q_lof_scores(spark, sf_dir):
     return r.where(F.col("stage3_valid")).select("asset_id", "row_id", r6("stage3_lof_score").alias("lof"))
 
 
-@register("iforest_scores", "M9", None)
+_IF_CUT = 1.0 - OPTS.stage3.clamped_contamination
+
+
+@register(
+    "iforest_scores",
+    "M9",
+    SER(
+        O.stage3_train_ctes(), O.iforest_ctes(OPTS),
+        f"if_off AS (SELECT asset_id, quantile_cont(iforest_s, {_IF_CUT}) AS off FROM iforest JOIN s3_f USING (asset_id, row_id) WHERE stage3_train GROUP BY 1)",
+        "if_sc AS (SELECT i.asset_id, i.row_id, f.stage3_train, iforest_s - off AS sc FROM iforest i JOIN if_off USING (asset_id) JOIN s3_f f USING (asset_id, row_id))",
+        f"if_thr AS (SELECT asset_id, quantile_cont(sc, {_IF_CUT}) AS thr FROM if_sc WHERE stage3_train GROUP BY 1)",
+    )
+    + f" SELECT asset_id, row_id, {O.r6('sc')} AS iforest_score, sc >= thr AS stage3_iforest_flag FROM if_sc JOIN if_thr USING (asset_id)",
+)
 def q_iforest_scores(spark, sf_dir):
     r = stage3(spark, sf_dir).rows
     return r.where(F.col("stage3_valid")).select("asset_id", "row_id", r6("stage3_iforest_score").alias("iforest_score"), "stage3_iforest_flag")

@@ -278,6 +278,96 @@ lof AS (SELECT n.asset_id, n.q_row AS row_id,
         JOIN lof_lrd l ON l.asset_id = n.asset_id AND l.o = n.o GROUP BY 1, 2)"""
 
 
+def iforest_ctes(opts: Options) -> str:
+    """CTE ``iforest``: the keyed forest replayed level by level (after ``stage3_train_ctes``)."""
+    s3 = opts.stage3
+    seed, trees, cap = s3.random_state, s3.iforest_trees, s3.iforest_max_samples
+    depth = max(1, (max(cap, 2) - 1).bit_length())
+
+    def draw(text: str, at: int) -> str:
+        return f"(CAST('0x' || substr(md5({text}), {at}, 13) AS BIGINT) / 4503599627370496.0)"
+
+    member = f"'{seed}|' || asset_id || '|' || tree || '|' || row_id"
+    xs = ", ".join(f"f{i}" for i in range(7))
+    c_of = (
+        "CASE WHEN {n} <= 1 THEN 0.0 WHEN {n} = 2 THEN 1.0 "
+        "ELSE 2.0 * (ln({n} - 1.0) + 0.5772156649015329) - 2.0 * ({n} - 1.0) / {n} END"
+    )
+    grid = ", ".join(f"floor(f{i} * 1073741824.0 + 0.5) / 1073741824.0 AS f{i}" for i in range(7))
+    parts = [
+        f"if_f AS MATERIALIZED (SELECT asset_id, row_id, stage3_train, {grid} FROM s3_f)",
+        f"""if_plan AS (SELECT asset_id, least({cap}, n_train) AS m, least(1.0, (least({cap}, n_train) + 12.0 * sqrt(least({cap}, n_train))) / n_train) AS q,
+            ceil(log2(greatest(least({cap}, n_train), 2))) AS deepest FROM s3_plan)""",
+        f"""if_first AS (SELECT f.*, p.q, p.deepest, CASE WHEN q >= 1 THEN 0
+              ELSE floor(ln(1.0 - {draw(f"'{seed}|' || asset_id || '|' || row_id", 1)}) / ln(1.0 - q)) END AS first_tree
+            FROM if_f f JOIN if_plan p USING (asset_id) WHERE f.stage3_train)""",
+        f"""if_drawn AS (SELECT * FROM if_first JOIN range({trees}) g(tree) ON tree >= first_tree
+            WHERE tree = first_tree OR {draw(member, 1)} < q)""",
+        f"""if_r0 AS MATERIALIZED (SELECT asset_id, tree, deepest, 1 AS node, {xs} FROM if_drawn
+            QUALIFY row_number() OVER (PARTITION BY asset_id, tree ORDER BY {draw(member, 14)}, row_id) <= {cap})""",
+        f"if_q0 AS MATERIALIZED (SELECT asset_id, row_id, tree, 1 AS node, CAST(NULL AS DOUBLE) AS h, {xs} FROM if_f, range({trees}) g(tree))",
+    ]
+    pick = lambda t: "CASE " + t + " " + " ".join(f"WHEN {i} THEN f{i}" for i in range(7)) + " END"
+    for d in range(depth + 1):
+        varying = ", ".join(f"CASE WHEN max(f{i}) > min(f{i}) THEN '{i}' END" for i in range(7))
+        least = ", ".join(f"min(f{i})" for i in range(7))
+        most = ", ".join(f"max(f{i})" for i in range(7))
+        node = f"'{seed}|' || asset_id || '|' || tree || '|n' || node"
+        units = f"floor(({c_of.format(n='n')}) * 1048576.0 + 0.5) / 1048576.0"
+        parts += [
+            f"""if_n{d} AS MATERIALIZED (SELECT asset_id, tree, node, count(*) AS n, any_value(deepest) AS deepest,
+                concat({varying}) AS vary, [{least}] AS lo, [{most}] AS hi FROM if_r{d} GROUP BY 1, 2, 3)""",
+            f"""if_s{d} AS MATERIALIZED (SELECT *, lo[feat + 1] + {draw(node, 14)} * (hi[feat + 1] - lo[feat + 1]) AS cut FROM (
+                SELECT *, CASE WHEN len(vary) > 0 AND {d} < deepest THEN CAST(substr(vary, CAST(floor({draw(node, 1)} * len(vary)) AS BIGINT) + 1, 1) AS INTEGER) END AS feat,
+                  {d} + {units} AS h FROM if_n{d}))""",
+            f"""if_r{d + 1} AS MATERIALIZED (SELECT r.asset_id, r.tree, r.deepest, CASE WHEN {pick('s.feat')} <= s.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node, {xs}
+                FROM if_r{d} r JOIN if_s{d} s USING (asset_id, tree, node) WHERE s.feat IS NOT NULL)""",
+            f"""if_q{d + 1} AS MATERIALIZED (SELECT q.asset_id, q.row_id, q.tree,
+                CASE WHEN q.h IS NOT NULL OR s.feat IS NULL THEN q.node WHEN {pick('s.feat')} <= s.cut THEN 2 * q.node ELSE 2 * q.node + 1 END AS node,
+                CASE WHEN q.h IS NOT NULL THEN q.h WHEN s.feat IS NULL THEN s.h END AS h, {xs}
+                FROM if_q{d} q LEFT JOIN if_s{d} s USING (asset_id, tree, node))""",
+        ]
+    parts.append(
+        f"""iforest AS (SELECT asset_id, row_id, pow(2.0, -(sum(h) / {trees}) / any_value({c_of.format(n='m')})) AS iforest_s
+            FROM if_q{depth + 1} JOIN if_plan USING (asset_id) GROUP BY 1, 2)"""
+    )
+    return ",\n".join(parts)
+
+
+def pca_ctes(squarings: int = 40) -> str:
+    """CTE ``pca``: scores on the two leading axes by repeated squaring of the Gram matrix (after ``stage2_ctes``)."""
+    fs = STAGE2_FEATURES
+    p = len(fs)
+    z = ", ".join(f"({f} - {f}_mean) / {f}_std AS z{i}" for i, f in enumerate(fs))
+    gram = " UNION ALL ".join(f"SELECT asset_id, {i} AS i, {j} AS j, sum(z{i} * z{j}) AS v FROM pc_z GROUP BY 1" for i in range(p) for j in range(p))
+    parts = [
+        f"pc_z AS MATERIALIZED (SELECT asset_id, row_id, {z} FROM s2_src JOIN s2_stats USING (asset_id) WHERE stage2_complete)",
+        f"pc_g1 AS MATERIALIZED ({gram})",
+    ]
+    for c in (1, 2):
+        parts.append(f"pc_m{c}_0 AS MATERIALIZED (SELECT asset_id, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY asset_id) AS v FROM pc_g{c})")
+        for k in range(1, squarings + 1):
+            parts.append(
+                f"""pc_m{c}_{k} AS MATERIALIZED (SELECT asset_id, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY asset_id) AS v
+                FROM (SELECT a.asset_id, a.i, b.j, sum(a.v * b.v) AS v FROM pc_m{c}_{k - 1} a JOIN pc_m{c}_{k - 1} b ON a.asset_id = b.asset_id AND a.j = b.i GROUP BY 1, 2, 3))"""
+            )
+        parts.append(  # the column of the greatest diagonal entry; its greatest loading is the diagonal one, hence positive
+            f"""pc_v{c} AS MATERIALIZED (SELECT asset_id, i, v / sqrt(sum(v * v) OVER (PARTITION BY asset_id)) AS w FROM pc_m{c}_{squarings}
+            JOIN (SELECT asset_id, arg_max(i, v) AS j FROM pc_m{c}_{squarings} WHERE i = j GROUP BY 1) USING (asset_id, j))"""
+        )
+        if c == 1:
+            parts += [
+                "pc_l1 AS (SELECT g.asset_id, sum(a.w * g.v * b.w) AS lam FROM pc_g1 g JOIN pc_v1 a ON a.asset_id = g.asset_id AND a.i = g.i"
+                " JOIN pc_v1 b ON b.asset_id = g.asset_id AND b.i = g.j GROUP BY 1)",
+                "pc_g2 AS MATERIALIZED (SELECT g.asset_id, g.i, g.j, g.v - l.lam * a.w * b.w AS v FROM pc_g1 g JOIN pc_l1 l USING (asset_id)"
+                " JOIN pc_v1 a ON a.asset_id = g.asset_id AND a.i = g.i JOIN pc_v1 b ON b.asset_id = g.asset_id AND b.i = g.j)",
+            ]
+        parts.append(f"pc_w{c} AS (SELECT asset_id, " + ", ".join(f"max(CASE WHEN i = {i} THEN w END) AS pc{c}_{i}" for i in range(p)) + f" FROM pc_v{c} GROUP BY 1)")
+    score = ", ".join(" + ".join(f"z{i} * pc{c}_{i}" for i in range(p)) + f" AS pc{c}" for c in (1, 2))
+    parts.append(f"pca AS (SELECT asset_id, row_id, {score} FROM pc_z JOIN pc_w1 USING (asset_id) JOIN pc_w2 USING (asset_id))")
+    return ",\n".join(parts)
+
+
 AMPEL_CASE = "CASE {x} WHEN 0 THEN 'normal' WHEN 1 THEN 'lokal auffällig' WHEN 2 THEN 'konsistent auffällig' WHEN 3 THEN 'persistent anomal' ELSE 'normal' END"
 
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from sonolith.operators.ensemble import FEATURE_SLOTS
 from sonolith.options import Options, Stage3Options
@@ -36,6 +37,26 @@ def test_iforest_pool_sampling_and_chunks(spark):
     assert np.median(out) > np.quantile(inl, 0.9)
 
 
+def test_iforest_samples_are_independent(spark):
+    """Every tree has m rows of its own, also where the pool is not much larger than m."""
+    from sonolith.operators.iforest import tree_samples
+
+    for n, trees in ((512, 200), (30_000, 40), (100, 5)):
+        opts = Options(stage3=Stage3Options(iforest_trees=trees))
+        m = min(256, n)
+        rows = spark.range(n).select(F.lit("a").alias("asset_id"), F.col("id").alias("row_id"), *[F.lit(0.0).alias(f) for f in FEATURE_SLOTS])
+        plan = spark.createDataFrame([("a", "a", m, n)], "asset_id string, asset_key string, m long, n_train long")
+        pdf = tree_samples(rows, plan, opts, ["asset_id"]).select("tree", "row_id").toPandas()
+        samples = {t: frozenset(g) for t, g in pdf.groupby("tree")["row_id"]}
+        assert sorted(samples) == list(range(trees)) and all(len(x) == m for x in samples.values()) and len(pdf) == m * trees
+        assert len(set(samples.values())) == (1 if n == m else trees)
+        if n > m:  # two trees share m * m / n rows on average
+            shared = np.mean([len(samples[t] & samples[t + 1]) for t in range(trees - 1)])
+            assert abs(shared - m * m / n) < 0.1 * m * m / n + 2
+            uses = pdf.groupby("row_id").size().reindex(range(n), fill_value=0)
+            assert abs(uses.mean() - m * trees / n) < 1e-9 and uses.var() < 1.3 * m * trees / n
+
+
 def test_iforest_ranks_planted_outliers(spark):
     from sonolith.operators.iforest import iforest_scores
 
