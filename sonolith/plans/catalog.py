@@ -1333,3 +1333,76 @@ def q_event_window_export(spark, sf_dir):
         "asset_id string, event_id long, row_id long, timestamp timestamp_ntz, avg_decibel double"
     ).csv(path)
     return back.select("asset_id", "event_id", "row_id", "timestamp", r6("avg_decibel").alias("avg_decibel"))
+
+
+def _array_files(spark: SparkSession, records: DataFrame, by: str) -> str:
+    """The records as JSON arrays in four files, with a byte-order mark, elements that are no
+    objects, and beside them a file that is no list and one that breaks off."""
+    path = _store_path(spark, "arrays")
+    lines = records.select(F.pmod(F.xxhash64(by), F.lit(4)).cast("int").alias("shard"), F.concat(F.to_json(F.struct(*records.columns)), F.lit(",")).alias("value"))
+    frame = [(k, o, t) for k in range(4) for o, t in ((0, '\ufeff [17, "a } \\" ] {", [{"label_id": "nested"}],'), (2, 'null, {}, "end"]'))]
+    frame += [(4, 0, '{"label_id": "no list", "event_signature": "no list"}'), (5, 0, '[{"label_id": "cut", "event_signature": "cut"}, {"label_id"')]
+    rows = spark.createDataFrame(frame, "shard int, ord int, value string").unionByName(lines.withColumn("ord", F.lit(1)))
+    rows.repartition("shard").sortWithinPartitions("shard", "ord").drop("ord").write.partitionBy("shard").text(path)
+    return path
+
+
+@register("label_array_files", "S6 L1", REGISTRY["label_store_round_trip"].sql)
+def q_label_array_files(spark, sf_dir):
+    """Labels read from JSON-array files, whole files that are no lists left out."""
+    back = FIO.read_array_documents(spark, _array_files(spark, base_labels(spark, sf_dir), "label_id"), ("asset_id", *FIO.LABEL_FIELDS))
+    return FB.normalize_labels(back.where(F.col("label_id").isNotNull())).select(*_LW_COLS)
+
+
+@register(
+    "note_array_files_newest_first",
+    "S7 T4 L3",
+    S1(O.event_ctes("s1", "stage1", "ev1", OPTS.expected_interval_minutes, O.STAGE1_EVENT_AGGS))
+    + f""", nn AS (SELECT asset_id, {_SIG} AS event_signature, CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '{_T_UPDATED:%Y-%m-%d %H:%M:%S}' ELSE TIMESTAMP '{_T_CREATED:%Y-%m-%d %H:%M:%S}' END AS updated_at
+       FROM ev1 WHERE event_id % 3 = 0)
+SELECT asset_id, event_signature, updated_at, row_number() OVER (PARTITION BY asset_id ORDER BY updated_at DESC NULLS LAST, event_signature) AS rank FROM nn""",
+)
+def q_note_array_files_newest_first(spark, sf_dir):
+    """Notes read from JSON-array files, newest first."""
+    ev = stage1(spark, sf_dir).events.where(F.col("event_id") % 3 == 0)
+    at = F.when(F.col("event_id") % 6 == 0, F.lit(_T_UPDATED.isoformat())).otherwise(F.lit(_T_CREATED.isoformat()))
+    path = _array_files(spark, FB.notes_from_events(ev, F.lit("bestätigt"), F.lit("Lager } prüfen \"[\" \\"), at), "event_signature")
+    back = FIO.read_array_documents(spark, path, ("asset_id", *FIO.NOTE_FIELDS))
+    notes = FB.normalize_notes(back.where(F.col("event_signature").isNotNull()))
+    return X.ranked(notes, [F.col("updated_at").desc_nulls_last(), F.col("event_signature")]).select("asset_id", "event_signature", "updated_at", "rank")
+
+
+@register(
+    "csv_day_first",
+    "S2 S4 P2",
+    SER()
+    + f""" SELECT asset_id, count(*) AS rows, count(timestamp) AS parsed, min(date_trunc('minute', timestamp)) AS first_ts, max(date_trunc('minute', timestamp)) AS last_ts,
+       {O.r6('avg(avg_decibel)')} AS mean_level, 'id,avg_decibel,peak_decibel,min_decibel,measurement_duration,samples_count' AS numeric_columns
+FROM series GROUP BY 1""",
+)
+def q_csv_day_first(spark, sf_dir):
+    """External column names, and a time format in which no row parses: the day-first patterns take over."""
+    path = _store_path(spark, "day-first")
+    names = {c: f"Spalte {c}" for c in CI.NUMBER_COLUMNS}
+    m = series(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+    text = m.select("asset_id", F.date_format("timestamp", "dd/MM/yyyy HH:mm").alias("Zeit"), *[F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")).alias(names[c]) for c in names])
+    text.write.option("header", True).option("sep", ";").csv(path)
+    opts = OPTS.with_(csv=OPTS.csv.__class__(separator=";", encoding="utf-8", columns=(*names.items(), ("created_at", "Zeit"))))
+    df = CI.load_measurement_csv(spark, path, opts, asset_col="asset_id")
+    numeric = [c for c in CI.numeric_columns(df, drop=("row_id",)) if c in names]
+    return df.groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("timestamp").alias("parsed"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("last_ts"),
+        r6(F.avg("avg_decibel")).alias("mean_level"), F.lit(",".join(sorted(numeric, key=list(names).index))).alias("numeric_columns"),
+    )
+
+
+@register(
+    "stage2_alerts",
+    "P14",
+    SER(O.stage2_ctes(OPTS))
+    + f" SELECT asset_id, timestamp, 'Stage 2' AS stage, stage2_severity AS severity, stage2_message AS message, {O.r6('multivariate_score')} AS multivariate_score,"
+    " quality_flag, near_gap_flag FROM s2 WHERE stage2_severity IN ('WARNING', 'ANOMALY')",
+)
+def q_stage2_alerts(spark, sf_dir):
+    a = E.extract_alerts(stage2(spark, sf_dir).rows, "stage2", ["multivariate_score", "quality_flag", "near_gap_flag"])
+    return a.withColumn("multivariate_score", r6("multivariate_score"))

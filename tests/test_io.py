@@ -5,7 +5,7 @@ import os
 import tempfile
 
 from sonolith.operators.explore import export_csv
-from sonolith.sources.feedback_io import LABEL_FIELDS, read_records, write_records
+from sonolith.sources.feedback_io import LABEL_FIELDS, read_array_documents, read_records, write_records
 
 
 def test_read_array_with_bom_and_junk(spark):
@@ -27,6 +27,24 @@ def test_non_list_and_missing(spark):
     assert read_records(spark, os.path.join(d, "absent.json"), LABEL_FIELDS).count() == 0
 
 
+def test_arrays_are_cut_at_braces_outside_strings(spark):
+    d = tempfile.mkdtemp(prefix="sonolith-io-")
+    texts = ['a } b', 'say \\"}\\" \\\\', "{[", "", "x" * 5000, "line\nbreak }", "]"]
+    recs = [{"label_id": f"L{k}", "notes": texts[k % 7], "extra": [{"label_id": "inner"}, [{}], {"a": {"b": "}"}}]} for k in range(300)]
+    mixed = [v for r in recs for v in (r, 1, "}", [{"label_id": "nested"}], None)]
+    docs = {
+        "ok": json.dumps(mixed, indent=1), "empty_list": "[ ]", "empty": "", "scalars": '[1, "}{", null]', "object": json.dumps(recs[0]),
+        "cut": json.dumps(recs)[:-40], "no_comma": '[{"label_id": "q"} {"label_id": "r"}]', "bad_element": '[{"label_id": "q"}, {"label_id" 1}]', "word": "labels",
+    }
+    for name, text in docs.items():
+        with open(os.path.join(d, name), "w", encoding="utf-8") as f:
+            f.write(text)
+    whole = read_array_documents(spark, d, LABEL_FIELDS).collect()
+    assert sorted((r.label_id, r.notes) for r in whole) == sorted((r["label_id"], r["notes"]) for r in recs)
+    for name in set(docs) - {"ok"}:
+        assert read_records(spark, os.path.join(d, name), LABEL_FIELDS).count() == 0, name
+
+
 def test_write_then_read_round_trip(spark):
     d = tempfile.mkdtemp(prefix="sonolith-io-")
     df = spark.createDataFrame([("LBL-A", "Stage 1"), ("LBL-B", "Manuell")], "label_id string, source_stage string")
