@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sonolith.functions import vocab as V
 from sonolith.functions.formatting import display_timestamp
 from sonolith.operators.quality import CANONICAL_ORDER
+from sonolith.operators.ranges import rows_in_windows
 from sonolith.operators.sequence import ordered_scan
 from sonolith.options import ScaleOptions
 from sonolith.plans.sizing import broadcast_if_small
@@ -158,26 +159,16 @@ def event_windows(
 ) -> DataFrame:
     """Rows within ``[start - h, end + h]`` of every event (J3), closed bounds.
 
-    A plain range join plans as a nested loop; instead each event window is
-    exploded into the calendar days it touches and joined on (asset, day), then
-    the exact predicate is applied.  Each row has one day, so no duplicates.
+    Windows and rows meet by dyadic covers (:mod:`sonolith.operators.ranges`).
     """
     keys = list(keys)
-    ev = events.where(F.col("start_timestamp").isNotNull() & F.col("end_timestamp").isNotNull()).select(
+    ev = events.select(
         *keys,
         *event_cols,
         (F.col("start_timestamp") - _hours(hours)).alias("window_start"),
         (F.col("end_timestamp") + _hours(hours)).alias("window_end"),
     )
-    ev = ev.withColumn(
-        "_day", F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"), F.expr("INTERVAL 1 DAY")))
-    )
-    r = rows.where(F.col("timestamp").isNotNull()).withColumn("_day", F.to_date("timestamp"))
-    return (
-        r.join(ev, keys + ["_day"], "inner")
-        .where((F.col("timestamp") >= F.col("window_start")) & (F.col("timestamp") <= F.col("window_end")))
-        .drop("_day")
-    )
+    return rows_in_windows(rows, ev, "window_start", "window_end", keys)
 
 
 def union_events(stage_events: Sequence[DataFrame]) -> DataFrame:

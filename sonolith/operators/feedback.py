@@ -13,6 +13,7 @@ from sonolith.functions import vocab as V
 from sonolith.functions.formatting import display_timestamp, event_signature, iso_text
 from sonolith.functions.parsing import parse_iso_timestamp, parse_timestamp
 from sonolith.operators.quality import CANONICAL_ORDER
+from sonolith.operators.ranges import rows_in_windows
 from sonolith.operators.sequence import ordered_scan
 
 LABEL_FORM_FORMAT = "d.M.yyyy H:m"
@@ -161,9 +162,8 @@ def labelled_rows(rows: DataFrame, labels: DataFrame, keys: Sequence[str] = ("as
     """Measurement rows inside any label's learning window, with next-row targets
     ``next_<metric>`` inside the same segment (J5 bulk form, L6).
 
-    Range join as in J3: windows are exploded to the days they touch, joined on
-    (asset, day), then the exact closed predicate applies.  ``next_*`` comes from
-    the two-level scan (lead across bucket borders), NULL at a segment end.
+    Rows and windows meet by dyadic covers as in J3.  ``next_*`` comes from the two-level
+    scan (lead across bucket borders), NULL at a segment end.
     """
     keys = list(keys)
     nxt = {f"_next_{m}": F.col(m) for m in metrics}
@@ -172,15 +172,5 @@ def labelled_rows(rows: DataFrame, labels: DataFrame, keys: Sequence[str] = ("as
     r = r.withColumns(
         {f"next_{m}": F.when(F.col("_next_seg") == F.col("segment_id"), F.col(f"_next_{m}")) for m in metrics}
     ).drop(*nxt.keys())
-    lw = labels.where(F.col("learning_window_start").isNotNull() & F.col("learning_window_end").isNotNull()).select(
-        *keys, "label_id", "learning_window_start", "learning_window_end"
-    )
-    lw = lw.withColumn(
-        "_day", F.explode(F.sequence(F.to_date("learning_window_start"), F.to_date("learning_window_end"), F.expr("INTERVAL 1 DAY")))
-    )
-    r = r.where(F.col("timestamp").isNotNull()).withColumn("_day", F.to_date("timestamp"))
-    return (
-        r.join(lw, keys + ["_day"], "inner")
-        .where((F.col("timestamp") >= F.col("learning_window_start")) & (F.col("timestamp") <= F.col("learning_window_end")))
-        .drop("_day")
-    )
+    lw = labels.select(*keys, "label_id", "learning_window_start", "learning_window_end")
+    return rows_in_windows(r, lw, "learning_window_start", "learning_window_end", keys, hours_from=rows)
