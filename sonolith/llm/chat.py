@@ -5,20 +5,24 @@ its first letter, and the length of the record that it opens. Roles change at re
 at marked lines by one transition matrix, and between other lines by another. Viterbi
 finds the most likely roles of a whole conversation; turns are then rendered alike.
 
-Conversations are cut into chunks of turns. A chunk is summed up by the best score from
-each role before it to each role at its end; those small matrices chain along the
-conversation and give every chunk its entry and exit role, between which it is decoded on
-its own. So no task holds a conversation's text.
+A record (one row) is summed up by the best score from each role of its first line to each
+role of its last; log probabilities are multiples of 2^-20, so sums are exact in any order.
+These small matrices, without texts, are sorted over the whole table by (conversation, turn)
+and cut into chunks by rows, whatever the conversations' lengths: many short conversations
+share a chunk, and a long one spans many, chained by the matrices of its pieces. Every record
+gets the roles that it begins and ends with, and is decoded between them on its own.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +41,13 @@ _MARKER = re.compile(r"^\s*(?:[#*>\[<|(]+\s*)?(" + "|".join(sorted(ROLE_OF, key=
 @dataclass(frozen=True)
 class ChatOptions:
     """Trained on at most ``sample`` labelled conversations of at most ``longest`` turns each;
-    ``prior`` counts say that a marker names its role; chunks hold ``chunk`` turn numbers."""
+    ``prior`` counts say that a marker names its role; chunks hold at most ``chunk`` rows, without texts."""
 
     sample: int = 2000
     longest: int = 256
     prior: float = 200.0
     smooth: float = 0.5
-    chunk: int = 64
+    chunk: int = 4096
 
 
 def _bucket(n: int) -> int:
@@ -76,14 +80,21 @@ class Model:
     stay: np.ndarray
     emit: dict[str, np.ndarray]
     unknown: dict[str, np.ndarray]  # by kind of feature
+    known: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)  # features take few values
 
     def scores(self, features: tuple[str, ...]) -> np.ndarray:
-        total = np.zeros(len(self.roles))
-        for f in features:
-            total = total + self.emit.get(f, self.unknown[f.split("=")[0]])
+        total = self.known.get(features)
+        if total is None:
+            total = sum((self.emit.get(f, self.unknown[f.split("=")[0]]) for f in features), np.zeros(len(self.roles)))
+            self.known[features] = total
         return total
 
 
+def _log(p: np.ndarray) -> np.ndarray:
+    """Logarithms as multiples of 2^-20: their sums are exact."""
+    return np.round(np.log(p) * (1 << 20)) / (1 << 20)
+
+
 def train(conversations: list[list[tuple[str, str | None]]], o: ChatOptions) -> Model:
     """From labelled conversations: lists of (role, text)."""
     roles = sorted({r for c in conversations for r, _ in c} | set(MARKERS))
@@ -119,9 +130,9 @@ def train(conversations: list[list[tuple[str, str | None]]], o: ChatOptions) ->
     for kind, names in kinds.items():
         total = np.array([sum(counts[f][r] for f in names) for r in roles]) + o.smooth * (len(names) + 1)
         for f in names:
-            emit[f] = np.log((np.array([counts[f][r] for r in roles]) + o.smooth) / total)
-        unknown[kind] = np.log(o.smooth / total)
-    log = lambda x: np.log(x / x.sum(axis=-1, keepdims=True))
+            emit[f] = _log((np.array([counts[f][r] for r in roles]) + o.smooth) / total)
+        unknown[kind] = _log(o.smooth / total)
+    log = lambda x: _log(x / x.sum(axis=-1, keepdims=True))
     return Model(roles, log(start), log(change), log(stay), emit, unknown)
 
 
@@ -144,10 +155,6 @@ def _steps(model: Model, texts: list[str | None]) -> list[tuple[np.ndarray, np.n
     return [(model.change if boundary else model.stay, model.scores(f), body, k) for k, t in enumerate(texts) for f, boundary, body in observe(t)]
 
 
-def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    return pdf.sort_values(["turn", "text"], kind="stable", na_position="last")
-
-
 def _begin(model: Model) -> np.ndarray:
     """Before a conversation any state stands for its start."""
     return np.tile(model.start, (len(model.roles), 1))
@@ -173,64 +180,140 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text.strip().replace('<|', '<\\|')}\n<|end|>"
 
 
+def within(model: Model, text: str | None) -> np.ndarray:
+    """Best scores from each role of a record's first line to each role of its last."""
+    steps = _steps(model, [text])
+    best = np.where(np.eye(len(model.roles), dtype=bool), steps[0][1], -np.inf)
+    for move, emit, _, _ in steps[1:]:
+        best = (best[:, :, None] + move[None]).max(axis=1) + emit
+    return best
+
+
+def _onward(model: Model, inner: np.ndarray) -> np.ndarray:
+    """Best scores from each role before a record to each role of its last line, of many records."""
+    return (model.change[None, :, :, None] + inner[:, None, :, :]).max(axis=2)
+
+
+def walk(model: Model, inner: np.ndarray, begin: int | None = None, leave: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The roles that each of some consecutive records, given by its scores, begins and ends with.
+
+    ``begin`` and ``leave`` are the roles of the first and the last line of all; None for a whole
+    conversation, which starts as the model says."""
+    n = len(inner)
+    first = model.start if begin is None else np.where(np.arange(len(model.roles)) == begin, 0.0, -np.inf)
+    score = (first[:, None] + inner[0]).max(axis=0)
+    back = np.zeros((n, len(model.roles)), dtype=np.int64)
+    for i, onward in enumerate(_onward(model, inner[1:]), 1):
+        ways = score[:, None] + onward
+        back[i] = ways.argmax(axis=0)
+        score = ways.max(axis=0)
+    ends = np.zeros(n, dtype=np.int64)
+    ends[-1] = score.argmax() if leave is None else leave
+    for i in range(n - 1, 0, -1):
+        ends[i - 1] = back[i, ends[i]]
+    before = np.vstack([first[None], model.change[ends[:-1]]])
+    return (before + inner[np.arange(n), :, ends]).argmax(axis=1), ends
+
+
+def _inner(table: pa.Table, k: int) -> np.ndarray:
+    flat = table.column("inner").combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), k, k)
+
+
+def _pieces(table: pa.Table) -> list[tuple[str, int, int]]:
+    """The conversations of a sorted chunk: (ck, from row, to row)."""
+    out, i = [], 0
+    for ck, run in groupby(table.column("ck").to_pylist()):
+        n = sum(1 for _ in run)
+        out.append((ck, i, i + n))
+        i += n
+    return out
+
+
+def _placed(ck, chunk, begin, leave) -> pa.Table:
+    return pa.table({"ck": pa.array(ck, pa.string()), "chunk": pa.array(chunk, pa.int64()), "begin": pa.array(begin, pa.int32()), "leave": pa.array(leave, pa.int32())})
+
+
 def parse_transcripts(turns: DataFrame, model: Model, options: ChatOptions | None = None) -> DataFrame:
     """Recover the roles of transcripts and render their turns.
 
     ``turns`` needs conv_id, turn (integer) and text; role and other columns are ignored, so
     that labels never reach a prediction. Returns one row per recovered turn: conv_id, turn,
     part (from 0; a record splits where a marked line changes the role), role_pred, text
-    (without markers), rendered. Null texts count as empty and are still turns. Rows with a
-    null conv_id are one conversation; null turns come last; equal turns go by text. Ties
-    between roles go to the first by code point. An empty table gives no rows.
+    (without markers), rendered. Null texts count as empty and are still turns; texts of any
+    length are decoded one at a time. Rows with a null conv_id are one conversation; null turns
+    come last; equal turns go by the digest of their text, repeated rows follow each other.
+    Ties between roles go to the first by code point. An empty table gives no rows.
+
+    Chunks are cut by rows of the sorted table: no task holds a conversation, and no group more
+    than ``chunk`` rows (the chain of a conversation that spans chunks: one matrix per chunk).
     """
     o = options or ChatOptions()
+    k = len(model.roles)
     types = {c: turns.schema[c].dataType.simpleString() for c in ("conv_id", "turn")}
-    last_chunk = 1 << 62
-    rows = turns.select("conv_id", "turn", "text", F.coalesce(F.floor(F.col("turn") / o.chunk), F.lit(last_chunk)).cast("long").alias("chunk"))
-    heads = rows.groupBy("conv_id").agg(F.min("chunk").alias("head"))
-    joined = rows.join(heads.withColumnRenamed("conv_id", "of"), F.col("conv_id").eqNullSafe(F.col("of"))).select("conv_id", "turn", "text", "chunk", (F.col("chunk") == F.col("head")).alias("first"))
-    joined = scratch.save(joined, "turns")
-
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        k = len(model.roles)
-        best = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)
-        for i, (move, emit, _, _) in enumerate(_steps(model, pdf["text"].tolist())):
-            step = _begin(model) if i == 0 and pdf["first"].iat[0] else move
-            best = (best[:, :, None] + step[None]).max(axis=1) + emit[None]
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "chunk": pdf["chunk"].iloc[:1], "best": [best.reshape(-1).tolist()]})
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        k = len(model.roles)
-        mats = [np.array(b).reshape(k, k) for b in pdf["best"]]
-        score, back = np.where(np.arange(k) == 0, 0.0, -np.inf), []
-        for m in mats:
-            ways = score[:, None] + m
-            back.append(ways.argmax(axis=0))
-            score = ways.max(axis=0)
-        leave = [int(score.argmax())]
-        for b in reversed(back):
-            leave.append(int(b[leave[-1]]))
-        leave = leave[::-1]
-        return pd.DataFrame({"of": pdf["conv_id"], "at": pdf["chunk"], "enter": leave[:-1], "leave": leave[1:]})
-
-    def rendered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ordered(pdf)
-        steps = _steps(model, pdf["text"].tolist())
-        roles = decode(model, steps, int(pdf["enter"].iat[0]), int(pdf["leave"].iat[0]), bool(pdf["first"].iat[0]))
-        out: list[list] = []
-        for (_, _, body, record), role in zip(steps, roles, strict=True):
-            if out and out[-1][0] == record and out[-1][2] == role:
-                out[-1][3].append(body)
-            else:
-                out.append([record, out[-1][1] + 1 if out and out[-1][0] == record else 0, role, [body]])
-        at = [r[0] for r in out]
-        texts = ["\n".join(r[3]).strip() for r in out]
-        names = [model.roles[r[2]] for r in out]
-        return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy()[at], "turn": pdf["turn"].to_numpy()[at], "part": [r[1] for r in out], "role_pred": names, "text": texts, "rendered": list(map(render, names, texts))})
-
-    sums = joined.groupBy("conv_id", "chunk").applyInPandas(summed, f"conv_id {types['conv_id']}, chunk long, best array<double>")
-    ends = sums.groupBy("conv_id").applyInPandas(chained, f"of {types['conv_id']}, at long, enter int, leave int")
-    placed = joined.join(ends, joined["conv_id"].eqNullSafe(ends["of"]) & (joined["chunk"] == ends["at"])).drop("of", "at")
-    return placed.groupBy("conv_id", "chunk").applyInPandas(rendered, f"conv_id {types['conv_id']}, turn {types['turn']}, part int, role_pred string, text string, rendered string")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            inner = [within(model, t).reshape(-1) for t in b.column("text").to_pylist()]
+            yield b.append_column("inner", pa.array(inner, pa.list_(pa.float64())))
+
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))
+    digest = F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 40)
+    rows = turns.select("conv_id", "turn", "text", key.alias("ck"), digest.alias("digest")).withColumn("id", F.monotonically_increasing_id())
+    schema = f"conv_id {types['conv_id']}, turn {types['turn']}, text string, ck string, digest string, id long, inner array<double>"
+    rows = scratch.save(rows.mapInArrow(measured, schema), "turns")
+    order = [F.col("ck"), F.col("turn").asc_nulls_last(), F.col("digest"), F.col("id")]
+    light = rows.select("ck", "turn", "digest", "id", "inner").repartitionByRange(*order).sortWithinPartitions(*order)
+    at = F.monotonically_increasing_id()
+    # a partition's numbers start at a multiple of 2^33
+    chunk = F.shiftleft(F.shiftright("at", 33), 33) + F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / o.chunk)
+    light = scratch.save(light.withColumn("at", at).select("ck", "id", "at", chunk.alias("chunk"), "inner"), "placed")
+
+    def summed(table: pa.Table) -> pa.Table:
+        """Of the pieces at a chunk's ends: best scores from the first line's role to the last line's."""
+        table = table.sort_by("at")
+        inner, pieces = _inner(table, k), _pieces(table)
+        out = []
+        for ck, i, j in pieces[:1] + pieces[1:][-1:]:
+            best = inner[i]
+            for onward in _onward(model, inner[i + 1 : j]):
+                best = (best[:, :, None] + onward[None]).max(axis=1)
+            out.append((ck, best.reshape(-1)))
+        chunk = table.column("chunk")[0].as_py()
+        return pa.table({"ck": pa.array([r[0] for r in out], pa.string()), "chunk": pa.array([chunk] * len(out), pa.int64()), "inner": pa.array([r[1] for r in out], pa.list_(pa.float64()))})
+
+    def chained(table: pa.Table) -> pa.Table:
+        """The roles that a conversation's pieces begin and end with."""
+        table = table.sort_by("chunk")
+        return _placed(table.column("ck"), table.column("chunk"), *walk(model, _inner(table, k)))
+
+    def walked(table: pa.Table, ends: pa.Table) -> pa.Table:
+        """The roles that each record of a chunk begins and ends with."""
+        table = table.sort_by("at")
+        inner = _inner(table, k)
+        known = {r["ck"]: (r["begin"], r["leave"]) for r in ends.to_pylist()}
+        parts = [walk(model, inner[i:j], *known.get(ck, ())) for ck, i, j in _pieces(table)]
+        begin, leave = (pa.array(np.concatenate([p[c] for p in parts]), pa.int32()) for c in (0, 1))
+        return pa.table({"of": table.column("id"), "begin": begin, "leave": leave})
+
+    def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["conv_id", "turn", "part", "role_pred", "text", "rendered"]
+        for b in batches:
+            at, part, roles, texts = [], [], [], []
+            for i, (text, begin, leave) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "begin", "leave")), strict=True)):
+                steps = _steps(model, [text])
+                path = [begin] + (decode(model, steps[1:], begin, leave, False) if len(steps) > 1 else [])
+                for n, (role, run) in enumerate(groupby(zip(path, steps, strict=True), key=lambda x: x[0])):
+                    at.append(i)
+                    part.append(n)
+                    roles.append(model.roles[role])
+                    texts.append("\n".join(step[2] for _, step in run).strip())
+            done = [pa.array(part, pa.int32()), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(list(map(render, roles, texts)), pa.string())]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("conv_id").take(at), b.column("turn").take(at), *done], names=names)
+
+    sums = light.select("ck", "chunk", "at", "inner").groupBy("chunk").applyInArrow(summed, "ck string, chunk long, inner array<double>")
+    ends = sums.groupBy("ck").applyInArrow(chained, "ck string, chunk long, begin int, leave int")
+    roles = light.groupBy("chunk").cogroup(ends.groupBy("chunk")).applyInArrow(walked, "of long, begin int, leave int")
+    placed = rows.select("conv_id", "turn", "text", "id").join(roles, F.col("id") == F.col("of")).select("conv_id", "turn", "text", "begin", "leave")
+    return placed.mapInArrow(rendered, f"conv_id {types['conv_id']}, turn {types['turn']}, part int, role_pred string, text string, rendered string")

@@ -1,11 +1,13 @@
 """Vector codes, structure repair and cover-tree search against plain versions, with nulls, ties, copies and hot groups."""
 
 import random
+from itertools import groupby
 
 import numpy as np
 import plain
 import pytest
 
+from sonolith.llm import chat, scratch
 from sonolith.llm import repair as R
 from sonolith.llm.codes import Assigner, CodeOptions, compress, squared
 from sonolith.llm.covertree import LEAST, Points, Search, SearchOptions, Tree, top_products
@@ -138,3 +140,60 @@ def test_chunks_of_a_hot_conversation(spark):
     finally:
         R.scratch.save = save
     assert max(r["count"] for r in placed[0].groupBy("chunk").count().collect()) <= 64
+
+
+# ------------------------------------------------------------------ 10
+def _viterbi(model, texts):
+    """The best roles of all lines of a conversation, in one go."""
+    steps = chat._steps(model, texts)
+    score, back = model.start + steps[0][1], []
+    for move, emit, _, _ in steps[1:]:
+        ways = score[:, None] + move
+        back.append(ways.argmax(axis=0))
+        score = ways.max(axis=0) + emit
+    path = [int(score.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    return path[::-1], steps, float(score.max())
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64, 4096])
+def test_roles_by_chunks_are_as_good_as_plain_viterbi(spark, chunk):
+    rng = random.Random(chunk)
+    say = ["User: hi", "what is it?", "Assistant: this.\nand that", "a\nB?\nbot: c\nd", "", None, "system: be kind", "x" * 70, "fine."]
+    model = chat.train([[("user", "hi?"), ("assistant", "Hello.\nWell."), ("user", "x")]] * 5, chat.ChatOptions())
+    rows = [(c, t, rng.choice(say)) for c, n in enumerate([1, 2, 7, 30, 3, 1, 12]) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string").repartition(5)
+    got = {}
+    for r in chat.parse_transcripts(df, model, chat.ChatOptions(chunk=chunk)).collect():
+        got.setdefault((r.conv_id, r.turn), []).append((r.part, r.role_pred, r.text))
+    for c in {r[0] for r in rows}:
+        texts = [t for cc, _, t in rows if cc == c]
+        path, steps, best = _viterbi(model, texts)
+        # the roles of all lines, from the parts: a part's lines are counted by the plain steps
+        lines, total, last = [], 0.0, None
+        for turn, text in enumerate(texts):
+            parts = sorted(got[c, turn])
+            bodies = [s[2] for s in chat._steps(model, [text])]
+            assert [p[0] for p in parts] == list(range(len(parts)))
+            assert "".join(p[2] for p in parts).replace("\n", "") == "".join(bodies).replace("\n", "").strip()
+            if len(parts) == 1:
+                lines += [parts[0][1]] * len(bodies)
+            else:
+                lines += [model.roles[path[len(lines) + i]] for i in range(len(bodies))]
+                assert [role for role, _ in groupby(lines[-len(bodies) :])] == [p[1] for p in parts]
+        for (move, emit, _, _), role in zip(steps, map(model.roles.index, lines), strict=True):
+            total += emit[role] + (model.start[role] if last is None else move[last, role])
+            last = role
+        assert total == best  # sums are exact
+
+
+def test_hot_conversation_of_null_turns_is_cut_by_rows(spark):
+    model = chat.train([], chat.ChatOptions())
+    rows = [(None, None, "again")] * 6000 + [(None, i % 3, f"User: {i}") for i in range(3000)] + [(7, 0, "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, text string")
+    out = chat.parse_transcripts(df, model, chat.ChatOptions(chunk=256))
+    assert out.count() == 9001
+    saved = [p for p in scratch.saved(spark) if "/placed-" in p][-1]
+    sizes = [r["count"] for r in spark.read.parquet(saved).groupBy("chunk").count().collect()]
+    assert max(sizes) <= 256 and sum(sizes) == 9001
