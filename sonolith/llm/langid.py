@@ -37,12 +37,14 @@ UNDETERMINED = "und"
 class LangIdOptions:
     """``sample``: training documents per language. A fifth of them calibrates: the softness
     of the score, and the greatest cross-entropy that is not rejected, ``slack`` above the
-    worst one seen in the language, and more for few characters (``short`` / sqrt(n))."""
+    worst one seen in the language, and more for few characters (``short`` / sqrt(n)).
+    A language is ranked in ``parts`` parts first."""
 
     sample: int = 1000
     slack: float = 0.25
     short: float = 5.0
     cache: int = 250_000
+    parts: int = 64
 
 
 @dataclass
@@ -236,13 +238,19 @@ def fit(docs: DataFrame, options: LangIdOptions | None = None) -> Model | None:
     """Fit on the labelled documents outside the held-out fold; None if there are none.
 
     What reaches the driver is bounded by ``sample`` documents per language: their n-gram
-    counts, and the calibration texts."""
+    counts, and the calibration texts. Rows of the same id and text are one document, so the
+    fit is the same however often they repeat and wherever they lie."""
     o = options or LangIdOptions()
-    labelled = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= o.sample)
-    chosen = chosen.select("doc_id", (F.col("rank") % 5 == 0).alias("calibrates")).dropDuplicates(["doc_id"])
-    sample = labelled.join(F.broadcast(chosen), "doc_id")  # bounded by the sample
+    keys = ["lang", "doc_id", "th"]
+    labelled = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("th"))
+    labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 0))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("th")]
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy(*order))
+    # repeated rows are one; ranked by parts of a language first, so that no task reads a whole one
+    chosen = labelled.select(*keys).distinct().withColumn("part", F.pmod(F.xxhash64("th", "doc_id"), F.lit(o.parts)))
+    chosen = chosen.withColumn("rank", rank("part")).where(F.col("rank") <= o.sample).withColumn("rank", rank()).where(F.col("rank") <= o.sample)
+    chosen = chosen.select(*keys, (F.col("rank") % 5 == 0).alias("calibrates"))
+    sample = labelled.join(F.broadcast(chosen), keys).dropDuplicates(keys)  # at most sample rows a language
     grams = sample.where(~F.col("calibrates")).mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(grams):
         return None

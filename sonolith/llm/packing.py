@@ -274,9 +274,9 @@ def pack(docs: DataFrame, tokenizer: str, options: PackOptions | None = None) ->
     o = options or PackOptions()
     if o.attention < o.tokens * o.tokens or o.documents < 1:
         raise ValueError("a whole sequence must hold one piece of full length")
-    pieces = scratch.save(cut_pieces(docs, tokenizer, o), "pieces")
+    pieces = scratch.save(cut_pieces(docs, tokenizer, o).withColumn("place", F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-pieces.count() // o.group))
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
+    schema = pieces.drop("place").schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id long, offset long"
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
@@ -284,4 +284,18 @@ def pack(docs: DataFrame, tokenizer: str, options: PackOptions | None = None) ->
         first = int(pdf["g"].iat[0]) << 32
         return pdf.drop(columns="g").assign(sequence_id=np.array(seq, dtype=np.int64) + first, offset=np.array(offset, dtype=np.int64))
 
-    return pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).groupBy("g").applyInPandas(fill, schema)
+    return dealt(pieces, groups, max(1, o.group // 8)).groupBy("g").applyInPandas(fill, schema)
+
+
+def dealt(pieces: DataFrame, groups: int, most: int) -> DataFrame:
+    """The group ``g`` of every piece. Equal pieces of which there are more than ``most`` (repeated
+    rows, or null ids without text) go to as many groups as that asks for, by their place in the table."""
+    keys = ["doc_id", "piece", "ids_crc32"]
+    often = pieces.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+    often = often.select(*[F.col(c).alias(f"k_{c}") for c in keys], F.ceil(F.col("n") / most).alias("spread"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    deal = F.xxhash64("k_ids_crc32", F.pmod(F.xxhash64("place"), F.col("spread")))
+    g = F.pmod(F.xxhash64(*keys).bitwiseXOR(F.when(F.col("spread").isNull(), 0).otherwise(deal)), F.lit(groups))
+    return pieces.join(often, same, "left").withColumn("g", g).drop("place", "spread", *[f"k_{c}" for c in keys])
