@@ -12,6 +12,9 @@ adds it to the asset's few atoms, and takes the point of least norm in their hul
 when the duality gap w . (w - atom) is below ``ocsvm_gap`` |w|^2 for every asset. Models are
 rows of a DataFrame; only the number of open ones reaches the driver. W and b are
 regenerated from the seed inside each task. The score is -decision = rho - w . phi(x).
+
+An asset whose training rows fit one chunk takes the same steps within one task, so only
+larger assets need a pass of jobs per step, however many assets there are.
 """
 
 from __future__ import annotations
@@ -46,23 +49,32 @@ BINS = 48
 LAST = BINS + 1
 
 
+def bin_sums(phi: np.ndarray, m: dict) -> list[tuple]:
+    """(bin, rows, least and greatest score, feature sums) by score bin (above the last bin only counts)."""
+    score = phi @ np.asarray(m["w"], dtype=float)
+    width = max((m["hi"] - m["lo"]) / BINS, 1e-300)
+    at = np.clip(np.floor((score - m["lo"]) / width) + 1, 0, LAST).astype(int)
+    out = []
+    for k in np.unique(at):
+        own = at == k
+        out.append((int(k), int(own.sum()), float(score[own].min()), float(score[own].max()), phi[own].sum(axis=0) if k < LAST else np.zeros(phi.shape[1])))
+    return out
+
+
+def _phi(seed: int, dim: int, rows: pd.DataFrame) -> np.ndarray:
+    r0 = rows.iloc[0]
+    return _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
+
+
 def _partial(seed: int, dim: int):
-    """Per chunk: row counts and feature sums by score bin (above the last bin only counts)."""
+    """Per chunk: row counts and feature sums by score bin."""
 
     def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
             return pd.DataFrame(columns=["asset_key", "bin", "n", "low", "high", "s"], dtype=object)
         rows = rows.sort_values("row_id", kind="stable")
-        r0, m = rows.iloc[0], model.iloc[0]
-        phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
-        score = phi @ np.asarray(m["w"], dtype=float)
-        width = max((m["hi"] - m["lo"]) / BINS, 1e-300)
-        at = np.clip(np.floor((score - m["lo"]) / width) + 1, 0, LAST).astype(int)
-        out = []
-        for k in np.unique(at):
-            own = at == k
-            out.append((r0["asset_key"], int(k), int(own.sum()), float(score[own].min()), float(score[own].max()), (phi[own].sum(axis=0) if k < LAST else np.zeros(dim)).tolist()))
-        return pd.DataFrame(out, columns=["asset_key", "bin", "n", "low", "high", "s"])
+        out = bin_sums(_phi(seed, dim, rows), model.iloc[0].to_dict())
+        return pd.DataFrame([(rows["asset_key"].iloc[0], *b[:4], b[4].tolist()) for b in out], columns=["asset_key", "bin", "n", "low", "high", "s"])
 
     return fn
 
@@ -85,58 +97,77 @@ def least_norm(atoms: np.ndarray, rounds: int = 2000, tol: float = 1e-12) -> np.
     return beta
 
 
-def _update(nu: float, dim: int):
+def advance(m: dict, bins: list[tuple], nu: float, dim: int) -> dict:
     """New model of an asset from its binned sums: the tail of the lowest scores is the next atom."""
+    m, bins = dict(m), sorted(bins, key=lambda b: b[0])
+    w = np.asarray(m["w"], dtype=float)
+    need = nu * sum(n for _, n, *_ in bins)
+    tail, left, edge = np.zeros(dim), need, float(bins[-1][3])
+    for k, n, _, high, total in bins:
+        if left <= 0 or k == LAST:
+            break
+        part = min(1.0, left / n)  # of the boundary bin every row takes the same share
+        tail += part * np.asarray(total, dtype=float)
+        left -= part * n
+        edge = high
+    low, high = float(min(b[2] for b in bins)), float(max(b[3] for b in bins))
+    spread = max(high - low, 1e-9)
+    at = next(b[0] for b in bins if b[3] >= edge)
+    if left > 1e-9 * need or at == 0 and len(bins) > 1 and m["lo"] > low:
+        # the boundary lies outside the bins: look again over the whole range
+        m.update(lo=low, hi=high + 1e-12)
+        if left > 1e-9 * need:
+            return m
+    else:
+        # closer around the boundary, but no closer than it has moved
+        reach = max(4 * (m["hi"] - m["lo"]) / BINS, 2 * abs(edge - (m["hi"] + m["lo"]) / 2), 1e-12 * spread)
+        m.update(lo=edge - reach, hi=edge + reach)
+    atom = tail / need
+    gap = float(w @ (w - atom))
+    m["gap"] = max(gap, 0.0)
+    m["norm"] = float(w @ w)
+    atoms = np.vstack([np.asarray(m["atoms"], dtype=float).reshape(-1, dim), atom])
+    beta = least_norm(atoms)
+    atoms, beta = atoms[beta > 0], beta[beta > 0]
+    m.update(w=(beta @ atoms).tolist(), atoms=atoms.reshape(-1).tolist())
+    return m
+
+
+def _update(nu: float, dim: int):
+    """One step of an asset whose binned sums come from many chunks."""
 
     def fn(bins: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if bins.empty or model.empty:
             return pd.DataFrame(columns=model.columns, dtype=object)
-        m = model.iloc[0].to_dict()
+        m = advance(model.iloc[0].to_dict(), list(bins[["bin", "n", "low", "high", "s"]].itertuples(index=False, name=None)), nu, dim)
         m.update(w=list(m["w"]), atoms=list(m["atoms"]))
-        bins = bins.sort_values("bin")
-        w = np.asarray(m["w"], dtype=float)
-        need = nu * bins["n"].sum()
-        tail, left, edge = np.zeros(dim), need, float(bins["high"].iloc[-1])
-        for k, n, high, total in zip(bins["bin"], bins["n"], bins["high"], bins["s"], strict=True):
-            if left <= 0 or k == LAST:
-                break
-            part = min(1.0, left / n)  # of the boundary bin every row takes the same share
-            tail += part * np.asarray(total, dtype=float)
-            left -= part * n
-            edge = high
-        low, high = float(bins["low"].min()), float(bins["high"].max())
-        spread = max(high - low, 1e-9)
-        at = bins[bins["high"] >= edge]["bin"].iloc[0]
-        if left > 1e-9 * need or at == 0 and len(bins) > 1 and m["lo"] > low:
-            # the boundary lies outside the bins: look again over the whole range
-            m.update(lo=low, hi=high + 1e-12)
-            if left > 1e-9 * need:
-                return pd.DataFrame([m])[list(model.columns)]
-        else:
-            # closer around the boundary, but no closer than it has moved
-            reach = max(4 * (m["hi"] - m["lo"]) / BINS, 2 * abs(edge - (m["hi"] + m["lo"]) / 2), 1e-12 * spread)
-            m.update(lo=edge - reach, hi=edge + reach)
-        atom = tail / need
-        gap = float(w @ (w - atom))
-        m["gap"] = max(gap, 0.0)
-        m["norm"] = float(w @ w)
-        atoms = np.vstack([np.asarray(m["atoms"], dtype=float).reshape(-1, dim), atom])
-        beta = least_norm(atoms)
-        atoms, beta = atoms[beta > 0], beta[beta > 0]
-        m.update(w=(beta @ atoms).tolist(), atoms=atoms.reshape(-1).tolist())
         return pd.DataFrame([m])[list(model.columns)]
 
     return fn
 
 
+def _fit(seed: int, nu: float, dim: int, most: float):
+    """All steps of an asset whose training rows are one chunk."""
+
+    def fn(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row_id", kind="stable")
+        phi = _phi(seed, dim, rows)
+        mean = (phi.sum(axis=0) / len(phi)).tolist()
+        m = {"asset_key": rows["asset_key"].iloc[0], "w": mean, "atoms": mean, "lo": -2.0, "hi": 2.0, "gap": float("inf"), "norm": 1.0}
+        while m["gap"] > most * m["norm"]:
+            m = advance(m, bin_sums(phi, m), nu, dim)
+        return pd.DataFrame([m])
+
+    return fn
+
+
 def _score(seed: int, dim: int):
     def fn(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or model.empty:
             return pd.DataFrame({"asset_key": [], "row_id": [], "score": []})
-        r0 = rows.iloc[0]
-        phi = _features(seed, int(r0["asset_seed"]), float(r0["gamma"]), dim, rows[FEATURE_SLOTS].to_numpy(dtype=float))
+        phi = _phi(seed, dim, rows)
         w = np.asarray(model["w"].iloc[0], dtype=float)
-        return pd.DataFrame({"asset_key": r0["asset_key"], "row_id": rows["row_id"].to_numpy(), "score": phi @ w})
+        return pd.DataFrame({"asset_key": rows["asset_key"].iloc[0], "row_id": rows["row_id"].to_numpy(), "score": phi @ w})
 
     return fn
 
@@ -155,28 +186,11 @@ def _cogroup(rows: DataFrame, model_rep: DataFrame, fn, schema: str) -> DataFram
     return rows.groupBy("asset_key", "chunk").cogroup(m.groupBy("asset_key", "chunk")).applyInPandas(fn, schema)
 
 
-def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
-    """(keys, row_id, ocsvm) for every valid row."""
-    keys = list(keys)
-    s3 = opts.stage3
+def _fit_chunks(train: DataFrame, counts: DataFrame, opts: Options) -> DataFrame:
+    """Models of the assets in ``counts``: one pass over the chunks of their training rows per step."""
+    s3, scale = opts.stage3, opts.scale
     dim, nu, seed = s3.ocsvm_features, s3.clamped_nu, s3.random_state
-    mx = opts.scale.broadcast_max_rows
-    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
-    p = plan.select(*keys, key.alias("asset_key"), F.xxhash64(key).alias("asset_seed"), "n_features")
-    base = df.select(*keys, "row_id", "stage3_train", "stage3_valid", *FEATURE_SLOTS).join(broadcast_if_small(p, mx), keys, "inner")
-    # gamma = 1 / (n_features * var(all training entries of the real features))
-    real = [F.when(F.lit(i) < F.col("n_features"), F.col(f)) for i, f in enumerate(FEATURE_SLOTS)]
-    sq = sum((F.coalesce(r * r, F.lit(0.0)) for r in real), F.lit(0.0))
-    sm = sum((F.coalesce(r, F.lit(0.0)) for r in real), F.lit(0.0))
-    g = base.where(F.col("stage3_train")).groupBy("asset_key").agg(
-        F.sum(sq).alias("_sq"), F.sum(sm).alias("_sm"), F.sum(F.col("n_features")).alias("_cnt"),
-        F.first("n_features").alias("_d"), F.count(F.lit(1)).alias("n"),
-    )
-    var = F.col("_sq") / F.col("_cnt") - (F.col("_sm") / F.col("_cnt")) ** 2
-    g = cut_lineage(g.select("asset_key", "n", (F.lit(1.0) / (F.col("_d") * F.when(var > 0, var).otherwise(F.lit(1.0)))).alias("gamma")))
-    base = base.join(broadcast_if_small(g.select("asset_key", "gamma"), mx), "asset_key", "inner")
-    cols = ["asset_key", "asset_seed", "gamma", "row_id", *FEATURE_SLOTS]
-    train, train_keys = _chunked(base.where(F.col("stage3_train")).select(*cols), g, opts.scale.chunk_rows, mx)
+    train, train_keys = _chunked(train, counts, scale.chunk_rows, scale.broadcast_max_rows)
     # hash-partitioned like the co-group needs; the checkpoint keeps that
     # partitioning, so no step re-shuffles the training rows
     train = cut_lineage(train.repartition("asset_key", "chunk"))
@@ -192,14 +206,44 @@ def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[s
 
     # start from all rows' mean: with w = 0 every score is 0 and falls into one bin
     zeros = F.array_repeat(F.lit(0.0), dim)
-    whole = binned(g.select("asset_key", zeros.alias("w"), F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")))
+    whole = binned(counts.select("asset_key", zeros.alias("w"), F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi")))
     mean = whole.groupBy("asset_key").agg(F.sum("n").alias("n"), F.first("s").alias("s")).select("asset_key", F.transform("s", lambda v: v / F.col("n")).alias("w"))
     model = write_table(mean.select("asset_key", "w", F.col("w").alias("atoms"), F.lit(-2.0).alias("lo"), F.lit(2.0).alias("hi"), F.lit(float("inf")).alias("gap"), F.lit(1.0).alias("norm")), "ocsvm-model")
     while model.where(F.col("gap") > F.lit(s3.ocsvm_gap) * F.col("norm")).limit(1).count():
         open_ = F.col("gap") > F.lit(s3.ocsvm_gap) * F.col("norm")
         todo = model.where(open_)
         step = binned(todo).groupBy("asset_key").cogroup(todo.groupBy("asset_key")).applyInPandas(_update(nu, dim), MODEL_SCHEMA)
-        model = write_table(step.unionByName(model.where(~open_)).coalesce(1), "ocsvm-model")
+        model = write_table(step.unionByName(model.where(~open_)), "ocsvm-model")
+    return model
+
+
+def ocsvm_scores(df: DataFrame, plan: DataFrame, opts: Options, keys: Sequence[str] = ("asset_id",)) -> DataFrame:
+    """(keys, row_id, ocsvm) for every valid row."""
+    keys = list(keys)
+    s3 = opts.stage3
+    dim, nu, seed = s3.ocsvm_features, s3.clamped_nu, s3.random_state
+    mx = opts.scale.broadcast_max_rows
+    key = F.concat_ws("\u0001", *[F.col(c).cast("string") for c in keys])
+    p = plan.select(*keys, key.alias("asset_key"), F.xxhash64(key).alias("asset_seed"), "n_features")
+    base = df.select(*keys, "row_id", "stage3_train", "stage3_valid", *FEATURE_SLOTS).join(broadcast_if_small(p, mx), keys, "inner")
+    # gamma = 1 / (n_features * var(all training entries of the real features))
+    real = [F.when(F.lit(i) < F.col("n_features"), F.col(f)) for i, f in enumerate(FEATURE_SLOTS)]
+    sq = sum((F.coalesce(r * r, F.lit(0.0)) for r in real), F.lit(0.0))
+    sm = sum((F.coalesce(r, F.lit(0.0)) for r in real), F.lit(0.0))
+    g = base.where(F.col("stage3_train")).groupBy("asset_key").agg(
+        F.sum(sq).alias("_sq"), F.sum(sm).alias("_sm"), F.sum(F.col("n_features")).alias("_cnt"),
+        F.first("n_features").alias("_d"), F.count(F.lit(1)).alias("n"),
+    )
+    var = F.col("_sq") / F.col("_cnt") - (F.col("_sm") / F.col("_cnt")) ** 2
+    g = cut_lineage(g.select("asset_key", "n", (F.lit(1.0) / (F.col("_d") * F.when(var > 0, var).otherwise(F.lit(1.0)))).alias("gamma")))
+    base = base.join(broadcast_if_small(g.select("asset_key", "gamma"), mx), "asset_key", "inner")
+    cols = ["asset_key", "asset_seed", "gamma", "row_id", *FEATURE_SLOTS]
+    train = base.where(F.col("stage3_train")).select(*cols)
+    one, many = (g.where(F.col("n") <= opts.scale.chunk_rows), g.where(F.col("n") > opts.scale.chunk_rows))
+    within = train.join(broadcast_if_small(one.select("asset_key"), mx), "asset_key", "left_semi")
+    model = write_table(within.groupBy("asset_key").applyInPandas(_fit(seed, nu, dim, s3.ocsvm_gap), MODEL_SCHEMA), "ocsvm-model")
+    if not many.isEmpty():
+        model = model.unionByName(_fit_chunks(train, many, opts))
 
     def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
         chunks, chunk_keys = _chunked(rows.select(*cols), counts, opts.scale.chunk_rows, mx)

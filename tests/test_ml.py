@@ -115,6 +115,26 @@ def test_ocsvm_against_a_dense_solver(spark):
     assert abs((got > 1e-12).mean() - nu) <= 1.5 / n
 
 
+def test_ocsvm_steps_of_small_assets_stay_in_one_task(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sonolith.operators import ocsvm
+    from sonolith.options import ScaleOptions
+
+    df, plan = _frame(spark)
+    names = F.explode(F.array(*[F.lit(x) for x in "abc"])).alias("asset_id")
+    df = df.drop("asset_id").select(names, "*").withColumn("f0", F.col("f0") + F.when(F.col("asset_id") == "b", F.sin("row_id")).otherwise(0.0))
+    plan = plan.drop("asset_id").select(names, "*")
+    written = []
+    monkeypatch.setattr(ocsvm, "write_table", lambda d, name="table", f=ocsvm.write_table: (written.append(name), f(d, name))[1])
+    got = {(r.asset_id, r.row_id): r.ocsvm for r in ocsvm.ocsvm_scores(df, plan, Options()).collect()}
+    assert written.count("ocsvm-model") == 1  # no pass of jobs per step, however many assets
+    one = df.where("asset_id = 'b'"), plan.where("asset_id = 'b'")
+    chunks = {r.row_id: r.ocsvm for r in ocsvm.ocsvm_scores(*one, Options(scale=ScaleOptions(chunk_rows=128))).collect()}
+    assert len(got) == 3 * len(chunks) and written.count("ocsvm-model") > 2
+    assert all(abs(v - got["b", i]) < 1e-9 for i, v in chunks.items())  # many chunks take the same steps
+
+
 def test_least_norm_point():
     from sonolith.operators.ocsvm import least_norm
 
