@@ -135,6 +135,38 @@ def test_ocsvm_steps_of_small_assets_stay_in_one_task(spark, monkeypatch):
     assert all(abs(v - got["b", i]) < 1e-9 for i, v in chunks.items())  # many chunks take the same steps
 
 
+def _plain_tree(x, node, depth, most, draws):
+    """Path length of each row of a tree grown node by node."""
+    from sonolith.operators.iforest import path_units
+
+    lo, hi = (x.min(axis=0), x.max(axis=0)) if len(x) else (np.zeros(4), np.zeros(4))
+    varying = np.flatnonzero(hi > lo)
+    if depth == most or not len(varying):
+        return np.full(len(x), depth + float(path_units(len(x))))
+    which, where = draws(node)
+    f = int(varying[int(which * len(varying))])
+    left = x[:, f] <= lo[f] + where * (hi[f] - lo[f])
+    out = np.zeros(len(x))
+    out[left], out[~left] = (_plain_tree(x[s], 2 * node + k, depth + 1, most, draws) for k, s in ((0, left), (1, ~left)))
+    return out
+
+
+def test_forest_grows_whole_trees_together(spark):
+    from sonolith.operators.iforest import _node_draws, grow_trees, iforest_scores, path_sums
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(64, 4)).round(1)
+    x[:20] = x[0]  # equal rows end in one leaf
+    x[:, 3] = 1.0
+    trees = np.array([2, 5, 9])
+    out = grow_trees(np.tile(x, (3, 1)), np.repeat(trees, 64), 7, "a", 64)
+    want = sum(_plain_tree(x, 1, 0, 6, lambda node, t=t: _node_draws(7, "a", t, node)) for t in trees.tolist())
+    assert out.pop("roots") == 3 and (path_sums(x, 3, **out) == want).all()
+    # draws are not spread out to a row per tree and ranked by a window
+    df, plan = _frame(spark)
+    assert "Window" not in iforest_scores(df, plan, Options())._jdf.queryExecution().toString()
+
+
 def test_least_norm_point():
     from sonolith.operators.ocsvm import least_norm
 
