@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,30 +141,26 @@ class ChunkEncoder:
         if len(self.known) > self.limit:
             self.forget()
         added = self._have_added(texts)
-        chunks: list[str] = []
-        counts = []
-        for t in texts:
-            cut = t.split(" ")
-            counts.append(len(cut))
-            chunks += cut
-        # first among the few chunks of these texts, then only the distinct ones in the large cache
-        local = _Numbers()
-        index = np.fromiter(map(local.__getitem__, chunks), dtype=np.int64, count=len(chunks))
-        distinct = np.fromiter(map(self.known.__getitem__, local.new), dtype=np.int64, count=len(local.new))
+        # only the distinct chunks of these texts become Python strings and meet the large cache
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        counts = cut.value_lengths().to_numpy()
+        coded = pc.dictionary_encode(cut.flatten())
+        own, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        distinct = np.fromiter(map(self.known.__getitem__, own), dtype=np.int64, count=len(own))
         if self.known.new:
             self._learn(bool(added.any()))
         self.met[distinct] += 1
-        index = distinct[index]
         ends = np.cumsum(counts)
         head = ends - counts
+        firsts = [own[k] for k in index[head].tolist()]
+        index = distinct[index]
         odd = self.odd[index]
-        firsts = [chunks[k] for k in head.tolist()]
         odd[head] = [not c and n > 1 or c[-1:].isspace() for c, n in zip(firsts, counts, strict=True)]
         start, length = self.start[index], self.length[index]
         # a text's first chunk has no space before it; its ids stand behind the cache for now
-        keep, own = self.used, self.plain(firsts)
-        length[head] = [len(x) for x in own]
-        start[head] = self._store(np.concatenate([np.zeros(0, np.uint32), *own])) + np.cumsum(length[head]) - length[head]
+        keep, begin = self.used, self.plain(firsts)
+        length[head] = [len(x) for x in begin]
+        start[head] = self._store(np.concatenate([np.zeros(0, np.uint32), *begin])) + np.cumsum(length[head]) - length[head]
         self.used = keep
         to = np.cumsum(length)
         flat = self.ids[np.repeat(start - to + length, length) + np.arange(to[-1] if len(to) else 0)]
