@@ -8,14 +8,18 @@ Jaccard similarity at any set size. Bands of equal registers bring candidates to
 
 Documents with equal sets form one class from the start. Classes that share a band are
 connected to the band's least class only (never all pairs), and the connected parts of
-that graph, found by star steps, are compared in blocks of bounded size: the estimate,
-corrected for registers that agree by chance, drops pairs of large sets that are far from
-the limit, the rest is compared on the full sets. Blocks return spanning links, not pairs.
+that graph are found by star steps. A part that fits one block is compared as a whole.
+Larger parts mostly chain classes that are not alike, so only classes with a common band
+meet there: those of one lead together, small leads dealt into blocks, large ones first
+against the lead itself, and then only classes that these links have not connected yet.
+In a comparison the estimate, corrected for registers that agree by chance, drops pairs of
+large sets that are far from the limit, the rest is compared on the full sets. Blocks
+return spanning links, not pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +37,9 @@ from sonolith.llm.words import WORD_BASES, Windows, Words, mix, signed, slices
 class MinHashOptions:
     """Links hold from ``percent`` / 100 on. 32 bands of 4 registers miss a pair of similarity
     0.75 with a probability of 5e-6. The estimate drops pairs ``margin`` (five standard
-    deviations) below the limit, and only where both sets have ``estimate_from`` shingles."""
+    deviations) below the limit, and only where both sets have ``estimate_from`` shingles.
+    A block has about ``block_sets`` sets or ``block_shingles`` shingles, whichever is less, one
+    of a part larger than that ``large_sets``: what is in many blocks is copied to each."""
 
     shingle: int = 5
     percent: int = 75
@@ -44,11 +50,18 @@ class MinHashOptions:
     estimate_from: int = 256
     block_sets: int = 256
     block_shingles: int = 400_000
+    star_leads: int = 6
+    large_sets: int = 1024
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_set(self) -> int:
+        """Different sets can be linked only if neither is smaller: one of u - 1 within one of u has (u - 1) / u."""
+        return -(-100 // (100 - self.percent)) - 1 if self.percent < 100 else 1 << 62
+
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each document, ascending, and the offsets of the documents.
@@ -182,19 +195,22 @@ def _link(pdf: pd.DataFrame, o: MinHashOptions) -> pd.DataFrame:
     """Spanning links among the verified links of one block, or of one pair of blocks."""
     sets: dict[int, np.ndarray] = {}
     regs: dict[int, np.ndarray] = {}
-    for i, j, words in slices(pa.array(pdf["text"], pa.large_string()), lower=True):
+    for _, _, words in slices(pa.array(pdf["text"], pa.large_string()), lower=True):
         s, offs = shingles(words, o.shingle)
-        sk = sketches(s, offs, o)
-        for d, c in enumerate(signed(_class_ids(s, offs)).tolist()):
-            sets[c], regs[c] = s[offs[d] : offs[d + 1]], sk[d]
-    # a doc_id that stands for several texts brings texts of other classes along
+        ids, n = signed(_class_ids(s, offs)).tolist(), np.diff(offs)
+        large = np.flatnonzero(n >= o.estimate_from)  # no estimate is made of others
+        sk = sketches(s[np.repeat(n >= o.estimate_from, n)], np.concatenate([[0], np.cumsum(n[large])]), o)
+        regs |= {ids[d]: r for d, r in zip(large.tolist(), sk, strict=True)}
+        sets |= {c: s[offs[d] : offs[d + 1]] for d, c in enumerate(ids)}
     sides = [[c for c in dict.fromkeys(pdf["cid"][pdf["side"] == side].tolist()) if c in sets] for side in (0, 1)]
     left, right = sides[0], sides[1] or sides[0]
     if not left:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     na, nb = np.array([len(sets[c]) for c in left]), np.array([len(sets[c]) for c in right])
-    near = estimate(np.array([regs[c] for c in left]), np.array([regs[c] for c in right]), na, nb, o) >= o.percent / 100 - o.margin
-    near |= np.minimum(na[:, None], nb[None, :]) < o.estimate_from
+    near = np.ones((len(left), len(right)), dtype=bool)
+    i, j = np.flatnonzero(na >= o.estimate_from), np.flatnonzero(nb >= o.estimate_from)
+    if len(i) and len(j):
+        near[np.ix_(i, j)] = estimate(np.array([regs[left[d]] for d in i]), np.array([regs[right[d]] for d in j]), na[i], nb[j], o) >= o.percent / 100 - o.margin
     near &= 100 * np.minimum(na[:, None], nb[None, :]) >= o.percent * np.maximum(na[:, None], nb[None, :])
     near &= np.array(left)[:, None] != np.array(right)[None, :]
     rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
@@ -238,6 +254,70 @@ def block_meetings(near: DataFrame, classes: DataFrame, sets: int, members: int)
     return meets.select("component", *classes.columns, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
 
+def _blocks(n: str, members: str, sets: int, shingles: int):
+    return F.greatest(F.lit(1), F.ceil(F.greatest(F.col(n) / sets, F.col(members) / shingles))).cast("int")
+
+
+def _unlike(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of ``by``: g (rows), gn (sum of ``n``), w (ordered pairs of rows whose labels differ; no label is like no other)."""
+    one = rows.groupBy(*by, "label", F.when(F.col("label").isNull(), F.col("cid")).alias("own")).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mn"))
+    m = F.col("m").cast("double")
+    return one.groupBy(*by).agg(F.sum("m").alias("g"), F.sum("mn").alias("gn"), (F.pow(F.sum(m), F.lit(2)) - F.sum(m * m)).alias("w"))
+
+
+def unlike_meetings(items: DataFrame, sets: int, members: int) -> DataFrame:
+    """Deal the rows of each group into blocks, and let every two blocks meet once, unless all their rows have one label.
+
+    ``items``: kind, component (together the group), cid, n, label. A label of half a block or more has blocks of its
+    own, others are mixed. Returns kind, component, x, y (blocks), side (0 or 1) and cid."""
+    group = ["kind", "component"]
+    labels = items.where("label is not null").groupBy(*group, "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mn"))
+    own = labels.where((2 * F.col("m") >= sets) | (2 * F.col("mn") >= members)).select(*group, "label", F.col("label").alias("own"), _blocks("m", "mn", sets, members).alias("own_blocks"))
+    dealt = items.join(own, [*group, "label"], "left")
+    mixed = dealt.where("own is null").groupBy(*group).agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("mn")).select(*group, _blocks("m", "mn", sets, members).alias("mixed_blocks"))
+    within = F.when(F.col("own").isNull(), F.pmod(F.xxhash64(F.coalesce("label", "cid")), F.col("mixed_blocks"))).otherwise(F.pmod(F.xxhash64("cid"), F.col("own_blocks")))
+    placed = scratch.save(dealt.join(mixed, group, "left").select(*group, "cid", "own", F.xxhash64("own", within.cast("long")).alias("block")), "placed")
+    blocks = placed.select(*group, "block", "own").distinct()
+    pairs = blocks.withColumnsRenamed({"block": "x", "own": "own_x"}).join(blocks.withColumnsRenamed({"block": "y", "own": "own_y"}), group)
+    pairs = pairs.where("x <= y and not coalesce(own_x = own_y, false)").select(*group, "x", "y")
+    at = [*group, "x", "y", F.lit(0).alias("side"), "cid"], [*group, "x", "y", F.lit(1).alias("side"), "cid"]
+    left = placed.withColumnRenamed("block", "x").join(pairs, [*group, "x"]).select(*at[0])
+    return left.unionByName(placed.withColumnRenamed("block", "y").join(pairs.where("x != y"), [*group, "y"]).select(*at[1]))
+
+
+def _large_parts(parts: DataFrame, star: DataFrame, verify: Callable[[DataFrame], DataFrame], o: MinHashOptions) -> tuple[DataFrame, DataFrame]:
+    """Links and further meetings of parts larger than a block.
+
+    ``parts``: component, cid, n; ``star``: cid, lead for every class and the lead of each of its bands. Two classes
+    with a common band have that band's lead in common; classes that have none meet only where a part as a whole asks
+    for no more comparisons than its leads do."""
+    sets, members = o.large_sets, o.block_shingles
+    led = scratch.save(star.join(parts, "cid").select("component", "lead", "cid", "n").distinct(), "led")
+    sizes = led.groupBy("lead").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("gn"))
+    wide = sizes.where((F.col("g") > sets) | (F.col("gn") > members))
+    # only to save comparisons: the widest leads of a class link it to what is like them
+    widest = led.where("cid != lead").join(wide, "lead").groupBy("cid").agg(F.slice(F.sort_array(F.collect_list(F.struct("g", "lead", "gn")), asc=False), 1, o.star_leads).alias("to"))
+    rays = widest.select("cid", F.explode("to").alias("to")).select("cid", "to.lead", F.pmod(F.xxhash64("cid"), _blocks("to.g", "to.gn", sets, members)).cast("long").alias("y"))
+    first = rays.select("lead", "y", F.lit(1).alias("side"), "cid").unionByName(rays.select("lead", "y", F.lit(0).alias("side"), F.col("lead").alias("cid")).distinct())
+    links = verify(first.select(F.lit(0).alias("kind"), F.col("lead").alias("component"), F.lit(0).cast("long").alias("x"), "y", "side", "cid"))
+    label = components(links, "a", "b").select(F.col("node").alias("cid"), F.col("component").alias("label"))
+    led = scratch.save(led.join(label, "cid", "left"), "led")
+    parts = parts.join(label, "cid", "left")
+    by_lead = scratch.save(_unlike(led, ["component", "lead"]).where("w > 0"), "leads")
+    whole = _unlike(parts, ["component"]).select("component", F.col("w").alias("whole_w"))
+    dense = by_lead.groupBy("component").agg(F.sum("w").alias("w")).join(whole, "component").where("whole_w <= w").select("component")
+    leads = by_lead.join(dense, "component", "left_anti")
+    is_wide = (F.col("g") > sets) | (F.col("gn") > members)
+    few = leads.where(~is_wide).agg(F.sum("g"), F.sum("gn")).first()
+    bins = max(1, -(-2 * (few[0] or 0) // sets), -(-2 * (few[1] or 0) // members))
+    row = ["cid", "n", "label"]
+    sparse = led.join(leads.select("lead", is_wide.alias("wide")), "lead")
+    items = parts.join(dense, "component").select(F.lit(0).alias("kind"), "component", *row)
+    items = items.unionByName(sparse.where("wide").select(F.lit(1).alias("kind"), F.col("lead").alias("component"), *row))
+    items = items.unionByName(sparse.where("not wide").select(F.lit(2).alias("kind"), F.pmod(F.xxhash64("lead"), F.lit(bins)).alias("component"), *row).distinct())
+    return links, unlike_meetings(items, sets, members)
+
+
 def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> DataFrame:
     """Groups of documents whose sets of word shingles (lower case) are linked, directly or through others.
 
@@ -259,17 +339,35 @@ def near_duplicates(docs: DataFrame, options: MinHashOptions | None = None) -> D
     classes = signed_docs.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
     # equal sets have equal bands: those of each class' first row
     first = (signed_docs["cid"] == classes["cid"]) & signed_docs["doc_id"].eqNullSafe(classes["first_id"])
-    heads = scratch.save(signed_docs.join(classes, first, "left_semi").select("cid", "bands"), "heads")
+    heads = scratch.save(signed_docs.where(F.col("n_shingles") >= o.least_set).join(classes, first, "left_semi").select("cid", "doc_id", "th", "bands"), "heads")
     members = heads.select("cid", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("lead")).where("n > 1").select("band", "lead")
-    near = components(members.join(shared, "band").select("cid", "lead").where("cid != lead").distinct(), "cid", "lead")
-    meets = block_meetings(near, classes, o.block_sets, o.block_shingles)
-    texts = meets.join(rows, meets["first_id"].eqNullSafe(rows["doc_id"])).select("component", "x", "y", "side", "cid", "text")
+    star = scratch.save(members.join(shared, "band").select("cid", "lead").distinct(), "star")
+    near = components(star.where("cid != lead"), "cid", "lead").withColumnRenamed("node", "cid")
+    parts = scratch.save(near.join(classes.select("cid", "n"), "cid").select("component", "cid", "n"), "parts")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("cn"))
+    large = sizes.where((F.col("c") > o.block_sets) | (F.col("cn") > o.block_shingles)).select("component")
+    sized = parts.join(large.withColumn("large", F.lit(True)), "component", "left")
+    named = sized.join(heads, "cid").groupBy("component", "cid", "large", "doc_id").agg(F.min("th").alias("th")).withColumn("key", F.xxhash64("doc_id", "th"))
+    rows = docs.select(F.col("doc_id").alias("k1"), F.xxhash64("text").alias("k2"), "text").withColumn("key", F.xxhash64("k1", "k2"))
+    found = rows.join(named, "key").where(F.col("k1").eqNullSafe(F.col("doc_id")) & (F.col("k2") == F.col("th")))
+    texts = scratch.save(found.dropDuplicates(["key", "cid"]).select("component", "cid", "large", "text"), "texts")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         return _link(pdf, o)
 
-    links = scratch.save(texts.groupBy("component", "x", "y").applyInPandas(link, "a long, b long"), "links")
+    def verify(blocks: DataFrame) -> DataFrame:
+        """``blocks``: kind, component, x, y (together the block), side, cid, text."""
+        return scratch.save(blocks.groupBy("kind", "component", "x", "y").applyInPandas(link, "a long, b long"), "links")
+
+    once = F.lit(0).cast("long")
+    blocks = texts.where("large is null").select(F.lit(3).alias("kind"), "component", once.alias("x"), once.alias("y"), F.lit(0).alias("side"), "cid", "text")
+    if large.isEmpty():
+        links = verify(blocks)
+    else:
+        of_large = texts.where("large").select("cid", "text")
+        links, more = _large_parts(parts.join(large, "component"), star, lambda meets: verify(meets.join(of_large, "cid").select(blocks.columns)), o)
+        links = links.unionByName(verify(blocks.unionByName(more.join(of_large, "cid").select(blocks.columns))))
     groups = components(links, "a", "b")
     least = groups.join(classes, groups["node"] == classes["cid"]).groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_class = classes.select("cid", "first_id").join(groups.withColumnRenamed("node", "cid"), "cid", "left").join(least, "component", "left").select("cid", F.coalesce("component", "cid").alias("component"), F.coalesce("component_id", "first_id").alias("component_id"))

@@ -94,6 +94,47 @@ def test_near_duplicates_against_brute_force(spark, options):
     assert got == brute.near(rows)
 
 
+@pytest.mark.parametrize("options", [MinHashOptions(block_sets=8, large_sets=8), MinHashOptions(block_sets=8, large_sets=3, star_leads=1), MinHashOptions(block_sets=4, large_sets=64), MinHashOptions(block_shingles=100, large_sets=4)])
+def test_near_duplicates_in_large_parts(spark, options):
+    """A chain of texts that share lines but are not alike, with a few near copies in it and a dense group at its end."""
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    lines = [line(14) for _ in range(8)]
+    rows = [f"{lines[i % 8]} {line(5)} {lines[(i // 8) % 8]}" for i in range(90)]
+    rows += [f"{t} more" for t in rows[::9]]
+    base = rows[0].split() + line(30).split()
+    for k in range(30):
+        copy = list(base)
+        for _ in range(k % 5):
+            copy[rng.randrange(len(copy))] = f"e{rng.random()}"
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(table(spark, rows), options).collect())
+    assert got == brute.near(rows)
+
+
+@pytest.mark.parametrize("name", ["op8_minhash_near_dedup", "pipeline"])
+def test_near_duplicates_compare_a_large_part_by_its_bands(spark, tmp_path, monkeypatch, name):
+    """Thousands of short texts that share a line or two are one candidate part, but few of them share a band with many:
+    each goes to a few blocks, not to as many as the part has."""
+    from pyspark.sql.group import GroupedData
+
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    lines = [line(15) for _ in range(60)]
+    texts = [f"{rng.choice(lines)} {line(2)} {rng.choice(lines)}" for _ in range(2600)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    copies, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, f, schema: (copies.append(self._df.count()), apply(self, f, schema))[1])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES[name](spark, str(tmp_path)) if name in QUERIES else dict(corpus_pipeline.STAGES)["minhash_near_dedup"](spark, docs, str(tmp_path))
+    assert out.count() == len(texts)
+    assert len(texts) <= sum(copies) < 5 * len(texts)
+
+
 def test_near_duplicates_on_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
     got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(documents).collect())
