@@ -109,15 +109,14 @@ def sketches(s: np.ndarray, offs: np.ndarray, o: MinHashOptions) -> np.ndarray:
     reg = (((lead + 1) << o.mantissa) | (rest.astype(np.int64) & ((1 << o.mantissa) - 1))).reshape(docs, m)
     full = full.reshape(docs, m)
     reg[~full] = 0
-    some = np.flatnonzero(full.any(axis=1) & ~full.all(axis=1))
-    for d in some:
-        own, empty, step = full[d], np.flatnonzero(~full[d]), 0
-        while len(empty):  # each empty register follows its own fixed sequence to a full one
-            step += 1
-            pick = (mix((empty * 65_537 + step).astype(np.uint64)) % np.uint64(m)).astype(np.int64)
-            hit = own[pick]
-            reg[d, empty[hit]] = reg[d, pick[hit]]
-            empty = empty[~hit]
+    doc, empty = np.nonzero(~full & full.any(axis=1)[:, None])
+    every, step = np.arange(m) * 65_537, 0
+    while len(doc):  # each empty register follows its own fixed sequence to a full one
+        step += 1
+        pick = (mix((every + step).astype(np.uint64)) % np.uint64(m)).astype(np.int64)[empty]
+        hit = full[doc, pick]
+        reg[doc[hit], empty[hit]] = reg[doc[hit], pick[hit]]
+        doc, empty = doc[~hit], empty[~hit]
     return reg.astype(np.uint16)
 
 

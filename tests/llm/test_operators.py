@@ -155,6 +155,23 @@ def test_estimates_are_close_to_the_similarity():
         assert abs(got[d] - len(sets[0] & x) / len(sets[0] | x)) < 0.15
 
 
+def test_sketches_borrow_for_all_short_texts_at_once(monkeypatch):
+    """Empty registers of all texts take each step together: the steps of a slice do not grow with its texts."""
+    from sonolith.llm import minhash
+
+    rng, o, calls = random.Random(3), MinHashOptions(), []
+    texts = [" ".join(f"w{rng.random()}" for _ in range(n)) for n in [1, 5, 6, 7, 8, 12, 40, 200] * 40]
+    alone = []
+    for t in texts[:16]:
+        ((_, _, w),) = words.slices(pa.array([t]))
+        alone.append(sketches(*shingles(w, 5), o)[0].tolist())
+    ((_, _, w),) = words.slices(pa.array(texts))
+    s, offs = shingles(w, 5)
+    monkeypatch.setattr(minhash, "mix", lambda x, f=minhash.mix: (calls.append(1), f(x))[1])
+    assert sketches(s, offs, o)[:16].tolist() == alone
+    assert len(calls) < 10 * len(texts)
+
+
 # ------------------------------------------------------------------ SQL
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_sql(spark, name):
